@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, secrets
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
+    "op2_secret_markov": secrets.query,
 }
 #: SQL can't express the fitted models and searches; tests hold the queries against brute force.
 ORACLE: dict[str, str] = {}
