@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import packing, quality, secrets
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
     "op2_secret_markov": secrets.query,
+    "op3_packing_dp": packing.query,
 }
 #: SQL can't express the fitted models and searches; tests hold the queries against brute force.
 ORACLE: dict[str, str] = {}
