@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash
+from . import packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
     "op2_secret_markov": secrets.query,
     "op3_packing_dp": packing.query,
     "op4_simhash_bytes": simhash.query,
+    "op5_toxicity_weak": toxicity.query,
 }
 #: SQL can't express the fitted models and searches; tests hold the queries against brute force.
 ORACLE: dict[str, str] = {}
