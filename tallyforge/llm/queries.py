@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash, toxicity
+from . import gif, packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing_dp": packing.query,
     "op4_simhash_bytes": simhash.query,
     "op5_toxicity_weak": toxicity.query,
+    "op7_media_gif": gif.query,
 }
 #: SQL can't express the fitted models and searches; tests hold the queries against brute force.
 ORACLE: dict[str, str] = {}
