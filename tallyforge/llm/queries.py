@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif, packing, pii, quality, secrets, simhash, toxicity
+from . import gif, htmltext, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity_weak": toxicity.query,
     "op7_media_gif": gif.query,
     "op8_pii_boost": pii.query,
+    "op9_html_suffix": htmltext.query,
 }
 #: SQL can't express the fitted models and searches; tests hold the queries against brute force.
 ORACLE: dict[str, str] = {}
