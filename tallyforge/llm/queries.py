@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif, htmltext, packing, pii, quality, secrets, simhash, toxicity
+from . import ctw, gif, htmltext, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_media_gif": gif.query,
     "op8_pii_boost": pii.query,
     "op9_html_suffix": htmltext.query,
+    "op10_lm_ctw": ctw.query,
 }
 #: SQL can't express the fitted models and searches; tests hold the queries against brute force.
 ORACLE: dict[str, str] = {}
