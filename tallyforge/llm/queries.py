@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, gif, htmltext, packing, pii, quality, secrets, simhash, toxicity
+from . import ctw, decontaminate, gif, htmltext, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing_dp": packing.query,
     "op4_simhash_bytes": simhash.query,
     "op5_toxicity_weak": toxicity.query,
+    "op6_decontam_lsi": decontaminate.query,
     "op7_media_gif": gif.query,
     "op8_pii_boost": pii.query,
     "op9_html_suffix": htmltext.query,
