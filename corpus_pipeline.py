@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import quality
+from tallyforge.llm import decontaminate, packing, quality, secrets, simhash
 from tallyforge.llm.common import table
 
 
@@ -15,7 +15,34 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality", stage_quality)]
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.keep_clean(docs, decontaminate.train(docs, table(spark, sf_dir, "benchmark")))
+
+
+def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; ``n_chars`` follows the text."""
+    clean = secrets.redact_rows(docs, secrets.train(docs))
+    return secrets.with_sizes(clean)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", stage_quality),
+    ("near_duplicates", stage_near_duplicates),
+    ("decontamination", stage_decontamination),
+    ("secrets", stage_secrets),
+    ("packing", stage_packing),
+]
 #: The stages fit models and pack tokens, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 

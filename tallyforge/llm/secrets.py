@@ -153,6 +153,13 @@ def redact_rows(docs: DataFrame, ratio: list[float], text_col: str = "text") ->
     return rows.withColumn(text_col, clean).select(*docs.columns)
 
 
+def with_sizes(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``n_chars``, where there is one, as long as the text."""
+    if size_col not in docs.columns:
+        return docs
+    return docs.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
+
+
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The columns of the contract."""
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
