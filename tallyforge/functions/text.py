@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Credential shapes, each a prefix and a least tail, in their order of precedence.
 CREDENTIALS = (
@@ -107,7 +108,7 @@ def valid_base(ref: Column) -> Column:
     return ref.rlike("^([0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$") | ((F.length(ref) <= 255) & ~ref.contains("..") & ref.rlike(f"^{name}$"))
 
 
-@F.udf("string")
+@F.udf(StringType())
 def encode_path(path):
     """A relative path with % and control characters percent-encoded; null for an empty, absolute or leaving one."""
     import unicodedata
@@ -121,7 +122,7 @@ def encode_path(path):
     return "/".join("".join(map(code, p)) for p in parts)
 
 
-@F.udf("string")
+@F.udf(StringType())
 def encode_component(text):
     """RFC 3986 percent-encoding: only unreserved characters stay."""
     from urllib.parse import quote

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 
@@ -41,7 +42,7 @@ def line_count(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.agg(F.coalesce(F.sum(T.lines_of(F.col(text_col))), F.lit(0)).alias("lines"))
 
 
-@F.udf("array<string>")
+@F.udf(ArrayType(StringType()))
 def dep_info(content):
     """Dependencies of the first rule of a Makefile-like list; null if it is malformed.
 
