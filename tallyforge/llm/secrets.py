@@ -145,14 +145,22 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_rows(docs: DataFrame, ratio: list[float], text_col: str = "text") -> DataFrame:
     """All rows and columns, with the secrets in the text replaced; a null text stays null."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base, more = base_spans(text), random_spans(text, ratio)
-    rows = docs.withColumns({"_base": base, "_more": more})
-    apart = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    clean = F.when(F.size(F.concat("_base", "_more")) > 0, redact(text, F.concat("_base", apart))).otherwise(F.col(text_col))
+    base_col, more_col = fresh(docs, "base"), fresh(docs, "more")
+    text, base, more = F.coalesce(F.col(text_col), F.lit("")), F.col(base_col), F.col(more_col)
+    rows = docs.withColumns({base_col: base_spans(text), more_col: random_spans(text, ratio)})
+    apart = F.filter(more, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    clean = F.when(F.size(F.concat(base, more)) > 0, redact(text, F.concat(base, apart))).otherwise(F.col(text_col))
     return rows.withColumn(text_col, clean).select(*docs.columns)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_sizes(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``n_chars``, where there is one, as long as the text."""
     if size_col not in docs.columns:
