@@ -23,44 +23,49 @@ def unanimous(c: Column) -> Column:
     return F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c))
 
 
-# Detectors: each a function from documents to findings.
+# Detectors. Most look at one row and are an expression, its occurrences (0: no finding): all of
+# them together take one scan. Those that compare rows are a function from documents to findings.
 
 
-def oversized(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("n_chars") >= OVERSIZED).select(F.lit("oversized_unit").alias("rule"), "doc_id", "source", F.lit(1).cast("bigint").alias("occurrences"))
+def _repeated_lines() -> Column:
+    """Number of long lines that a text has more than once."""
+    lines = F.array_sort(F.filter(F.split("text", "\n"), lambda x: F.length(x) > REPEATED))
+    again = F.transform(lines, lambda x, i: F.when((i > 0) & (x == F.try_element_at(lines, i.cast("int"))), x))
+    return F.size(F.array_distinct(F.filter(again, lambda x: x.isNotNull()))).cast("bigint")
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """One finding a family of equal texts, anchored on its smallest id. Texts are shuffled as digests."""
-    families = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count("*").alias("occurrences"))
-    return families.where("occurrences > 1").select(F.lit("duplicate_body").alias("rule"), "doc_id", "source", "occurrences")
+def _once(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0).cast("bigint")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Documents that repeat a long line, with the number of such lines; decided within the row."""
-    lines = F.array_sort(F.filter(F.split("text", "\n"), lambda x: F.length(x) > REPEATED))
-    again = F.size(F.array_distinct(F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & (x == F.try_element_at(lines, i.cast("int"))), x)), lambda x: x.isNotNull())))
-    return docs.select(F.lit("repeated_line").alias("rule"), "doc_id", "source", again.cast("bigint").alias("occurrences")).where("occurrences > 0")
+BY_ROW = {
+    "oversized_unit": lambda: _once(F.col("n_chars") >= OVERSIZED),
+    "repeated_line": _repeated_lines,
+    "email": lambda: _once(F.col("text").rlike(EMAIL)),
+    "license_line": lambda: _once(F.col("text").rlike(LICENSE)),
+    "token_literal": lambda: _once(F.col("text").rlike(TOKEN)),
+}
 
 
-def matching(docs: DataFrame, rule: str, pattern: str) -> DataFrame:
-    return docs.where(F.col("text").rlike(pattern)).select(F.lit(rule).alias("rule"), "doc_id", "source", F.lit(1).cast("bigint").alias("occurrences"))
+def duplicates(docs: DataFrame) -> DataFrame:
+    """One finding a family of equal texts, anchored on its smallest id. Texts are shuffled as digests."""
+    families = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count("*").alias("occurrences"))
+    return families.where("occurrences > 1").select(F.lit("duplicate_body").alias("rule"), "doc_id", "source", "occurrences")
 
 
-DETECTORS = {
-    "oversized_unit": oversized,
-    "duplicate_body": duplicates,
-    "repeated_line": repeated_lines,
-    "email": lambda d: matching(d, "email", EMAIL),
-    "license_line": lambda d: matching(d, "license_line", LICENSE),
-    "token_literal": lambda d: matching(d, "token_literal", TOKEN),
-}
+ACROSS_ROWS = {"duplicate_body": duplicates}
 
 
 def detect(docs: DataFrame, active: set[str] | None = None) -> DataFrame:
     """Findings of the active detectors; inactive ones are not in the plan at all."""
     docs = docs.select("doc_id", "source", "n_chars", F.coalesce("text", F.lit("")).alias("text"))
-    found = [fn(docs) for rule, fn in DETECTORS.items() if active is None or rule in active]
+    chosen = lambda detectors: {k: v for k, v in detectors.items() if active is None or k in active}
+    found = [fn(docs) for fn in chosen(ACROSS_ROWS).values()]
+    if single := chosen(BY_ROW):
+        each = F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), v().alias("occurrences")) for k, v in single.items()]), lambda x: x["occurrences"] > 0)
+        found.append(docs.select("doc_id", "source", F.inline(each)).select(*COLUMNS))
+    if not found:
+        return docs.sparkSession.createDataFrame([], "rule string, doc_id bigint, source string, occurrences bigint, category string, producer string, tier string, severity string, noise_bp int, context string")
     rules = F.broadcast(catalog.document_rules(docs.sparkSession))  # six rows
     every = reduce(DataFrame.unionByName, found)
     return every.join(rules, "rule").withColumn("context", F.when(F.col("doc_id") % 10 == 0, "tests"))

@@ -158,3 +158,14 @@ def test_report(spark):
     assert [r.listed for r in report.hand_off(details, [-F.count("*")]).orderBy("place").collect()] == ["p1", "p2"]
     frame = report.code_frame(spark.createDataFrame([("p", "1\n2\n3\n4\n5\n6\n7")], "path string, text string"), spark.createDataFrame([("p", 4)], "path string, line bigint"), "path")
     assert [r.content for r in frame.orderBy("number").collect()] == ["2", "3", "4", "5", "6"]
+
+
+def test_inactive_detectors_do_not_run(spark):
+    from tallyforge.operators import findings as fd
+
+    docs = spark.createDataFrame([(1, "s", 20_000, "me@example.org\n" + "a line said more than once\n" * 2), (2, "s", 3, None)], "doc_id bigint, source string, n_chars bigint, text string")
+    rules = lambda active: sorted(r.rule for r in fd.detect(docs, active).collect())
+    assert rules(None) == ["email", "oversized_unit", "repeated_line"]
+    assert rules({"email"}) == ["email"] and rules(set()) == []
+    plan = fd.detect(docs, {"email"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "license" not in plan and "sha2" not in plan
