@@ -61,3 +61,35 @@ def closure(roots: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
         seen = settle(seen.unionByName(fresh).groupBy("node").agg(F.bool_and("gated").alias("gated")))
         frontier = fresh
     raise RuntimeError(f"deeper than {depth}")
+
+
+def dependency_truth(declared: DataFrame, references: DataFrame) -> DataFrame:
+    """Declared dependencies (package, name) that nothing references, or only tests do.
+
+    ``references`` has package, name (with underscores), production, test.
+    """
+    used = references.groupBy("package", F.col("name").alias("_name")).agg(F.bool_or("production").alias("production"), F.bool_or("test").alias("test"))
+    both = declared.withColumn("_name", F.translate("name", "-", "_")).join(used, ["package", "_name"], "left")
+    verdict = F.when(F.col("production"), None).when(F.col("test"), "test_only").otherwise("unused")
+    return both.select("package", "name", verdict.alias("verdict")).where("verdict is not null")
+
+
+def stacked(attributes: DataFrame, key: str, lints: str, least: int = 2, wide: int = 4) -> DataFrame:
+    """Items with several suppressions, or one that is wide: (key, attributes, widest, all lints in order)."""
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list(lints))))
+    found = attributes.groupBy(key).agg(F.count("*").alias("attributes"), F.max(F.size(lints)).alias("widest"), F.array_join(merged, ", ").alias("lints"))
+    return found.where((F.col("attributes") >= least) | (F.col("widest") >= wide))
+
+
+def shared_aliases(aliases: DataFrame, packages: DataFrame) -> DataFrame:
+    """Aliases (package, alias, target) that all packages have with the same target."""
+    n = packages.select("package").distinct().agg(F.count("*").alias("_n"))
+    kept = aliases.join(packages, "package", "left_semi").groupBy("alias").agg(F.count_distinct("package").alias("_has"), F.count_distinct("target").alias("_targets"), F.min("target").alias("target"))
+    return kept.join(F.broadcast(n), F.col("_has") == F.col("_n")).where("_targets = 1").select("alias", "target")  # n is one row
+
+
+def enrolment(plans: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """Scopes whose plan and number of judged sites disagree, and why."""
+    both = plans.select(key, "target").join(judged.groupBy(key).agg(F.count("*").alias("judged")), key, "full_outer")
+    why = F.when(F.col("target").isNull(), "no plan").when(F.col("judged").isNull(), "not judged").when(F.col("judged") < F.col("target"), "too few").when(F.col("judged") > F.col("target"), "too many")
+    return both.select(key, why.alias("defect")).where("defect is not null")

@@ -145,3 +145,60 @@ def rule_noise(spark, sf):
 @query("SELECT DISTINCT lang || ':' || source AS title FROM documents")
 def rule_titles(spark, sf):
     return base.table(spark, sf, "documents").select(F.concat_ws(":", "lang", "source").alias("title")).distinct()
+
+
+DECLARED = [("p", "a-b"), ("p", "c"), ("q", "a-b"), ("q", "d"), ("q", "e")]
+REFERENCES = [("p", "a_b", 1, 0), ("q", "a_b", 0, 1), ("q", "d", 0, 1), ("q", "d", 1, 0), ("p", "x", 1, 1)]
+
+
+@query(f"WITH {_values(DECLARED, 'package', 'name')}, r(package, name, production, test) AS (VALUES {', '.join(map(str, REFERENCES))}), u AS (SELECT package, name, max(production) AS production, max(test) AS test FROM r GROUP BY package, name), j AS (SELECT v.package, v.name, CASE WHEN u.production = 1 THEN NULL WHEN u.test = 1 THEN 'test_only' ELSE 'unused' END AS verdict FROM v LEFT JOIN u ON u.package = v.package AND u.name = replace(v.name, '-', '_')) SELECT * FROM j WHERE verdict IS NOT NULL")
+def dependency_truth(spark, sf):
+    from ..operators import relations as rel
+
+    used = spark.createDataFrame(REFERENCES, "package string, name string, production int, test int").withColumns({c: F.col(c) == 1 for c in ("production", "test")})
+    return rel.dependency_truth(spark.createDataFrame(DECLARED, "package string, name string"), used)
+
+
+ATTRIBUTES = [("f", "dead_code"), ("f", "unused,dead_code"), ("g", "a,b,c,d"), ("h", "a"), ("i", "a,b,c")]
+
+
+@query(f"WITH {_values(ATTRIBUTES, 'item', 'lints')}, a AS (SELECT item, string_split(lints, ',') AS l FROM v) SELECT item, count(*) AS attributes, max(len(l)) AS widest, array_to_string(list_sort(list_distinct(flatten(list(l)))), ', ') AS lints FROM a GROUP BY item HAVING count(*) >= 2 OR max(len(l)) >= 4")
+def stacked_suppressions(spark, sf):
+    from ..operators import relations as rel
+
+    rows = spark.createDataFrame(ATTRIBUTES, "item string, lints string").withColumn("lints", F.split("lints", ","))
+    return rel.stacked(rows, "item", "lints")
+
+
+ALIASES = [("p", "x", "t"), ("q", "x", "t"), ("p", "y", "t"), ("q", "y", "u"), ("p", "z", "t"), ("r", "z", "t")]
+
+
+@query(f"WITH {_values(ALIASES, 'package', 'alias', 'target')} SELECT alias, min(target) AS target FROM v WHERE package IN ('p', 'q') GROUP BY alias HAVING count(DISTINCT package) = 2 AND count(DISTINCT target) = 1")
+def alias_intersection(spark, sf):
+    from ..operators import relations as rel
+
+    return rel.shared_aliases(spark.createDataFrame(ALIASES, "package string, alias string, target string"), spark.createDataFrame([("p",), ("q",)], "package string"))
+
+
+@query("WITH p(source, target) AS (SELECT source, count(*) // 2 FROM documents WHERE source <> 'src3' GROUP BY source), j AS (SELECT source, count(*) AS judged FROM documents JOIN labels USING (doc_id) WHERE source <> 'src5' GROUP BY source) SELECT source, CASE WHEN target IS NULL THEN 'no plan' WHEN judged IS NULL THEN 'not judged' WHEN judged < target THEN 'too few' ELSE 'too many' END AS defect FROM p FULL JOIN j USING (source) WHERE target IS DISTINCT FROM judged")
+def enrolment_defects(spark, sf):
+    from ..operators import relations as rel
+
+    docs = base.table(spark, sf, "documents").select("doc_id", "source")
+    plans = docs.where("source <> 'src3'").groupBy("source").agg(F.expr("count(*) div 2").alias("target"))
+    judged = docs.where("source <> 'src5'").join(base.table(spark, sf, "labels").select("doc_id"), "doc_id")
+    return rel.enrolment(plans, judged, "source")
+
+
+@query("SELECT n_name AS package, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS targets FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
+def package_targets(spark, sf):
+    """Each package with its targets in order."""
+    both = base.table(spark, sf, "customer").join(base.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.groupBy(F.col("n_name").alias("package")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ", ").alias("targets"))
+
+
+@query("SELECT DISTINCT event_type AS stage, 'code-' || user_id % 5 AS code FROM events WHERE value > 50")
+def error_list(spark, sf):
+    """Errors once each."""
+    e = base.table(spark, sf, "events").where("value > 50")
+    return e.select(F.col("event_type").alias("stage"), F.concat(F.lit("code-"), (F.col("user_id") % 5).cast("string")).alias("code")).distinct()
