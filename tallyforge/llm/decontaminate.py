@@ -48,6 +48,8 @@ SALTS = 16
 _BLOCK = 256
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BATCH = 2_000_000
+#: Words whose terms a worker remembers.
+REMEMBERED = 700_000
 
 
 def norm(word: str) -> str:
@@ -84,28 +86,40 @@ def terms_of(texts, memo) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(sizes, np.int64)
 
 
-def passages(sizes: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the passages of texts laid end to end."""
-    begin = np.cumsum(sizes) - sizes
-    n = -(-sizes // length)
-    return np.repeat(begin, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * length
+def laid_out(ids: np.ndarray, sizes: np.ndarray, steps: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of texts end to end, each text filled up to its ``steps`` of ``length`` by TERMS; where each text begins."""
+    begin = (np.cumsum(steps) - steps) * length
+    flat = np.full(int(steps.sum()) * length, TERMS, np.int32)
+    flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+    return flat, begin
 
 
 def add_passages(z: np.ndarray, ids: np.ndarray, sizes: np.ndarray, r: np.ndarray) -> None:
-    """Add the passages of texts, given by their terms, to the sums ``z``."""
+    """Add the passages of texts, given by their terms, to the sums ``z``.
+
+    All numbers are whole and small. Sums of eight rows at a time are formed first,
+    as these are much cheaper than sums over runs of any length.
+    """
     if not len(ids):
         return
-    start = passages(sizes, PASSAGE)
-    y = np.add.reduceat(r[ids], start, axis=0)  # whole numbers
-    place = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
-    term, place = ids[order], place[order]
-    change = np.append(True, term[1:] != term[:-1])
-    first = np.flatnonzero(change)
-    z[term[first], :SKETCH] += np.add.reduceat(y[place], first, axis=0, dtype=np.float64)
-    new = np.append(True, place[1:] != place[:-1]) | change
+    flat, _ = laid_out(ids, sizes, -(-sizes // PASSAGE), PASSAGE)
+    n = len(flat) // PASSAGE
+    y = np.zeros((n + 1, SKETCH), np.int16)
+    y[:n] = r.take(flat, axis=0).reshape(n, PASSAGE, SKETCH).sum(axis=1, dtype=np.int16)  # PASSAGE at most
+    at = np.flatnonzero(flat < TERMS)
+    at = at[np.argsort(flat[at].astype(np.uint16), kind="stable")]
+    term, place = flat[at], at // PASSAGE
+    count = np.bincount(term, minlength=TERMS)
+    eights = -(-count // 8)
+    begin = (np.cumsum(eights) - eights) * 8
+    rows = np.full(int(eights.sum()) * 8, n)
+    rows[np.arange(len(term)) + np.repeat(begin - (np.cumsum(count) - count), count)] = place
+    some = np.flatnonzero(count)
+    sums = y.take(rows, axis=0).reshape(-1, 8, SKETCH).sum(axis=1, dtype=np.int16)
+    z[some, :SKETCH] += np.add.reduceat(sums, begin[some] // 8, axis=0, dtype=np.int64)
+    new = np.append(True, (place[1:] != place[:-1]) | (term[1:] != term[:-1]))
     z[:, SKETCH] += np.bincount(term[new], minlength=TERMS)
-    z[0, SKETCH + 1] += len(start)
+    z[0, SKETCH + 1] += n
 
 
 def sketch(docs: DataFrame, text_col: str, own: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -116,7 +130,7 @@ def sketch(docs: DataFrame, text_col: str, own: dict[str, int]) -> tuple[np.ndar
     def run(batches):
         from pyspark import TaskContext
 
-        memo, r = Memo(term_of(own)), signs().astype(np.float32)
+        memo, r = Memo(term_of(own), REMEMBERED), np.vstack([signs(), np.zeros((1, SKETCH))]).astype(np.int16)
         z = np.zeros((TERMS, SKETCH + 2))  # and the passages that hold the term, and all passages
         for batch in batches:
             column = batch.column(0).to_pylist()
@@ -196,7 +210,7 @@ class Search:
     """Texts to their matches with the items: (text, item, share, share of the answer, cosine), the best of each pair."""
 
     def __init__(self, model: dict, items: list[tuple[int, str]]):
-        self.memo, self.basis = Memo(term_of(model["own"])), np.ascontiguousarray(model["basis"], np.float32)
+        self.memo, self.basis = Memo(term_of(model["own"]), REMEMBERED), np.ascontiguousarray(model["basis"], np.float32)
         self.basis = np.vstack([self.basis, np.zeros((1, self.basis.shape[1]), np.float32)])
         self.rare = np.append(model["rare"], False)
         term = term_of(model["own"])
@@ -222,16 +236,13 @@ class Search:
     def __call__(self, texts: list[str]):
         ids, sizes = terms_of(texts, self.memo)
         most = max((g[0] for g in self.groups), default=0)
-        # Each text is padded, by terms without weight, to whole strides and a window more.
-        steps = -(-sizes // STRIDE) + most
-        begin = (np.cumsum(steps) - steps) * STRIDE
-        flat = np.full(int(steps.sum()) * STRIDE, TERMS, np.int32)
-        flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+        # Each text is followed by a window without weight.
+        flat, begin = laid_out(ids, sizes, -(-sizes // STRIDE) + most, STRIDE)
         hits = np.append(0, np.cumsum(self.rare[flat].reshape(-1, STRIDE).sum(axis=1)))
         real = np.flatnonzero(flat[::STRIDE] < TERMS)
         rows = np.zeros((len(flat) // STRIDE, self.basis.shape[1]), np.float32)
         for i in range(STRIDE):
-            rows += self.basis[flat[i::STRIDE]]
+            rows += self.basis.take(flat[i::STRIDE], axis=0)
         best: dict = {}
         split: dict[int, list[str]] = {}
         folded, long_ = rows.copy(), 1  # the windows of so many strides from each stride on
@@ -242,16 +253,16 @@ class Search:
             size = np.sqrt(np.einsum("ij,ij->i", folded, folded)) * COSINE + 1e-9
             for lo in range(0, len(real), 8192):
                 part = real[lo : lo + 8192]
-                near = folded[part] @ q
+                near = folded.take(part, axis=0) @ q
                 found_at, found_j = np.nonzero(near >= size[part, None])
                 held = hits[part + n] - hits[part]
                 fits = held[found_at] >= least[found_j]
                 found_at, found_j = found_at[fits], found_j[fits]
                 # No common subsequence is longer than the window's words that the item has.
                 shared = np.zeros(len(found_at), np.int32)
-                at = part[found_at] * STRIDE
+                at, of = part[found_at] * STRIDE, found_j * (TERMS + 1)
                 for i in range(n * STRIDE):
-                    shared += holds[found_j, flat[at + i]]
+                    shared += holds.take(of + flat.take(at + i))
                 long = shared >= enough[found_j]
                 for at, j in zip(found_at[long].tolist(), found_j[long].tolist(), strict=True):
                     step = int(part[at])

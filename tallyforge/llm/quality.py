@@ -45,12 +45,12 @@ def bucket(feature: str) -> int:
 class Memo(dict):
     """Word to a value of it; forgets all when full, so that memory is bounded."""
 
-    def __init__(self, value):
+    def __init__(self, value, room: int = REMEMBERED):
         super().__init__()
-        self.value = value
+        self.value, self.room = value, room
 
     def __missing__(self, word):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.room:
             self.clear()
         got = self[word] = self.value(word)
         return got
