@@ -120,6 +120,7 @@ def sentence_ends(path: str | None = None) -> np.ndarray:
 def candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of possible cuts (0 and the stream's end among them) and their penalties."""
     cost = np.full(len(ids) + 1, np.inf)
+    cost[-1] = HARD_CUT  # where a document goes on after the stream
     cost[1:][ends[ids]] = SENTENCE_CUT
     cost[0] = 0
     cost[doc_ends] = 0
@@ -181,8 +182,6 @@ def pack_stream(docs, encode, ends, window: int = WINDOW, stream: int = STREAM):
         stops = np.cumsum([len(h[3]) for h in held])
         complete = stops if held[-1][2] + len(held[-1][3]) == held[-1][1] else stops[:-1]
         at, cost = candidates(ids, ends, complete)
-        if at[-1] != len(ids):
-            at, cost = np.append(at, len(ids)), np.append(cost, HARD_CUT)
         cuts = plan(at, cost, window)
         if not last and len(cuts) > 2:
             cuts.pop()  # the last window joins the next stream

@@ -110,6 +110,25 @@ def test_packing_is_optimal():
         assert sum(price(b - a) + cost[at.index(b)] for a, b in zip(cuts, cuts[1:], strict=False)) == pytest.approx(best[-1])
 
 
+def test_packing_of_a_document_longer_than_a_stream():
+    """Parts that end inside of a document, without a sentence's end, get cuts within the window."""
+    n = 9000
+    ids = np.append(np.arange(n) % 1000 + 1, 0).astype("<u2")
+    ends = np.zeros(2000, bool)
+    ends[3] = True
+    for text in (ids, np.where(ids == 4, 3, 5).astype("<u2")):
+        text[-1] = 0
+        for marks in (ends, np.zeros(2000, bool)):
+            rows = [r for part in packing.pack_stream([(1, "x"), (2, "")], lambda t, own=text: own[:-1].tobytes() if t else b"", marks, stream=4000) for r in zip(*part, strict=True)]
+            own = [r for r in rows if r[0] == 1]
+            assert [r[1] for r in own] == np.cumsum([0] + [r[2] for r in own])[:-1].tolist() and sum(r[2] for r in own) == n + 1
+            assert all(crc32(text[r[1] : r[1] + r[2]].astype("<u4").tobytes()) == r[3] for r in own)
+            sizes = Counter()
+            for r in rows:
+                sizes[r[5]] += r[2]
+            assert max(sizes.values()) <= packing.WINDOW and [r[0] for r in rows][-1] == 2
+
+
 def plain_simhash(text):
     import xxhash
 
