@@ -344,6 +344,24 @@ def test_html_by_host(spark):
     assert got[9].split("\n") == ["Home and news and all other sections", "Story number 9 has its own words here", "All rights reserved by the example company since 1999"]
 
 
+def test_html_by_host_keeps_what_is_not_boilerplate(spark):
+    menu = "<div>Home and news and all other sections</div>"
+    quote = "a quoted passage " + " ".join(f"q{i}" for i in range(50))
+    rows = [(i, f"http://copies.example/{i}", f"<body>{menu}<div>One story on three addresses of this host</div></body>") for i in range(3)]
+    for i in range(40):  # a large host: a passage on three pages, a phrase on twelve, a menu on all
+        own = f"<div>Story {i} of its own {'as we all know from the news' if i < 12 else 'without it'} ends here {i}</div>"
+        rows.append((100 + i, f"http://large.example/{i}", f"<body>{menu}{own}{f'<p>{quote}</p>' if i < 3 else ''}</body>"))
+    # Two pages whose open and dropped blocks say the same.
+    same = "<div>All of this is said two times over</div>"
+    rows += [(200 + i, f"http://twice.example/{i}", f"<body>{same}<p>Story number {i}</p><nav>{same}</nav></body>") for i in range(2)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text.split("\n") for r in htmltext.extract(frame).collect()}
+    assert all(got[i] == ["Home and news and all other sections", "One story on three addresses of this host"] for i in range(3))
+    for i in range(40):
+        assert got[100 + i] == [f"Story {i} of its own {'as we all know from the news' if i < 12 else 'without it'} ends here {i}", *[quote] * (i < 3)]
+    assert all(got[200 + i] == ["All of this is said two times over", f"Story number {i}"] for i in range(2))
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
