@@ -6,11 +6,13 @@ T'T R over the passages' counts T (whole numbers, so in any order), and the
 Nystroem approximation of A'A, whose test matrix R without the IDF weights is as
 good, follows from this one pass. In a second pass windows of every text are
 folded in (divided by the singular values, so that frequent words don't decide)
-and compared with each benchmark item by cosine. Windows that lack so many of the
-items' rare words that no item can pass the last check are not folded in: an item
-of n words, r of them rare, shares at least r - (1 - LEAST_ITEM) n of these with
-a window that holds LEAST_ITEM of it. What comes close is
-checked word by word: the longest common subsequence has to hold most of the
+and compared with each benchmark item by cosine. An item is diluted by the
+foreign words of its windows, a short one the most, so no cosine refuses a window;
+it tells how near a match is. Windows that lack so many of an item's words that it
+can't pass the last check are left out: an item of n words, r of them rare, shares
+at least r - (1 - LEAST_ITEM) n of these with a window that holds LEAST_ITEM of it,
+and LEAST_ITEM n words in all (counted for every window where the former is 0).
+What is left is checked word by word: the longest common subsequence has to hold most of the
 item, and much of its answer, the item's end. So inserted, dropped or changed
 words don't hide an item, and texts that only share its frequent words are left.
 """
@@ -35,8 +37,8 @@ TERMS = OWN + SHARED
 PASSAGE, SKETCH, KEPT = 64, 32, 24
 #: Words from one window to the next; windows of an item are as much longer than it, so that one holds all of it.
 STRIDE = 8
-#: Least cosine of a candidate; least shares of the item's words, and of its answer's, in the common subsequence.
-COSINE, LEAST_ITEM, LEAST_ANSWER = 0.5, 0.7, 0.6
+#: Least shares of the item's words, and of its answer's, in the common subsequence.
+LEAST_ITEM, LEAST_ANSWER = 0.7, 0.6
 #: Words of the benchmark are rare if at most this share of the passages hold them.
 RARE = 0.005
 #: An answer is such a share of an item's words, its last ones.
@@ -231,14 +233,31 @@ class Search:
             holds = np.zeros((len(own), TERMS + 1), bool)
             for row, i in zip(holds, own, strict=True):
                 row[i["terms"]] = True
-            self.groups.append((steps, own, np.stack([i["q"] for i in own]).T, np.array([i["least"] for i in own]), holds, np.array([LEAST_ITEM * i["n"] - 1e-9 for i in own])))
+            least, enough = np.array([i["least"] for i in own]), np.array([LEAST_ITEM * i["n"] - 1e-9 for i in own])
+            plain = int(np.searchsorted(least, 1))  # so many items have too few rare words to be told by these
+            by_term = np.ascontiguousarray(holds.T).view(np.uint8)
+            bound = np.where(np.arange(len(own)) < plain, np.ceil(enough), least).astype(np.uint16)
+            self.groups.append((steps, own, np.stack([i["q"] for i in own]), holds, enough, plain, np.ascontiguousarray(by_term[:, :plain]), np.ascontiguousarray(by_term[:, plain:]), bound))
+
+    def _own_words(self, flat: np.ndarray, group: tuple) -> np.ndarray:
+        """For each stride of ``flat`` that begins a window, and each item, whether the window holds enough of the item's words."""
+        n, items, _, _, enough, plain, every, rare, bound = group
+        held = np.zeros((len(flat) // STRIDE + 1, len(items)), np.uint16)  # sums may wrap, their differences are small
+        if plain:
+            held[1:, :plain] = every.take(flat, axis=0).reshape(-1, STRIDE, plain).sum(axis=1, dtype=np.uint16)
+        at = np.flatnonzero(self.rare[flat])
+        if len(at) and plain < len(items):
+            step = at // STRIDE
+            first = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
+            held[step[first] + 1, plain:] = np.add.reduceat(rare.take(flat[at], axis=0), first, axis=0, dtype=np.uint16)
+        np.cumsum(held, axis=0, dtype=np.uint16, out=held)
+        return held[n:] - held[:-n] >= bound
 
     def __call__(self, texts: list[str]):
         ids, sizes = terms_of(texts, self.memo)
         most = max((g[0] for g in self.groups), default=0)
         # Each text is followed by a window without weight.
         flat, begin = laid_out(ids, sizes, -(-sizes // STRIDE) + most, STRIDE)
-        hits = np.append(0, np.cumsum(self.rare[flat].reshape(-1, STRIDE).sum(axis=1)))
         real = np.flatnonzero(flat[::STRIDE] < TERMS)
         rows = np.zeros((len(flat) // STRIDE, self.basis.shape[1]), np.float32)
         for i in range(STRIDE):
@@ -246,18 +265,16 @@ class Search:
         best: dict = {}
         split: dict[int, list[str]] = {}
         folded, long_ = rows.copy(), 1  # the windows of so many strides from each stride on
-        for n, items, q, least, holds, enough in self.groups:
+        for group in self.groups:
+            n, items, q, holds, enough = group[:5]
+            some = max(256, min(8192, 4_000_000 // len(items)))
             for i in range(long_, n):
                 folded[: len(rows) - i] += rows[i:]
             long_ = n
-            size = np.sqrt(np.einsum("ij,ij->i", folded, folded)) * COSINE + 1e-9
-            for lo in range(0, len(real), 8192):
-                part = real[lo : lo + 8192]
-                near = folded.take(part, axis=0) @ q
-                found_at, found_j = np.nonzero(near >= size[part, None])
-                held = hits[part + n] - hits[part]
-                fits = held[found_at] >= least[found_j]
-                found_at, found_j = found_at[fits], found_j[fits]
+            for lo in range(0, len(real), some):
+                part = real[lo : lo + some]
+                own = self._own_words(flat[part[0] * STRIDE : (part[-1] + n) * STRIDE], group)
+                found_at, found_j = np.nonzero(own[part - part[0]])
                 # No common subsequence is longer than the window's words that the item has.
                 shared = np.zeros(len(found_at), np.int32)
                 at, of = part[found_at] * STRIDE, found_j * (TERMS + 1)
@@ -272,7 +289,7 @@ class Search:
                     first = step * STRIDE - int(begin[text])
                     share, answer = verify(split[text][first : first + n * STRIDE], item)
                     if share >= LEAST_ITEM and answer >= LEAST_ANSWER:
-                        found = (share, answer, float(near[at, j] / size[step] * COSINE))
+                        found = (share, answer, float(folded[step] @ q[j] / (np.linalg.norm(folded[step]) + 1e-9)))
                         key = (text, item["key"])
                         if key not in best or found > best[key]:
                             best[key] = found

@@ -219,6 +219,26 @@ def test_decontamination(spark, docs):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_decontamination_finds_every_short_item_in_foreign_words(docs):
+    """Items of all lengths, verbatim at every place of a stride among foreign words, with a space that says nothing and with the documents' own."""
+    r = random.Random(8)
+    foreign = [w for _, t in docs for w in decontaminate.words_of(t)]
+    items = [(k, " ".join(r.choice(foreign[:3000]) if r.random() < (0.9 if k % 3 else 0.3) else f"rare{r.randrange(400)}" for _ in range(r.randint(3, 30)))) for k in range(80)]
+    words = Counter(w for _, t in items for w in set(t.split()))
+    own = {w: i for i, (w, _) in enumerate(sorted(words.items()))}
+    texts = []
+    for k, t in items:
+        lo = r.randrange(len(foreign) - 200)
+        texts.append(" ".join([*foreign[lo : lo + 40 + k % 8], t, *foreign[lo + 100 : lo + 140]]))
+    z, memo = np.zeros((decontaminate.TERMS, decontaminate.SKETCH + 2)), quality.Memo(decontaminate.term_of(own), 10_000)
+    signs = np.vstack([decontaminate.signs(), np.zeros((1, decontaminate.SKETCH))]).astype(np.int16)
+    decontaminate.add_passages(z, *decontaminate.terms_of([t for _, t in docs] + texts, memo), signs)
+    fitted = decontaminate.space(z[:, : decontaminate.SKETCH], z[:, decontaminate.SKETCH], int(z[0, decontaminate.SKETCH + 1]), len(own))
+    for basis in (fitted["basis"], np.zeros_like(fitted["basis"])):
+        found = decontaminate.Search({"own": own, "items": items, "rare": fitted["rare"], "basis": basis}, items)(texts)
+        assert {(k, k) for k, _ in items} <= {(t, i) for t, i, *_ in found}
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):
