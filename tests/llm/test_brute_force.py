@@ -1,7 +1,6 @@
 """Operators against plain versions of what they compute."""
 
 import hashlib
-import html
 import math
 import random
 import re
@@ -11,7 +10,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from tallyforge.llm import ctw, decontaminate, gif, htmltext, packing, pii, quality, secrets, simhash, toxicity
+from tallyforge.llm import ctw, decontaminate, gif, packing, pii, quality, secrets, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -345,65 +344,6 @@ def test_boosting_learns():
     assert np.mean((pii.margins(pii.boost(x.astype(float), y.astype(float), 40), x2.astype(float)) > 0) == y2) > 0.95
 
 
-def test_html_of_the_tables(spark):
-    frame = spark.read.parquet(f"{SF}/pages.parquet")
-    got = {r.page_id: r for r in htmltext.extract(frame).collect()}
-    for r in frame.collect():
-        inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
-        own = (" ".join(html.unescape(re.sub("<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h\d)>", inner))
-        text = "\n".join(x for x in own if x)
-        assert got[r.page_id].text == text and got[r.page_id].n_chars == len(text)
-
-
-def test_html_by_host(spark):
-    menu, legal = "<div>Home and news and all other sections</div>", "<div>All rights reserved by the example company since 1999</div>"
-    page = lambda i: f"<html><head><title>t</title></head><body>{menu}<div>Story number {i} has&nbsp;its own\n words <b>he</b>re</div>{legal}</body></html>"
-    rows = [(i, "http://h.example/" + str(i), page(i)) for i in range(5)] + [(9, "http://other.example/", page(9))]
-    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert all("rights" not in got[i] and "Home" not in got[i] and str(i) in got[i] for i in range(5))
-    assert got[9].split("\n") == ["Home and news and all other sections", "Story number 9 has its own words here", "All rights reserved by the example company since 1999"]
-
-
-def test_html_by_host_keeps_what_is_not_boilerplate(spark):
-    menu = "<div>Home and news and all other sections</div>"
-    quote = "a quoted passage " + " ".join(f"q{i}" for i in range(50))
-    rows = [(i, f"http://copies.example/{i}", f"<body>{menu}<div>One story on three addresses of this host</div></body>") for i in range(3)]
-    for i in range(40):  # a large host: a passage on three pages, a phrase on twelve, a menu on all
-        own = f"<div>Story {i} of its own {'as we all know from the news' if i < 12 else 'without it'} ends here {i}</div>"
-        rows.append((100 + i, f"http://large.example/{i}", f"<body>{menu}{own}{f'<p>{quote}</p>' if i < 3 else ''}</body>"))
-    # Two pages whose open and dropped blocks say the same.
-    same = "<div>All of this is said two times over</div>"
-    rows += [(200 + i, f"http://twice.example/{i}", f"<body>{same}<p>Story number {i}</p><nav>{same}</nav></body>") for i in range(2)]
-    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
-    got = {r.page_id: r.text.split("\n") for r in htmltext.extract(frame).collect()}
-    assert all(got[i] == ["Home and news and all other sections", "One story on three addresses of this host"] for i in range(3))
-    for i in range(40):
-        assert got[100 + i] == [f"Story {i} of its own {'as we all know from the news' if i < 12 else 'without it'} ends here {i}", *[quote] * (i < 3)]
-    assert all(got[200 + i] == ["All of this is said two times over", f"Story number {i}"] for i in range(2))
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<article><header><h1>T</h1></header><p>a<br>b<div class='ad'>zz</div>c<section id=comments><article>cc</article></section><form>f</form><p>end &lt;x&gt; &amp;amp;</article><p>out", ["T", "a b", "c", "end <x> &amp;"]),
-        ("<main><p>Hello <b>wor</b>ld<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><aside>x</aside></main><p>z", ["Hello world", "a", "b", "c", "d"]),
-        ("<article><p>one<script>var t='</p>';</script> two<!-- <p>no --><style>p{}</style></article>", ["one two"]),
-        ("<article><p hidden>h<p style='display: none'>i<p role=alert>j<p>k<noscript>n</noscript></article>", ["k"]),
-        ("<p>only", None),
-    ],
-)
-def test_html_blocks(page, want):
-    assert htmltext.split_page(page)[0] == want
-
-
-def test_suffix_buckets():
-    r = random.Random(6)
-    streams = [[r.choice("ab") for _ in range(r.randint(1, 30))] for _ in range(12)]
-    want = Counter(p for s in streams for p in {tuple(s[i : i + 4]) for i in range(len(s) - 3)})
-    got = dict(zip(*htmltext.buckets(streams, 4), strict=True))
-    assert got == {htmltext.prefix_hash(list(p)): n for p, n in want.items()}
-
-
 def test_base_scores(spark, docs):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {r.doc_id: r for r in ctw.score(frame, ctw.train(frame.where(~ctw.held_out(frame.doc_id)))).collect()}
