@@ -6,9 +6,16 @@ and cue words around it). A threshold calibrated on held-back training candidate
 selects the redactions. Spans of the base formats always stay; the trees add
 what the loose generators find beyond them.
 
-Training candidates are made here: each kind of personal datum in various
-spellings, and look-alikes (dates, versions, order numbers, prices, hashes, ...),
-both with cue words, misleading ones and none, between words of the documents.
+Training candidates stand in the text of real documents: personal data that the
+base formats find there are respelled in their place (an address with "at" and
+"dot", a number without its country), data of each kind are made up, and so are
+look-alikes (dates, versions, order numbers, prices, hashes, ...), all with cue
+words, misleading ones and none. What the generators propose in the same documents
+beside the base spans counts as ordinary. Whole documents are held back to
+calibrate the threshold.
+
+All searches take time in proportion to the text: base formats begin only where a
+run of their characters does, and marks like "@" are looked for first.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,23 +39,30 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # End of the fixed values.
+#: The generators. Their numbers of digits and groups are those of the formats; names and domains have any length.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{2,24}){1,4}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9A-Za-z.,+-])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,4}){1,4}(?![0-9A-Za-z-]|[.,][0-9])",
     "id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}(?:\x20?[0-9A-Z]{1,3})?)(?![0-9A-Za-z-])",
 }
+AT, NAME = r"\s?(?:@|\(at\)|\[at\]|\sat\s)\s?", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = r"[A-Za-z0-9-]++(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{2,}+)++"
 #: A text without any of these has no candidate.
 TRIGGER = re.compile(r"[0-9@]|(?:\(|\[|\s)at(?:\)|\]|\s)|[0-9A-Fa-f]:[0-9A-Fa-f]")
 KINDS = ("email", "ip", "card", "phone", "id")
 CUES = ("mail", "contact", "phone", "tel", "call", "fax", "mobile", "ssn", "social", "iban", "account", "ip", "host", "address", "write", "version", "order", "invoice", "date", "page", "isbn", "total", "price", "released", "figure", "chapter", "at")
 WINDOW = 24
 EXAMPLES, ROUNDS, DEPTH, RATE, BINS = 12_000, 60, 3, 0.2, 32
+#: Documents, chosen by a hash of their id, whose texts the training candidates stand in.
+SAMPLE = 1000
 #: Share of the selected training candidates that has to be right.
 PRECISION = 0.98
 
-_BASE = {k: re.compile(v) for k, v in BASE.items()}
+# The base formats as they are searched: no match of an address or a card begins inside of a run of digits.
+_SEARCHED = {"ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"), "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"), "phone": re.compile(BASE["phone"])}
+_BASE_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOOSE = {k: re.compile(v) for k, v in LOOSE.items()}
+_AT, _DOMAIN = re.compile(AT), re.compile(DOMAIN)
 
 
 def luhn(digits: str) -> bool:
@@ -62,19 +77,64 @@ def _holds(kind: str, text: str) -> bool:
     return kind == "email" or (12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15)
 
 
+def addresses(text: str, marks, domain: re.Pattern) -> list[tuple[int, int]]:
+    """A name, one of ``marks`` (begin, end, in order) and a domain: leftmost, not overlapping.
+
+    Names hold no mark, so each is looked for back to the mark before only.
+    """
+    found, low = [], 0
+    for begin, end in marks:
+        if begin < low:
+            continue
+        before = text[low:begin]
+        start = low + len(before.rstrip(NAME))
+        low = end
+        if start < begin and (m := domain.match(text, end)):
+            found.append((start, m.end()))
+            low = m.end()
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, rank, end, kind) of the base formats: leftmost, not overlapping within a kind, without retries."""
     found = []
-    for rank, (kind, pattern) in enumerate(_BASE.items()):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        found += [(m.start(), rank, m.end(), kind) for m in pattern.finditer(text) if _holds(kind, m[0])]
+    if "@" in text:
+        found += [(a, 0, b, "email") for a, b in addresses(text, ((m.start(), m.end()) for m in re.finditer("@", text)), _BASE_DOMAIN)]
+    for rank, kind in enumerate(BASE):
+        if kind != "email" and (kind != "phone" or "+" in text):
+            found += [(m.start(), rank, m.end(), kind) for m in _SEARCHED[kind].finditer(text) if _holds(kind, m[0])]
     return sorted(found)
 
 
 def loose_spans(text: str) -> list[tuple[int, int, int, str]]:
     """Proposals of the generators; they may overlap."""
-    return [(m.start(), KINDS.index(kind), m.end(), kind) for kind, pattern in _LOOSE.items() for m in pattern.finditer(text)]
+    found = [(a, 0, b, "email") for a, b in addresses(text, (m.span() for m in _AT.finditer(text)), _DOMAIN)]
+    return found + [(m.start(), KINDS.index(kind), m.end(), kind) for kind, pattern in _LOOSE.items() for m in pattern.finditer(text)]
+
+
+class Taken:
+    """Whether a span overlaps one of some spans, which may overlap each other."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [s[0] for s in spans], []
+        for s in spans:
+            self.ends.append(max(s[2], self.ends[-1] if self.ends else 0))
+
+    def __contains__(self, span) -> bool:
+        k = bisect_left(self.starts, span[1])
+        return k > 0 and self.ends[k - 1] > span[0]
+
+    def add(self, start: int, end: int) -> None:
+        """One that overlaps none."""
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
+def beside(text: str, own) -> list[tuple[int, int, int, str]]:
+    """What the generators propose that overlaps none of the spans ``own``."""
+    taken = Taken(own)
+    return [s for s in loose_spans(text) if (s[0], s[2]) not in taken]
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -118,9 +178,32 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     ]
 
 
-def examples(words: list[str], n: int = EXAMPLES, seed: int = 7) -> tuple[list[list[float]], list[int]]:
-    """Features and labels of made candidates, as the generators propose them in a context of ``words``."""
+def respelled(kind: str, core: str, r: random.Random) -> str | None:
+    """A base span as the base formats don't find it; None where there is no such spelling."""
+    if kind == "email":
+        name, domain = core.split("@", 1)
+        dot = r.choice([".", " dot ", "[dot]", "(dot)", "."])
+        return name + r.choice([" at ", "(at)", "[at]", " (at) "]) + dot.join(domain.split("."))
+    if kind == "phone":
+        groups = re.findall("[0-9]+", core)[1:]
+        if 1 < len(groups) < 6 and all(2 <= len(g) <= 4 for g in groups):
+            return r.choice([f"({groups[0]}) " + "-".join(groups[1:]), "-".join(groups), " ".join(groups), ".".join(groups)])
+    return None
+
+
+def examples(texts: list[str], n: int = EXAMPLES, seed: int = 7) -> tuple[list[list[float]], list[int], list[int]]:
+    """Features, labels and groups (what is held back together) of candidates in the ``texts``: ``n`` made ones, and all that are there."""
     r = random.Random(seed)
+    x, y, group, places = [], [], [], []
+    words = sorted({w for t in texts for w in re.findall(r"[^\W\d_]+", t)})
+    for i, t in enumerate(texts):
+        if TRIGGER.search(t):
+            own = base_spans(t)
+            places += [(i, t[max(0, a - 40) : a], kind, t[a:b], t[b : b + 40]) for a, _, b, kind in own]
+            for a, _, b, kind in beside(t, own):
+                x.append(features(t, a, b, kind))
+                y.append(0)
+                group.append(i)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8)))
     word = (lambda: r.choice(words)) if words else name
@@ -148,22 +231,28 @@ def examples(words: list[str], n: int = EXAMPLES, seed: int = 7) -> tuple[list[l
         lambda: f"{name().upper()[:2]}{d(2)} {d(4)}",
     ]
     odd = ["version", "order", "invoice", "date", "page", "isbn", "total", "released", "figure", "chapter", "$", "#"]
-    x, y = [], []
+    n += len(y)
     while len(y) < n:
         label = r.random() < 0.5
+        # Half of them stand where a real document has personal data, if one has any.
+        where, left, found, own, right = r.choice(places) if places and r.random() < 0.5 else (len(y) % 997, " ".join(word() for _ in range(r.randint(0, 3))) + " ", "", "", f" {word()} {word()}")
         if label:
             kind = r.choice(list(true))
-            core, cue = true[kind](), r.choice(cues[kind]) if r.random() < 0.7 else ""
+            core = respelled(found, own, r) if found and r.random() < 0.5 else None
+            kind, core = (found, core) if core else (kind, true[kind]())
+            cue = r.choice(cues[kind]) + " " if r.random() < 0.5 else ""
         else:
-            core, cue = r.choice(false)(), r.choice(odd) if r.random() < 0.6 else r.choice(sum(cues.values(), [])) if r.random() < 0.05 else ""
-        before = " ".join(word() for _ in range(r.randint(0, 3))) + f" {cue} "
-        text = before + core + r.choice(["", ".", ",", " "]) + " " + word() + " " + word()
+            core = r.choice(false)()
+            cue = (r.choice(odd) if r.random() < 0.6 else r.choice(sum(cues.values(), [])) if r.random() < 0.05 else "") + " "
+        before = left + cue
+        text = before + core + r.choice(["", ".", ",", " "]) + right
         lo, hi = len(before), len(before) + len(core)
         for a, _, b, kind in loose_spans(text):
             if a < hi and lo < b:
                 x.append(features(text, a, b, kind))
                 y.append(int(label and a <= lo + 1 and b >= hi - 1))
-    return x, y
+                group.append(where)
+    return x, y, group
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> dict:
@@ -208,22 +297,32 @@ def margins(model: dict, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id") -> dict:
-    """The trees and the threshold. Context words come from the texts of 200 documents at most, chosen by a hash of the id."""
-    words: list[str] = []
+def train(docs: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
+    """The trees, the threshold, and what the held-back candidates say of them.
+
+    The candidates stand in the texts of ``sample`` documents at most, chosen by a
+    hash of the id (null texts and rows without an id aside; equal ids count once).
+    An empty table leaves made contexts. ``held_back`` tells how many candidates
+    were held back, and the precision and recall of those selected.
+    """
+    texts: list[str] = []
     if docs is not None:
-        ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(200).distinct()
+        ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id").where("_t is not null").collect()
-        words = sorted({w for r in rows for w in re.findall(r"[^\W\d_]+", r[1])})
-    x, y = map(np.array, examples(words))
+        texts = [r[1] for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))]
+    x, y, group = map(np.array, examples(texts))
     x, y = x.astype(float), y.astype(float)
-    fold = np.array([hashlib.md5(str(i).encode()).digest()[0] % 4 == 0 for i in range(len(y))])
+    fold = np.array([hashlib.md5(str(i).encode()).digest()[0] % 4 == 0 for i in group.tolist()])
     m = margins(boost(x[~fold], y[~fold]), x[fold])
     order = np.argsort(-m, kind="stable")
-    right = np.cumsum(y[fold][order]) / np.arange(1, len(order) + 1)
+    hits = np.cumsum(y[fold][order])
+    right = hits / np.arange(1, len(order) + 1)
     good = np.flatnonzero(right >= PRECISION)
     model = boost(x, y)
     model["threshold"] = float(max(0.0, m[order][good[-1]])) if len(good) else float("inf")
+    chosen = int((m >= model["threshold"]).sum())
+    found = float(y[fold][m >= model["threshold"]].sum())
+    model["held_back"] = {"candidates": len(m), "real": int((fold & (np.arange(len(y)) < len(y) - EXAMPLES)).sum()), "precision": found / max(1, chosen), "recall": found / max(1.0, float(y[fold].sum()))}
     return model
 
 
@@ -236,17 +335,19 @@ def finder(model: dict):
             own = base_spans(text) if TRIGGER.search(text) else []
             base.append(own)
             if TRIGGER.search(text):
-                for a, rank, b, kind in loose_spans(text):
-                    if not any(s < b and a < e for s, _, e, _ in own):
-                        asked.append((i, a, rank, b, kind))
-                        rows.append(features(text, a, b, kind))
+                for a, rank, b, kind in beside(text, own):
+                    asked.append((i, a, rank, b, kind))
+                    rows.append(features(text, a, b, kind))
         found = [list(b) for b in base]
         if rows:
             m = margins(model, np.array(rows, float))
-            # The surest of overlapping candidates wins; base spans are never touched.
+            taken: dict[int, Taken] = {}
+            # The surest of overlapping candidates wins; none overlaps a base span.
             for k in sorted(np.flatnonzero(m >= model["threshold"]).tolist(), key=lambda k: (-m[k], asked[k][:2])):
                 i, a, rank, b, kind = asked[k]
-                if not any(s < b and a < e for s, _, e, _ in found[i]):
+                chosen = taken.setdefault(i, Taken([]))
+                if (a, b) not in chosen:
+                    chosen.add(a, b)
                     found[i].append((a, rank, b, kind))
         return base, [sorted(f) for f in found]
 

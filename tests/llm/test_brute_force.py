@@ -339,8 +339,8 @@ def test_pii_base_spans(spark, docs):
 
 
 def test_boosting_learns():
-    x, y = map(np.array, pii.examples([], 3000, seed=1))
-    x2, y2 = map(np.array, pii.examples([], 1500, seed=2))
+    x, y, _ = map(np.array, pii.examples([], 3000, seed=1))
+    x2, y2, _ = map(np.array, pii.examples([], 1500, seed=2))
     assert np.mean((pii.margins(pii.boost(x.astype(float), y.astype(float), 40), x2.astype(float)) > 0) == y2) > 0.95
 
 
