@@ -9,8 +9,12 @@ Krichevsky-Trofimov estimate and those of the longer contexts below are mixed,
 so that each context's share w(s) = KT(s) / 2Pw(s) follows from the counts. A
 text's probability is the product of its bits' predictions, mixed with these
 shares along the contexts that were seen. Counts are gathered from all training
-texts by groupings; what a worker needs is kept within LIMIT entries a depth
-by growing only contexts seen often enough, the others end one byte earlier.
+texts by groupings, and none is left out. The tree is split by the last TOP bytes of
+the contexts: what lies below them is grown by workers, each some whole branches,
+and the few nodes above from the branches' sums. Scoring workers hold the values
+of the most frequent sequences; all others, and those never seen, are
+answered by the branches and joined, so that the result doesn't depend on what
+fits into a worker.
 """
 
 from __future__ import annotations
@@ -23,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pieces, settle, table
+from .common import bounded_batches, pieces, table, written
 
 DEPTH = 5
-#: Entries (context and byte) of the model at each depth, and words whose counts a worker is given at once.
+#: Bytes of context that tell the branches of the tree apart.
+TOP = 2
+#: Sequences and words whose values a worker has at hand; the others' are joined.
 LIMIT, FREQUENT = 600_000, 200_000
+#: Sequences of which a worker grows branches at once (one branch at least).
+GROWN = 1_000_000
 #: Stands for the end of a text, and before its start; it occurs in no UTF-8 text.
 END = 0xFF
 BATCH = 2_000_000
@@ -123,23 +131,6 @@ def _fitting(rows: DataFrame, size: Column, weight: str, limit: int) -> int:
     return 1 << least
 
 
-def tables(counts: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the sorted (context, byte) numbers and their counts, contexts seen too seldom left out."""
-    grams, out = counts.where(F.col("kind") == GRAM).select("key", "n"), []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            grams = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("key", 8).alias("c")
-        totals = grams.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("entries"))
-        least = _fitting(totals, F.col("total"), "entries", limit)
-        kept = grams.withColumn("c", context).join(totals.where(F.col("total") >= least).select("c"), "c", "left_semi") if least > 1 else grams
-        got = kept.select("key", "n").toArrow()
-        key, n = got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy()
-        order = np.argsort(key)
-        out.append((key[order], n[order]))
-    return out[::-1]
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, after moving small arguments up."""
     shift = np.where(x < 8, 8.0, 0.0)
@@ -162,48 +153,76 @@ def _nodes(key: np.ndarray, n: np.ndarray, level: int):
     return at[first], np.add.reduceat(n, first) - ones, ones
 
 
-def grow(entries: list[tuple[np.ndarray, np.ndarray]]) -> dict:
-    """The model: for each decision and depth sorted node numbers, KT estimates of a 1 and shares."""
-    depth = len(entries) - 1
-    model = {"depth": depth, "levels": []}
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
+
+
+def _mixed(at, a, b, deeper=None):
+    """What predicts at the nodes of one depth, (numbers, estimates of a 1, shares), and log Pw.
+
+    ``deeper`` holds the sums of log Pw over the longer contexts; without it the nodes are the deepest.
+    """
+    kt, one = _kt(a, b), (b + 0.5) / (a + b + 1.0)
+    if deeper is None:
+        return (at, one, np.ones(len(at))), kt
+    pw = np.logaddexp(kt, deeper) - math.log(2)
+    return (at, one, np.exp(np.minimum(0, kt - math.log(2) - pw))), pw
+
+
+def grow(key: np.ndarray, n: np.ndarray, depth: int = DEPTH, top: int = TOP) -> tuple[list[dict], list[tuple]]:
+    """Whole branches from the counts of their sequences: for each decision the nodes by depth, and (numbers, zeros, ones, log Pw) of the branches' roots."""
+    entries = {depth: _merge(key, n)}
+    for d in range(depth - 1, top - 1, -1):
+        k, m = entries[d + 1]
+        entries[d] = _merge(k & np.uint64((1 << 8 * (d + 1)) - 1), m)
+    levels, roots = [], []
     for level in range(8):
-        nodes = [_nodes(k, n, level) for k, n in entries]
-        own, below = [], None
-        for d in range(depth, -1, -1):
-            at, a, b = nodes[d]
-            kt = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
-            if d == depth or below is None:
-                pw, share = kt, np.ones(len(at))
-            else:
-                # The longer contexts' numbers without their first byte.
-                child, weight = below
-                parent = np.searchsorted(at, child & np.uint64((1 << 8 * d + level) - 1))
-                deeper = np.bincount(parent, weight, len(at))
-                grown = np.bincount(parent, minlength=len(at)) > 0
-                pw = np.where(grown, np.logaddexp(kt, deeper) - math.log(2), kt)
-                share = np.where(grown, np.exp(np.minimum(0, kt - math.log(2) - pw)), 1.0)
-            own.append((at, ((b + 0.5) / (a + b + 1.0)).astype(np.float32), share.astype(np.float32)))
+        own, below = {}, None
+        for d in range(depth, top - 1, -1):
+            at, a, b = _nodes(*entries[d], level)
+            deeper = None
+            if below is not None:
+                # Every node has longer contexts, whose numbers without their first byte are its own.
+                parent = np.searchsorted(at, below[0] & np.uint64((1 << 8 * d + level) - 1))
+                deeper = np.bincount(parent, below[1], len(at))
+            own[d], pw = _mixed(at, a, b, deeper)
             below = (at, pw)
-        model["levels"].append(own[::-1])
-    key = entries[-1][0]
-    model["known"] = (key, predict(model, key))
-    return model
+        levels.append(own)
+        roots.append((at, a, b, pw))
+    return levels, roots
 
 
-def predict(model: dict, key: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each number's last byte after the others."""
+def crown(rows, top: int = TOP) -> list[dict]:
+    """For each decision the nodes with less than ``top`` bytes of context, from (level, number, zeros, ones, sum of log Pw) of the longest of these."""
+    levels = []
+    for level in range(8):
+        part = sorted(r[1:] for r in rows if r[0] == level)
+        at = np.array([r[0] for r in part], np.uint64)
+        a, b, deeper = (np.array([r[i] for r in part], float) for i in (1, 2, 3))
+        own = {}
+        for d in range(top - 1, -1, -1):
+            own[d], pw = _mixed(at, a, b, deeper)
+            if d:
+                at, parent = np.unique(at & np.uint64((1 << 8 * (d - 1) + level) - 1), return_inverse=True)
+                a, b, deeper = (np.bincount(parent, x, len(at)) for x in (a, b, pw))
+        levels.append(own)
+    return levels
+
+
+def predict(levels: list[dict], key: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each number's last byte after the others; nodes of all depths are looked up."""
     total = np.zeros(len(key))
-    for level, own in enumerate(model["levels"]):
+    for level, own in enumerate(levels):
         bit = (key >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
         p, below = np.full(len(key), 0.5), np.zeros(len(key), bool)
-        for d in range(model["depth"], -1, -1):
+        for d in sorted(own, reverse=True):
             at, one, share = own[d]
             if not len(at):
                 continue
             asked = (key & np.uint64((1 << 8 * (d + 1)) - 1)) >> np.uint64(8 - level)
             i = np.minimum(np.searchsorted(at, asked), len(at) - 1)
             seen = at[i] == asked
-            kt = np.where(bit, one[i], 1 - one[i].astype(float))
+            kt = np.where(bit, one[i], 1 - one[i])
             # The deepest context seen takes all of what is left, whatever its share.
             p = np.where(seen, np.where(below, share[i] * kt + (1.0 - share[i]) * p, kt), p)
             below |= seen
@@ -211,47 +230,113 @@ def predict(model: dict, key: np.ndarray) -> np.ndarray:
     return total
 
 
-class Predictor:
-    """Looks up what was seen by hash, computes the rest."""
+def _branches(batches):
+    """Rows (branch, key, n) in order of branch as arrays (keys, n) of whole branches."""
+    held, size = [], 0
+    for batch in batches:
+        branch, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+        n = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        held.append((branch, key, n))
+        size += len(key)
+        if size >= GROWN:
+            branch, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = int(np.searchsorted(branch, branch[-1])) if len(branch) else 0  # the last one may go on
+            if whole:
+                yield key[:whole], n[:whole]
+            held, size = [(branch[whole:], key[whole:], n[whole:])], 0
+    if held:
+        key, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+        if len(key):
+            yield key, n
+
+
+def _by_branch(grams: DataFrame) -> DataFrame:
+    """(branch, key, n), each branch in one partition and in order. Sequences are counted, so a frequent context is no longer than its kinds."""
+    branch = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("branch")
+    return grams.select(branch, "key", "n").repartition("branch").sortWithinPartitions("branch", "key")
+
+
+def tree_top(grams: DataFrame) -> list[dict]:
+    """The nodes above the branches: 256 contexts with 255 decisions at most."""
+
+    def run(batches):
+        for key, n in _branches(batches):
+            for level, (at, a, b, pw) in enumerate(grow(key, n)[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), pa.array(at.astype(np.int64)), pa.array(a), pa.array(b), pa.array(pw)], names=["level", "at", "a", "b", "pw"])
+
+    roots = _by_branch(grams).mapInArrow(run, "level int, at bigint, a bigint, b bigint, pw double")
+    # Without the first byte of the context.
+    short = F.expr(f"at & (shiftleft(1L, level + {8 * (TOP - 1)}) - 1)")
+    return crown([tuple(r) for r in roots.groupBy("level", short.alias("at")).agg(F.sum("a"), F.sum("b"), F.sum("pw")).collect()])
+
+
+def answers(grams: DataFrame, asked: DataFrame, top: list[dict]) -> DataFrame:
+    """(key, value): log10 probabilities of the distinct keys of ``asked``, seen in training or not."""
+
+    def run(batches):
+        for key, n in _branches(batches):
+            own, wanted = n > 0, np.unique(key[n == 0])
+            levels, _ = grow(key[own], n[own])
+            yield pa.RecordBatch.from_arrays([pa.array(wanted.astype(np.int64)), pa.array(predict([low | high for low, high in zip(levels, top, strict=True)], wanted))], names=["key", "value"])
+
+    both = grams.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("bigint").alias("n")))
+    return _by_branch(both).mapInArrow(run, "key bigint, value double")
+
+
+class Values:
+    """Keys to values by hash; tells what it doesn't know."""
 
     BITS = 21
 
-    def __init__(self, model: dict):
-        self.model = model
-        self.key, self.value = model["known"]
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.key, self.value = key, value
         self.keys = np.full(1 << self.BITS, np.uint64(1) << np.uint64(63))
-        self.values = np.zeros(1 << self.BITS, np.float32)
-        slot = self.slot(self.key)
-        self.keys[slot], self.values[slot] = self.key, self.value
+        self.values = np.zeros(1 << self.BITS)
+        slot = self.slot(key)
+        self.keys[slot], self.values[slot] = key, value
 
     def slot(self, key):
         return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
-    def __call__(self, key: np.ndarray) -> np.ndarray:
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 where there is none, and the places of these."""
         slot = self.slot(key)
-        out = self.values[slot].astype(float)
+        out = self.values[slot]
         other = np.flatnonzero(self.keys[slot] != key)
-        if len(other):
-            asked, back = np.unique(key[other], return_inverse=True)
-            i = np.minimum(np.searchsorted(self.key, asked), max(0, len(self.key) - 1))
-            seen = self.key[i] == asked if len(self.key) else np.zeros(len(asked), bool)
-            got = np.zeros(len(asked))
-            got[seen] = self.value[i[seen]] if len(self.key) else 0
-            got[~seen] = predict(self.model, asked[~seen])
-            out[other] = got[back]
-        return out
-
-
-def train(docs: DataFrame, text_col: str = "text") -> dict:
-    """Counts of all rows of ``docs``: the tree, the frequent words, and the table of all words' counts."""
-    counts = settle(count(docs, text_col))
+        if not len(other):
+            return out, other
+        if not len(self.key):
+            out[other] = 0
+            return out, other
+        asked, back = np.unique(key[other], return_inverse=True)
+        i = np.minimum(np.searchsorted(self.key, asked), len(self.key) - 1)
+        seen = self.key[i] == asked
+        out[other] = np.where(seen, self.value[i], 0.0)[back]
+        return out, other[~seen[back]]
+
+
+def train(docs: DataFrame, text_col: str = "text", limit: int = LIMIT, frequent: int = FREQUENT) -> dict:
+    """Counts of all rows of ``docs``: the tree's top, the tables of all sequences and words, and the most frequent of both.
+
+    Null texts count as empty ones; repeated rows count each time; without rows all counts are 0.
+    """
+    counts = written(count(docs, text_col), "counts")
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
     texts = counts.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = words.where(F.col("c") >= _fitting(words.withColumn("one", F.lit(1)), F.col("c"), "one", FREQUENT)).toArrow()
-    key, c = frequent.column("word").to_numpy(), frequent.column("c").to_numpy()
-    order = np.argsort(key)
-    return {"tree": grow(tables(counts)), "words": words, "frequent": (key[order], c[order]), "texts": texts, "tokens": n + texts, "kinds": v + (texts > 0)}
+    top = tree_top(grams)
+
+    def sorted_pairs(rows, key, value):
+        got = rows.select(key, value).toArrow()
+        k, x = got.column(0).to_numpy(), got.column(1).to_numpy()
+        order = np.argsort(k)
+        return k[order], x[order]
+
+    common = words.where(F.col("c") >= _fitting(words.withColumn("one", F.lit(1)), F.col("c"), "one", frequent))
+    often = answers(grams, grams.where(F.col("n") >= _fitting(grams.withColumn("one", F.lit(1)), F.col("n"), "one", limit)), top)
+    key, value = sorted_pairs(often, "key", "value")
+    return {"top": top, "grams": grams, "often": (key.astype(np.uint64), value), "words": words, "frequent": sorted_pairs(common, "word", "c"), "texts": texts, "tokens": n + texts, "kinds": v + (texts > 0)}
 
 
 class BaseScores(dict):
@@ -273,7 +358,7 @@ class BaseScores(dict):
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte.
 
-    Counts of rare words are joined, frequent ones are at hand. Null and empty texts
+    Values of rare words and sequences are joined, frequent ones are at hand. Null and empty texts
     are an end alone; equal texts get equal scores; an empty table gives no rows,
     and without training texts all probabilities are those of empty counts. Words
     are told apart by 64-bit hashes. Other columns are ignored.
@@ -282,22 +367,26 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     bounded_batches(spark)
     norm = model["tokens"] + 0.5 * (model["kinds"] + 1)
     end = math.log10((model["texts"] + 0.5) / norm)
-    tree, frequent, known_end = model["tree"], model["frequent"], int(model["texts"] > 0)
+    often, frequent, known_end = model["often"], model["frequent"], int(model["texts"] > 0)
     kind = docs.schema[id_col].dataType.simpleString()
-    target = spark.createDataFrame([], f"row bigint, {id_col} {kind}, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, rare array<bigint>").schema
+    target = spark.createDataFrame([], f"row bigint, {id_col} {kind}, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, rare array<bigint>, seldom array<bigint>").schema
 
     def run(batches):
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, memo, predictor = to_arrow_schema(target), BaseScores(frequent, norm), Predictor(tree)
+        arrow, memo, values_of = to_arrow_schema(target), BaseScores(frequent, norm), Values(*often)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in pieces(texts, BATCH):
                 split = [words_of(t or "") for t in texts[lo:hi]]
                 key, sizes = grams_of(split)
-                logs = np.add.reduceat(predictor(key), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                values, lacking = values_of(key)
+                ends = np.cumsum(sizes)
+                logs = np.add.reduceat(values, np.concatenate([[0], ends[:-1]]))
+                offsets = np.searchsorted(lacking, np.append(0, ends)).astype(np.int32)
+                seldom = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[lacking].astype(np.int64)))
                 columns: list[list] = [[], [], [], []]
                 for words in split:
                     values = [*map(memo.__getitem__, words)]
@@ -306,13 +395,17 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                         c.append(x)
                 out = [range(row, row + hi - lo), ids[lo:hi], *columns[:3], logs, sizes, columns[3]]
                 row += hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(out, list(arrow)[:-1], strict=True)), seldom.cast(arrow.field(len(arrow) - 1).type)], schema=arrow)
 
-    scored = settle(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, target))
+    scored = written(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, target), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
     more = rare.join(model["words"], "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(norm))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("seen"))
-    both = scored.drop("rare").join(more, "row", "left")
+    seldom = scored.select("row", F.explode("seldom").alias("key")).groupBy("row", "key").agg(F.count("*").alias("n"))
+    found = answers(model["grams"], scored.select(F.explode("seldom").alias("key")).distinct(), model["top"])
+    rest = seldom.join(found, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("rest"))
+    both = scored.drop("rare", "seldom").join(more, "row", "left").join(rest, "row", "left")
+    total = F.col("score") + F.coalesce("rest", F.lit(0.0))
     return both.select(
         id_col,
         held_out(F.col(id_col)).alias("held_out"),
@@ -320,9 +413,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(model["tokens"]).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        total.alias("score"),
         "n_bytes",
-        (-F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-total / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -364,11 +364,14 @@ def test_context_tree():
     texts, depth = [b"abracadabra abra", b"", b"cadabra", b"\xc3\xa9a\xc3\xa9a"], 3
     key, _ = ctw.grams_of([t.split() for t in texts], depth)
     k, n = np.unique(key, return_counts=True)
-    entries = []
-    for d in range(depth + 1):
-        a, inverse = np.unique(k & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        entries.append((a, np.bincount(inverse, n).astype(np.int64)))
-    model = ctw.grow(entries)
+    low, roots = ctw.grow(k, n, depth)
+    rows = Counter()
+    for level, (at, *sums) in enumerate(roots):
+        for x, *own in zip(at.tolist(), *sums, strict=True):
+            for i, v in enumerate(own):
+                rows[level, x & (1 << 8 + level) - 1, i] += v
+    top = ctw.crown([(level, x, *(rows[level, x, i] for i in range(3))) for level, x in {key[:2] for key in rows}])
+    levels = [a | b for a, b in zip(low, top, strict=True)]
     counts: dict = {}
     for g, m in zip(k.tolist(), n.tolist(), strict=True):
         context, byte = g >> 8, g & 255
@@ -402,10 +405,28 @@ def test_context_tree():
         return total
 
     asked = k.tolist() + [0x61626364, 0x01020304, int.from_bytes(b"abrx", "big")]
-    assert ctw.predict(model, np.array(asked, np.uint64)) == pytest.approx([plain(g) for g in asked], rel=1e-5)
-    assert ctw.Predictor(model)(np.array(asked, np.uint64)) == pytest.approx([plain(g) for g in asked], rel=1e-5)
+    assert ctw.predict(levels, np.array(asked, np.uint64)) == pytest.approx([plain(g) for g in asked], rel=1e-5)
+    values, lacking = ctw.Values(k, np.arange(len(k)) + 1.0)(np.array(asked, np.uint64))
+    assert values.tolist() == [*(np.arange(len(k)) + 1.0), 0, 0, 0] and lacking.tolist() == [len(k), len(k) + 1, len(k) + 2]
     every = np.array([int.from_bytes(b"abr", "big") << 8 | b for b in range(256)], np.uint64)
-    assert (10 ** ctw.predict(model, every)).sum() == pytest.approx(1)
+    assert (10 ** ctw.predict(levels, every)).sum() == pytest.approx(1)
+
+
+def test_scores_do_not_depend_on_what_fits(spark, docs):
+    """Everything joined, some of it, and nothing: the same scores, which are those of one tree of all counts."""
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    train = frame.where(~ctw.held_out(frame.doc_id))
+    got = []
+    for limit, frequent in ((0, 0), (3000, 50), (10**7, 10**7)):
+        got.append({r.doc_id: r for r in ctw.score(frame, ctw.train(train, limit=limit, frequent=frequent)).collect()})
+    key, _ = ctw.grams_of([ctw.words_of(t) for i, t in docs if crc32(str(i).encode()) % 5 != 1])
+    levels, roots = ctw.grow(*np.unique(key, return_counts=True), top=0)
+    assert all(len(r[0]) == 1 << level or len(r[0]) < 1 << level for level, r in enumerate(roots))
+    for i, t in docs:
+        own, _ = ctw.grams_of([ctw.words_of(t)])
+        want = ctw.predict(levels, own).sum()
+        for g in got:
+            assert g[i].score == pytest.approx(want, rel=1e-9) and g[i].base_score == pytest.approx(got[0][i].base_score, rel=1e-9)
 
 
 def test_pipeline(spark):
