@@ -1,14 +1,19 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most 3 bits differ in at most 3 of
-their 8 bytes, so they share at least 5 (position, byte) postings. Postings of
-single bytes would be long; any 5 of the positions 0..7 hold exactly one set of
-four positions whose exclusive or is 0 (the 14 planes of the affine space), so
-fingerprints are posted under the 14 four-byte keys. Within a posting list the
-shared positional bytes of a pair are tallied, pairs with at least 5 go on, and
-the differing bits are counted. Equal fingerprints are one posting; long lists
-are cut into blocks, and each pair of blocks gives a spanning forest of its
-links, so that no group expands into all its pairs.
+their 8 bytes, so they share at least 5 (position, byte) postings. Lists of
+single bytes would hold a 256th of all fingerprints each; any 5 of the positions
+0..7 hold exactly one set of four whose exclusive or is 0 (the 14 planes of the
+affine space), so each fingerprint is posted under its 14 four-byte keys, and a pair
+that shares enough bytes meets in a list. Within a list the shared positional bytes
+of each pair are tallied, pairs with fewer than 5 are left out, and the bits of
+the others are compared. Equal fingerprints are one posting.
+
+Lists longer than BLOCK are posted anew: under each further (position, byte), one of
+which a pair has to share, and if they are still long, under each quarter of the 24
+bits that are left, of which a pair has to share one. What is long even then has
+at most 2**18 members, is cut into blocks, and each pair of blocks gives a spanning
+forest of its links. So no group expands into all its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, settle, table
+from .common import map_texts, settle, table, written
 from .components import components
 
 BITS = 3
@@ -76,17 +81,31 @@ def _key(fp: Column, plane: int) -> Column:
     return value
 
 
-def forest(fp: np.ndarray) -> list[tuple[int, int]]:
-    """Links (i, j) that join what is linked among the fingerprints: a spanning forest, as stars."""
+def candidates(fp: np.ndarray, least: int = LEAST_SHARED) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j that share at least ``least`` positional bytes, by a tally over the eight positions."""
     n = len(fp)
-    near = np.zeros((n, n), bool)
+    own = np.ascontiguousarray(fp).view(np.uint8).reshape(n, 8)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, n, 256):
-        x = fp[lo : lo + 256, None] ^ fp[None, :]
-        shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)
-        near[lo : lo + 256] = (shared >= LEAST_SHARED) & (np.bitwise_count(x) <= BITS)
-    label = np.arange(n)
+        tally = np.zeros((min(256, n - lo), n), np.uint8)
+        for position in range(8):
+            tally += own[lo : lo + 256, position, None] == own[None, :, position]
+        i, j = np.nonzero(tally >= least)
+        i += lo
+        found.append((i[i < j], j[i < j]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def forest(fp: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join what is linked among the fingerprints: a spanning forest, as stars."""
+    i, j = candidates(fp)
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= BITS
+    i, j = i[near], j[near]
+    label = np.arange(len(fp))
     while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
         new = new[new]
         if (new == label).all():
             break
@@ -94,56 +113,124 @@ def forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in enumerate(label) if a != b]
 
 
-def _links(batches):
-    """Runs of rows (key, i, j, fp, node), sorted by the first three, to links between nodes."""
-    held: list = []
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("part", pa.int64()), ("fp", pa.int64())])
 
-    def flush(rows):
-        fp = np.array([r[3] for r in rows], np.int64).view(np.uint64)
-        return [(rows[a][4], rows[b][4]) for a, b in forest(fp)]
 
-    for batch in batches:
-        links = []
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and row[:3] != held[0][:3]:
-                if len(held) > 1:
-                    links += flush(held)
-                held = []
-            held.append(row)
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-    if len(held) > 1:
-        links = flush(held)
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+def _search(block: int):
+    """Rows (key, part, fp) in order of key and part to links (a, b) of each list, or, of a list longer than ``block``, to its rows as they are."""
 
+    def run(batches):
+        def out(links, rows=((), (), ())):
+            none = [None] * len(links)
+            tail = [None] * len(rows[0])
+            return pa.RecordBatch.from_arrays([pa.array([*(int(x[i]) for x in links), *tail], pa.int64()) for i in range(2)] + [pa.array([*none, *map(int, c)], pa.int64()) for c in rows], schema=_LINK)
 
-def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) links between the nodes of ``classes`` (fp distinct, node) that connect all pairs within 3 bits."""
-    posted = classes.select("fp", "node", F.explode(F.array(*[_key(F.col("fp"), k) for k in range(len(PLANES))])).alias("key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("g"))
+        key = part = fp = np.zeros(0, np.int64)  # of the list that may go on
+        passed = None  # the list whose rows are passed on
+        for batch in batches:
+            key, part, fp = (np.concatenate([a, batch.column(i).to_numpy(zero_copy_only=False)]) for i, a in enumerate((key, part, fp)))
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+            size = np.diff(np.append(begin, len(key)))
+            if passed is not None and passed != (key[0], part[0]):
+                passed = None
+            links: list = []
+            for b, n in zip(begin[:-1].tolist(), size[:-1].tolist(), strict=True):
+                if passed == (key[b], part[b]) or n > block:
+                    yield out((), (key[b : b + n], part[b : b + n], fp[b : b + n]))
+                elif n > 1:
+                    own = fp[b : b + n]
+                    links += [(own[i], own[j]) for i, j in forest(own.view(np.uint64))]
+            if links:
+                yield out(links)
+            b = int(begin[-1])
+            if passed == (key[b], part[b]) or len(key) - b > block:
+                yield out((), (key[b:], part[b:], fp[b:]))
+                passed, b = (key[b], part[b]), len(key)
+            key, part, fp = key[b:], part[b:], fp[b:]
+        if len(key) > 1:
+            links = [(fp[i], fp[j]) for i, j in forest(fp.view(np.uint64))]
+            yield out(links)
+
+    return run
+
+
+def _lists(posted: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links within the lists of (key, part, fp), and the rows of lists longer than ``block``."""
+    found = posted.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_search(block), "a bigint, b bigint, key bigint, part bigint, fp bigint")
+    found = written(found, "links")
+    return found.where("a is not null").select("a", "b"), found.where("fp is not null").select("key", "part", "fp")
+
+
+def _others(fp: Column, plane: int) -> Column:
+    """The bytes that are no part of the plane, each with its position, as keys."""
+    rest = [p for p in range(8) if p not in PLANES[plane]]
+    return F.array(*[F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("bigint")) + F.lit(256 * (p + 1)).cast("bigint") for p in rest])
+
+
+def _quarters(fp: Column, plane: int, position: int) -> Column:
+    """The four sixths of a byte, six bits each, of the three bytes that are neither in the plane nor at the position."""
+    rest = [p for p in range(8) if p not in PLANES[plane] and p != position]
+    bits = F.lit(0).cast("bigint")
+    for p in rest:
+        bits = F.shiftleft(bits, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("bigint")))
+    return F.array(*[F.shiftrightunsigned(bits, 6 * q).bitwiseAND(F.lit(63).cast("bigint")) + F.lit(64 * (q + 1)).cast("bigint") for q in range(4)])
+
+
+def _dealt(long_: DataFrame, block: int) -> DataFrame:
+    """Links within the lists of (key, part, fp), each cut into blocks: a forest for each pair of them."""
+    sizes = long_.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", F.ceil(F.col("n") / block).cast("int").alias("g"))
     own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int").alias("own")
-    dealt = posted.join(lists, "key").select("key", "fp", "node", "g", own)
-    dealt = dealt.select("key", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "node")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(_links, "a bigint, b bigint").where("a is not null").distinct()
+    rows = long_.join(sizes, ["key", "part"]).select("key", "part", "fp", "g", own)
+    rows = rows.select("key", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    pair = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
+    rows = rows.select("key", pair, "fp").repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")
+    return rows.mapInArrow(_search(1 << 62), "a bigint, b bigint, key bigint, part bigint, fp bigint").select("a", "b")
+
+
+def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b) links between the distinct fingerprints ``fp`` that connect all pairs within 3 bits."""
+    posted = classes.select("fp", F.explode(F.array(*[_key(F.col("fp"), k) for k in range(len(PLANES))])).alias("key"))
+    found, long_ = _lists(posted.select("key", F.lit(0).cast("bigint").alias("part"), "fp"), block)
+    if long_.isEmpty():
+        return found.distinct()
+    plane = F.shiftrightunsigned("key", 32)  # the number before the four bytes
+    choose = lambda make: F.element_at(F.array(*[make(k) for k in range(len(PLANES))]), (plane + 1).cast("int"))
+    more, long_ = _lists(long_.select("key", F.explode(choose(lambda k: _others(F.col("fp"), k))).alias("part"), "fp"), block)
+    found = found.unionByName(more)
+    if long_.isEmpty():
+        return found.distinct()
+    position = F.shiftrightunsigned("part", 8) - 1
+    by_place = lambda k: F.element_at(F.array(*[_quarters(F.col("fp"), k, p) for p in range(8)]), (position + 1).cast("int"))
+    quarter = long_.select("key", "part", F.explode(choose(by_place)).alias("quarter"), "fp")
+    more, long_ = _lists(quarter.select("key", (F.col("part") * 512 + F.col("quarter")).alias("part"), "fp"), block)
+    return found.unionByName(more).unionByName(_dealt(long_, block)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fp, component_id (the smallest id that it reaches by links of at most 3 bits).
 
     Whole texts count; null texts are empty ones, with fingerprint 0, linked like
-    any other. Repeated rows and equal texts share a component. A row without id
-    is told the component of its fingerprint (null if no row of that fingerprint
-    has an id, or if it links further only through such rows). Ids are integers.
+    any other. Repeated rows and equal texts share a component. Rows without an id
+    link others like any row; a component of such rows only has a null id. Ids
+    are of any type that has an order. An empty table gives no rows; other columns
+    are ignored.
     """
-    prints = settle(fingerprints(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col), id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("node"))
-    roots = components(links(classes.where("node is not null")))
-    whole = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(whole, "fp").select(id_col, "fp", "component_id")
+    prints = settle(fingerprints(docs, id_col, text_col))
+    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    roots = components(links(classes.select("fp")))
+    whole = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(whole.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one of its smallest id, with all columns; rows without an id stay."""
+    """One row of each component, the one of its smallest id, with all columns; rows without an id stay.
+
+    Of rows with the same id one stays. Null and empty texts are near copies of each
+    other. An empty table stays empty.
+    """
     found = near_duplicates(docs, id_col, text_col)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])

@@ -170,14 +170,41 @@ def test_links_of_long_posting_lists(spark):
         for _ in range(r.randint(1, 3)):
             v ^= 1 << r.randrange(64)
         prints[i] = v
-    classes = {v: min(k for k in prints if prints[k] == v) for v in prints.values()}
-    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, n) for v, n in classes.items()], "fp bigint, node bigint")
-    roots = dict(simhash.components(simhash.links(frame, block=16)).collect())
-    want = linked({n: v for v, n in classes.items()})
-    assert {n: roots.get(n, n) for n in classes.values()} == want
+    # Fingerprints that share four bytes, and some that share five: long lists of both kinds.
+    prints |= {400 + i: prints[0] ^ r.getrandbits(32) for i in range(300)}
+    prints |= {700 + i: prints[0] ^ (r.getrandbits(12) | r.getrandbits(10) << 14) for i in range(300)}
+    values = sorted(set(prints.values()))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    want = linked(dict(zip(signed, values, strict=True)))
+    frame = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+    for block in (8, 60, 4096):
+        roots = dict(simhash.components(simhash.links(frame, block=block)).collect())
+        groups = [{}, {}]
+        for v in signed:
+            for g, key in zip(groups, (roots.get(v, v), want[v]), strict=True):
+                g.setdefault(key, set()).add(v)
+        assert sorted(map(sorted, groups[0].values())) == sorted(map(sorted, groups[1].values())), block
     assert all(any(set(q) <= set(five) for q in simhash.PLANES) for five in __import__("itertools").combinations(range(8), 5))
 
 
+def test_tally_of_shared_bytes():
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(3)]
+    fp = np.array([r.choice(base) ^ sum(r.getrandbits(8) << 8 * p for p in r.sample(range(8), r.randint(0, 5))) for _ in range(300)], np.uint64)
+    got = set(zip(*(x.tolist() for x in simhash.candidates(fp)), strict=True))
+    same = lambda a, b: sum((int(a) >> 8 * p & 255) == (int(b) >> 8 * p & 255) for p in range(8))
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if same(fp[i], fp[j]) >= 5}
+
+
+def test_ids_of_text_and_rows_without_one(spark):
+    """Three fingerprints in a row, the middle one of a row without an id."""
+    rows = [("b", 0), (None, 7), ("a", 63), (None, 0xFFFF << 40)]
+    frame = spark.createDataFrame([(v,) for _, v in rows], "fp bigint")
+    assert dict(simhash.components(simhash.links(frame)).collect()) == {7: 0, 63: 0}
+    docs = spark.createDataFrame([("b", "x y z w"), (None, "x y z w"), ("a", "x y z w"), ("c", None), (None, "other words of a text")], "doc_id string, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str) == [("a", "a"), ("b", "a"), ("c", "c"), (None, "a"), (None, None)]
+
+
 def test_toxicity_finds_word_starts():
     r = random.Random(2)
     words = ["".join(r.choice("abcdeilnorst") for _ in range(r.randint(2, 9))) for _ in range(800)]
