@@ -215,7 +215,53 @@ def test_toxicity_finds_word_starts():
     s = toxicity.score_all(texts[600:], model, toxicity.hit_memo(model["index"]))
     assert np.mean((s >= 0.3) == (np.array(y[600:]) == 1)) > 0.97
     rates = model["label_model"]["rates"]
-    assert (rates[1][toxicity.VOTERS] > rates[0][toxicity.VOTERS]) and 0 < model["label_model"]["prior"] < 0.5
+    assert rates[1][model["voters"].index("krag")] > 10 * rates[0][model["voters"].index("krag")] and 0 < model["label_model"]["prior"] < 0.5
+
+
+def test_label_model_without_labels():
+    """Votes of known rates: EM finds classes, rates and prior from the votes alone; voters that repeat each other weigh less."""
+    r = np.random.default_rng(3)
+    n = 4000
+    y = r.random(n) < 0.15
+    rate = np.array([[0.01, 0.6], [0.02, 0.4], [0.03, 0.5], [0.01, 0.3], [0.7, 0.1], [0.2, 0.2]])
+    votes = (r.random((n, 6)) < rate[:, y.astype(int)].T).astype(float)
+    votes = np.concatenate([votes, votes[:, 3:4]], axis=1)
+    q, model = toxicity.label_model(votes, np.array([False] * 4 + [True] + [False] * 2), np.array([False, False, False, False, False, True, False]))
+    assert np.mean((q > 0.5) == y) > 0.93 and abs(model["prior"] - 0.15) < 0.05
+    assert np.abs(model["rates"][:, :6].T - rate).max() < 0.15
+    assert model["weight"][3] < 0.6 < model["weight"][0]
+
+
+def test_toxicity_query(spark, docs):
+    """The query's rows against a plain reading of the model over every text."""
+    docs_frame, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs_frame, labels)
+    got = {r.doc_id: r for r in toxicity.query(spark, SF).collect()}
+    assert len(got) == len(docs)
+    size = len(model["index"])
+    for i, text in docs:
+        words = text.split()
+        found, places, loud, marks, spoken = [], [], 0, 0, 0
+        for k, w in enumerate(words):
+            low = w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower()
+            named = [t for t in ["=" + low, *(f"{j}{low[:j]}" for j in (6, 5, 4) if len(low) >= j)] if low and t in model["index"]]
+            if named:
+                found.append(model["index"][named[0]])
+                places.append(k)
+            letters = [c for c in w if c.isalpha()]
+            loud += len(letters) > 1 and w.isupper()
+            marks += 2 * len(letters) < len(w) or w.endswith(("!!", "??"))
+            spoken += low in toxicity.ADDRESS
+        n, t = max(1, len(words)), len(found)
+        most = max((words.count(w) for w in set(words)), default=0)
+        patterns = [t >= 2, t >= 4, len(set(found)) >= 2, t >= 2 and t / n >= 0.005, t >= 2 and t / n >= 0.015, t >= 2 and t / n >= 0.04, any(b - a <= 12 for a, b in zip(places, places[1:], strict=False)), t > 1 and places[0] < n // 2 <= places[-1], loud >= 0.3 * n, marks >= 0.2 * n, spoken >= 0.03 * n, most >= 0.2 * n, t >= 1 and loud >= 0.3 * n]
+        margin = model["b"] + sum(model["w"][f] * math.log1p(c) for f, c in Counter(found).items()) + sum(model["w"][size + k] for k, p in enumerate(patterns) if p)
+        row = got[i]
+        assert row.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, margin)))), rel=1e-9)
+        assert row.held_out == (crc32(str(i).encode()) % 4 == 2) and row.predicted == int(row.score >= 0.3)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    seen = [(truth[i], r.predicted) for i, r in got.items() if i in truth and not r.held_out]
+    assert sum(p for y, p in seen if not y) <= 0.05 * len(seen)
 
 
 def test_decontamination(spark, docs):
