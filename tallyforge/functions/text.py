@@ -1,10 +1,9 @@
-"""Text expressions on columns; all but the path codecs stay in the JVM."""
+"""Text expressions on columns, all of them in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Credential shapes, each a prefix and a least tail, in their order of precedence.
 CREDENTIALS = (
@@ -14,9 +13,10 @@ CREDENTIALS = (
     ("secret_key", r"sk-[A-Za-z0-9_-]{20}"),
     ("chat_token", r"xoxb-[A-Za-z0-9-]{10}"),
 )
-PRIVATE_KEY = r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----"
+KEY_BEGIN, PRIVATE_KEY = "-----BEGIN ", r"^[A-Z ]*PRIVATE KEY-----"
+PROOF_BYTES = 65_536
 TEST_FOLDERS = ("tests", "fixtures", "testdata")
-GENERATED = r"@generated|(?i)code generated by|automatically generated"
+GENERATED = r"@generated|DO NOT EDIT|Automatically generated|automatically generated"
 # End of the fixed values.
 
 
@@ -28,7 +28,7 @@ def lines_of(text: Column) -> Column:
 
 def credential(line: Column) -> Column:
     """Name of the first credential shape in a line, the key block first; null if none."""
-    found = F.when(line.rlike(PRIVATE_KEY), "private_key")
+    found = F.when(F.try_element_at(F.split(line, KEY_BEGIN, 2), F.lit(2)).rlike(PRIVATE_KEY), "private_key")
     for name, pattern in CREDENTIALS:
         found = found.when(line.rlike(f"(^|[^A-Za-z0-9_]){pattern}"), name)
     return found
@@ -59,13 +59,14 @@ def generated(text: Column) -> Column:
     return F.exists(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 10), lambda line: line.rlike(GENERATED))
 
 
-def unbounded_registry(source: Column, requirement: Column) -> Column:
-    return source.startswith("registry+") & (requirement == "*")
+def unbounded_registry(source: Column, requirement: Column, path: Column) -> Column:
+    """A dependency on a registry, not on a path, with any version."""
+    return path.isNull() & F.coalesce(source.startswith("registry+"), F.lit(False)) & (requirement == "*")
 
 
-def unpinned_git(source: Column) -> Column:
-    """A git source without exactly one parameter, a full revision."""
-    return source.startswith("git+") & ~source.rlike(r"^[^?]*\?rev=[0-9A-Fa-f]{40}(#.*)?$")
+def unpinned_git(source: Column, path: Column) -> Column:
+    """A git source, not a path, without exactly one parameter, a full revision."""
+    return path.isNull() & F.coalesce(source.startswith("git+"), F.lit(False)) & ~source.rlike(r"^[^?]*\?rev=[0-9A-Fa-f]{40}(#.*)?$")
 
 
 def leaves(root: Column, path: Column) -> Column:
@@ -74,8 +75,8 @@ def leaves(root: Column, path: Column) -> Column:
 
 def rule_title(rule: Column) -> Column:
     """'structure::oversized_unit' to 'Oversized unit'."""
-    name = F.regexp_replace(F.element_at(F.split(rule, "::"), -1), "_", " ")
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 10_000))
+    name = F.translate(F.element_at(F.split(rule, "::"), -1), "_-", "  ")
+    return F.when(name == "", rule).otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2))))
 
 
 def plain(text: Column) -> Column:
@@ -89,9 +90,14 @@ def mentions(text: Column, name: Column) -> Column:
 
 
 def proof(text: Column, start: Column, length: Column) -> Column:
-    """The text under a span, white space runs as one blank, at most 65,536 bytes; null if empty."""
-    got = F.trim(F.regexp_replace(F.substring(text, start, length), r"\s+", " "))
-    return F.when((got != "") & (F.octet_length(got) <= 65_536), got)
+    """The text under a span, white space runs as one blank; null if empty or beyond 65,536 bytes."""
+    return words_only(F.substr(text, start, length))
+
+
+def words_only(text: Column) -> Column:
+    """Words with one blank between them; null if there is none, or more than a proof may hold."""
+    got = F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "))
+    return F.when((got != "") & (F.octet_length(got) <= PROOF_BYTES), got)
 
 
 def valid_rule(selector: Column) -> Column:
@@ -108,23 +114,36 @@ def valid_base(ref: Column) -> Column:
     return ref.rlike("^([0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$") | ((F.length(ref) <= 255) & ~ref.contains("..") & ref.rlike(f"^{name}$"))
 
 
-@F.udf(StringType())
-def encode_path(path):
-    """A relative path with % and control characters percent-encoded; null for an empty, absolute or leaving one."""
-    import unicodedata
+def _percent(text: Column, kept: str) -> Column:
+    """Each character that isn't of the class ``kept`` as the %XX of its bytes."""
+    coded = lambda c: F.when(c.rlike(f"^{kept}$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), coded), ""))
 
-    if not path or path.startswith("/"):
-        return None
-    parts = [p for p in path.split("/") if p not in ("", ".")]
-    if not parts or ".." in parts:
-        return None
-    code = lambda c: "".join(f"%{b:02X}" for b in c.encode()) if c == "%" or unicodedata.category(c) == "Cc" else c
-    return "/".join("".join(map(code, p)) for p in parts)
+
+def encode_path(path: Column) -> Column:
+    """A relative path with % and control characters percent-encoded; null for an empty, absolute or leaving one."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    good = (F.size(parts) > 0) & ~path.startswith("/") & ~F.array_contains(parts, "..")
+    return F.when(good, _percent(F.array_join(parts, "/"), r"[^%\p{Cc}]"))
 
 
-@F.udf(StringType())
-def encode_component(text):
+def encode_component(text: Column) -> Column:
     """RFC 3986 percent-encoding: only unreserved characters stay."""
-    from urllib.parse import quote
+    return _percent(text, r"[A-Za-z0-9._~-]")
+
+
+def iso_date(text: Column) -> Column:
+    """Whether a text has the shape of a date: four digits, two and two."""
+    return text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+
+
+def byte_offset(text: Column, line: Column, column: Column) -> Column:
+    """Bytes before a position (line and column from 1, columns in characters).
 
-    return None if text is None else quote(text, safe="-._~")
+    A line owns its end, so the column of the line end is the last one; in the last
+    line so is the one past its last character. Null where the text doesn't reach.
+    """
+    lines = F.split(text, "\n")
+    here = F.try_element_at(lines, line.cast("int"))
+    before = F.aggregate(F.slice(lines, F.lit(1), F.greatest(line - 1, F.lit(0)).cast("int")), F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x) + 1)
+    return F.when((line >= 1) & (column >= 1) & (column <= F.length(here) + 1), before + F.octet_length(F.substr(here, F.lit(1), (column - 1).cast("int"))))

@@ -13,7 +13,9 @@ COLUMNS = ("rule", "doc_id", "source", "occurrences")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 LICENSE = r"(?i)(copyright|license|spdx)"
 TOKEN = r'token = "[0-9a-f]{40}"'
-OVERSIZED, REPEATED = 10_000, 20
+OVERSIZED, ENORMOUS, REPEATED = 10_000, 20_000, 20
+#: Stands for the size of a document among its findings: its occurrences are characters.
+SIZE = "#size"
 #: Paths on which a rule has to fire before its advisory.
 ADVISORY = 40
 
@@ -29,9 +31,11 @@ def unanimous(c: Column) -> Column:
 
 def _repeated_lines() -> Column:
     """Number of long lines that a text has more than once."""
-    lines = F.array_sort(F.filter(F.split("text", "\n"), lambda x: F.length(x) > REPEATED))
-    again = F.transform(lines, lambda x, i: F.when((i > 0) & (x == F.try_element_at(lines, i.cast("int"))), x))
-    return F.size(F.array_distinct(F.filter(again, lambda x: x.isNotNull()))).cast("bigint")
+    lines = F.sort_array(F.filter(F.split("text", "\n"), lambda x: F.length(x) > REPEATED))
+    # The sorted lines are bound to a variable, so that they are sorted once and not for each line.
+    again = lambda own: F.zip_with(own, F.slice(own, F.lit(2), F.size(own)), lambda x, after: F.when(x == after, x))
+    held = F.element_at(F.transform(F.array(lines), again), 1)
+    return F.size(F.array_distinct(F.filter(held, lambda x: x.isNotNull()))).cast("bigint")
 
 
 def _once(condition: Column) -> Column:
@@ -44,6 +48,7 @@ BY_ROW = {
     "email": lambda: _once(F.col("text").rlike(EMAIL)),
     "license_line": lambda: _once(F.col("text").rlike(LICENSE)),
     "token_literal": lambda: _once(F.col("text").rlike(TOKEN)),
+    "enormous_unit": lambda: _once(F.col("n_chars") >= ENORMOUS),  # no rule of the catalog
 }
 
 
@@ -56,19 +61,27 @@ def duplicates(docs: DataFrame) -> DataFrame:
 ACROSS_ROWS = {"duplicate_body": duplicates}
 
 
-def detect(docs: DataFrame, active: set[str] | None = None) -> DataFrame:
-    """Findings of the active detectors; inactive ones are not in the plan at all."""
+def detect(docs: DataFrame, active: set[str] | None = None, sized: bool = False) -> DataFrame:
+    """Findings of the active detectors; inactive ones are not in the plan at all.
+
+    Findings of rules that the catalog lacks stay, as warnings without category and
+    tier. ``sized`` adds a row SIZE for each document, from the same scan.
+    """
     docs = docs.select("doc_id", "source", "n_chars", F.coalesce("text", F.lit("")).alias("text"))
     chosen = lambda detectors: {k: v for k, v in detectors.items() if active is None or k in active}
     found = [fn(docs) for fn in chosen(ACROSS_ROWS).values()]
-    if single := chosen(BY_ROW):
-        each = F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), v().alias("occurrences")) for k, v in single.items()]), lambda x: x["occurrences"] > 0)
+    single = chosen(BY_ROW)
+    if sized:
+        single |= {SIZE: lambda: F.coalesce(F.col("n_chars"), F.lit(0)).cast("bigint")}
+    if single:
+        each = F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), v().alias("occurrences")) for k, v in single.items()]), lambda x: (x["occurrences"] > 0) | (x["rule"] == SIZE))
         found.append(docs.select("doc_id", "source", F.inline(each)).select(*COLUMNS))
     if not found:
         return docs.sparkSession.createDataFrame([], "rule string, doc_id bigint, source string, occurrences bigint, category string, producer string, tier string, severity string, noise_bp int, context string")
     rules = F.broadcast(catalog.document_rules(docs.sparkSession))  # six rows
     every = reduce(DataFrame.unionByName, found)
-    return every.join(rules, "rule").withColumn("context", F.when(F.col("doc_id") % 10 == 0, "tests"))
+    known = every.join(rules, "rule", "left").withColumn("severity", F.coalesce("severity", F.lit("warning")))
+    return known.withColumn("context", F.when(F.col("doc_id") % 10 == 0, "tests"))
 
 
 def merge(findings: DataFrame, key: list[str], summed: str, unanimity: list[str], first: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,13 @@ def _pick(values: dict, key: Column, default) -> Column:
     return out
 
 
-def aggregate_rules(findings: DataFrame, *key: str) -> DataFrame:
+def aggregate_rules(findings: DataFrame, *key: str, extra: Sequence[Column] = ()) -> DataFrame:
     """By rule: occurrences, worst severity rank (0 error), weight of the scoring rows, dimension and tier.
 
     Rows with a context, without a known severity or without a dimension don't
     score. A rule whose scoring rows disagree on the dimension has none, and makes
-    the score unreliable.
+    the score unreliable, as do rows without a context that can't score or whose rule
+    the catalog lacks (no tier).
     """
     w, d = weight(F.col("severity")), dimension(F.col("category"))
     scores = F.col("context").isNull() & w.isNotNull() & d.isNotNull()
@@ -51,7 +53,8 @@ def aggregate_rules(findings: DataFrame, *key: str) -> DataFrame:
         F.min(F.substring("tier", 2, 1).cast("int")).alias("tier"),
         F.min("producer").alias("producer"),
         F.min("noise_bp").alias("noise_bp"),
-        (F.bool_and(F.col("context").isNotNull() | scores) & ~conflict).alias("authoritative"),
+        (F.bool_and(F.col("context").isNotNull() | scores & F.col("tier").isNotNull()) & ~conflict).alias("authoritative"),
+        *extra,
     )
 
 
@@ -100,6 +103,11 @@ def contributions(rules: DataFrame, key: str) -> DataFrame:
     return out.withColumn("repair_value", F.expr("contribution * (10000 - coalesce(noise_bp, 0)) div 10000"))
 
 
+def published(rules: DataFrame, key: str) -> DataFrame:
+    """Rules of the keys whose score can be relied on; nothing is ranked for the others."""
+    return rules.withColumn("_sure", F.min("authoritative").over(Window.partitionBy(key))).where("_sure").drop("_sure")
+
+
 def ranking(rules: DataFrame, key: str) -> DataFrame:
     """Scorable rules in the order of their repair: by value, contribution and name."""
     order = Window.partitionBy(key).orderBy(F.desc("repair_value"), F.desc("contribution"), "rule")

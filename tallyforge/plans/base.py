@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings as fd
+from ..operators import score
+from ..operators.graph import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,14 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.expr("coalesce(sum(n_chars), 0) div 20").alias("production_lines"), F.count("*").alias("source_files"))
 
 
+def rules_and_sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings by source and rule, and the sources' sizes: one settled aggregate of a few rows, from two scans."""
+    found = fd.detect(documents(spark, sf_dir), sized=True)
+    every = settle(score.aggregate_rules(found, "source", extra=[F.count("*").alias("rows")]))
+    sizes_ = every.where(F.col("rule") == fd.SIZE).select("source", F.expr("occurrences div 20").alias("production_lines"), F.col("rows").alias("source_files"))
+    return every.where(F.col("rule") != fd.SIZE).drop("rows"), sizes_
+
+
 FINDINGS = r"""
 docs AS (SELECT doc_id, source, lang, n_chars, coalesce(text, '') AS text FROM documents),
 long_lines AS (SELECT doc_id, source, line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE length(line) > 20),
@@ -36,13 +46,14 @@ raw AS (
   UNION ALL SELECT 'email', doc_id, source, 1 FROM docs WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')
   UNION ALL SELECT 'license_line', doc_id, source, 1 FROM docs WHERE regexp_matches(text, '(?i)(copyright|license|spdx)')
   UNION ALL SELECT 'token_literal', doc_id, source, 1 FROM docs WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')
+  UNION ALL SELECT 'enormous_unit', doc_id, source, 1 FROM docs WHERE n_chars >= 20000
 ),
 rules(rule, category, producer, tier, severity, noise_bp) AS (VALUES
   ('oversized_unit', 'maintainability', 'structure', 'P3', 'warning', 3333), ('duplicate_body', 'maintainability', 'structure', 'P3', 'warning', 4000),
   ('repeated_line', 'maintainability', 'structure', 'P3', 'info', 10000), ('email', 'security', 'repo', 'P1', 'error', NULL),
   ('license_line', 'dependencies', 'cargo', 'P2', 'warning', 0), ('token_literal', 'security', 'repo', 'P1', 'error', NULL)),
-findings AS (SELECT r.rule, r.doc_id, r.source, CAST(r.occurrences AS BIGINT) AS occurrences, u.category, u.producer, u.tier, u.severity, u.noise_bp,
-  CASE WHEN r.doc_id % 10 = 0 THEN 'tests' END AS context FROM raw r JOIN rules u USING (rule))"""
+findings AS (SELECT r.rule, r.doc_id, r.source, CAST(r.occurrences AS BIGINT) AS occurrences, u.category, u.producer, u.tier, coalesce(u.severity, 'warning') AS severity, u.noise_bp,
+  CASE WHEN r.doc_id % 10 = 0 THEN 'tests' END AS context FROM raw r LEFT JOIN rules u USING (rule))"""
 
 SIZES = """
 sizes AS (SELECT source, CAST(coalesce(sum(n_chars), 0) // 20 AS BIGINT) AS production_lines, count(*) AS source_files FROM documents GROUP BY source)"""
@@ -51,7 +62,7 @@ sizes AS (SELECT source, CAST(coalesce(sum(n_chars), 0) // 20 AS BIGINT) AS prod
 AGGREGATES = """
 weighed AS (SELECT *, CASE WHEN severity = 'error' THEN 2 ELSE 1 END AS w FROM findings),
 agg AS (SELECT source, rule, sum(occurrences) AS occurrences, min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS worst_severity,
-  coalesce(sum(CASE WHEN context IS NULL THEN w END), 0) AS numerator, min(CASE WHEN context IS NULL THEN category END) AS dimension,
+  coalesce(sum(CASE WHEN context IS NULL AND category IS NOT NULL THEN w END), 0) AS numerator, bool_and(context IS NOT NULL OR tier IS NOT NULL) AS authoritative, min(CASE WHEN context IS NULL THEN category END) AS dimension,
   min(CAST(tier[2:2] AS INT)) AS tier, min(producer) AS producer, min(noise_bp) AS noise_bp FROM weighed GROUP BY source, rule),
 dens AS (SELECT a.*, s.production_lines, a.numerator / CASE WHEN a.producer = 'structure' THEN greatest(s.production_lines / 1000.0, 2.0) ELSE 1.0 END AS density
   FROM agg a JOIN sizes s USING (source)),
@@ -81,4 +92,5 @@ CONTRIBUTIONS = """
 gains AS (SELECT d.source, d.rule, d.dimension, d.noise_bp, d.density, d.numerator, d.tier, p.lam, p.w, sum(d.density) OVER (PARTITION BY d.source, d.dimension) AS total
   FROM dens d JOIN params p USING (dimension)),
 valued AS (SELECT *, CAST(greatest(round(1e6 * w / 13 * 100.0 * (exp(-(total - density) / CAST(lam AS DOUBLE)) - exp(-total / CAST(lam AS DOUBLE)))), 0) AS BIGINT) AS contribution FROM gains),
+sure AS (SELECT source FROM agg GROUP BY source HAVING bool_and(authoritative)),
 repairs AS (SELECT *, CAST(contribution * (10000 - coalesce(noise_bp, 0)) // 10000 AS BIGINT) AS repair_value FROM valued)"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as fd
 from ..operators import policy, score
+from ..operators.graph import settle
 from ..sources import catalog
 from . import base
 from .base import AGGREGATES, CONTRIBUTIONS, FINDINGS, LABEL, SIZES, score_sql
@@ -73,27 +74,29 @@ def policy_restamp(spark, sf):
 
 
 def _rules(spark, sf):
-    found = score.aggregate_rules(base.findings(spark, sf), "source")
-    return score.densities(found, base.sizes(spark, sf), "source")
+    """Rules with their densities, and the sources' sizes."""
+    rules, sizes = base.rules_and_sizes(spark, sf)
+    return score.densities(rules, sizes, "source"), sizes
 
 
 @query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES} SELECT source, rule, CAST(occurrences AS BIGINT) AS occurrences, worst_severity, CAST(numerator AS BIGINT) AS numerator, dimension, tier FROM dens")
 def rule_aggregation(spark, sf):
-    return _rules(spark, sf).select("source", "rule", "occurrences", "worst_severity", "numerator", "dimension", "tier")
+    return _rules(spark, sf)[0].select("source", "rule", "occurrences", "worst_severity", "numerator", "dimension", "tier")
 
 
 @query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {score_sql()} SELECT source, dimension, CAST(round(density * 1000000) AS BIGINT) AS density_millionths, tier FROM dims")
 def dimension_density(spark, sf):
-    return score.by_dimension(_rules(spark, sf), "source").select("source", "dimension", F.round(F.col("density") * 1_000_000).cast("bigint").alias("density_millionths"), "tier")
+    return score.by_dimension(_rules(spark, sf)[0], "source").select("source", "dimension", F.round(F.col("density") * 1_000_000).cast("bigint").alias("density_millionths"), "tier")
 
 
 @query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {score_sql()} SELECT *, {LABEL} AS label FROM scores")
 def health_score(spark, sf):
-    return score.score(base.sizes(spark, sf), score.by_dimension(_rules(spark, sf), "source"), "source")
+    rules, sizes = _rules(spark, sf)
+    return score.score(sizes, score.by_dimension(rules, "source"), "source")
 
 
-@query(f"""WITH {FINDINGS}, x AS (SELECT source, CASE WHEN doc_id % 7 = 3 THEN 'unknown' ELSE severity END AS severity, context, rule FROM findings)
-  SELECT s.source, coalesce(bool_and(x.rule IS NULL OR x.context IS NOT NULL OR x.severity <> 'unknown'), true) AS authoritative FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN x USING (source) GROUP BY s.source""")
+@query(f"""WITH {FINDINGS}, x AS (SELECT source, CASE WHEN doc_id % 7 = 3 THEN 'unknown' ELSE severity END AS severity, context, rule, category FROM findings)
+  SELECT s.source, coalesce(bool_and(x.rule IS NULL OR x.context IS NOT NULL OR x.severity <> 'unknown' AND x.category IS NOT NULL), true) AS authoritative FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN x USING (source) GROUP BY s.source""")
 def score_authoritative(spark, sf):
     """Findings whose severity isn't known take a source's authority; those with a context don't."""
     odd = base.findings(spark, sf).withColumn("severity", F.when(F.col("doc_id") % 7 == 3, "unknown").otherwise(F.col("severity")))
@@ -102,7 +105,7 @@ def score_authoritative(spark, sf):
 
 
 def _valued(spark, sf):
-    return score.contributions(_rules(spark, sf), "source")
+    return score.contributions(_rules(spark, sf)[0], "source")
 
 
 @query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, contribution, repair_value FROM repairs")
@@ -110,23 +113,27 @@ def repair_contribution(spark, sf):
     return _valued(spark, sf).select("source", "rule", "contribution", "repair_value")
 
 
-@query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, repair_value, row_number() OVER (PARTITION BY source ORDER BY repair_value DESC, contribution DESC, rule) AS rank FROM repairs WHERE contribution > 0 AND repair_value > 0")
+@query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, repair_value, row_number() OVER (PARTITION BY source ORDER BY repair_value DESC, contribution DESC, rule) AS rank FROM repairs SEMI JOIN sure USING (source) WHERE contribution > 0 AND repair_value > 0")
 def repair_ranking(spark, sf):
-    return score.ranking(_valued(spark, sf), "source").select("source", "rule", "repair_value", F.col("rank").cast("bigint").alias("rank"))
+    return score.ranking(score.published(_valued(spark, sf), "source"), "source").select("source", "rule", "repair_value", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, contribution, row_number() OVER (PARTITION BY source ORDER BY contribution DESC, rule) AS rank FROM repairs WHERE contribution > 0 AND repair_value = 0")
+@query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, contribution, row_number() OVER (PARTITION BY source ORDER BY contribution DESC, rule) AS rank FROM repairs SEMI JOIN sure USING (source) WHERE contribution > 0 AND repair_value = 0")
 def withheld_rules(spark, sf):
-    return score.withheld(_valued(spark, sf), "source").select("source", "rule", "contribution", F.col("rank").cast("bigint").alias("rank"))
+    return score.withheld(score.published(_valued(spark, sf), "source"), "source").select("source", "rule", "contribution", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS},
   top AS (SELECT source, rule FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY repair_value DESC, contribution DESC, rule) AS rank FROM repairs WHERE contribution > 0 AND repair_value > 0) WHERE rank <= 3),
-  rest AS (SELECT d.* FROM dens d ANTI JOIN top USING (source, rule)), {score_sql("rest")} SELECT source, score AS projected_score FROM scores""")
+  rest AS (SELECT d.* FROM dens d ANTI JOIN top USING (source, rule)), {score_sql("rest")} SELECT source, score AS projected_score FROM scores ANTI JOIN (SELECT source FROM agg GROUP BY source HAVING NOT bool_and(authoritative)) USING (source)""")
 def top3_projection(spark, sf):
-    valued = _valued(spark, sf)
-    rest = score.without_top(_rules(spark, sf), score.ranking(valued, "source"), "source")
-    return score.score(base.sizes(spark, sf), score.by_dimension(rest, "source"), "source").select("source", F.col("score").alias("projected_score"))
+    """The score of each source that can be relied on, once its three best repairs are made."""
+    rules, sizes = _rules(spark, sf)
+    sure = score.published(rules, "source")
+    rest = score.without_top(sure, score.ranking(score.contributions(sure, "source"), "source"), "source")
+    unsure = rules.where("not authoritative").select("source").distinct()
+    told = score.score(sizes.join(unsure, "source", "left_anti"), score.by_dimension(rest, "source"), "source")
+    return told.select("source", F.col("score").alias("projected_score"))
 
 
 @query(f"""WITH {FINDINGS} SELECT source, count(*) FILTER (WHERE context IS NULL AND severity = 'error') AS blocking_findings,
@@ -148,14 +155,21 @@ def exit_codes(spark, sf):
     return spark.createDataFrame(rows, "status string, gate string").withColumn("exit_code", policy.exit_code(F.col("status"), F.col("gate")))
 
 
-@query(f"""WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {score_sql()}, c AS (SELECT source, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w, count(*) FILTER (WHERE severity = 'info') AS i FROM findings GROUP BY source)
-  SELECT source, concat_ws('&', 's=' || score, 'm=core-v3', CASE WHEN e > 0 THEN 'e=' || e END, CASE WHEN w > 0 THEN 'w=' || w END, CASE WHEN i > 0 THEN 'i=' || i END, CASE WHEN source_files > 0 THEN 'f=' || source_files END, CASE WHEN production_lines > 0 THEN 'l=' || production_lines END) AS payload
-  FROM scores JOIN c USING (source)""")
+@query(f"""WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {score_sql()}, c AS (SELECT source, coalesce(sum(occurrences) FILTER (WHERE severity = 'error'), 0) AS e, coalesce(sum(occurrences) FILTER (WHERE severity = 'warning'), 0) AS w, coalesce(sum(occurrences) FILTER (WHERE severity = 'info'), 0) AS i FROM findings GROUP BY source),
+  sure AS (SELECT source FROM agg GROUP BY source HAVING bool_and(authoritative))
+  SELECT source, CASE WHEN greatest(e, w, i, source_files, production_lines) <= 1000000 THEN concat_ws('&', 's=' || score, 'm=core-v3', CASE WHEN e > 0 THEN 'e=' || e END, CASE WHEN w > 0 THEN 'w=' || w END, CASE WHEN i > 0 THEN 'i=' || i END, CASE WHEN source_files > 0 THEN 'f=' || source_files END, CASE WHEN production_lines > 0 THEN 'l=' || production_lines END) END AS payload
+  FROM scores JOIN c USING (source) JOIN sure USING (source) WHERE score IS NOT NULL""")
 def share_payload(spark, sf):
-    counts = fd.by_severity(base.findings(spark, sf), "source").select("source", "error_distinct", "warning_distinct", "info_distinct")
-    both = health_score(spark, sf).join(counts, "source")
-    keys = {"e": "error_distinct", "w": "warning_distinct", "i": "info_distinct", "f": "source_files", "l": "production_lines"}
-    return both.select("source", score.share_payload(F.col("score"), {k: F.col(c) for k, c in keys.items()}).alias("payload"))
+    """Occurrences, not distinct findings, are shared; a source without a reliable score has no payload."""
+    found = fd.detect(base.documents(spark, sf), sized=True)
+    counts = {k: F.coalesce(F.sum(F.when((F.col("severity") == s) & (F.col("rule") != fd.SIZE), F.col("occurrences"))), F.lit(0)).alias(k) for k, s in (("e", "error"), ("w", "warning"), ("i", "info"))}
+    every = settle(score.aggregate_rules(found, "source", extra=[F.count("*").alias("rows"), *counts.values()]))
+    rules = every.where(F.col("rule") != fd.SIZE)
+    sizes = every.where(F.col("rule") == fd.SIZE).select("source", F.expr("occurrences div 20").alias("production_lines"), F.col("rows").alias("source_files"))
+    told = score.score(sizes, score.by_dimension(score.densities(rules, sizes, "source"), "source"), "source")
+    sums = rules.groupBy("source").agg(*[F.sum(k).alias(k) for k in counts], F.bool_and("authoritative").alias("sure")).where("sure")
+    keys = {k: F.col(k) for k in counts} | {"f": F.col("source_files"), "l": F.col("production_lines")}
+    return told.where("score is not null").join(sums, "source").select("source", score.share_payload(F.col("score"), keys).alias("payload"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS paths, count(*) AS findings FROM events GROUP BY event_type HAVING count(DISTINCT user_id) >= 40")

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import checks, findings, relations, similarity, statistics  # noqa: E402, F401
+from . import checks, findings, identities, relations, similarity, statistics  # noqa: E402, F401

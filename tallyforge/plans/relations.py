@@ -83,9 +83,9 @@ def module_closure(spark, sf):
     return rel.closure(spark.createDataFrame([("root", False)], "node string, gated boolean"), edges)
 
 
-@query("SELECT lang, source, count(*) AS n FROM (SELECT DISTINCT lang, source, text FROM documents WHERE n_chars < 2000) GROUP BY lang, source")
+@query("SELECT lang, source, count(*) AS n FROM (SELECT DISTINCT lang, source, text FROM documents) GROUP BY lang, source")
 def distinct_rows(spark, sf):
-    rows = base.table(spark, sf, "documents").where("n_chars < 2000").select("lang", "source", F.sha2("text", 256).alias("digest"))
+    rows = base.table(spark, sf, "documents").select("lang", "source", F.sha2("text", 256).alias("digest"))
     return rows.distinct().groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 

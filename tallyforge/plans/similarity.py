@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import delta
 from ..operators import similarity as sim
 from . import base
@@ -74,10 +75,10 @@ def nomination_recall(spark, sf):
 
 
 # Two scans: documents as they are, and with some dropped, moved or edited.
-SCANS = """base AS (SELECT doc_id AS idx, source AS path, lang AS origin, CASE WHEN doc_id % 4 > 0 THEN 'c' || doc_id % 3 END AS code, 'len ' || n_chars % 50 AS message, CASE WHEN doc_id % 6 > 0 THEN left(coalesce(text, ''), 60) END AS proof FROM documents),
+SCANS = """base AS (SELECT doc_id AS idx, source AS path, lang AS origin, CASE WHEN doc_id % 4 > 0 THEN 'c' || doc_id % 3 END AS code, 'len ' || n_chars % 50 AS message, CASE WHEN doc_id % 6 > 0 AND words <> '' AND strlen(words) <= 65536 THEN words END AS proof FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS words FROM documents)),
 now AS (SELECT idx, CASE WHEN idx % 11 = 0 THEN path || '-moved' ELSE path END AS path, origin, code, message, CASE WHEN idx % 17 = 0 THEN NULL WHEN idx % 13 = 0 THEN 'edited ' || proof ELSE proof END AS proof FROM base WHERE idx % 7 <> 0),
-b0 AS (SELECT idx, path, origin, code, message, CASE WHEN proof IS NOT NULL THEN concat_ws('|', origin, coalesce(code, '-'), message, proof) END AS fp FROM base),
-n0 AS (SELECT idx, path, origin, code, message, CASE WHEN proof IS NOT NULL THEN concat_ws('|', origin, coalesce(code, '-'), message, proof) END AS fp FROM now)"""
+b0 AS (SELECT idx, path, origin, code, message, CASE WHEN proof IS NOT NULL THEN sha256(concat_ws('|', origin, coalesce(code, '-'), message, proof)) END AS fp FROM base),
+n0 AS (SELECT idx, path, origin, code, message, CASE WHEN proof IS NOT NULL THEN sha256(concat_ws('|', origin, coalesce(code, '-'), message, proof)) END AS fp FROM now)"""
 
 
 def _pass_sql(k: int, key: str, left: str, right: str) -> str:
@@ -91,7 +92,7 @@ DELTA = f"WITH {SCANS}, " + ", ".join([_pass_sql(1, "path, fp", "fp IS NOT NULL"
 
 def _scans(spark, sf):
     docs = base.table(spark, sf, "documents")
-    text = F.substring(F.coalesce("text", F.lit("")), 1, 60)
+    text = T.words_only(F.coalesce("text", F.lit("")))
     b = docs.select(F.col("doc_id").alias("idx"), F.col("source").alias("path"), F.col("lang").alias("origin"), F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string"))).alias("code"), F.concat(F.lit("len "), (F.col("n_chars") % 50).cast("string")).alias("message"), F.when(F.col("doc_id") % 6 > 0, text).alias("proof"))
     i = F.col("idx")
     n = b.where(i % 7 != 0).withColumn("path", F.when(i % 11 == 0, F.concat("path", F.lit("-moved"))).otherwise(F.col("path"))).withColumn("proof", F.when(i % 17 == 0, None).when(i % 13 == 0, F.concat(F.lit("edited "), "proof")).otherwise(F.col("proof")))

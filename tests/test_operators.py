@@ -125,7 +125,7 @@ def test_lock_and_dependency_lists(spark):
 
 def test_paths(spark):
     rows = [("a%b\x01/c",), ("/a",), ("",), ("a/../b",), ("./a//b",)]
-    got = [r[0] for r in spark.createDataFrame(rows, "p string").select(T.encode_path("p")).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string").select(T.encode_path(F.col("p"))).collect()]
     assert got == ["a%25b%01/c", None, None, None, "a/b"]
     refs = [("main",), ("a/b-1.x",), ("-x",), ("a..b",), ("a//b",), ("a.lock",), ("f" * 40,), ("a/.b",), ("",)]
     got = [r[0] for r in spark.createDataFrame(refs, "p string").select(T.valid_base(F.col("p"))).collect()]
@@ -163,7 +163,7 @@ def test_report(spark):
 def test_inactive_detectors_do_not_run(spark):
     from tallyforge.operators import findings as fd
 
-    docs = spark.createDataFrame([(1, "s", 20_000, "me@example.org\n" + "a line said more than once\n" * 2), (2, "s", 3, None)], "doc_id bigint, source string, n_chars bigint, text string")
+    docs = spark.createDataFrame([(1, "s", 15_000, "me@example.org\n" + "a line said more than once\n" * 2), (2, "s", 3, None)], "doc_id bigint, source string, n_chars bigint, text string")
     rules = lambda active: sorted(r.rule for r in fd.detect(docs, active).collect())
     assert rules(None) == ["email", "oversized_unit", "repeated_line"]
     assert rules({"email"}) == ["email"] and rules(set()) == []
