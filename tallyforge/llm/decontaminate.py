@@ -6,15 +6,17 @@ T'T R over the passages' counts T (whole numbers, so in any order), and the
 Nystroem approximation of A'A, whose test matrix R without the IDF weights is as
 good, follows from this one pass. In a second pass windows of every text are
 folded in (divided by the singular values, so that frequent words don't decide)
-and compared with each benchmark item by cosine. An item is diluted by the
-foreign words of its windows, a short one the most, so no cosine refuses a window;
-it tells how near a match is. Windows that lack so many of an item's words that it
-can't pass the last check are left out: an item of n words, r of them rare, shares
-at least r - (1 - LEAST_ITEM) n of these with a window that holds LEAST_ITEM of it,
-and LEAST_ITEM n words in all (counted for every window where the former is 0).
-What is left is checked word by word: the longest common subsequence has to hold most of the
-item, and much of its answer, the item's end. So inserted, dropped or changed
-words don't hide an item, and texts that only share its frequent words are left.
+and compared with the benchmark's items, a stated set of queries, by cosine. Two
+kinds of windows go on. Those within CLOSE of an item can be paraphrases. And as
+an item is diluted by the foreign words of its windows, a short one the most, the cosine
+alone would lose some near copies; these are told by word bounds that hold for each of
+them: an item of n words, r of them rare, shares at least r - (1 - LEAST_ITEM) n of these
+with a window that holds LEAST_ITEM of it, and LEAST_ITEM n words in all (counted for
+every window where the former is 0). What goes on is checked word by word: the longest
+common subsequence has to hold most of the item (for a paraphrase, which is close by
+meaning, half of it), and much of its answer, the item's end. So inserted, dropped,
+changed and some exchanged words don't hide an item, and texts that only share its
+frequent words are left.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_rows, map_texts, pieces, table
 from .quality import Memo
 
-#: Terms: words of the benchmark have one of their own, as far as there is room; others share the rest.
+#: Terms: the commonest words of the benchmark have one of their own, all others share the rest. What is found
+#: doesn't depend on it: bounds by shared terms are weaker, so that more windows are checked.
 OWN, SHARED = 6144, 2048
 TERMS = OWN + SHARED
 #: Words of a passage; columns of the sketch; dimensions kept.
@@ -39,7 +42,9 @@ PASSAGE, SKETCH, KEPT = 64, 32, 24
 STRIDE = 8
 #: Least shares of the item's words, and of its answer's, in the common subsequence.
 LEAST_ITEM, LEAST_ANSWER = 0.7, 0.6
-#: Words of the benchmark are rare if at most this share of the passages hold them.
+#: The same for windows within such a cosine of an item.
+CLOSE, CLOSE_ITEM, CLOSE_ANSWER = 0.85, 0.5, 0.6
+#: Terms are rare if at most this share of the passages hold them.
 RARE = 0.005
 #: An answer is such a share of an item's words, its last ones.
 ANSWER = 0.25
@@ -177,8 +182,8 @@ def latent(z: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return v * idf[:, None]
 
 
-def space(z: np.ndarray, df: np.ndarray, n: int, own: int) -> dict:
-    return {"basis": latent(z, df, n), "rare": (df <= RARE * n) & (np.arange(TERMS) < own)}
+def space(z: np.ndarray, df: np.ndarray, n: int) -> dict:
+    return {"basis": latent(z, df, n), "rare": df <= RARE * n}
 
 
 def lcs(words: list[str], masks: dict[str, int], n: int) -> int:
@@ -203,7 +208,7 @@ def verify(window: list[str], item: dict) -> tuple[float, float]:
     """Shares of the item's words, and of its answer's, in the longest common subsequence."""
     n = item["n"]
     whole = lcs(window, item["masks"], n).bit_count()
-    if whole < LEAST_ITEM * n:
+    if whole < CLOSE_ITEM * n:
         return whole / n, 0.0
     return whole / n, lcs(window, item["answer"], item["k"]).bit_count() / item["k"]
 
@@ -267,6 +272,7 @@ class Search:
         folded, long_ = rows.copy(), 1  # the windows of so many strides from each stride on
         for group in self.groups:
             n, items, q, holds, enough = group[:5]
+            close_enough = np.array([CLOSE_ITEM * i["n"] - 1e-9 for i in items])
             some = max(256, min(8192, 4_000_000 // len(items)))
             for i in range(long_, n):
                 folded[: len(rows) - i] += rows[i:]
@@ -274,13 +280,17 @@ class Search:
             for lo in range(0, len(real), some):
                 part = real[lo : lo + some]
                 own = self._own_words(flat[part[0] * STRIDE : (part[-1] + n) * STRIDE], group)
-                found_at, found_j = np.nonzero(own[part - part[0]])
+                part_of = folded[part]
+                cosine = part_of @ q.T / (np.sqrt((part_of * part_of).sum(axis=1))[:, None] + 1e-9)
+                bound = own[part - part[0]]
+                close = cosine >= CLOSE
+                found_at, found_j = np.nonzero(bound | close)
                 # No common subsequence is longer than the window's words that the item has.
                 shared = np.zeros(len(found_at), np.int32)
                 at, of = part[found_at] * STRIDE, found_j * (TERMS + 1)
                 for i in range(n * STRIDE):
                     shared += holds.take(of + flat.take(at + i))
-                long = shared >= enough[found_j]
+                long = shared >= np.where(close[found_at, found_j], close_enough[found_j], enough[found_j])
                 for at, j in zip(found_at[long].tolist(), found_j[long].tolist(), strict=True):
                     step = int(part[at])
                     text, item = int(np.searchsorted(begin, step * STRIDE, "right")) - 1, items[j]
@@ -288,8 +298,9 @@ class Search:
                         split[text] = words_of(texts[text])
                     first = step * STRIDE - int(begin[text])
                     share, answer = verify(split[text][first : first + n * STRIDE], item)
-                    if share >= LEAST_ITEM and answer >= LEAST_ANSWER:
-                        found = (share, answer, float(folded[step] @ q[j] / (np.linalg.norm(folded[step]) + 1e-9)))
+                    near = float(cosine[at, j])
+                    if share >= LEAST_ITEM and answer >= LEAST_ANSWER or near >= CLOSE and share >= CLOSE_ITEM and answer >= CLOSE_ANSWER:
+                        found = (share, answer, near)
                         key = (text, item["key"])
                         if key not in best or found > best[key]:
                             best[key] = found
@@ -302,7 +313,7 @@ def train(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     items = sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     words = Counter(w for _, t in items for w in set(words_of(t)))
     own = {w: i for i, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:OWN])}
-    return {"items": items, "own": own} | space(*sketch(docs, text_col, own), len(own))
+    return {"items": items, "own": own} | space(*sketch(docs, text_col, own))
 
 
 def matches(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -305,10 +305,53 @@ def test_decontamination_finds_every_short_item_in_foreign_words(docs):
     z, memo = np.zeros((decontaminate.TERMS, decontaminate.SKETCH + 2)), quality.Memo(decontaminate.term_of(own), 10_000)
     signs = np.vstack([decontaminate.signs(), np.zeros((1, decontaminate.SKETCH))]).astype(np.int16)
     decontaminate.add_passages(z, *decontaminate.terms_of([t for _, t in docs] + texts, memo), signs)
-    fitted = decontaminate.space(z[:, : decontaminate.SKETCH], z[:, decontaminate.SKETCH], int(z[0, decontaminate.SKETCH + 1]), len(own))
+    fitted = decontaminate.space(z[:, : decontaminate.SKETCH], z[:, decontaminate.SKETCH], int(z[0, decontaminate.SKETCH + 1]))
     for basis in (fitted["basis"], np.zeros_like(fitted["basis"])):
         found = decontaminate.Search({"own": own, "items": items, "rare": fitted["rare"], "basis": basis}, items)(texts)
         assert {(k, k) for k, _ in items} <= {(t, i) for t, i, *_ in found}
+    # The same where all words share terms, as with a benchmark of very many words.
+    z = np.zeros_like(z)
+    memo = quality.Memo(decontaminate.term_of({}), 10_000)
+    decontaminate.add_passages(z, *decontaminate.terms_of([t for _, t in docs] + texts, memo), signs)
+    fitted = decontaminate.space(z[:, : decontaminate.SKETCH], z[:, decontaminate.SKETCH], int(z[0, decontaminate.SKETCH + 1]))
+    found = decontaminate.Search({"own": {}, "items": items, **fitted}, items)(texts)
+    assert {(k, k) for k, _ in items} <= {(t, i) for t, i, *_ in found}
+
+
+def test_paraphrases_come_by_the_cosine(spark, docs):
+    """Items with 35 to 45 of 100 words exchanged for words of their own kind: too few are left for a near copy."""
+    r = random.Random(12)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(20)]
+    common = ["the", "of", "and", "to", "in"]
+    say = lambda k, n: [r.choice(topics[k]) if r.random() < 0.7 else r.choice(common) for _ in range(n)]
+    corpus = [" ".join(say(k % 20, 400)) for k in range(200)]
+    items = [(k, " ".join(say(k, 60))) for k in range(20)]
+    told = []
+    for k, t in items:
+        words = t.split()
+        for j in r.sample(range(len(words) - 15), 24):
+            words[j] = r.choice([w for w in topics[k] if w not in words] or topics[k])
+        told.append(" ".join(words))
+    texts = corpus + told
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = decontaminate.train(frame, spark.createDataFrame(items, "item_id bigint, text string"))
+    got = decontaminate.matches(frame, model).collect()
+    own = [m for m in got if m.doc_id >= 200]
+    assert len({m.doc_id for m in own if m.doc_id - 200 == m.item_id and m.lcs_share < decontaminate.LEAST_ITEM and m.cosine >= decontaminate.CLOSE}) >= 15
+    assert all(m.doc_id - 200 == m.item_id for m in own) and len(own) == len(got)
+
+
+def test_items_in_several_passes(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = decontaminate.train(frame, items)
+    whole = sorted(map(tuple, decontaminate.matches(frame, model).collect()))
+    clean = sorted(r.doc_id for r in decontaminate.keep_clean(frame, model).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS", 17)
+    assert len(model["items"]) > 17 and whole
+    again = sorted(map(tuple, decontaminate.matches(frame, model).collect()))
+    assert [m[:2] for m in again] == [m[:2] for m in whole] and clean == sorted(r.doc_id for r in decontaminate.keep_clean(frame, model).collect())
+    assert set(clean) == {i for i, _ in docs} - {m[0] for m in whole}
 
 
 def test_common_subsequence():
