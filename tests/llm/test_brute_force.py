@@ -69,7 +69,13 @@ def test_tokens_are_those_of_the_tokenizers_library(docs):
 
     exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
     odd = ["", " ", " a b", "a  b", "a\n b", "a \nb", "a\n \nb", "\n\na\n\n b", "a\tb", "x<|endoftext|>y", "don't I'll", "a ", "日本語 ²³", "ab\n", "ab\n\n", "x.\nY z,\nw", "a\n ", "ÀÉ ß.ñ", "a b", "1,000.5 a1b2"]
-    for t in odd + [t for _, t in docs]:
+    import pyarrow.parquet as pq
+
+    more = [t or "" for t in pq.read_table(f"{SF[:-5]}0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    r = random.Random(11)
+    marks = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", ".", ",\n", "12", "日", "\U0001f600", "\u00a0", "<", "|>", "\r\n"]
+    made = ["".join(r.choice(marks) for _ in range(r.randint(1, 25))) for _ in range(3000)]
+    for t in odd + made + [t for _, t in docs] + more:
         assert np.frombuffer(encode(t), "<u2").tolist() == exact.encode(t, add_special_tokens=False).ids, t
 
 
@@ -376,6 +382,25 @@ def test_gif_round_trip(docs):
     assert all(x is not None for x in gif.lzw_fast([f.data for g in images for f in g.frames]))
 
 
+def test_media_query(spark, docs):
+    """Every column of the query that a plain reading of the text and of the stored file gives."""
+    got = {r.doc_id: r for r in gif.query(spark, SF).collect()}
+    stored = {r.doc_id: r.media for r in gif.media(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    seen: dict = {}
+    for i, t in docs:
+        raw = t.encode()
+        payload = raw + b" " * ((-len(raw)) % 192 if raw else 192)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload)) and len(payload) % 192 == 0
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == crc32(payload[-16:])
+        assert r.media_bytes == len(stored[i]) and r.media_sha256 == hashlib.sha256(stored[i]).hexdigest()
+        assert seen.setdefault(t, tuple(r)[1:]) == tuple(r)[1:]
+    for i, t in docs[:25]:  # and the file itself, by the slow decoder
+        g = gif.parse(stored[i])
+        back = b"".join(gif.lzw_slow(f.data, f.size, f.width * f.height).tobytes() for f in g.frames)
+        assert hashlib.sha256(back).hexdigest() == got[i].payload_sha256
+
+
 def image(frames, width=2, height=2, palette=bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])):
     """A GIF by hand: frames of (left, top, width, height, indices, disposal, transparent, interlaced)."""
     out = [b"GIF89a", width.to_bytes(2, "little"), height.to_bytes(2, "little"), bytes([0x81, 0, 0]), palette]
