@@ -13,6 +13,8 @@ from .base import AGGREGATES, CONTRIBUTIONS, FINDINGS, LABEL, SIZES, score_sql
 from .registry import query
 
 SUMMARY = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}_distinct, CAST(coalesce(sum(occurrences) FILTER (WHERE severity = '{s}'), 0) AS BIGINT) AS {s}_occurrences" for s in ("error", "warning", "info", "unknown"))
+#: Parts of a source's findings that are worked on apart, so that no task gathers all findings of a source.
+PARTS = 1024
 BUCKET = "CASE WHEN category = 'security' THEN 'Security' WHEN category IN ('correctness', 'reliability') THEN 'Bugs' WHEN category = 'performance' THEN 'Performance' WHEN category IN ('cargo', 'dependencies') THEN 'Dependencies' WHEN category = 'maintainability' THEN 'Maintainability' ELSE 'Other' END"
 
 
@@ -186,18 +188,30 @@ def scope_semi(spark, sf):
 @query(f"""WITH {FINDINGS}, t AS (SELECT source, rule, severity, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, doc_id, rule) AS place, count(*) OVER (PARTITION BY source) AS n FROM findings)
   SELECT source, string_agg(rule || '@' || doc_id, ', ' ORDER BY place) || CASE WHEN max(n) > 8 THEN ' +' || (max(n) - 8) || ' more' ELSE '' END AS sites FROM t WHERE place <= 8 GROUP BY source""")
 def issue_sites(spark, sf):
-    """The first 8 sites of each source in order, and how many more there are: kept by rank before they are gathered."""
+    """The first 8 sites of each source in order, and how many more there are.
+
+    Each part of a source keeps its own first 8 and its number, and these few are put
+    together, so that no task orders all findings of a source.
+    """
     from pyspark.sql import Window
 
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    w = Window.partitionBy("source")
-    rows = base.findings(spark, sf).select("source", "rule", "doc_id", F.row_number().over(w.orderBy(rank, "doc_id", "rule")).alias("place"), F.count("*").over(w).alias("n")).where("place <= 8")
-    sites = F.array_sort(F.collect_list(F.struct("place", F.concat("rule", F.lit("@"), F.col("doc_id").cast("string")).alias("site"))))
-    more = F.when(F.max("n") > 8, F.concat(F.lit(" +"), (F.max("n") - 8).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.groupBy("source").agg(F.concat(F.array_join(sites["site"], ", "), more).alias("sites"))
-
-
-@query(f"WITH {FINDINGS} SELECT source, sha256(string_agg(rule || ':' || doc_id || ':' || occurrences, chr(10) ORDER BY rule, doc_id)) AS digest FROM findings GROUP BY source")
+    site = F.struct(rank.alias("rank"), "doc_id", "rule")
+    rows = base.findings(spark, sf).select("source", (F.col("doc_id") % PARTS).alias("part"), site.alias("site"))
+    part = Window.partitionBy("source", "part")
+    first = rows.select("source", "part", "site", F.row_number().over(part.orderBy("site")).alias("place"), F.count("*").over(part).alias("n")).where("place <= 8")
+    held = first.groupBy("source", "part").agg(F.collect_list("site").alias("sites"), F.max("n").alias("n"))
+    every = held.groupBy("source").agg(F.slice(F.sort_array(F.flatten(F.collect_list("sites"))), 1, 8).alias("sites"), F.sum("n").alias("n"))
+    listed = F.array_join(F.transform("sites", lambda s: F.concat(s["rule"], F.lit("@"), s["doc_id"].cast("string"))), ", ")
+    more = F.when(F.col("n") > 8, F.concat(F.lit(" +"), (F.col("n") - 8).cast("string"), F.lit(" more"))).otherwise("")
+    return every.select("source", F.concat(listed, more).alias("sites"))
+
+
+@query(f"""WITH {FINDINGS}, p AS (SELECT source, doc_id % {PARTS} AS part, sha256(string_agg(rule || ':' || doc_id || ':' || occurrences, chr(10) ORDER BY rule, doc_id)) AS digest FROM findings GROUP BY source, doc_id % {PARTS})
+  SELECT source, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS digest FROM p GROUP BY source""")
 def findings_digest(spark, sf):
+    """A digest of the digests of a source's parts."""
     line = F.struct("rule", "doc_id", F.concat_ws(":", "rule", F.col("doc_id").cast("string"), F.col("occurrences").cast("string")).alias("line"))
-    return base.findings(spark, sf).groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line))["line"], "\n"), 256).alias("digest"))
+    joined = lambda rows: F.sha2(F.array_join(F.sort_array(F.collect_list(rows))["line"], "\n"), 256).alias("digest")
+    parts = base.findings(spark, sf).groupBy("source", (F.col("doc_id") % PARTS).alias("part")).agg(joined(line))
+    return parts.groupBy("source").agg(joined(F.struct("part", F.concat_ws(":", F.col("part").cast("string"), "digest").alias("line"))))
