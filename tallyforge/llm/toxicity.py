@@ -99,8 +99,8 @@ PATTERNS = HIT_PATTERNS + TEXT_PATTERNS
 def view(words: list[str], hits: Memo, size: int) -> tuple[dict[int, float], list[str | int], list[int]]:
     """Features of a text, the lexicons and patterns that vote for abuse, and the patterns that vote against."""
     found, places, voters, marked, shouted, spoken = [], [], set(), 0, 0, 0
-    for i, word in enumerate(words):
-        own, lexicons, shout, mark, address = hits[word]
+    # Most words say nothing and are passed over.
+    for i, (own, lexicons, shout, mark, address) in [(i, h) for i, h in enumerate(map(hits.__getitem__, words)) if h]:
         if own:
             found += own
             places.append(i)
@@ -202,7 +202,7 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
 
 
 def hit_memo(index: dict[str, int]) -> Memo:
-    """Word to the feature that it holds (the whole word, else its longest start), its voters, and whether it shouts, marks and addresses."""
+    """Word to the feature that it holds (the whole word, else its longest start), its voters, and whether it shouts, marks and addresses; empty if none of it."""
     starts = [(w, name) for name, words in LEXICONS.items() for w in words]
     roots = set(families_of(list(index)))
 
@@ -213,7 +213,8 @@ def hit_memo(index: dict[str, int]) -> Memo:
         if own is not None and family(own) in roots:
             voters.add(family(own))
         letters = sum(c.isalpha() for c in word)
-        return ((index[own],) if own is not None else ()), tuple(sorted(voters)), letters > 1 and word.isupper(), letters * 2 < len(word) or word[-2:] in ("!!", "??"), low in ADDRESS
+        said = ((index[own],) if own is not None else ()), tuple(sorted(voters)), letters > 1 and word.isupper(), letters * 2 < len(word) or word[-2:] in ("!!", "??"), low in ADDRESS
+        return said if any(said) else ()
 
     return Memo(hit)
 
