@@ -51,15 +51,21 @@ def heads(bags: DataFrame, shared: bool = True, size: int = HEAD) -> DataFrame:
 def pairs(bags: DataFrame, shared: bool = True, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, score): nominated pairs by a token of both heads, within the size bound, with Dice of at least the threshold.
 
-    A document nominates those whose multisets hold a token of its own head.
+    A document nominates those whose multisets hold a token of its own head. Tokens
+    are joined by 64-bit hashes, and those of heads within bands of sizes: the bound
+    lets only documents of the same or the next band be near, so that a
+    token of many heads meets few of them at once.
     """
+    hashed = F.xxhash64("token").alias("token")
     sizes = bags.groupBy("doc_id").agg(F.sum("cnt").alias("n"))
-    own = heads(bags, shared).join(sizes, "doc_id")
-    near = own.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit((20_000 - threshold) / threshold))).cast("int")
+    own = heads(bags, shared).join(sizes, "doc_id").select("doc_id", hashed, "n", band.alias("band"))
+    wide = own.select("doc_id", "token", "n", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    near = own.alias("x").join(wide.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     nominated = near.where(hi * threshold <= lo * (20_000 - threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    left = bags.select(F.col("doc_id").alias("a"), "token", F.col("cnt").alias("ca"))
-    right = bags.select(F.col("doc_id").alias("b"), "token", F.col("cnt").alias("cb"))
+    left = bags.select(F.col("doc_id").alias("a"), hashed, F.col("cnt").alias("ca"))
+    right = bags.select(F.col("doc_id").alias("b"), hashed, F.col("cnt").alias("cb"))
     common = nominated.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.least("ca", "cb")).alias("common"))
     return common.select("a", "b", F.expr("2 * common * 10000 div (na + nb)").alias("score")).where(F.col("score") >= threshold)
 
