@@ -100,3 +100,15 @@ def unit_sizes(spark, sf):
     kind = F.when(k == 0, "file").when(k == 1, "mod").when(k == 2, "impl").when(k == 3, "fn").otherwise("other")
     rows = base.table(spark, sf, "documents").select("doc_id", kind.alias("kind"), F.expr("n_chars div 10").alias("lines"))
     return rows.withColumn("oversized", M.oversized(F.col("kind"), F.col("lines")))
+
+
+@query("SELECT source, coalesce(nullif(count(l.doc_id), 0), nullif(count(*) FILTER (WHERE lang = 'de'), 0), count(*)) AS files, CASE WHEN count(l.doc_id) > 0 THEN count(l.doc_id) = count(*) WHEN count(*) FILTER (WHERE lang = 'de') > 0 THEN bool_and(lang = 'de') ELSE false END AS complete FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")
+def file_inventory(spark, sf):
+    """Files of a source: those the compiler saw (labelled ones), else those a walk found (German ones), else all."""
+    from ..sources import metadata
+
+    seen = base.table(spark, sf, "labels").select("doc_id").distinct().withColumn("seen", F.lit(1))
+    d = base.table(spark, sf, "documents").select("doc_id", "source", "lang").join(seen, "doc_id", "left")
+    n = d.groupBy("source").agg(F.count("seen").alias("c"), F.count_if(F.col("lang") == "de").alias("w"), F.count("*").alias("n"), F.bool_and(F.col("lang") == "de").alias("all_de"))
+    files, complete = metadata.inventory(F.nullif("c", F.lit(0)), F.nullif("w", F.lit(0)), F.col("n"), F.col("c") == F.col("n"), F.col("all_de"))
+    return n.select("source", files.alias("files"), complete.alias("complete"))

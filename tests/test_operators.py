@@ -169,3 +169,79 @@ def test_inactive_detectors_do_not_run(spark):
     assert rules({"email"}) == ["email"] and rules(set()) == []
     plan = fd.detect(docs, {"email"})._jdf.queryExecution().optimizedPlan().toString()
     assert "license" not in plan and "sha2" not in plan
+
+
+def test_metadata_tables(spark):
+    from tallyforge.sources import metadata
+
+    whole = {"workspace_root": "/w", "workspace_members": ["a 1"], "packages": [
+        {"name": "a", "id": "a 1", "edition": "2021", "dependencies": [{"name": "x", "rename": "y", "req": "^1", "kind": None}, {"name": "z", "req": "*", "kind": "dev", "path": "/w/z"}],
+         "targets": [{"name": "a", "kind": ["lib"], "src_path": "/w/src/lib.rs"}], "features": {"default": ["y"], "y": []}},
+        {"name": "b", "id": "b 1", "dependencies": [], "targets": [], "features": {}},
+    ]}
+    packages = metadata.parse(spark.createDataFrame([(json.dumps(whole),), ("{",), (None,)], "value string"))
+    assert sorted((r.name, r.member) for r in packages.collect()) == [("a", True), ("b", False)]
+    assert sorted((r.alias, r.kind, r.path) for r in metadata.dependencies(packages).collect()) == [("y", "normal", None), ("z", "dev", "/w/z")]
+    assert [(r.kinds, r.edition) for r in metadata.targets(packages).collect()] == [(["lib"], "2021")]
+    assert sorted((r.feature, r.activates) for r in metadata.features(packages).collect()) == [("default", "y"), ("y", None)]
+
+
+def test_records_that_do_not_fit_fail(spark, tmp_path):
+    from tallyforge.sources import metadata
+
+    (tmp_path / "good.json").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": "x"}\n')
+    assert metadata.read_records(spark, str(tmp_path / "good.json"), "a int").count() == 2
+    with pytest.raises(Exception):
+        metadata.read_records(spark, str(tmp_path / "bad.json"), "a int").collect()
+
+
+def test_trees_lines_and_sinks(spark, tmp_path):
+    (tmp_path / "tree" / "src").mkdir(parents=True)
+    (tmp_path / "tree" / "src" / "a.rs").write_text("fn a() {}\n// b\n")
+    (tmp_path / "tree" / "b.rs").write_text("x" * 50)
+    (tmp_path / "tree" / "c.txt").write_text("no")
+    tree = files.read_tree(spark, str(tmp_path / "tree"), longest=40)
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.too_long) for r in tree.collect()}
+    assert got == {"a.rs": ("fn a() {}\n// b\n", False), "b.rs": (None, True)}
+    assert files.line_count(tree).first().lines == 2
+    assert {r.value for r in files.read_lines(spark, str(tmp_path / "tree" / "c.txt")).collect()} == {"no"}
+    part, more = files.bounded(F.col("c"), 3)
+    assert [tuple(r) for r in spark.createDataFrame([(b"abcd",), (b"ab",)], "c binary").select(part, more).collect()] == [(b"abc", True), (b"ab", False)]
+    report.write_json(spark.createDataFrame([(1, "a")], "i int, s string"), str(tmp_path / "report"))
+    assert [tuple(r) for r in spark.read.schema("i int, s string").json(str(tmp_path / "report")).collect()] == [(1, "a")]
+    for tsv in (False, True):
+        report.write_catalog(catalog.rule_table(spark), str(tmp_path / f"catalog{tsv}"), tsv)
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "catalogTrue")).count() == spark.read.json(str(tmp_path / "catalogFalse")).count() == len(catalog.rules())
+
+
+def test_words_paths_and_selectors(spark):
+    rows = [("use a_b;", "a_b", "src/tests/a.rs"), ("xa_b", "a_b", "src/a.rs"), ("a.b", "a.b", "fixtures"), ("axb", "a.b", None)]
+    got = spark.createDataFrame(rows, "t string, n string, p string").select(T.mentions(F.col("t"), F.col("n")), T.test_material(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False), (True, True), (False, None)]
+    marks = [("structure::a_b-c", "ab", "é/ %~"), ("A", "a1", ""), ("", "", None)]
+    got = spark.createDataFrame(marks, "r string, c string, e string").select(T.valid_rule(F.col("r")), T.valid_category(F.col("c")), T.encode_component(F.col("e")), T.rule_title(F.col("r"))).collect()
+    assert [tuple(r) for r in got] == [(False, True, "%C3%A9%2F%20%25~", "A b c"), (False, False, "", "A"), (False, False, None, "")]
+
+
+def test_byte_offsets(spark):
+    text = "aé\nxyz\n\U0001f600"
+    raw = text.encode()
+    places = [(line, column) for line in range(0, 5) for column in range(0, 6)]
+    got = spark.createDataFrame([(text, a, b) for a, b in places], "t string, l int, c int").select("l", "c", T.byte_offset(F.col("t"), F.col("l"), F.col("c")).alias("o")).collect()
+    lines = text.split("\n")
+    for r in got:
+        fits = 1 <= r.l <= len(lines) and 1 <= r.c <= len(lines[r.l - 1]) + 1
+        want = len("\n".join([*lines[: r.l - 1], lines[r.l - 1][: r.c - 1]]).encode()) if fits else None
+        assert r.o == want and (want is None or want <= len(raw))
+
+
+def test_repeated_lines_take_time_in_proportion(spark):
+    import time
+
+    from tallyforge.operators import findings as fd
+
+    text = "\n".join(f"a line of some length, number {i % 30_000}" for i in range(40_000))
+    began = time.time()
+    row = fd.detect(spark.createDataFrame([(1, "s", len(text), text)], "doc_id bigint, source string, n_chars bigint, text string"), {"repeated_line"}).first()
+    assert row.occurrences == 10_000 and time.time() - began < 30
