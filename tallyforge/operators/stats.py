@@ -80,12 +80,12 @@ def density_milli(findings: Column, lines: Column) -> Column:
     return F.when(lines > 0, F.floor(findings * 1_000_000 / lines)).otherwise(0).cast("bigint")
 
 
-def precision_status(n: Column, findings: Column, stale: Column) -> Column:
-    """unobserved without findings; publishable when enough of them are reviewed; else incomplete."""
-    enough = (n >= F.least(F.lit(LEAST_REVIEWED), findings)) & (n <= findings) & ~stale
+def precision_status(n: Column, findings: Column, stale: Column, duplicated: Column) -> Column:
+    """unobserved without findings; publishable when enough of them are reviewed, each once and all still observed; else incomplete."""
+    enough = (n >= F.least(F.lit(LEAST_REVIEWED), findings)) & (n <= findings) & ~stale & ~duplicated
     return F.when(findings == 0, "unobserved").when(enough, "publishable").otherwise("incomplete")
 
 
 def admission(tier: Column, fp: Column, n: Column, low: Column, high: Column, threshold: int = NOISE_THRESHOLD) -> Column:
-    """How the corpus gate takes a rule: unproven, refused, noisy, indecisive or admitted."""
+    """How the corpus gate takes a rule: unproven, refused, noisy, indecisive or admitted. All but a refused one are let in."""
     return F.when(n == 0, "unproven").when((tier == "P0") & (fp > 0), "refused").when(rate(fp, n) > threshold, "noisy").when(~(high < threshold), "indecisive").otherwise("admitted")

@@ -97,18 +97,50 @@ def _by_source(spark, sf):
     return every.join(r, "source", "left").fillna(0, ["n", "fp"])
 
 
-@query(f"{SOURCES} SELECT source, findings, n, CASE WHEN findings = 0 THEN 'unobserved' WHEN n >= least(5, findings) AND n <= findings AND NOT (n % 2 = 1 AND n < 9) THEN 'publishable' ELSE 'incomplete' END AS status FROM s")
+# Reviews of a source's findings: a repository is a language, findings are documents of 500 characters and more.
+REVIEWS = """o AS (SELECT source, lang, count(*) AS n FROM documents WHERE n_chars >= 500 GROUP BY source, lang),
+f AS (SELECT d.source, coalesce(sum(o.n), 0) AS findings FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN o USING (source) GROUP BY d.source),
+v AS (SELECT d.source, d.lang, d.n_chars AS line FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id % 3 = 0),
+dup AS (SELECT DISTINCT source FROM (SELECT source FROM v GROUP BY source, lang, line HAVING count(*) > 1)), st AS (SELECT DISTINCT source FROM v ANTI JOIN o USING (source, lang)),
+c AS (SELECT source, count(*) AS n FROM v GROUP BY source)"""
+
+
+@query(f"""WITH {REVIEWS} SELECT source, CAST(findings AS BIGINT) AS findings, coalesce(n, 0) AS n, CASE WHEN findings = 0 THEN 'unobserved' WHEN coalesce(n, 0) >= least(5, findings) AND coalesce(n, 0) <= findings AND source NOT IN (SELECT source FROM dup) AND source NOT IN (SELECT source FROM st) THEN 'publishable' ELSE 'incomplete' END AS status FROM f LEFT JOIN c USING (source)""")
 def precision_status(spark, sf):
-    stale = (F.col("n") % 2 == 1) & (F.col("n") < 9)
-    return _by_source(spark, sf).select("source", "findings", "n", stats.precision_status(F.col("n"), F.col("findings"), stale).alias("status"))
+    """Reviews that repeat a site, or whose site isn't observed any more, hold a rule's rate back."""
+    docs = base.table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    observed = docs.where("n_chars >= 500").groupBy("source", "lang").agg(F.count("*").alias("k"))
+    reviews = docs.where("doc_id % 3 = 0").join(base.table(spark, sf, "labels").select("doc_id"), "doc_id").select("source", "lang", F.col("n_chars").alias("line"))
+    twice = reviews.groupBy("source", "lang", "line").agg(F.count("*").alias("k")).where("k > 1").select("source").distinct().withColumn("duplicated", F.lit(True))
+    stale = reviews.join(observed, ["source", "lang"], "left_anti").select("source").distinct().withColumn("stale", F.lit(True))
+    counted = reviews.groupBy("source").agg(F.count("*").alias("n"))
+    found = docs.select("source").distinct().join(observed.groupBy("source").agg(F.sum("k").alias("findings")), "source", "left")
+    every = found.join(counted, "source", "left").join(twice, "source", "left").join(stale, "source", "left").fillna(0, ["findings", "n"]).fillna(False, ["duplicated", "stale"])
+    return every.select("source", "findings", "n", stats.precision_status(F.col("n"), F.col("findings"), F.col("stale"), F.col("duplicated")).alias("status"))
 
 
-@query(f"""{SOURCES}, w AS (SELECT *, CASE WHEN source LIKE '%1' THEN 'P0' ELSE 'P3' END AS tier, {_wilson('fp', 'n', '')} FROM s)
-  SELECT source, CASE WHEN n = 0 THEN 'unproven' WHEN tier = 'P0' AND fp > 0 THEN 'refused' WHEN fp * 10000 // n > 500 THEN 'noisy' WHEN NOT high < 500 THEN 'indecisive' ELSE 'admitted' END AS admission FROM w""")
-def corpus_gate(spark, sf):
+GATE = f"""{SOURCES}, w AS (SELECT *, CASE WHEN source LIKE '%1' THEN 'P0' ELSE 'P3' END AS tier, {_wilson('fp', 'n', '')} FROM s WHERE source NOT LIKE '%7'),
+g AS (SELECT source, CASE WHEN n = 0 THEN 'unproven' WHEN tier = 'P0' AND fp > 0 THEN 'refused' WHEN fp * 10000 // n > 500 THEN 'noisy' WHEN NOT high < 500 THEN 'indecisive' ELSE 'admitted' END AS admission FROM w)"""
+
+
+def _gate(spark, sf):
+    """Rules (sources) that are on by default, and how the gate takes them."""
     tier = F.when(F.col("source").endswith("1"), "P0").otherwise("P3")
     low, high = stats.wilson(F.col("fp"), F.col("n"))
-    return _by_source(spark, sf).select("source", stats.admission(tier, F.col("fp"), F.col("n"), low, high).alias("admission"))
+    rules = _by_source(spark, sf).where(~F.col("source").endswith("7"))
+    return rules.select("source", stats.admission(tier, F.col("fp"), F.col("n"), low, high).alias("admission"))
+
+
+@query(f"{GATE} SELECT source, admission, admission <> 'refused' AS admitted FROM g")
+def corpus_gate(spark, sf):
+    return _gate(spark, sf).withColumn("admitted", F.col("admission") != "refused")
+
+
+@query(f"{GATE} SELECT CASE WHEN bool_or(admission = 'refused') THEN 'failed' ELSE 'passed' END AS verdict, count(*) FILTER (WHERE admission = 'refused') AS refused FROM g")
+def corpus_verdict(spark, sf):
+    """The gate fails if it refuses any rule."""
+    n = F.count_if(F.col("admission") == "refused")
+    return _gate(spark, sf).agg(F.when(n > 0, "failed").otherwise("passed").alias("verdict"), n.alias("refused"))
 
 
 @query("""WITH p AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) - 1 AS position, count(*) OVER (PARTITION BY source) AS n FROM documents)
