@@ -117,12 +117,14 @@ def duplicate_majors(spark, sf):
     return rows.groupBy("name").agg(F.count_distinct("major").alias("majors"), F.concat_ws(", ", F.array_sort(F.collect_set("version"))).alias("versions")).where("majors > 1")
 
 
-@query("SELECT doc_id, n, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents) WHERE n BETWEEN 2 AND 5")
+@query("SELECT doc_id, site AS line, n AS number, left(content, 8192) AS content FROM (SELECT doc_id, doc_id % 7 + 1 AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents) WHERE n >= greatest(site - 2, 1) AND n < greatest(site - 2, 1) + 5")
 def line_window(spark, sf):
-    """Lines around the fourth: two before it, one after."""
-    docs = base.documents(spark, sf)
-    lines = docs.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 5)).alias("at", "line"))
-    return lines.select("doc_id", (F.col("at") + 1).cast("bigint").alias("n"), "line").where("n between 2 and 5")
+    """The code frame of a site in each document: from two lines before it, five at most."""
+    from ..operators import report
+
+    docs = base.documents(spark, sf).select("doc_id", "text")
+    sites = base.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7 + 1).alias("line"))
+    return report.code_frame(docs, sites, "doc_id").select("doc_id", "line", F.col("number").cast("bigint").alias("number"), "content")
 
 
 @query("SELECT page_id, length(html) AS n, length(html) >= 5000 AS oversized FROM pages WHERE html IS NOT NULL")
