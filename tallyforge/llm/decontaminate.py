@@ -186,7 +186,7 @@ def space(z: np.ndarray, df: np.ndarray, n: int) -> dict:
     return {"basis": latent(z, df, n), "rare": df <= RARE * n}
 
 
-def lcs(words: list[str], masks: dict[str, int], n: int) -> int:
+def lcs(words: list, masks: dict, n: int) -> int:
     """Bits of the longest common subsequence with a text whose words have the places in ``masks``."""
     full = (1 << n) - 1
     v = full
@@ -197,8 +197,8 @@ def lcs(words: list[str], masks: dict[str, int], n: int) -> int:
     return full & ~v
 
 
-def masks_of(words: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
+def masks_of(words: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << i
     return out
@@ -230,7 +230,7 @@ class Search:
             terms = [term(w) for w in words]
             q = self.basis[terms].sum(axis=0)
             least = int(np.ceil(self.rare[terms].sum() - (1 - LEAST_ITEM) * n - 1e-9))
-            item = {"key": key, "n": n, "k": k, "masks": masks_of(words), "answer": masks_of(words[-k:]), "q": q / (np.linalg.norm(q) + 1e-9), "least": least, "terms": terms}
+            item = {"key": key, "n": n, "k": k, "masks": masks_of(words), "by_term": masks_of(terms), "answer": masks_of(words[-k:]), "q": q / (np.linalg.norm(q) + 1e-9), "least": least, "terms": terms}
             groups.setdefault(-(-(n + STRIDE - 1) // STRIDE), []).append(item)
         self.groups = []
         for steps, own in sorted(groups.items()):
@@ -280,11 +280,11 @@ class Search:
             for lo in range(0, len(real), some):
                 part = real[lo : lo + some]
                 own = self._own_words(flat[part[0] * STRIDE : (part[-1] + n) * STRIDE], group)
-                part_of = folded[part]
-                cosine = part_of @ q.T / (np.sqrt((part_of * part_of).sum(axis=1))[:, None] + 1e-9)
-                bound = own[part - part[0]]
+                unit = folded[part]
+                unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None] + 1e-9
+                cosine = unit @ q.T
                 close = cosine >= CLOSE
-                found_at, found_j = np.nonzero(bound | close)
+                found_at, found_j = np.divmod(np.flatnonzero(own[part - part[0]] | close), len(items))
                 # No common subsequence is longer than the window's words that the item has.
                 shared = np.zeros(len(found_at), np.int32)
                 at, of = part[found_at] * STRIDE, found_j * (TERMS + 1)
@@ -293,6 +293,10 @@ class Search:
                 long = shared >= np.where(close[found_at, found_j], close_enough[found_j], enough[found_j])
                 for at, j in zip(found_at[long].tolist(), found_j[long].tolist(), strict=True):
                     step = int(part[at])
+                    # By terms first, which words share: no less than by words, and the text needn't be split again.
+                    least = (CLOSE_ITEM if close[at, j] else LEAST_ITEM) * items[j]["n"] - 1e-9
+                    if lcs(flat[step * STRIDE : (step + n) * STRIDE].tolist(), items[j]["by_term"], items[j]["n"]).bit_count() < least:
+                        continue
                     text, item = int(np.searchsorted(begin, step * STRIDE, "right")) - 1, items[j]
                     if text not in split:
                         split[text] = words_of(texts[text])
