@@ -68,8 +68,8 @@ def policy_precedence(spark, sf):
     return _plan(spark)
 
 
-@query(f"""WITH {FINDINGS}, {PLAN} SELECT f.rule, f.source, CASE WHEN p.level_source = 'default' THEN f.severity WHEN p.level = 'warn' THEN 'warning' ELSE p.level END AS severity, count(*) AS n
-  FROM findings f JOIN plan p USING (rule) WHERE p.level <> 'off' GROUP BY ALL""")
+@query(f"""WITH {FINDINGS}, {PLAN} SELECT f.rule, f.source, CASE WHEN coalesce(p.level_source, 'default') = 'default' THEN f.severity WHEN p.level = 'warn' THEN 'warning' ELSE p.level END AS severity, count(*) AS n
+  FROM findings f LEFT JOIN plan p USING (rule) WHERE coalesce(p.level, 'warn') <> 'off' GROUP BY ALL""")
 def policy_restamp(spark, sf):
     plan = F.broadcast(_plan(spark))  # six rows
     return fd.restamp(fd.drop_inactive(base.findings(spark, sf), plan), plan).groupBy("rule", "source", "severity").agg(F.count("*").alias("n"))
@@ -110,6 +110,11 @@ def _valued(spark, sf):
     return score.contributions(_rules(spark, sf)[0], "source")
 
 
+def _sure(spark, sf):
+    """Contributions in the sources whose score can be relied on; all rules are asked, also those without a dimension."""
+    return score.contributions(score.published(_rules(spark, sf)[0], "source"), "source")
+
+
 @query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, contribution, repair_value FROM repairs")
 def repair_contribution(spark, sf):
     return _valued(spark, sf).select("source", "rule", "contribution", "repair_value")
@@ -117,12 +122,12 @@ def repair_contribution(spark, sf):
 
 @query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, repair_value, row_number() OVER (PARTITION BY source ORDER BY repair_value DESC, contribution DESC, rule) AS rank FROM repairs SEMI JOIN sure USING (source) WHERE contribution > 0 AND repair_value > 0")
 def repair_ranking(spark, sf):
-    return score.ranking(score.published(_valued(spark, sf), "source"), "source").select("source", "rule", "repair_value", F.col("rank").cast("bigint").alias("rank"))
+    return score.ranking(_sure(spark, sf), "source").select("source", "rule", "repair_value", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS} SELECT source, rule, contribution, row_number() OVER (PARTITION BY source ORDER BY contribution DESC, rule) AS rank FROM repairs SEMI JOIN sure USING (source) WHERE contribution > 0 AND repair_value = 0")
 def withheld_rules(spark, sf):
-    return score.withheld(score.published(_valued(spark, sf), "source"), "source").select("source", "rule", "contribution", F.col("rank").cast("bigint").alias("rank"))
+    return score.withheld(_sure(spark, sf), "source").select("source", "rule", "contribution", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS},
