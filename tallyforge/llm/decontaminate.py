@@ -241,12 +241,16 @@ class Search:
             least, enough = np.array([i["least"] for i in own]), np.array([LEAST_ITEM * i["n"] - 1e-9 for i in own])
             plain = int(np.searchsorted(least, 1))  # so many items have too few rare words to be told by these
             by_term = np.ascontiguousarray(holds.T).view(np.uint8)
+            # The least of these words that a near copy's window holds, and the least that a paraphrase's does.
             bound = np.where(np.arange(len(own)) < plain, np.ceil(enough), least).astype(np.uint16)
-            self.groups.append((steps, own, np.stack([i["q"] for i in own]), holds, enough, plain, np.ascontiguousarray(by_term[:, :plain]), np.ascontiguousarray(by_term[:, plain:]), bound))
+            words = np.array([i["n"] for i in own])
+            counted = np.where(np.arange(len(own)) < plain, words, [self.rare[i["terms"]].sum() for i in own])
+            close_bound = np.maximum(np.ceil(counted - (1 - CLOSE_ITEM) * words - 1e-9), 0).astype(np.uint16)
+            self.groups.append((steps, own, np.stack([i["q"] for i in own]), holds, enough, plain, np.ascontiguousarray(by_term[:, :plain]), np.ascontiguousarray(by_term[:, plain:]), bound, close_bound))
 
     def _own_words(self, flat: np.ndarray, group: tuple) -> np.ndarray:
-        """For each stride of ``flat`` that begins a window, and each item, whether the window holds enough of the item's words."""
-        n, items, _, _, enough, plain, every, rare, bound = group
+        """For each stride of ``flat`` that begins a window, and each item, how many of the item's words (of most items, of its rare words) the window holds."""
+        n, items, _, _, _, plain, every, rare, _, _ = group
         held = np.zeros((len(flat) // STRIDE + 1, len(items)), np.uint16)  # sums may wrap, their differences are small
         if plain:
             held[1:, :plain] = every.take(flat, axis=0).reshape(-1, STRIDE, plain).sum(axis=1, dtype=np.uint16)
@@ -256,7 +260,7 @@ class Search:
             first = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
             held[step[first] + 1, plain:] = np.add.reduceat(rare.take(flat[at], axis=0), first, axis=0, dtype=np.uint16)
         np.cumsum(held, axis=0, dtype=np.uint16, out=held)
-        return held[n:] - held[:-n] >= bound
+        return held[n:] - held[:-n]
 
     def __call__(self, texts: list[str]):
         ids, sizes = terms_of(texts, self.memo)
@@ -272,6 +276,7 @@ class Search:
         folded, long_ = rows.copy(), 1  # the windows of so many strides from each stride on
         for group in self.groups:
             n, items, q, holds, enough = group[:5]
+            bound, close_bound = group[-2:]
             close_enough = np.array([CLOSE_ITEM * i["n"] - 1e-9 for i in items])
             some = max(256, min(8192, 4_000_000 // len(items)))
             for i in range(long_, n):
@@ -283,8 +288,9 @@ class Search:
                 unit = folded[part]
                 unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None] + 1e-9
                 cosine = unit @ q.T
-                close = cosine >= CLOSE
-                found_at, found_j = np.divmod(np.flatnonzero(own[part - part[0]] | close), len(items))
+                own = own[part - part[0]]
+                close = (cosine >= CLOSE) & (own >= close_bound)
+                found_at, found_j = np.divmod(np.flatnonzero((own >= bound) | close), len(items))
                 # No common subsequence is longer than the window's words that the item has.
                 shared = np.zeros(len(found_at), np.int32)
                 at, of = part[found_at] * STRIDE, found_j * (TERMS + 1)
