@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, gif, htmltext, packing, pii, quality, secrets, simhash, toxicity
+from . import alignment, ctw, decontaminate, gif, htmltext, intervals, packing, pieces, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_ordinal": quality.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii_boost": pii.query,
     "op9_html_suffix": htmltext.query,
     "op10_lm_ctw": ctw.query,
+    "op11_align_merge": alignment.query,
+    "op12_pieces_offsets": pieces.query,
+    "op13_overlap_fenwick": intervals.query,
 }
-#: SQL can't express the fitted models and searches; tests hold the queries against brute force.
-ORACLE: dict[str, str] = {}
+#: SQL can't express the fitted models, tokenizers and searches; tests hold those queries against brute force.
+ORACLE: dict[str, str] = {"op13_overlap_fenwick": intervals.SQL}
