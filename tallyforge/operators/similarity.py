@@ -75,3 +75,27 @@ def near_families(found: DataFrame) -> DataFrame:
     roots = components(found)
     weakest = found.join(roots, found.a == roots.node).groupBy("root").agg(F.min("score").alias("weakest"))
     return roots.groupBy("root").agg(F.count("*").alias("members")).join(weakest, "root")
+
+
+def near_of(bags: DataFrame, asked: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(q, o, score): for each asked document (doc_id) all others with Dice of at least the threshold; none is missed.
+
+    Two multisets that near share at least so many tokens that, with each one's tokens
+    in the order of their frequency, the rarest ones of both meet: only as many are
+    joined as that takes, so common tokens nominate nobody.
+    """
+    sizes = bags.groupBy("doc_id").agg(F.sum("cnt").alias("n"))
+    known = bags.join(frequencies(bags).select("token", "df"), "token").join(sizes, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy("df", "token")
+    before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The least overlap with any partner is that with the smallest one: t / (2 - t) of the size, rounded up.
+    least = F.expr(f"(n * {threshold} + {20_000 - threshold} - 1) div {20_000 - threshold}")
+    heads = known.withColumn("before", before).where(F.col("before") <= F.col("n") - least).select("doc_id", "token", "n")
+    q = heads.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("q"), "token", F.col("n").alias("nq"))
+    o = heads.select(F.col("doc_id").alias("o"), "token", F.col("n").alias("no"))
+    fits = F.greatest("nq", "no") * threshold <= F.least("nq", "no") * (20_000 - threshold)
+    nominated = q.join(o, "token").where((F.col("q") != F.col("o")) & fits).select("q", "o", "nq", "no").distinct()
+    left = bags.select(F.col("doc_id").alias("q"), "token", F.col("cnt").alias("cq"))
+    right = bags.select(F.col("doc_id").alias("o"), "token", F.col("cnt").alias("co"))
+    common = nominated.join(left, "q").join(right, ["o", "token"]).groupBy("q", "o", "nq", "no").agg(F.sum(F.least("cq", "co")).alias("common"))
+    return common.select("q", "o", F.expr("2 * common * 10000 div (nq + no)").alias("score")).where(F.col("score") >= threshold)
