@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lines that a unit of each kind may have, settings that switch checks off, and what counts as full debug and stripped.
+# Lines from which a unit of each kind is too large, settings that switch checks off, and what counts as full debug and stripped.
 BOUNDS = {"file": 1000, "mod": 500, "impl": 500, "fn": 150}
 OFF = ("off", "false", "no", "n", "0")
 FULL_DEBUG, STRIPPED = ("true", "2", "full"), ("true", "symbols", "debuginfo")
@@ -13,11 +13,11 @@ FULL_DEBUG, STRIPPED = ("true", "2", "full"), ("true", "symbols", "debuginfo")
 
 
 def oversized(kind: Column, lines: Column) -> Column:
-    """Whether a unit has more lines than its kind may have; other kinds are not judged."""
+    """Whether a unit has as many lines as its kind may not reach; other kinds are not judged."""
     most = F.lit(None).cast("int")
     for name, n in BOUNDS.items():
         most = F.when(kind == name, n).otherwise(most)
-    return F.coalesce(lines > most, F.lit(False))
+    return F.coalesce(lines >= most, F.lit(False))
 
 
 def unchecked_overflow(binary: Column, overflow_checks: Column) -> Column:
@@ -50,19 +50,14 @@ def neutralizing(arguments: Column) -> Column:
     return F.filter(F.transform(beside, flag), lambda f: f.isNotNull())
 
 
-def attribute_arguments(text: Column) -> Column:
-    """The arguments of an attribute's list, split at commas outside of quotes and brackets, trimmed, empty ones left out."""
-    parts = F.regexp_extract_all(text, F.lit(r'(?:[^,"(\[]|"(?:[^"\\]|\\.)*"|\([^)]*\)|\[[^\]]*\])+'), F.lit(0))
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
-
-
 def lints_of(arguments: Column) -> Column:
-    return F.filter(arguments, lambda a: ~a.rlike(r"^reason\s*="))
+    """The lints among an attribute's arguments (as ``split_arguments`` gives them), each once and in order."""
+    return F.array_sort(F.array_distinct(F.filter(arguments, lambda a: ~a.startswith('reason="'))))
 
 
 def unreasoned(arguments: Column) -> Column:
     """An attribute that allows lints without a reason."""
-    return (F.size(lints_of(arguments)) > 0) & (F.size(lints_of(arguments)) == F.size(arguments))
+    return (F.size(lints_of(arguments)) > 0) & ~F.exists(arguments, lambda a: a.startswith('reason="'))
 
 
 def crate_level(inner: Column, place: Column, arguments: Column) -> Column:

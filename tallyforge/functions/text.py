@@ -16,6 +16,7 @@ CREDENTIALS = (
 KEY_BEGIN, PRIVATE_KEY = "-----BEGIN ", r"^[A-Z ]*PRIVATE KEY-----"
 PROOF_BYTES = 65_536
 TEST_FOLDERS = ("tests", "fixtures", "testdata")
+WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 GENERATED = r"@generated|DO NOT EDIT|Automatically generated|automatically generated"
 # End of the fixed values.
 
@@ -90,14 +91,43 @@ def mentions(text: Column, name: Column) -> Column:
 
 
 def proof(text: Column, start: Column, length: Column) -> Column:
-    """The text under a span, white space runs as one blank; null if empty or beyond 65,536 bytes."""
-    return words_only(F.substr(text, start, length))
+    """The text under a span as ``proof_words`` gives it."""
+    return proof_words(F.substr(text, start, length))
 
 
 def words_only(text: Column) -> Column:
-    """Words with one blank between them; null if there is none, or more than a proof may hold."""
-    got = F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "))
-    return F.when((got != "") & (F.octet_length(got) <= PROOF_BYTES), got)
+    """Words with one blank between them; null if there is none."""
+    return F.nullif(F.trim(F.regexp_replace(text, f"[{WHITE}]+", " ")), F.lit(""))
+
+
+def proof_words(raw: Column) -> Column:
+    """What a span shows as words; null if that is nothing, or if the span itself is longer than a proof may be."""
+    return F.when(F.octet_length(raw) <= PROOF_BYTES, words_only(raw))
+
+
+def first_bytes(line: Column, most: int) -> Column:
+    """A line cut to so many bytes, back to the end of a character."""
+    raw = F.encode(line, "UTF-8")
+    goes_on = lambda end: F.hex(F.substring(raw, end + 1, 1)).between("80", "BF")
+    end = F.lit(most - 3)
+    for k in (most - 2, most - 1, most):
+        end = F.when(~goes_on(k), k).otherwise(end)
+    return F.when(F.octet_length(line) <= most, line).otherwise(F.decode(F.substr(raw, F.lit(1), end), "UTF-8"))
+
+
+def dep_info(text: Column) -> Column:
+    """Paths of the first rule of a dep-info file; null if it has no rule or ends in an open escape.
+
+    The rule's list begins at the first colon before white space and ends at the first
+    line break without a backslash. A backslash stands before a blank, a tab, #, : or
+    another one, continues a line, and else is itself.
+    """
+    behind = F.regexp_extract(text, r"(?s)^.*?:(?=\s)(.*)$", 1)
+    body = F.regexp_extract(behind, r"^(?:[^\\\n\r]|\\\r\n|\\[\n \t#:\\]|\\(?=[^\n \t#:\\]))*+", 0)
+    open_end = (F.length(body) + 1 == F.length(behind)) & behind.endswith("\\")
+    units = F.regexp_extract_all(body, F.lit(r"(?:\\\r?\n|\\[ \t#:\\]|\\|[^\\\s])++"), F.lit(0))
+    paths = F.transform(units, lambda u: F.regexp_replace(u, r"\\(?:\r?\n|([ \t#:\\]))", "$1"))
+    return F.when(text.rlike(r":\s") & ~open_end, F.filter(paths, lambda p: p != ""))
 
 
 def valid_rule(selector: Column) -> Column:

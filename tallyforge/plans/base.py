@@ -36,6 +36,9 @@ def rules_and_sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return every.where(F.col("rule") != fd.SIZE).drop("rows"), sizes_
 
 
+#: White space of Unicode, as DuckDB's patterns write it.
+WHITE = r"\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 FINDINGS = r"""
 docs AS (SELECT doc_id, source, lang, n_chars, coalesce(text, '') AS text FROM documents),
 long_lines AS (SELECT doc_id, source, line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE length(line) > 20),

@@ -117,14 +117,19 @@ def duplicate_majors(spark, sf):
     return rows.groupBy("name").agg(F.count_distinct("major").alias("majors"), F.concat_ws(", ", F.array_sort(F.collect_set("version"))).alias("versions")).where("majors > 1")
 
 
-@query("SELECT doc_id, site AS line, n AS number, left(content, 8192) AS content FROM (SELECT doc_id, doc_id % 7 + 1 AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents) WHERE n >= greatest(site - 2, 1) AND n < greatest(site - 2, 1) + 5")
+# Every third text has carriage returns, every 20th is one line: such a line is cut at a character.
+FRAMED = "SELECT doc_id, doc_id % 7 + 1 AS site, CASE WHEN doc_id % 20 = 1 THEN replace(t, chr(10), ' ') WHEN doc_id % 3 = 0 THEN replace(t, chr(10), chr(13) || chr(10)) ELSE t END AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+
+@query(f"WITH f AS ({FRAMED}), x AS (SELECT doc_id, site, string_split(text, chr(10)) AS s, greatest(site - 2, 1) AS first FROM f), l AS (SELECT doc_id, site, unnest(s[first:first + 4]) AS content, first + generate_subscripts(s[first:first + 4], 1) - 1 AS n FROM x), c AS (SELECT doc_id, site, n, regexp_replace(content, chr(13) || '$', '') AS content FROM l) SELECT doc_id, site AS line, n AS number, CASE WHEN strlen(content) <= 8192 THEN content ELSE content[1:len(list_filter(range(1, 8193), lambda k: strlen(content[1:k]) <= 8192))] END AS content FROM c")
 def line_window(spark, sf):
     """The code frame of a site in each document: from two lines before it, five at most."""
     from ..operators import report
 
-    docs = base.documents(spark, sf).select("doc_id", "text")
-    sites = base.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7 + 1).alias("line"))
-    return report.code_frame(docs, sites, "doc_id").select("doc_id", "line", F.col("number").cast("bigint").alias("number"), "content")
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    shaped = F.when(k % 20 == 1, F.replace(text, F.lit("\n"), F.lit(" "))).when(k % 3 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    rows = base.table(spark, sf, "documents").select("doc_id", (k % 7 + 1).alias("line"), shaped.alias("text"))
+    return report.code_frame(rows, ["doc_id", "line"]).select("doc_id", "line", F.col("number").cast("bigint").alias("number"), "content")
 
 
 @query("SELECT page_id, length(html) AS n, length(html) >= 5000 AS oversized FROM pages WHERE html IS NOT NULL")

@@ -144,13 +144,13 @@ def position_offset(spark, sf):
     return docs.select("doc_id", "line", "col", T.byte_offset(F.col("text"), F.col("line"), F.col("col")).alias("byte_offset"))
 
 
-@query(f"WITH {LINES}, e AS (SELECT doc_id, trim(regexp_replace(s[line][col:] || CASE WHEN line < len(s) THEN chr(10) || s[line + 1] ELSE '' END, '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS proof FROM l WHERE line <= len(s) AND col <= length(s[line])) SELECT doc_id, proof FROM e WHERE proof <> '' AND strlen(proof) <= 65536")
+@query(f"WITH {LINES}, r AS (SELECT doc_id, s[line][col:] || CASE WHEN line < len(s) THEN chr(10) || s[line + 1] ELSE '' END AS raw FROM l WHERE line <= len(s) AND col <= length(s[line])), e AS (SELECT doc_id, raw, trim(regexp_replace(raw, '[{base.WHITE}]+', ' ', 'g')) AS proof FROM r) SELECT doc_id, proof FROM e WHERE proof <> '' AND strlen(raw) <= 65536")
 def span_evidence(spark, sf):
     """What a finding's span shows: from its place to the end of the line after it, as words."""
     docs = base.documents(spark, sf).select("doc_id", F.split("text", "\n").alias("s"), (F.col("doc_id") % 6 + 1).cast("int").alias("line"), (F.col("doc_id") % 11 + 1).cast("int").alias("col"))
     here, after = F.try_element_at("s", F.col("line")), F.try_element_at("s", F.col("line") + 1)
     shown = F.concat(F.substr(here, F.col("col")), F.coalesce(F.concat(F.lit("\n"), after), F.lit("")))
-    found = docs.where(F.col("col") <= F.length(here)).select("doc_id", T.words_only(shown).alias("proof"))
+    found = docs.where(F.col("col") <= F.length(here)).select("doc_id", T.proof_words(shown).alias("proof"))
     return found.where("proof is not null")
 
 

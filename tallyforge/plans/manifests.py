@@ -79,26 +79,54 @@ def path_outside_workspace(spark, sf):
     return base.table(spark, sf, "supplier").select("s_suppkey", F.coalesce(T.leaves(root, path), F.lit(False)).alias("outside"))
 
 
-ATTRIBUTE = "SELECT p_partkey, p_size % 2 = 0 AS inner_, CASE p_size % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'module' ELSE 'fn' END AS place, replace(p_name, ' ', ', ') || CASE p_partkey % 4 WHEN 0 THEN ', reason = \"so, it is\"' WHEN 1 THEN ',' WHEN 2 THEN ', all(a, b)' ELSE '' END AS written, replace(p_name, ' ', '|') || CASE p_partkey % 4 WHEN 2 THEN '|all(a, b)' ELSE '' END AS lints, p_partkey % 4 = 0 AS reasoned FROM part"
+TAILS = ('reason = "so, it is"', "", "any(all(x, y), [z, {u, v}]), w", "k(a, b) /* c, d */, e", "dup, dup)")
+WRITTEN = "SELECT p_partkey, p_size, replace(p_name, ' ', ', ') || ',' || " + "CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN ' {t}'" for i, t in enumerate(TAILS)) + " END AS written FROM part"
+#: Characters with their depth outside of quotes and comments; those at commas of depth 0 are cut.
+SPLIT = f"""w AS ({WRITTEN}), c AS (SELECT p_partkey, p_size, unnest(string_split(regexp_replace(written, '/\\*.*?\\*/', '', 'g'), '')) AS c, generate_subscripts(string_split(regexp_replace(written, '/\\*.*?\\*/', '', 'g'), ''), 1) AS i FROM w),
+q AS (SELECT *, sum(CASE WHEN c = '"' THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) % 2 = 1 AS quoted FROM c),
+d AS (SELECT *, sum(CASE WHEN quoted THEN 0 WHEN c IN ('(', '[', '{{') THEN 1 WHEN c IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS s FROM q),
+e AS (SELECT *, s - least(min(s) OVER (PARTITION BY p_partkey ORDER BY i), 0) AS depth FROM d),
+f AS (SELECT *, c = ',' AND NOT quoted AND depth = 0 AS cut FROM e),
+g AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS part FROM f),
+arguments AS (SELECT p_partkey, p_size, part, string_agg(c, '' ORDER BY i) AS a FROM g WHERE NOT cut AND (quoted OR c NOT IN (' ', chr(10), chr(9))) GROUP BY p_partkey, p_size, part)"""
 
 
-@query(f"SELECT p_partkey, lints, NOT reasoned AS unreasoned, inner_ AND place IN ('file', 'module') AS crate_level FROM ({ATTRIBUTE})")
+def _arguments(spark, sf):
+    from ..operators import nesting
+
+    k = F.col("p_partkey") % 5
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), (k + 1).cast("int"))
+    rows = base.table(spark, sf, "part").select("p_partkey", F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit(", "), tail).alias("written"))
+    return nesting.split_arguments(rows, "p_partkey", "written")
+
+
+@query(f"WITH {SPLIT} SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY part) AS place, a AS argument FROM arguments")
+def attribute_arguments(spark, sf):
+    """Attributes written out with nested lists, quotes and comments, and split again."""
+    return _arguments(spark, sf).select("p_partkey", F.col("place").cast("bigint").alias("place"), "argument")
+
+
+@query(f"""WITH {SPLIT} SELECT p_partkey, coalesce(array_to_string(list_sort(list_distinct(list(a) FILTER (WHERE NOT starts_with(a, 'reason="')))), '|'), '') AS lints, count(*) FILTER (WHERE NOT starts_with(a, 'reason="')) > 0 AND NOT bool_or(starts_with(a, 'reason="')) AS unreasoned, any_value(p_size) % 2 = 0 AND any_value(p_size) % 3 < 2 AND count(*) FILTER (WHERE NOT starts_with(a, 'reason="')) > 0 AS crate_level FROM arguments GROUP BY p_partkey""")
 def suppressions(spark, sf):
-    """Attributes written out and split again: their lints, and the two rules of single attributes."""
-    k = F.col("p_partkey") % 4
-    tail = F.when(k == 0, ', reason = "so, it is"').when(k == 1, ",").when(k == 2, ", all(a, b)").otherwise("")
+    """The lints of each attribute, and the two rules of single attributes."""
+    each = _arguments(spark, sf).groupBy("p_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "argument"))), lambda x: x["argument"]).alias("a"))
     size = F.col("p_size")
     place = F.when(size % 3 == 0, "file").when(size % 3 == 1, "module").otherwise("fn")
-    rows = base.table(spark, sf, "part").select("p_partkey", (size % 2 == 0).alias("inner_"), place.alias("place"), M.attribute_arguments(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), tail)).alias("a"))
+    rows = base.table(spark, sf, "part").select("p_partkey", (size % 2 == 0).alias("inner_"), place.alias("place")).join(each, "p_partkey")
     return rows.select("p_partkey", F.array_join(M.lints_of(F.col("a")), "|").alias("lints"), M.unreasoned(F.col("a")).alias("unreasoned"), M.crate_level(F.col("inner_"), F.col("place"), F.col("a")).alias("crate_level"))
 
 
-@query("SELECT doc_id, kind, lines, lines > CASE kind WHEN 'file' THEN 1000 WHEN 'fn' THEN 150 WHEN 'other' THEN 1000000000 ELSE 500 END AS oversized FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'file' WHEN 1 THEN 'mod' WHEN 2 THEN 'impl' WHEN 3 THEN 'fn' ELSE 'other' END AS kind, n_chars // 10 AS lines FROM documents)")
+BOUND = "CASE kind WHEN 'file' THEN 1000 WHEN 'fn' THEN 150 WHEN 'other' THEN 1000000000 ELSE 500 END"
+
+
+@query(f"SELECT doc_id, kind, CASE WHEN doc_id % 6 = 0 THEN {BOUND} ELSE lines END AS lines, kind <> 'other' AND (doc_id % 6 = 0 OR lines >= {BOUND}) AS oversized FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'file' WHEN 1 THEN 'mod' WHEN 2 THEN 'impl' WHEN 3 THEN 'fn' ELSE 'other' END AS kind, n_chars // 10 AS lines FROM documents)")
 def unit_sizes(spark, sf):
-    """Documents as units of four kinds, and one that isn't judged; a line has ten characters."""
+    """Documents as units of four kinds, and one that isn't judged; a line has ten characters, and every sixth unit is at its bound."""
     k = F.col("doc_id") % 5
     kind = F.when(k == 0, "file").when(k == 1, "mod").when(k == 2, "impl").when(k == 3, "fn").otherwise("other")
+    bound = F.when(F.col("kind") == "file", 1000).when(F.col("kind") == "fn", 150).when(F.col("kind") == "other", 1_000_000_000).otherwise(500)
     rows = base.table(spark, sf, "documents").select("doc_id", kind.alias("kind"), F.expr("n_chars div 10").alias("lines"))
+    rows = rows.withColumn("lines", F.when(F.col("doc_id") % 6 == 0, bound).otherwise(F.col("lines")).cast("bigint"))
     return rows.withColumn("oversized", M.oversized(F.col("kind"), F.col("lines")))
 
 

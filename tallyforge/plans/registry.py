@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import checks, findings, identities, manifests, relations, similarity, statistics, structure  # noqa: E402, F401
+from . import checks, evidence, findings, identities, manifests, relations, similarity, statistics, structure  # noqa: E402, F401

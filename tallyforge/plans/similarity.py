@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import delta
+from ..operators.graph import settle
 from ..operators import similarity as sim
 from . import base
 from .registry import query
@@ -48,8 +49,6 @@ def near_clone_pairs(spark, sf):
   walk(node, seen) AS (SELECT a, a FROM both_ UNION SELECT w.node, b.b FROM walk w JOIN both_ b ON b.a = w.seen), roots AS (SELECT node, min(seen) AS root FROM walk GROUP BY node)
   SELECT root, count(*) AS members, (SELECT min(score) FROM e JOIN roots r2 ON r2.node = e.a WHERE r2.root = roots.root) AS weakest FROM roots GROUP BY root""")
 def near_clone_families(spark, sf):
-    from ..operators.graph import settle
-
     return sim.near_families(settle(sim.pairs(_bags(spark, sf))))
 
 
@@ -62,8 +61,6 @@ def rare_tokens_topk(spark, sf):
   SELECT (SELECT count(*) FROM scored WHERE score >= 8000 AND (a % 100 = 0 OR b % 100 = 0)) AS nominated, (SELECT count(DISTINCT (least(q, o), greatest(q, o))) FROM every WHERE score >= 8000) AS exhaustive""")
 def nomination_recall(spark, sf):
     """Pairs of the documents whose id 100 divides, with all others: those found by heads, and all by every shared token."""
-    from ..operators.graph import settle
-
     bags = settle(_bags(spark, sf))
     sizes = bags.groupBy("doc_id").agg(F.sum("cnt").alias("n"))
     hashed = F.xxhash64("token").alias("token")
@@ -77,7 +74,7 @@ def nomination_recall(spark, sf):
 
 
 # Two scans: documents as they are, and with some dropped, moved or edited.
-SCANS = """base AS (SELECT doc_id AS idx, source AS path, lang AS origin, CASE WHEN doc_id % 4 > 0 THEN 'c' || doc_id % 3 END AS code, 'len ' || n_chars % 50 AS message, CASE WHEN doc_id % 6 > 0 AND words <> '' AND strlen(words) <= 65536 THEN words END AS proof FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS words FROM documents)),
+SCANS = f"""base AS (SELECT doc_id AS idx, source AS path, lang AS origin, CASE WHEN doc_id % 4 > 0 THEN 'c' || doc_id % 3 END AS code, 'len ' || n_chars % 50 AS message, CASE WHEN doc_id % 6 > 0 AND words <> '' AND strlen(coalesce(text, '')) <= 65536 THEN words END AS proof FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[{base.WHITE}]+', ' ', 'g')) AS words FROM documents)),
 now AS (SELECT idx, CASE WHEN idx % 11 = 0 THEN path || '-moved' ELSE path END AS path, origin, code, message, CASE WHEN idx % 17 = 0 THEN NULL WHEN idx % 13 = 0 THEN 'edited ' || proof ELSE proof END AS proof FROM base WHERE idx % 7 <> 0),
 b0 AS (SELECT idx, path, origin, code, message, CASE WHEN proof IS NOT NULL THEN sha256(concat_ws('|', origin, coalesce(code, '-'), message, proof)) END AS fp FROM base),
 n0 AS (SELECT idx, path, origin, code, message, CASE WHEN proof IS NOT NULL THEN sha256(concat_ws('|', origin, coalesce(code, '-'), message, proof)) END AS fp FROM now)"""
@@ -94,12 +91,14 @@ DELTA = f"WITH {SCANS}, " + ", ".join([_pass_sql(1, "path, fp", "fp IS NOT NULL"
 
 def _scans(spark, sf):
     docs = base.table(spark, sf, "documents")
-    text = T.words_only(F.coalesce("text", F.lit("")))
+    text = T.proof_words(F.coalesce("text", F.lit("")))
     b = docs.select(F.col("doc_id").alias("idx"), F.col("source").alias("path"), F.col("lang").alias("origin"), F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string"))).alias("code"), F.concat(F.lit("len "), (F.col("n_chars") % 50).cast("string")).alias("message"), F.when(F.col("doc_id") % 6 > 0, text).alias("proof"))
     i = F.col("idx")
     n = b.where(i % 7 != 0).withColumn("path", F.when(i % 11 == 0, F.concat("path", F.lit("-moved"))).otherwise(F.col("path"))).withColumn("proof", F.when(i % 17 == 0, None).when(i % 13 == 0, F.concat(F.lit("edited "), "proof")).otherwise(F.col("proof")))
     mark = lambda d: d.withColumn("fp", delta.fingerprint(F.col("origin"), F.col("code"), F.col("message"), F.col("proof"))).drop("proof")
-    return mark(b), mark(n)
+    # Whole texts are read and digested once; what is left of them are narrow rows.
+    sides = settle(mark(b).withColumn("side", F.lit(0)).unionByName(mark(n).withColumn("side", F.lit(1))))
+    return sides.where("side = 0").drop("side"), sides.where("side = 1").drop("side")
 
 
 @query(f"{DELTA} SELECT * FROM pairs")

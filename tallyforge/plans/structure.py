@@ -108,14 +108,14 @@ def page_complexity(spark, sf):
     return found.select("page_id", F.col("cyclomatic").cast("bigint").alias("cyclomatic"), F.col("cognitive").cast("bigint").alias("cognitive"), "complex_function")
 
 
-# Lines as a little source: by its number of words a line opens or closes a scope, binds a name, declares one, takes in all names, or calls.
+# Sentences and lines as a little source: by its number of words one opens or closes a scope, binds a name, declares one, takes in all names, or calls.
 BOUND = ("reqwest", "reqwest::Client", "reqwest::blocking", "std::process::Command", "std::process", "rq::Client", "crate::x")
 REST = ("Client::builder", "builder", "Command::new", "new")
 METHODS = ("danger_accept_invalid_certs", "tls_danger_accept_invalid_hostnames", "arg", "arg")
 GIVEN = ("true", "false", 'format!("x {v}")', '"a" + b', '"a"', 'format!("{{}}")')
 SHELL = ("bash", "fish", "sh", "zsh")
 _list = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
-LINES = f"""raw AS (SELECT doc_id AS unit, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+LINES = rf"""raw AS (SELECT doc_id AS unit, unnest(string_split_regex(coalesce(text, ''), '[.\n]')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '[.\n]'), 1) - 1 AS pos FROM documents),
 cut AS (SELECT unit, pos, list_filter(string_split(line, ' '), lambda x: x <> '') AS w, length(line) AS n FROM raw),
 src AS (SELECT unit, pos, n, lower(w[1][1:1]) AS name, len(w) % 8 AS role FROM cut WHERE len(w) > 0),
 marks AS (SELECT unit, pos, CASE WHEN role = 2 THEN -1 WHEN role IN (0, 1) THEN 1 ELSE 0 END AS mark, role = 1 AS module FROM src),
@@ -133,9 +133,9 @@ resolved AS (SELECT u.*, CASE WHEN u.unit IN (SELECT unit FROM full_units) THEN
 
 
 def _source(spark, sf):
-    """(marks, bindings, uses) of the documents' lines."""
+    """(marks, bindings, uses) of the documents' sentences and lines."""
     w = F.filter(F.split("line", " "), lambda x: x != "")
-    lines = base.documents(spark, sf).select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = base.documents(spark, sf).select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "[.\n]")).alias("pos", "line"))
     src = lines.select("unit", "pos", F.length("line").alias("n"), w.alias("w")).where(F.size("w") > 0)
     src = src.select("unit", "pos", "n", F.lower(F.substring(F.get("w", F.lit(0)), 1, 1)).alias("name"), (F.size("w") % 8).alias("role"))
     role, n = F.col("role"), F.col("n")
