@@ -20,6 +20,20 @@ def oversized(kind: Column, lines: Column) -> Column:
     return F.coalesce(lines >= most, F.lit(False))
 
 
+def lock_state(content: Column) -> tuple[Column, Column]:
+    """(absent, unusable or packages; the packages as (name, version)) of a lock file's text.
+
+    Every line of one that can be read is blank, a comment, a table, a setting, or a
+    member or the end of a list.
+    """
+    lines = F.split(content, r"\r?\n")
+    fine = F.forall(lines, lambda x: x.rlike(r'^\s*(#.*|\[\[?[A-Za-z0-9_.\-]+\]?\]|[A-Za-z0-9_"\-]+ *= *(".*"|[0-9]+|true|false|\[.*)|"[^"]*",?|\],?)?\s*$'))
+    state = F.when(content.isNull(), "absent").when(fine, "packages").otherwise("unusable")
+    pattern = r'(?m)^\[\[package\]\]\r?\nname *= *"([^"]*)"\r?\nversion *= *"([^"]*)"'
+    names, versions = (F.regexp_extract_all(content, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    return state, F.when(fine, F.arrays_zip(names.alias("name"), versions.alias("version")))
+
+
 def unchecked_overflow(binary: Column, overflow_checks: Column) -> Column:
     """A workspace that ships a binary whose release profile doesn't switch overflow checks on."""
     return binary & ~F.coalesce(overflow_checks == "true", F.lit(False))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +33,21 @@ def validate(overrides: list[tuple[str, str]], known: set[str]) -> None:
         raise ValueError("override-repeated")
 
 
-def compile_plan(rules: DataFrame, overrides: DataFrame) -> DataFrame:
+def compile_plan(rules: DataFrame, overrides: DataFrame, unit: Sequence[str] = ()) -> DataFrame:
     """(rule, level, level_source): request before configuration, rule before category, else the default.
 
     ``rules`` has rule, category, default_level; ``overrides`` kind, selector,
     level, layer. An override table is as large as what people write by hand, and
-    pivots to one row a selector before it is joined.
+    pivots to one row a selector before it is joined. With ``unit`` columns in both
+    tables each unit has its own rules and overrides.
     """
-    pivot = lambda kind, key: overrides.where(F.col("kind") == kind).groupBy(F.col("selector").alias(key)).agg(*[F.max(F.when(F.col("layer") == x, F.col("level"))).alias(f"{x}_{kind}") for x in ("request", "config")])
-    joined = rules.join(pivot("rule", "rule"), "rule", "left").join(pivot("category", "category"), "category", "left")
+    pivot = lambda kind, key: overrides.where(F.col("kind") == kind).groupBy(*unit, F.col("selector").alias(key)).agg(*[F.max(F.when(F.col("layer") == x, F.col("level"))).alias(f"{x}_{kind}") for x in ("request", "config")])
+    joined = rules.join(pivot("rule", "rule"), [*unit, "rule"], "left").join(pivot("category", "category"), [*unit, "category"], "left")
     order = ["request_rule", "request_category", "config_rule", "config_category"]
     source = F.lit("default")
     for c in reversed(order):
         source = F.when(F.col(c).isNotNull(), c).otherwise(source)
-    return joined.select("rule", F.coalesce(*order, "default_level").alias("level"), source.alias("level_source"))
+    return joined.select(*unit, "rule", F.coalesce(*order, "default_level").alias("level"), source.alias("level_source"))
 
 
 def blocks(severity: Column, blocking: str) -> Column:

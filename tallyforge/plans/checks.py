@@ -54,24 +54,17 @@ def generated_marker(spark, sf):
     return spark.createDataFrame(HEADERS, "id bigint, text string").unionByName(docs).select("id", T.generated(F.col("text")).alias("generated"))
 
 
-STREAM = [
-    (1, '{"reason":"compiler-message","package_id":"p","target":{"name":"t","kind":["test"]},"message":{"message":"m","level":"warning","code":{"code":"c"},"spans":[]}}', "message"),
-    (2, '{"reason":"build-finished","success":true}', "known"),
-    (3, '{"reason":"something-new"}', "unknown"),
-    (4, '{"reason":', "malformed"),
-    (5, '{"no":"reason"}', "malformed"),
-    (6, "   Compiling x v1", "noise"),
-    (7, "", "empty"),
-    (8, "   ", "noise"),
-    (9, 'warning {"reason":"compiler-artifact"}', "malformed"),
-    (10, '{"reason":"compiler-message"}', "malformed"),
-    (11, '{"reason":"compiler-artifact"}', "known"),
-]
-
-
-@query(f"WITH {_values([(i, k) for i, _, k in STREAM], 'id', 'kind')} SELECT * FROM v")
+# Each event as a line of a message stream, damaged in one of eleven ways.
+LINE = """CASE event_id % 11 WHEN 0 THEN '{"reason":"compiler-message","package_id":"p' || user_id || '","message":{"message":"' || event_type || '","level":"warning"}}' WHEN 1 THEN '{"reason":"build-finished","success":true}' WHEN 2 THEN '{"reason":"' || event_type || '"}'
+  WHEN 3 THEN '{"reason":' || user_id WHEN 4 THEN props WHEN 5 THEN '   Compiling ' || user_id WHEN 6 THEN '' WHEN 7 THEN '  ' || chr(9) WHEN 8 THEN 'warning {"reason":"compiler-artifact"}' WHEN 9 THEN '  {"reason":"compiler-message"}' ELSE '{"reason":"compiler-artifact"}' || chr(13) END"""
+
+
+@query(f"""WITH l AS (SELECT event_id, {LINE} AS line FROM events), t AS (SELECT event_id, line, ltrim(regexp_replace(line, chr(13) || '$', ''), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS t FROM l),
+  v AS (SELECT *, json_valid(t) AND t <> '' AS valid FROM t), r AS (SELECT *, CASE WHEN valid THEN json_extract_string(t, '$.reason') END AS reason, CASE WHEN valid THEN json_extract_string(t, '$.message.message') END AS message FROM v)
+  SELECT event_id, CASE WHEN line IS NULL THEN NULL WHEN line = '' THEN 'empty' WHEN t = '' THEN 'noise' WHEN NOT starts_with(t, '{{') THEN CASE WHEN regexp_matches(t, '\\{{.*"reason"\\s*:\\s*".*\\}}\\s*$') THEN 'malformed' ELSE 'noise' END
+    WHEN NOT valid OR reason IS NULL THEN 'malformed' WHEN reason = 'compiler-message' THEN CASE WHEN message IS NULL THEN 'malformed' ELSE 'message' END WHEN reason IN ('compiler-artifact', 'build-script-executed', 'build-finished') THEN 'known' ELSE 'unknown' END AS kind FROM r""")
 def jsonl_classify(spark, sf):
-    return spark.createDataFrame([(i, x) for i, x, _ in STREAM], "id int, line string").select("id", messages.classify(F.col("line")).alias("kind"))
+    return base.table(spark, sf, "events").select("event_id", F.expr(LINE.replace("chr(9)", "char(9)").replace("chr(13)", "char(13)")).alias("line")).select("event_id", messages.classify(F.col("line")).alias("kind"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
@@ -80,40 +73,51 @@ def json_props(spark, sf):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-PATHS = [(1, "src/lib.rs"), (2, "tests/a.rs"), (3, "x/benches/tests/b.rs"), (4, "src/tests.rs"), (5, "examples/e.rs"), (6, "tests"), (7, "src/testsuite/a.rs")]
+# Paths made of the pages' addresses: their last part as a file, in one of nine folders.
+_LAST = "coalesce(nullif(regexp_extract(url, '/([^/?#]+)[/?#]?[^/]*$', 1), ''), 'x')"
+PATHS = f"SELECT page_id AS id, CASE page_id % 9 WHEN 0 THEN 'src/' WHEN 1 THEN 'tests/' WHEN 2 THEN 'x/benches/tests/' WHEN 3 THEN 'examples/a/' WHEN 4 THEN 'src/testsuite/' WHEN 5 THEN 'fixtures/tests/' WHEN 6 THEN '' WHEN 7 THEN 'a/testdata/' ELSE 'src/tests/' END || CASE WHEN page_id % 10 = 0 THEN 'tests.rs' WHEN page_id % 10 = 1 THEN 'tests' ELSE {_LAST} || '.rs' END AS path FROM pages"
+
+
+def _paths(spark, sf, sql):
+    """The same expressions over the pages: both engines read this SQL."""
+    return spark.sql(sql.replace("FROM pages", "FROM {pages}"), pages=base.table(spark, sf, "pages"))
 
 
-@query(f"""WITH {_values(PATHS, 'id', 'path')}, p AS (SELECT id, string_split(path, '/') AS s FROM v)
-  SELECT id, coalesce(list_filter(s[1:len(s) - 1], lambda x: x IN ('tests', 'benches', 'examples'))[1], CASE WHEN s[len(s)] = 'tests.rs' THEN 'tests' END) AS context FROM p""")
+@query(f"""WITH p AS (SELECT id, string_split(path, '/') AS s FROM ({PATHS}))
+  SELECT id, coalesce(list_filter(s[1:len(s) - 1], lambda x: x IN ('tests', 'benches', 'examples'))[1], CASE WHEN s[len(s)] = 'tests.rs' THEN 'tests' END) AS context, len(list_filter(s, lambda x: x IN ('tests', 'fixtures', 'testdata'))) > 0 AS material FROM p""")
 def path_context(spark, sf):
-    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.context_of_path(F.col("path")).alias("context"))
+    """The context that a path gives its file, and whether it is test material."""
+    return _paths(spark, sf, PATHS).select("id", T.context_of_path(F.col("path")).alias("context"), T.test_material(F.col("path")).alias("material"))
 
 
-FILES = [(1, ".env"), (2, ".env.local"), (3, ".env.example"), (4, "a.pem"), (5, "id_rsa"), (6, "id_rsa.pub"), (7, "credentials.json"), (8, "key"), (9, "x.key")]
+FILES = f"SELECT page_id AS id, CASE page_id % 12 WHEN 0 THEN '.env' WHEN 1 THEN '.env.' || {_LAST} WHEN 2 THEN '.env.example' WHEN 3 THEN {_LAST} || '.pem' WHEN 4 THEN 'id_rsa' WHEN 5 THEN 'id_rsa.' || {_LAST} WHEN 6 THEN 'credentials.json' WHEN 7 THEN 'key' WHEN 8 THEN {_LAST} || '.key' WHEN 9 THEN '.env.template' WHEN 10 THEN '.envrc' ELSE {_LAST} END AS name FROM pages"
 
 
-@query(f"WITH {_values(FILES, 'id', 'name')} SELECT id, name = '.env' OR (name LIKE '.env.%' AND name NOT IN ('.env.example', '.env.template', '.env.sample')) OR name LIKE '%.pem' OR name LIKE '%.key' OR name IN ('id_rsa', 'credentials.json') AS secret FROM v")
+@query(f"SELECT id, name = '.env' OR (name LIKE '.env.%' AND name NOT IN ('.env.example', '.env.template', '.env.sample')) OR name LIKE '%.pem' OR name LIKE '%.key' OR name IN ('id_rsa', 'credentials.json') AS secret FROM ({FILES})")
 def secret_files(spark, sf):
-    return spark.createDataFrame(FILES, "id int, name string").select("id", T.secret_file_name(F.col("name")).alias("secret"))
+    return _paths(spark, sf, FILES).select("id", T.secret_file_name(F.col("name")).alias("secret"))
 
 
-DEPENDENCIES = [(1, "registry+https://r", "*"), (2, "registry+https://r", "^1"), (3, "git+https://g?rev=" + "a1" * 20, "*"), (4, "git+https://g?rev=abc", "*"), (5, "git+https://g", "*"), (6, "git+https://g?rev=" + "b2" * 20 + "#" + "b2" * 20, "*"), (7, "git+https://g?branch=x&rev=" + "a1" * 20, "*"), (8, None, "*")]
-# The same with a path, where neither rule holds.
-DEPENDENCIES = [(i, o, r, None) for i, o, r in DEPENDENCIES] + [(10 + i, o, r, "/w/x") for i, o, r in DEPENDENCIES]
+# Each part as a dependency: its source, requirement and path.
+REVISION = "substring(sha256(p_name), 1, 40)"
+DEPENDENCIES = """SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'registry+https://r' WHEN 1 THEN 'registry+https://' || p_type WHEN 2 THEN 'git+https://g?rev=' || {rev} WHEN 3 THEN 'git+https://g?rev=' || p_size WHEN 4 THEN 'git+https://' || p_type
+  WHEN 5 THEN 'git+https://g?rev=' || {rev} || '#' || {rev} WHEN 6 THEN 'git+https://g?branch=x&rev=' || {rev} WHEN 7 THEN 'git+https://g?rev=' || {rev} || 'a' END AS origin,
+  CASE WHEN p_size % 2 = 0 THEN '*' ELSE '^' || p_size END AS req, CASE WHEN p_size % 5 = 0 THEN '/w/' || p_brand END AS path FROM {part}"""
 
 
-@query(f"WITH {_values(DEPENDENCIES, 'id', 'origin', 'req', 'path')} SELECT id, path IS NULL AND coalesce(origin LIKE 'registry+%', false) AND req = '*' AS unbounded, path IS NULL AND coalesce(origin LIKE 'git+%', false) AND NOT regexp_matches(origin, '^[^?]*\\?rev=[0-9A-Fa-f]{{40}}(#.*)?$') AS unpinned FROM v")
+@query(f"SELECT id, path IS NULL AND coalesce(origin LIKE 'registry+%', false) AND req = '*' AS unbounded, path IS NULL AND coalesce(origin LIKE 'git+%', false) AND NOT regexp_matches(origin, '^[^?]*\\?rev=[0-9A-Fa-f]{{40}}(#.*)?$') AS unpinned FROM ({DEPENDENCIES.format(rev=REVISION, part='part')})")
 def dependency_predicates(spark, sf):
-    d = spark.createDataFrame(DEPENDENCIES, "id int, origin string, req string, path string")
+    d = spark.sql(DEPENDENCIES.replace("{rev}", REVISION.replace("sha256(p_name)", "sha2(p_name, 256)")), part=base.table(spark, sf, "part"))
     return d.select("id", T.unbounded_registry(F.col("origin"), F.col("req"), F.col("path")).alias("unbounded"), T.unpinned_git(F.col("origin"), F.col("path")).alias("unpinned"))
 
 
-VERSIONS = [("a", "1.2.3"), ("a", "2.0.0"), ("b", "0.4.1"), ("b", "0.5.0"), ("c", "10-beta"), ("c", "11+x"), ("d", "x.1"), ("d", "1.0")]
+# Each part as a locked package: several versions of a kind, some of them no numbers.
+VERSIONS = "SELECT p_type || '-' || (p_partkey % 40) AS name, CASE WHEN p_partkey % 7 = 0 THEN 'x.' || p_size WHEN p_partkey % 7 = 1 THEN p_size || '-beta' WHEN p_partkey % 7 = 2 THEN p_size || '+b.1' ELSE (p_size % 4) || '.' || p_size || '.0' END AS version FROM {part}"
 
 
-@query(f"WITH {_values(VERSIONS, 'name', 'version')}, m AS (SELECT name, version, nullif(regexp_extract(version, '^([0-9]+)([.+-].*)?$', 1), '') AS major FROM v) SELECT name, count(DISTINCT major) AS majors, string_agg(DISTINCT version, ', ' ORDER BY version) AS versions FROM m GROUP BY name HAVING count(DISTINCT major) > 1")
+@query(f"WITH v AS ({VERSIONS.format(part='part')}), m AS (SELECT name, version, nullif(regexp_extract(version, '^([0-9]+)([.+-].*)?$', 1), '') AS major FROM v) SELECT name, count(DISTINCT major) AS majors, string_agg(DISTINCT version, ', ' ORDER BY version) AS versions FROM m GROUP BY name HAVING count(DISTINCT major) > 1")
 def duplicate_majors(spark, sf):
-    rows = spark.createDataFrame(VERSIONS, "name string, version string").withColumn("major", T.major(F.col("version")))
+    rows = spark.sql(VERSIONS, part=base.table(spark, sf, "part")).distinct().withColumn("major", T.major(F.col("version")))
     return rows.groupBy("name").agg(F.count_distinct("major").alias("majors"), F.concat_ws(", ", F.array_sort(F.collect_set("version"))).alias("versions")).where("majors > 1")
 
 
@@ -139,19 +143,34 @@ def oversized_units(spark, sf):
 
 
 CATALOG = [r[:5] for r in catalog.rules()]
+#: Each part as a site of one of the catalog's rules, or of one that it doesn't have.
+SITES = f"SELECT p_partkey, CASE WHEN p_partkey % 67 < {len(CATALOG)} THEN list_extract({[r[0] for r in CATALOG]}, p_partkey % 67 + 1) ELSE 'unknown::' || (p_partkey % 67) END AS id FROM part"
 
 
-@query(f"WITH {_values(CATALOG, 'id', 'category', 'producer', 'default_level', 'tier')} SELECT producer, category, tier, count(*) AS rules FROM v GROUP BY producer, category, tier")
+def _sites(spark, sf):
+    k = F.col("p_partkey") % 67
+    named = F.get(F.array(*[F.lit(r[0]) for r in CATALOG]), k.cast("int"))
+    return base.table(spark, sf, "part").select("p_partkey", F.coalesce(named, F.concat(F.lit("unknown::"), k.cast("string"))).alias("id"))
+
+
+@query(f"WITH {_values(CATALOG, 'id', 'category', 'producer', 'default_level', 'tier')}, s AS (SELECT id, count(*) AS n FROM ({SITES}) GROUP BY id) SELECT producer, category, tier, count(v.id) AS rules, count(*) FILTER (WHERE n IS NULL) AS unseen, CAST(coalesce(sum(n), 0) AS BIGINT) AS sites FROM v FULL JOIN s USING (id) GROUP BY producer, category, tier")
 def rule_catalog(spark, sf):
-    return catalog.rule_table(spark).groupBy("producer", "category", "tier").agg(F.count("*").alias("rules"))
+    """The catalog by producer, category and tier: rules, those without a site, and sites; sites of no rule stand apart."""
+    rules = catalog.rule_table(spark).withColumn("known", F.lit(1))
+    n = _sites(spark, sf).groupBy("id").agg(F.count("*").alias("n"))
+    both = rules.join(n, "id", "full_outer")
+    return both.groupBy("producer", "category", "tier").agg(F.count("known").alias("rules"), F.count_if(F.col("n").isNull()).alias("unseen"), F.coalesce(F.sum("n"), F.lit(0)).alias("sites"))
 
 
 NOISE = sorted(catalog._NOISE.items())
 
 
-@query(f"WITH {_values(CATALOG, 'id', 'category', 'producer', 'default_level', 'tier')}, n(id, noise_bp) AS (VALUES {', '.join(map(str, NOISE))}) SELECT v.id, n.noise_bp FROM v LEFT JOIN n USING (id)")
+@query(f"WITH {_values(CATALOG, 'id', 'category', 'producer', 'default_level', 'tier')}, n(id, noise_bp) AS (VALUES {', '.join(map(str, NOISE))}) SELECT s.id, n.noise_bp, count(*) AS sites, CAST(count(*) * (10000 - coalesce(n.noise_bp, 0)) // 10000 AS BIGINT) AS weighed FROM ({SITES}) s JOIN v USING (id) LEFT JOIN n USING (id) GROUP BY s.id, n.noise_bp")
 def rule_noise(spark, sf):
-    return catalog.rule_table(spark).join(F.broadcast(catalog.noise_table(spark)), "id", "left").select("id", "noise_bp")
+    """Sites of catalogued rules, less the share that is noise where it was measured."""
+    found = _sites(spark, sf).groupBy("id").agg(F.count("*").alias("sites"))
+    known = catalog.rule_table(spark).select("id").join(F.broadcast(catalog.noise_table(spark)), "id", "left")
+    return found.join(F.broadcast(known), "id").select("id", "noise_bp", "sites", F.expr("sites * (10000 - coalesce(noise_bp, 0)) div 10000").alias("weighed"))
 
 
 TITLED = "replace(replace(list_extract(string_split(rule, '::'), -1), '_', ' '), '-', ' ')"
@@ -159,43 +178,44 @@ TITLED = "replace(replace(list_extract(string_split(rule, '::'), -1), '_', ' '),
 
 @query(f"SELECT rule, CASE WHEN {TITLED} = '' THEN rule ELSE upper({TITLED}[1:1]) || {TITLED}[2:] END AS title FROM (SELECT DISTINCT lang || '::' || replace(lower(p_name), ' ', CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END) AS rule FROM part, (SELECT DISTINCT lang FROM documents) UNION SELECT 'x::' UNION SELECT 'plain')")
 def rule_titles(spark, sf):
-    langs = base.table(spark, sf, "documents").select("lang").distinct()  # a handful
-    parts = base.table(spark, sf, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.translate(F.lower("p_name"), " ", "-")).otherwise(F.translate(F.lower("p_name"), " ", "_")).alias("name"))
-    rules = parts.join(F.broadcast(langs)).select(F.concat_ws("::", "lang", "name").alias("rule")).unionByName(spark.createDataFrame([("x::",), ("plain",)], "rule string")).distinct()
+    langs = base.table(spark, sf, "documents").select("lang").distinct().agg(F.collect_list("lang").alias("langs")).scalar()  # a handful, in one list
+    parts = base.table(spark, sf, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.translate(F.lower("p_name"), " ", "-")).otherwise(F.translate(F.lower("p_name"), " ", "_")).alias("name")).distinct()
+    rules = parts.withColumn("lang", F.explode(langs)).select(F.concat_ws("::", "lang", "name").alias("rule")).unionByName(spark.createDataFrame([("x::",), ("plain",)], "rule string")).distinct()
     return rules.select("rule", T.rule_title(F.col("rule")).alias("title"))
 
 
-DECLARED = [("p", "a-b"), ("p", "c"), ("q", "a-b"), ("q", "d"), ("q", "e")]
-REFERENCES = [("p", "a_b", 1, 0), ("q", "a_b", 0, 1), ("q", "d", 0, 1), ("q", "d", 1, 0), ("p", "x", 1, 1)]
+# Suppliers as declared dependencies of their nations; lines of orders as references to two thirds of them.
+DECLARED = "SELECT s_nationkey AS package, 'dep-' || s_suppkey AS name FROM {supplier}"
+REFERENCES = "SELECT s.s_nationkey AS package, 'dep_' || l.l_suppkey AS name, l.l_returnflag = 'N' AND l.l_suppkey % 3 = 1 AS production, l.l_returnflag = 'R' AS test FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey WHERE l.l_suppkey % 3 > 0"
 
 
-@query(f"WITH {_values(DECLARED, 'package', 'name')}, r(package, name, production, test) AS (VALUES {', '.join(map(str, REFERENCES))}), u AS (SELECT package, name, max(production) AS production, max(test) AS test FROM r GROUP BY package, name), j AS (SELECT v.package, v.name, CASE WHEN u.production = 1 THEN NULL WHEN u.test = 1 THEN 'test_only' ELSE 'unused' END AS verdict FROM v LEFT JOIN u ON u.package = v.package AND u.name = replace(v.name, '-', '_')) SELECT * FROM j WHERE verdict IS NOT NULL")
+@query(f"WITH v AS ({DECLARED.format(supplier='supplier')}), r AS ({REFERENCES.format(supplier='supplier', lineitem='lineitem')}), u AS (SELECT package, name, bool_or(production) AS production, bool_or(test) AS test FROM r GROUP BY package, name), j AS (SELECT v.package, v.name, CASE WHEN u.production THEN NULL WHEN u.test THEN 'test_only' ELSE 'unused' END AS verdict FROM v LEFT JOIN u ON u.package = v.package AND u.name = replace(v.name, '-', '_')) SELECT * FROM j WHERE verdict IS NOT NULL")
 def dependency_truth(spark, sf):
     from ..operators import relations as rel
 
-    used = spark.createDataFrame(REFERENCES, "package string, name string, production int, test int").withColumns({c: F.col(c) == 1 for c in ("production", "test")})
-    return rel.dependency_truth(spark.createDataFrame(DECLARED, "package string, name string"), used)
-
-
-ATTRIBUTES = [("f", "dead_code"), ("f", "unused,dead_code"), ("g", "a,b,c,d"), ("h", "a"), ("i", "a,b,c")]
+    tables = {t: base.table(spark, sf, t) for t in ("supplier", "lineitem")}
+    return rel.dependency_truth(spark.sql(DECLARED, supplier=tables["supplier"]), spark.sql(REFERENCES, **tables))
 
 
-@query(f"WITH {_values(ATTRIBUTES, 'item', 'lints')}, a AS (SELECT item, string_split(lints, ',') AS l FROM v) SELECT item, count(*) AS attributes, max(len(l)) AS widest, array_to_string(list_sort(list_distinct(flatten(list(l)))), ', ') AS lints FROM a GROUP BY item HAVING count(*) >= 2 OR max(len(l)) >= 4")
+# Each part as an attribute: its item, and the words of its name and kind as lints.
+@query("WITH a AS (SELECT p_brand || '/' || p_size AS item, string_split(lower(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type || ' extra' ELSE '' END), ' ') AS l FROM part) SELECT item, count(*) AS attributes, max(len(l)) AS widest, array_to_string(list_sort(list_distinct(flatten(list(l)))), ', ') AS lints FROM a GROUP BY item HAVING count(*) >= 2 OR max(len(l)) >= 4")
 def stacked_suppressions(spark, sf):
     from ..operators import relations as rel
 
-    rows = spark.createDataFrame(ATTRIBUTES, "item string, lints string").withColumn("lints", F.split("lints", ","))
+    more = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), "p_type", F.lit(" extra"))).otherwise("")
+    rows = base.table(spark, sf, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("item"), F.split(F.lower(F.concat("p_name", more)), " ").alias("lints"))
     return rel.stacked(rows, "item", "lints")
 
 
-ALIASES = [("p", "x", "t"), ("q", "x", "t"), ("p", "y", "t"), ("q", "y", "u"), ("p", "z", "t"), ("r", "z", "t")]
+# Each part as an alias of a package: its name for a crate, on which packages can disagree.
+ALIASES = "SELECT DISTINCT p_size % 3 AS package, p_name AS alias, CASE WHEN length(p_name) % 2 = 0 THEN 'crate-' || p_name ELSE p_type END AS target FROM {part}"
 
 
-@query(f"WITH {_values(ALIASES, 'package', 'alias', 'target')} SELECT alias, min(target) AS target FROM v WHERE package IN ('p', 'q') GROUP BY alias HAVING count(DISTINCT package) = 2 AND count(DISTINCT target) = 1")
+@query(f"WITH v AS ({ALIASES.format(part='part')}) SELECT alias, min(target) AS target FROM v WHERE package IN (0, 1) GROUP BY alias HAVING count(DISTINCT package) = 2 AND count(DISTINCT target) = 1")
 def alias_intersection(spark, sf):
     from ..operators import relations as rel
 
-    return rel.shared_aliases(spark.createDataFrame(ALIASES, "package string, alias string, target string"), spark.createDataFrame([("p",), ("q",)], "package string"))
+    return rel.shared_aliases(spark.sql(ALIASES, part=base.table(spark, sf, "part")), spark.createDataFrame([(0,), (1,)], "package int"))
 
 
 @query("WITH p(source, target) AS (SELECT source, count(*) // 2 FROM documents WHERE source <> 'src3' GROUP BY source), j AS (SELECT source, count(*) AS judged FROM documents JOIN labels USING (doc_id) WHERE source <> 'src5' GROUP BY source) SELECT source, CASE WHEN target IS NULL THEN 'no plan' WHEN judged IS NULL THEN 'not judged' WHEN judged < target THEN 'too few' ELSE 'too many' END AS defect FROM p FULL JOIN j USING (source) WHERE target IS DISTINCT FROM judged")

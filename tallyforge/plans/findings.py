@@ -63,9 +63,22 @@ def _plan(spark):
     return policy.compile_plan(rules, spark.createDataFrame(OVERRIDES, "kind string, selector string, level string, layer string"))
 
 
-@query(f"WITH {FINDINGS}, {PLAN} SELECT * FROM plan")
+# Each source as a project: every 9th document is one of the overrides in its requests and configuration.
+PROJECT = f"""own AS (SELECT DISTINCT source, doc_id // 9 % {len(OVERRIDES)} AS k FROM documents WHERE doc_id % 9 = 0), named AS (SELECT row_number() OVER () - 1 AS k, * FROM over_), mine AS (SELECT source, kind, selector, level, layer FROM own JOIN named USING (k)),
+projects AS (SELECT DISTINCT source FROM documents), every AS (SELECT source, rule, category FROM projects, rules),
+held AS (SELECT e.source, e.rule, max(level) FILTER (WHERE layer = 'request' AND kind = 'rule') AS a, max(level) FILTER (WHERE layer = 'request' AND kind = 'category') AS b, max(level) FILTER (WHERE layer = 'config' AND kind = 'rule') AS c, max(level) FILTER (WHERE layer = 'config' AND kind = 'category') AS d
+  FROM every e LEFT JOIN mine m ON m.source = e.source AND m.selector = CASE kind WHEN 'rule' THEN e.rule ELSE e.category END GROUP BY e.source, e.rule)"""
+
+
+@query(f"WITH {FINDINGS}, {PLAN}, {PROJECT} SELECT source, rule, coalesce(a, b, c, d, 'warn') AS level, CASE WHEN a IS NOT NULL THEN 'request_rule' WHEN b IS NOT NULL THEN 'request_category' WHEN c IS NOT NULL THEN 'config_rule' WHEN d IS NOT NULL THEN 'config_category' ELSE 'default' END AS level_source FROM held")
 def policy_precedence(spark, sf):
-    return _plan(spark)
+    """The level of every rule in every project, and where it comes from."""
+    docs = base.table(spark, sf, "documents").select("source", "doc_id")
+    some = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("kind", "selector", "level", "layer"), o, strict=True)]) for o in OVERRIDES])
+    own = docs.where("doc_id % 9 = 0").select("source", F.get(some, F.expr(f"cast(doc_id div 9 % {len(OVERRIDES)} as int)")).alias("o")).select("source", "o.*").distinct()
+    listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v[0]).alias("category"), F.lit("warn").alias("default_level")) for r, v in catalog.DOCUMENT_RULES.items()])
+    rules = docs.select("source").distinct().select("source", F.explode(listed).alias("r")).select("source", "r.*")
+    return policy.compile_plan(rules, own, ["source"])
 
 
 @query(f"""WITH {FINDINGS}, {PLAN} SELECT f.rule, f.source, CASE WHEN coalesce(p.level_source, 'default') = 'default' THEN f.severity WHEN p.level = 'warn' THEN 'warning' ELSE p.level END AS severity, count(*) AS n
@@ -155,11 +168,15 @@ def gate_baseline(spark, sf):
     return policy.baseline_gate(found, found.where("doc_id % 3 = 0"), ["rule", "doc_id"])
 
 
-@query("""WITH s(status, gate) AS (VALUES ('complete', 'passed'), ('complete', 'failed'), ('complete', 'not-evaluated'), ('incomplete', 'not-evaluated'), ('failed', 'not-evaluated'))
-  SELECT status, gate, CASE WHEN status = 'failed' THEN 2 WHEN status = 'complete' AND gate = 'passed' THEN 0 ELSE 1 END AS exit_code FROM s""")
+@query("""WITH s AS (SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 90) THEN 'failed' WHEN count(*) % 3 = 0 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN sum(value) IS NULL OR max(value) < 20 THEN 'not-evaluated' WHEN count(*) FILTER (WHERE event_type = 'error') > 2 THEN 'failed' ELSE 'passed' END AS gate FROM events GROUP BY user_id)
+  SELECT user_id, status, gate, CASE WHEN status = 'failed' THEN 2 WHEN status = 'complete' AND gate = 'passed' THEN 0 ELSE 1 END AS exit_code FROM s""")
 def exit_codes(spark, sf):
-    rows = [("complete", "passed"), ("complete", "failed"), ("complete", "not-evaluated"), ("incomplete", "not-evaluated"), ("failed", "not-evaluated")]
-    return spark.createDataFrame(rows, "status string, gate string").withColumn("exit_code", policy.exit_code(F.col("status"), F.col("gate")))
+    """Each user as a run: its status, its gate and what it exits with."""
+    error, value = F.col("event_type") == "error", F.col("value")
+    status = F.when(F.bool_or(error & (value > 90)), "failed").when(F.count("*") % 3 == 0, "incomplete").otherwise("complete")
+    gate = F.when(F.sum(value).isNull() | (F.max(value) < 20), "not-evaluated").when(F.count_if(error) > 2, "failed").otherwise("passed")
+    runs = base.table(spark, sf, "events").groupBy("user_id").agg(status.alias("status"), gate.alias("gate"))
+    return runs.withColumn("exit_code", policy.exit_code(F.col("status"), F.col("gate")))
 
 
 @query(f"""WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {score_sql()}, c AS (SELECT source, coalesce(sum(occurrences) FILTER (WHERE severity = 'error'), 0) AS e, coalesce(sum(occurrences) FILTER (WHERE severity = 'warning'), 0) AS w, coalesce(sum(occurrences) FILTER (WHERE severity = 'info'), 0) AS i FROM findings GROUP BY source),

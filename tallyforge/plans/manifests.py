@@ -61,11 +61,17 @@ def permissive_lint_table(spark, sf):
     return every.where("level = 'allow'").join(active, "rule", "left_semi").select("package", "rule").distinct()
 
 
-@query("SELECT s_suppkey FROM supplier ANTI JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) USING (s_suppkey) WHERE s_suppkey % 5 > 0")
+# Each supplier as a workspace: no lock file, one that can't be read, one without packages, or one with two.
+LOCK = """CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'version = 4' || chr(10) || 'oops [[' WHEN 2 THEN '# empty' || chr(10) || 'version = 4' ELSE 'version = 4' || chr(10) || '[[package]]' || chr(10) || 'name = "' || s_name || '"' || chr(10) || 'version = "' || s_nationkey || '.1.0"' || chr(10) || '[[package]]' || chr(10) || 'name = "b"' || chr(10) || 'version = "0.1.0"' || chr(10) || 'dependencies = [' || chr(10) || ' "a",' || chr(10) || ']' END"""
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'absent' WHEN 1 THEN 'unusable' ELSE 'packages' END AS state, CASE WHEN s_suppkey % 5 > 2 THEN s_name || ' ' || s_nationkey || '.1.0, b 0.1.0' ELSE '' END AS packages, s_suppkey % 5 = 0 AND s_nationkey % 4 > 0 AS missing FROM supplier")
 def missing_lockfile(spark, sf):
-    """Workspaces with dependencies and no lock file beside them."""
-    suppliers = base.table(spark, sf, "supplier").select("s_suppkey")
-    return suppliers.where("s_suppkey % 5 > 0").join(suppliers.where("s_suppkey % 3 = 0"), "s_suppkey", "left_anti")
+    """What each workspace's lock file says; missing is told of those with dependencies and none beside them."""
+    rows = base.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.expr(LOCK.replace("chr(10)", "char(10)")).alias("lock"))
+    state, packages = M.lock_state(F.col("lock"))
+    listed = F.array_join(F.transform(packages, lambda p: F.concat_ws(" ", p["name"], p["version"])), ", ")
+    return rows.select("s_suppkey", state.alias("state"), F.coalesce(listed, F.lit("")).alias("packages"), ((state == "absent") & (F.col("s_nationkey") % 4 > 0)).alias("missing"))
 
 
 PATHS = "SELECT s_suppkey, '/w/n' || s_nationkey AS root, CASE s_suppkey % 4 WHEN 0 THEN '/w/n' || s_nationkey || '/a' WHEN 1 THEN '/w/n' || s_nationkey WHEN 2 THEN '/w/n' || s_nationkey || 'x/a' END AS path FROM supplier"

@@ -74,13 +74,16 @@ def sorted_unique_defects(spark, sf):
     return rel.order_defects(rows, "l_orderkey", ["l_linenumber"], "l_linenumber").groupBy("l_orderkey").agg(F.count("*").alias("defects"))
 
 
-GRAPH = [("root", "a", False), ("a", "b", True), ("root", "b", False), ("b", "c", True), ("c", "d", False), ("d", "c", False), ("x", "y", False)]
+# Regions hold nations, these suppliers and customers; some suppliers lead back to another nation, others nowhere.
+EDGES = """SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, n_nationkey % 3 = 0 AS gated FROM {nation} UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey % 4 = 0 FROM {supplier}
+  UNION ALL SELECT 's' || s_suppkey, 'n' || (s_suppkey % 25), s_suppkey % 2 = 0 FROM {supplier} WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, false FROM {customer} WHERE c_custkey % 2 = 0"""
 
 
-@query(f"""WITH RECURSIVE e(parent, child, gated) AS (VALUES {", ".join(f"('{p}', '{c}', {str(g).lower()})" for p, c, g in GRAPH)}), walk(node, gated) AS (SELECT 'root', false UNION SELECT e.child, w.gated OR e.gated FROM walk w JOIN e ON e.parent = w.node) SELECT node, bool_and(gated) AS gated FROM walk GROUP BY node""")
+@query(f"""WITH RECURSIVE e AS ({EDGES.format(nation='nation', supplier='supplier', customer='customer')}), walk(node, gated) AS (SELECT 'r0', false UNION SELECT e.child, w.gated OR e.gated FROM walk w JOIN e ON e.parent = w.node) SELECT node, bool_and(gated) AS gated FROM walk GROUP BY node""")
 def module_closure(spark, sf):
-    edges = spark.createDataFrame(GRAPH, "parent string, child string, gated boolean")
-    return rel.closure(spark.createDataFrame([("root", False)], "node string, gated boolean"), edges)
+    """What the first region reaches, and whether every way there is gated."""
+    edges = spark.sql(EDGES, **{t: base.table(spark, sf, t) for t in ("nation", "supplier", "customer")})
+    return rel.closure(spark.createDataFrame([("r0", False)], "node string, gated boolean"), edges)
 
 
 @query("SELECT lang, source, count(*) AS n FROM (SELECT DISTINCT lang, source, text FROM documents) GROUP BY lang, source")

@@ -37,11 +37,12 @@ def wilson_interval(spark, sf):
     return _by_lang(spark, sf)
 
 
-@query(f"WITH v(fp, n) AS (VALUES (5, 5), (8, 20), (15, 20), (3, 5), (4, 5), (17, 20), (0, 0), (1, 3), (7, 3)) SELECT fp, n, {_wilson('fp', 'n', '')} FROM v")
+@query(f"WITH v AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS fp, count(*) - o_custkey % 4 AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, fp, n, {_wilson('fp', 'n', '')} FROM v")
 def wilson_vectors(spark, sf):
-    v = spark.createDataFrame([(5, 5), (8, 20), (15, 20), (3, 5), (4, 5), (17, 20), (0, 0), (1, 3), (7, 3)], "fp int, n int")
+    """Each customer as a rule with reviews; some with more failures than reviews, some with none."""
+    v = base.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("fp"), F.count("*").alias("n")).withColumn("n", F.col("n") - F.col("o_custkey") % 4)
     low, high = stats.wilson(F.col("fp"), F.col("n"))
-    return v.select("fp", "n", low.alias("low"), high.alias("high"))
+    return v.select("o_custkey", "fp", "n", low.alias("low"), high.alias("high"))
 
 
 @query(f"{BY_LANG} SELECT lang, CASE WHEN low > 500 THEN 'above' WHEN high < 500 THEN 'below' ELSE 'indecisive' END AS separation FROM w")
