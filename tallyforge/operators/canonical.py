@@ -66,7 +66,7 @@ def _renamed(names: Column) -> Column:
         stops = F.concat(F.slice(F.transform(heads, lambda h: h["at"]), F.lit(2), F.size(heads)), F.array(F.size(names)))
         run = F.arrays_zip(F.transform(heads, lambda h: h["at"]).alias("at"), stops.alias("stop"), F.transform(F.array_sort(by_place), lambda x: x["ordinal"]).alias("ordinal"))
         label = lambda r: F.concat(F.lit("$"), r["ordinal"].cast("string"))
-        return F.flatten(F.transform(run, lambda r: F.transform(F.slice(names, r["at"] + 1, r["stop"] - r["at"]), lambda x: F.struct(x["i"].alias("i"), label(r).alias("t")))))
+        return F.flatten(F.transform(run, lambda r: F.transform(F.sequence(r["at"], r["stop"] - 1), lambda j: F.struct(F.get(names, j)["i"].alias("i"), label(r).alias("t")))))
 
     none = F.array().cast("array<struct<i:int,t:string>>")
     return F.when(F.size(names) == 0, none).otherwise(_let(F.filter(marked, lambda h: h["new"]), runs))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .graph import settle
 
-#: Ranges that rows are dealt into by their order, rows of a part once they have places, children of a digest.
-RANGES, PART, FAN = 256, 100_000, 1000
+#: Rows of a part once they have places, and children of a digest.
+PART, FAN = 100_000, 1000
 #: A group with a larger share of all rows than one in so many is spread over ranges.
 SHARES = 200
 
 
-def placed(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "place", ranges: int = RANGES) -> DataFrame:
+def placed(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "place") -> DataFrame:
     """With the place from 0 of each row within its group, by an order that is total.
 
     Rows are dealt into ranges of (group, order); each range counts its own, and the
@@ -23,7 +23,7 @@ def placed(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str],
     the ranges that it fills.
     """
     by = [F.col(o) if isinstance(o, str) else o for o in order]
-    dealt = settle(rows.repartitionByRange(ranges, *group, *by).withColumn("_range", F.spark_partition_id()))
+    dealt = settle(rows.repartitionByRange(*group, *by).withColumn("_range", F.spark_partition_id()))
     n = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = n.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -69,14 +69,14 @@ def spend(rows: DataFrame, group: Sequence[str], place: str, size: str, budget:
     """With ``within``: whether a row's size still fits into its group's budget, asked in the order of places.
 
     With ``skips`` a row that doesn't fit costs nothing and later, smaller ones can
-    still fit; without, nothing fits after the first that didn't, but rows of size 0.
+    still fit; without, nothing fits after the first that didn't.
     Each round decides all rows of a group up to the first that doesn't fit, and drops
     those larger than what is left, so that rounds are few.
     """
     group = list(group)
     if not skips:
         at = running(rows, group, place, size)
-        return at.withColumn("within", (F.col("before") + F.col(size) <= budget) | ((F.col(size) == 0) & (F.col("before") <= budget))).drop("before")
+        return at.withColumn("within", F.col("before") + F.col(size) <= budget).drop("before")
     open_rows = settle(rows.select(*group, place, size).withColumn("_left", F.lit(budget).cast("bigint")).where(F.col(size) <= budget))
     taken = open_rows.limit(0).select(*group, place)
     while not open_rows.isEmpty():

@@ -14,7 +14,7 @@ from .nesting import DEEPEST, holders, levels, sound
 CYCLOMATIC, COGNITIVE = 20, 25
 ENDLESS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "p", "li", "dt", "dd", "option", "optgroup", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "caption", "b", "i", "em", "strong", "u", "small", "font", "span", "script", "style")
 # End of the fixed values.
-TAG = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|</?[a-z][a-z0-9]*[^<>]*>"
+TAG = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|</?[a-z][^<>]*>"
 
 
 def tag_marks(pages: DataFrame, unit: str, html: str) -> DataFrame:

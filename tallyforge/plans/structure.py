@@ -40,7 +40,7 @@ def canonical_families(spark, sf):
 
 _NAMES = ", ".join(f"'{t}'" for t in trees.ENDLESS)
 #: Tags in order, and those of pages that can be read. A parent is the last tag before that opens one level up.
-NODES = rf"""p AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|</?[a-z][a-z0-9]*[^<>]*>') AS l FROM pages),
+NODES = rf"""p AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|</?[a-z][^<>]*>') AS l FROM pages),
 n AS (SELECT page_id, lower(regexp_extract(unnest(l), '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, generate_subscripts(l, 1) - 1 AS pos FROM p),
 tags AS (SELECT page_id, pos, ltrim(name, '/') AS tag, CASE WHEN ltrim(name, '/') IN ({_NAMES}) THEN 0 WHEN name[1] = '/' THEN -1 ELSE 1 END AS mark FROM n WHERE name <> '' AND NOT (name[1] = '/' AND ltrim(name, '/') IN ({_NAMES}))),
 leveled AS (SELECT *, sum(mark) OVER (PARTITION BY page_id ORDER BY pos) - CASE WHEN mark > 0 THEN 1 ELSE 0 END AS level FROM tags),

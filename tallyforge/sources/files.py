@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 
@@ -42,37 +41,6 @@ def line_count(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.agg(F.coalesce(F.sum(T.lines_of(F.col(text_col))), F.lit(0)).alias("lines"))
 
 
-@F.udf(ArrayType(StringType()))
-def dep_info(content):
-    """Dependencies of the first rule of a Makefile-like list; null if it is malformed.
-
-    A backslash before a line end joins lines; before a blank, tab, hash, colon or
-    backslash it makes that part of the path; any other stands for itself.
-    """
-    at = next((i for i in range(len(content or "") - 1) if content[i] == ":" and content[i + 1] in " \t\n\r\f"), None)
-    if at is None:
-        return None
-    rest, found, token = content[at + 1 :].replace("\\\r\n", "").replace("\\\n", ""), [], ""
-    i = 0
-    while i < len(rest) and rest[i] not in "\r\n":
-        c = rest[i]
-        if c == "\\":
-            if i + 1 == len(rest):
-                return None
-            if rest[i + 1] in " \t#:\\":
-                token += rest[i + 1]
-                i += 2
-                continue
-            token += c
-        elif c in " \t\f":
-            found += [token] if token else []
-            token = ""
-        else:
-            token += c
-        i += 1
-    return found + ([token] if token else [])
-
-
 def lock_packages(content: str | None) -> tuple[str, list[tuple[str, str]]]:
     """(absent, unusable or packages; (name, version) of a lock file)."""
     if content is None:

@@ -116,9 +116,9 @@ def test_configuration():
 def test_lock_and_dependency_lists(spark):
     assert files.lock_packages(None)[0] == "absent" and files.lock_packages("[")[0] == "unusable"
     assert files.lock_packages('[[package]]\nname = "a"\nversion = "1"')[1] == [("a", "1")]
-    rows = [("o: a.rs b\\ c.rs \\\n d.rs\nz: y",), ("no rule",), ("o: a\\",), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(files.dep_info("c")).collect()]
-    assert got == [["a.rs", "b c.rs", "d.rs"], None, None, None]
+    rows = [("o: a.rs b\\ c.rs \\\n d.rs\nz: y",), ("no rule",), ("o: a\\",), (None,), ("a:b: x\\\\y \\q\\#\r\nz",), ("o: " + "p/\\ q \\\n" * 20_000,), ("o:",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(T.dep_info(F.col("c"))).collect()]
+    assert got[:5] == [["a.rs", "b c.rs", "d.rs"], None, None, None, ["x\\y", "\\q#"]] and got[5] == ["p/ q"] * 20_000 and got[6] is None
     zero = spark.createDataFrame([("b\0a\0b\0",)], "c string").select(files.zero_separated(F.col("c"))).first()[0]
     assert zero == ["a", "b"]
 
@@ -155,9 +155,42 @@ def test_report(spark):
     report.check(summary, details, "rule", "n")
     with pytest.raises(ValueError, match="invariant"):
         report.check(summary, details.limit(1), "rule", "n")
-    assert [r.listed for r in report.hand_off(details, [-F.count("*")]).orderBy("place").collect()] == ["p1", "p2"]
-    frame = report.code_frame(spark.createDataFrame([("p", "1\n2\n3\n4\n5\n6\n7")], "path string, text string"), spark.createDataFrame([("p", 4)], "path string, line bigint"), "path")
-    assert [r.content for r in frame.orderBy("number").collect()] == ["2", "3", "4", "5", "6"]
+    text = "1\n2\r\n3\n4\n5\n6\n7"
+    rows = [("p", text, 4), ("q", "a\x00\nb", 1), ("r", "é" * 5000 + "\nz", 1), ("s", "x" + "é" * 5000, 1), ("t", "\U0001f600" * 2048 + "y", 9), (None, None, 1)]
+    frame = report.code_frame(spark.createDataFrame(rows, "path string, text string, line bigint"), ["path"]).orderBy("path", "number").collect()
+    assert [(r.path, r.number, r.content) for r in frame] == [("p", n, str(n)) for n in range(2, 7)] + [("r", 1, "é" * 4096), ("r", 2, "z"), ("s", 1, "x" + "é" * 4095)]
+
+
+def test_hand_off(spark):
+    units = spark.createDataFrame([("a", "Audit.", "scan a"), ("b", "Audit.", "scan\nb"), ("c", "Audit.", "scan c")], "unit string, audit string, rescan string")
+    groups = [("a", p, f"r{p}", "error", 40 + p, "look" if p == 2 else None) for p in (1, 2, 3, 4)] + [("b", 1, "r1", "info", 1, None), ("c", 1, "r 1", "info", 1, None)]
+    sites = [("a", f"r{p}", k, f"s/{k}.rs", k % 3, k) for p in (1, 2, 4) for k in range(p * 9)] + [("c", "r 1", 1, "x", 1, 1)]
+    groups = spark.createDataFrame(groups, "unit string, place int, rule string, severity string, occurrences bigint, help string")
+    sites = spark.createDataFrame(sites, "unit string, rule string, at bigint, path string, line bigint, column bigint")
+
+    def plain(most):
+        lines = [report.HAND_OFF, "Audit."]
+        told = 0
+        for p in (1, 2, 3):
+            lines.append(f"{p}. r{p} (error, {40 + p} occurrences)")
+            lines += ["   Help: look"] if p == 2 else []
+            for k in range(p * 9 if p < 3 else 0):
+                if told < 24:
+                    lines.append(f"   - s/{k}.rs:{max(k % 3, 1)}:{max(k, 1)}")
+                    told += 1
+        body = ""
+        for line in [*lines, "Validate with: scan a"]:
+            if len(body.encode()) + len(line.encode()) + 1 > most:
+                return body, "payload-too-large"
+            body += line + "\n"
+        return body, None
+
+    whole = len(plain(10**6)[0].encode())
+    for most in (report.PROMPT_BYTES, whole, whole - 1, 200, 10):
+        got = {r.unit: (r.body, r.refused) for r in report.hand_off(units, groups, sites, "unit", most).collect()}
+        assert got["a"] == plain(most)
+    assert report.hand_off(units, groups, sites, "unit").where("unit = 'b'").first().refused == "unsafe-payload"
+    assert report.hand_off(units, groups, sites, "unit").where("unit = 'c'").first()["body"] == report.HAND_OFF + "\nAudit.\n"
 
 
 def test_inactive_detectors_do_not_run(spark):
