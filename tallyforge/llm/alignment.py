@@ -25,6 +25,8 @@ from .pieces import Model
 
 _BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s\s|[^\S\n]")
+#: Text whose tokens are merged at once: fewer characters than elsewhere, as both sides' tokens are held beside their texts.
+PIECE = 1_000_000
 #: A pair of ids is one number: the first id above, the second below.
 SECOND = 1 << 32
 
@@ -173,7 +175,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
         aligner = Aligner(ByteLevel(path_a), Pieces(path_b))
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["_text"]]
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE):
                 columns = aligner(texts[lo:hi])
                 out = {id_col: frame[id_col].array[lo:hi]} | dict(zip(("n_a", "n_b", "groups", "pairs", "times"), columns, strict=True))
                 yield pd.DataFrame(out)
