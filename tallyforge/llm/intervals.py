@@ -71,12 +71,12 @@ def sweep(key: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray, ex
     ends, end_keys = end[order][fresh], key[order][fresh]  # distinct ends of each key
     sizes = np.bincount(end_keys, minlength=keys)
     tree = Fenwick(sizes, 4)
-    width = OPEN + 2
-    place = end_keys * width + ends  # rising
-    rank = np.searchsorted(place, key * width + end) - tree.before[key] + 1
-    up_to = np.searchsorted(place, q_key * width + q_end, "right") - tree.before[q_key]
-    under = np.searchsorted(place, q_key * width + q_end) - tree.before[q_key]
-    gone = np.searchsorted(place, q_key * width + q_start) - tree.before[q_key]  # ends before the query's start
+    at_key = lambda k, x: k * (2 * OPEN + 2) + x + OPEN  # noqa: E731  rises with key and number, which can be negative
+    place = at_key(end_keys, ends)
+    rank = np.searchsorted(place, at_key(key, end)) - tree.before[key] + 1
+    up_to = np.searchsorted(place, at_key(q_key, q_end), "right") - tree.before[q_key]
+    under = np.searchsorted(place, at_key(q_key, q_end)) - tree.before[q_key]
+    gone = np.searchsorted(place, at_key(q_key, q_start)) - tree.before[q_key]  # ends before the query's start
     values = np.stack([n, n * start, n * np.where(end == OPEN, 0, end), extra])
 
     # At a moment all sessions that start until then are in the trees.
@@ -149,8 +149,8 @@ def overlaps(queries: DataFrame, sessions: DataFrame) -> DataFrame:
 
     ``queries`` have the columns id, key, start, end, open; ``sessions`` key, start,
     end, open, n (how many such sessions there are) and extra (a sum over them), all
-    whole numbers but for open and the id. An open interval's end is past all others and equal to any
-    other open one; ``overlap_slots`` is null where both are open. Relations that no
+    whole numbers but for open and the id, starts and ends between -2^40 and 2^40. An
+    open interval's end is past all others and equal to any other open one; ``overlap_slots`` is null where both are open. Relations that no
     pair has give no row. Rows without key, start, end (if not open) are left out;
     queries of one id are answered one by one; empty tables give no rows.
 
