@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import bounded_batches, pieces, table
 
@@ -163,6 +164,7 @@ class Model:
         self.goes_on = is_byte & (value & 0xC0 == 0x80)
         self.surface = [None if b else "" if self._split.is_control(i) else x.replace(BLANK, " ") for i, (x, b) in enumerate(zip(names, is_byte, strict=True))]
         self.surface[self._split.unk_id()] = " ⁇ "
+        self.control = [self._split.is_control(i) for i in range(len(names))]
         self.names = names
         whole = any(BLANK in x.lstrip(BLANK) for x, b in zip(names, is_byte, strict=True) if not b)
         self._by_word = not whole
@@ -207,6 +209,7 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: blanks for their mark, bytes joined, the blank put before the text taken away."""
+        first = next((i for i in ids if not self.control[i]), None)
         parts = list(map(self.surface.__getitem__, ids))
         if None in parts:
             out, i = [], 0
@@ -222,7 +225,7 @@ class Model:
                 i = j
             parts = out
         text = "".join(parts)
-        return text[1:] if self.normalize.prefix and text.startswith(" ") else text
+        return text[1:] if self.normalize.prefix and first is not None and self.names[first].startswith(BLANK) else text
 
 
 def _utf8(raw: bytes) -> str:
@@ -281,7 +284,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
     """``decoded``, the text of each row's ids; null for a null list. Other columns stay, but for one of that name."""
     bounded_batches(rows.sparkSession)
     rows = rows.drop("decoded")
-    target = rows.schema.add("decoded", "string")
+    target = StructType([*rows.schema.fields, StructField("decoded", StringType())])
     at = rows.columns.index(ids_col)
 
     def run(batches):
