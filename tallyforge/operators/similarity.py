@@ -51,8 +51,8 @@ def heads(bags: DataFrame, shared: bool = True, size: int = HEAD) -> DataFrame:
 def pairs(bags: DataFrame, shared: bool = True, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, score): nominated pairs by a token of both heads, within the size bound, with Dice of at least the threshold.
 
-    A document nominates those whose multisets hold a token of its own head. Tokens
-    are joined by 64-bit hashes, and those of heads within bands of sizes: the bound
+    Two documents nominate each other by a token of both heads. Tokens are joined by
+    64-bit hashes, and those of heads within bands of sizes: the bound
     lets only documents of the same or the next band be near, so that a
     token of many heads meets few of them at once.
     """

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 # Fixed values.
 Z = 1.959963985
 NOISE_THRESHOLD, LEAST_ARM, SAMPLE, LEAST_REVIEWED = 500, 40, 20, 5
@@ -63,10 +65,10 @@ def agreement() -> tuple[Column, Column]:
 
 
 def stride_sample(rows: DataFrame, key: str, order: list[str], target: int = SAMPLE) -> DataFrame:
-    """Rows at the positions i * n div k, k the smaller of target and n, of each key in order."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(key))
-    placed = rows.withColumn("position", at).withColumn("_n", n).withColumn("_k", F.least(F.col("_n"), F.lit(target)))
+    """Rows at the positions i * n div k, k the smaller of target and n, of each key in order; a large key is ranked over ranges."""
+    n = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    at = ranked(rows, [key], order, "position")
+    placed = at.join(n, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_k", F.least(F.col("_n"), F.lit(target))).drop("_key")
     # The smallest i with i * n div k >= position, if it is equal.
     i = F.expr("(position * _k + _n - 1) div _n")
     return placed.where((i < F.col("_k")) & (F.expr("((position * _k + _n - 1) div _n) * _n div _k") == F.col("position"))).drop("_n", "_k")

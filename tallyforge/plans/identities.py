@@ -123,9 +123,15 @@ RANK = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN
 @query(f"WITH {EVENTS}, {CLONES}, {UNION} SELECT path, id, lag(id) OVER (PARTITION BY path ORDER BY line NULLS LAST, column_ NULLS LAST, {RANK}, code NULLS FIRST, id) AS before FROM every WHERE path IS NOT NULL")
 def diagnostic_order(spark, sf):
     """Each finding with the one before it in the order of its file: the order's later four keys, told within the first."""
-    found = _union(spark, sf).where("path is not null")
+    from ..operators.graph import settle
+    from ..operators.ordered import ranked
+
+    found = settle(_union(spark, sf).where("path is not null").select("path", "line", "column", "severity", "code", "id"))
     order = [F.col("line").asc_nulls_last(), F.col("column").asc_nulls_last(), normalize.severity_rank(F.col("severity")), F.col("code").asc_nulls_first(), "id"]
-    return found.select("path", "id", F.lag("id").over(Window.partitionBy("path").orderBy(*order)).alias("before"))
+    # A file with many findings is ranked over ranges; each finding then asks for the place before its own.
+    at = settle(ranked(found, ["path"], order).select("path", "place", "id"))
+    before = at.select("path", (F.col("place") + 1).alias("place"), F.col("id").alias("before"))
+    return at.join(before, ["path", "place"], "left").select("path", "id", "before")
 
 
 @query(f"WITH {EVENTS}, {CLONES}, {UNION} SELECT id, source, code, severity, path, line, column_ FROM every ORDER BY path NULLS LAST, line NULLS LAST, column_ NULLS LAST, {RANK}, code NULLS FIRST, id")
@@ -212,10 +218,10 @@ def reviewed_pairs(spark, sf):
 CODED = "array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9._~-]$') THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), '')"
 
 
-@query(f"SELECT doc_id, CASE WHEN t = '' THEN t ELSE {CODED} END AS coded FROM (SELECT doc_id, coalesce(string_split(text, chr(10))[1], '') AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN t = '' THEN t ELSE {CODED} END AS coded FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def percent_encoding(spark, sf):
-    docs = base.documents(spark, sf).select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("t"))
-    return docs.select("doc_id", T.encode_component(F.col("t")).alias("coded"))
+    """Every whole text as one component of an address."""
+    return base.documents(spark, sf).select("doc_id", T.encode_component(F.col("text")).alias("coded"))
 
 
 @query(r"SELECT event_id, regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS dated, regexp_matches(event_type, '^[a-z0-9_:]{1,128}$') AS rule_like, regexp_matches(d, '^[a-z]{1,32}$') AS category_like FROM (SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y/%m/%d') WHEN 2 THEN event_type ELSE '2024-1-1' END AS d FROM events)")
