@@ -17,7 +17,7 @@ trained on the model's posteriors, and scores every text.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -158,16 +158,26 @@ def label_model(votes: np.ndarray, against: np.ndarray, lexicons: np.ndarray, ro
     return posterior(rates, prior), {"prior": prior, "rates": rates, "correlation": corr, "weight": weight}
 
 
-def one_of_each(texts: list[str]) -> list[int]:
-    """Indices of texts, one of each group of near copies: those that share the least hash of their word pairs.
+def one_of_each(texts: list[str], sketch: int = 4, alike: float = 0.8) -> list[int]:
+    """Indices of texts, one of each group of near copies: those with so large a share of word pairs in common.
 
-    Words that a large group of copies has in common would else look like terms.
+    Words that a large group of copies has in common would else look like terms. Texts
+    that have one of their least hashes of word pairs in common are compared; only
+    what the whole sets of pairs confirm is left out.
     """
-    first: dict[int, int] = {}
+    kept, near, pairs_of = [], defaultdict(list), {}
     for i, text in enumerate(texts):
         words = text.lower().split()
-        first.setdefault(min((crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:], strict=False)), default=-1 - i), i)
-    return sorted(first.values())
+        pairs = frozenset(crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:], strict=False)) or frozenset(words)
+        least = sorted(pairs)[:sketch]
+        others = {j for h in least for j in near[h] if alike <= len(pairs_of[j]) / len(pairs) <= 1 / alike}
+        if any(len(own & pairs) >= alike * len(own | pairs) for own in map(pairs_of.__getitem__, others)):
+            continue
+        kept.append(i)
+        pairs_of[i] = pairs
+        for h in least:
+            near[h].append(i)
+    return kept
 
 
 def fit(texts: list[str], toxic: list[int]) -> dict:
