@@ -29,11 +29,11 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_and_sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings by source and rule, and the sources' sizes: one settled aggregate of a few rows, from two scans."""
+    """Findings by source and rule (with their number in ``rows``), and the sources' sizes: one settled aggregate of a few rows, from two scans."""
     found = fd.detect(documents(spark, sf_dir), sized=True)
     every = settle(score.aggregate_rules(found, "source", extra=[F.count("*").alias("rows")]))
     sizes_ = every.where(F.col("rule") == fd.SIZE).select("source", F.expr("occurrences div 20").alias("production_lines"), F.col("rows").alias("source_files"))
-    return every.where(F.col("rule") != fd.SIZE).drop("rows"), sizes_
+    return every.where(F.col("rule") != fd.SIZE), sizes_
 
 
 #: White space of Unicode, as DuckDB's patterns write it.

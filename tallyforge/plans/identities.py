@@ -188,8 +188,7 @@ def presentation_groups(spark, sf):
 
     rules, _ = _rules(spark, sf)
     valued = score.contributions(rules, "source").select("source", "rule", "repair_value", "contribution")
-    members = base.findings(spark, sf).groupBy("source", "rule").agg(F.count("*").alias("members"))
-    every = rules.join(valued, ["source", "rule"], "left").join(members, ["source", "rule"])
+    every = rules.withColumnRenamed("rows", "members").join(valued, ["source", "rule"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     order = Window.partitionBy("source").orderBy("worst_severity", zero("repair_value").desc(), zero("contribution").desc(), F.desc("occurrences"), "rule")
     return every.select("source", "rule", F.col("worst_severity").alias("severity"), "occurrences", "members", F.row_number().over(order).cast("bigint").alias("place"))
