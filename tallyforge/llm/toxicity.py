@@ -168,10 +168,12 @@ def one_of_each(texts: list[str], sketch: int = 4, alike: float = 0.8) -> list[i
     kept, near, pairs_of = [], defaultdict(list), {}
     for i, text in enumerate(texts):
         words = text.lower().split()
-        pairs = frozenset(crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:], strict=False)) or frozenset(words)
-        least = sorted(pairs)[:sketch]
+        own = map(" ".join, zip(words, words[1:], strict=False)) if len(words) > 1 else words
+        pairs = np.unique(np.array([crc32(x.encode("utf-8", "surrogatepass")) for x in own], np.uint32))
+        least = pairs[:sketch].tolist()
         others = {j for h in least for j in near[h] if alike <= len(pairs_of[j]) / len(pairs) <= 1 / alike}
-        if any(len(own & pairs) >= alike * len(own | pairs) for own in map(pairs_of.__getitem__, others)):
+        common = [(len(np.intersect1d(pairs_of[j], pairs, assume_unique=True)), len(pairs_of[j])) for j in others]
+        if any(c >= alike * (n + len(pairs) - c) for c, n in common):
             continue
         kept.append(i)
         pairs_of[i] = pairs
