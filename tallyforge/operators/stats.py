@@ -78,6 +78,34 @@ def median_centi(value: Column) -> Column:
     return F.round(F.median(value) * 100).cast("bigint")
 
 
+def order_statistics(rows: DataFrame, key: str, value: str, **places: Column) -> DataFrame:
+    """(key, a column for each of ``places``): the mean of each key's values at the places asked for, in order from 0.
+
+    A place is an array of longs over ``n``, the number of the key's values that aren't
+    null; a key without any has nulls. No key is gathered: values are ranked, large keys
+    over ranges, and only those at the places asked for are aggregated. The order need
+    not be total, as equal values may stand at any of their places.
+    """
+    n = rows.groupBy(F.col(key).alias("_key")).agg(F.count(value).alias("n"))
+    at = ranked(rows.where(F.col(value).isNotNull()).select(key, value), [key], [value], "_at")
+    asked = n.select("_key", "n", *[p.alias(f"_{name}") for name, p in places.items()])
+    every = F.array_distinct(F.flatten(F.array(*[F.col(f"_{name}") for name in places])))
+    wanted = asked.withColumn("_place", F.explode_outer(F.when(F.col("n") > 0, every)))
+    found = wanted.join(at, F.col("_key").eqNullSafe(F.col(key)) & (F.col("_place") == F.col("_at")), "left")
+    means = [F.avg(F.when(F.array_contains(f"_{name}", F.col("_at")), F.col(value))).alias(name) for name in places]
+    return found.groupBy("_key").agg(*means).withColumnRenamed("_key", key)
+
+
+def middle() -> Column:
+    """The places of the median, one or two, for ``order_statistics``."""
+    return F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))
+
+
+def discrete(percent: int) -> Column:
+    """The place of the smallest value that at least so many in a hundred don't exceed, for ``order_statistics``."""
+    return F.array(F.expr(f"greatest((n * {percent} + 99) div 100, 1) - 1"))
+
+
 def density_milli(findings: Column, lines: Column) -> Column:
     return F.when(lines > 0, F.floor(findings * 1_000_000 / lines)).otherwise(0).cast("bigint")
 

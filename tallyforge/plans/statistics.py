@@ -172,7 +172,8 @@ def score_distribution(spark, sf):
 
 @query("SELECT o_orderpriority, CAST(round(median(o_custkey) * 100) AS BIGINT) AS median_centi FROM orders GROUP BY o_orderpriority")
 def median_centi(spark, sf):
-    return base.table(spark, sf, "orders").groupBy("o_orderpriority").agg(stats.median_centi(F.col("o_custkey")).alias("median_centi"))
+    found = stats.order_statistics(base.table(spark, sf, "orders"), "o_orderpriority", "o_custkey", median=stats.middle())
+    return found.select("o_orderpriority", F.round(F.col("median") * 100).cast("bigint").alias("median_centi"))
 
 
 @query(f"WITH {FINDINGS}, {SIZES}, c AS (SELECT source, count(*) AS n FROM findings WHERE producer = 'structure' GROUP BY source) SELECT source, CAST(CASE WHEN production_lines > 0 THEN coalesce(n, 0) * 1000000 // production_lines ELSE 0 END AS BIGINT) AS density FROM sizes LEFT JOIN c USING (source)")
@@ -188,4 +189,4 @@ def open_escalations(spark, sf):
 
 @query("SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM events GROUP BY event_type")
 def percentile_rank(spark, sf):
-    return base.table(spark, sf, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return stats.order_statistics(base.table(spark, sf, "events"), "event_type", "value", p95=stats.discrete(95))

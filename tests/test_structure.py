@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import manifests as M
 from tallyforge.functions import text as T
-from tallyforge.operators import aliases, canonical, evidence, graph, harness, ignore, nesting, ordered, snapshot, trees
+from tallyforge.operators import aliases, canonical, evidence, graph, harness, ignore, nesting, ordered, snapshot, stats, trees
 from tallyforge.operators import similarity as sim
 
 
@@ -346,3 +346,23 @@ def test_settled_tables_go(spark):
     assert os.path.isdir(path) and df.count() == 5
     graph.release(df)
     assert not os.path.exists(path)
+
+
+@pytest.mark.parametrize("shares", [1, 10_000])
+def test_order_statistics(spark, monkeypatch, shares):
+    """Against a sort, with keys ranked by a window only and over ranges only; nulls, ties, a null key, a key without values."""
+    import math
+    import statistics
+
+    monkeypatch.setattr(ordered, "SHARES", shares)
+    r = random.Random(3)
+    rows = [("hot", r.randint(0, 9)) for _ in range(400)] + [(k, r.randint(-5, 5)) for k in ("a", None) for _ in range(21)]
+    rows += [("one", 7), ("two", 1), ("two", 4), ("void", None), ("hot", None)]
+    data = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    got = {g.k: (g.mid, g.p95, g.least) for g in stats.order_statistics(data, "k", "v", mid=stats.middle(), p95=stats.discrete(95), least=F.array(F.lit(0))).collect()}
+    want = {}
+    for key in {k for k, _ in rows}:
+        own = sorted(v for k, v in rows if k == key and v is not None)
+        want[key] = (statistics.median(own), own[max(math.ceil(0.95 * len(own)), 1) - 1], own[0]) if own else (None, None, None)
+    assert got == want
+    assert stats.order_statistics(data.limit(0), "k", "v", mid=stats.middle()).count() == 0
