@@ -11,8 +11,9 @@ base formats find there are respelled in their place (an address with "at" and
 "dot", a number without its country), data of each kind are made up, and so are
 look-alikes (dates, versions, order numbers, prices, hashes, ...), all with cue
 words, misleading ones and none. What the generators propose in the same documents
-beside the base spans counts as ordinary. Whole documents are held back to
-calibrate the threshold.
+beside the base spans has no label, as it may be real data: trees of the made
+candidates alone judge it, and what they take for data is left out, the rest
+counts as ordinary. Whole documents are held back to calibrate the threshold.
 
 All searches take time in proportion to the text: base formats begin only where a
 run of their characters does, and marks like "@" are looked for first.
@@ -53,6 +54,8 @@ KINDS = ("email", "ip", "card", "phone", "id")
 CUES = ("mail", "contact", "phone", "tel", "call", "fax", "mobile", "ssn", "social", "iban", "account", "ip", "host", "address", "write", "version", "order", "invoice", "date", "page", "isbn", "total", "price", "released", "figure", "chapter", "at")
 WINDOW = 24
 EXAMPLES, ROUNDS, DEPTH, RATE, BINS = 12_000, 60, 3, 0.2, 32
+#: The label of candidates that nobody made.
+UNKNOWN = -1
 #: Documents, chosen by a hash of their id, whose texts the training candidates stand in.
 SAMPLE = 1000
 #: Share of the selected training candidates that has to be right.
@@ -192,7 +195,7 @@ def respelled(kind: str, core: str, r: random.Random) -> str | None:
 
 
 def examples(texts: list[str], n: int = EXAMPLES, seed: int = 7) -> tuple[list[list[float]], list[int], list[int]]:
-    """Features, labels and groups (what is held back together) of candidates in the ``texts``: ``n`` made ones, and all that are there."""
+    """Features, labels and groups (what is held back together) of candidates in the ``texts``: all that are there (UNKNOWN), then at least ``n`` made ones."""
     r = random.Random(seed)
     x, y, group, places = [], [], [], []
     words = sorted({w for t in texts for w in re.findall(r"[^\W\d_]+", t)})
@@ -202,7 +205,7 @@ def examples(texts: list[str], n: int = EXAMPLES, seed: int = 7) -> tuple[list[l
             places += [(i, t[max(0, a - 40) : a], kind, t[a:b], t[b : b + 40]) for a, _, b, kind in own]
             for a, _, b, kind in beside(t, own):
                 x.append(features(t, a, b, kind))
-                y.append(0)
+                y.append(UNKNOWN)
                 group.append(i)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8)))
@@ -303,15 +306,34 @@ def train(docs: DataFrame | None = None, text_col: str = "text", id_col: str = "
     The candidates stand in the texts of ``sample`` documents at most, chosen by a
     hash of the id (null texts and rows without an id aside; equal ids count once).
     An empty table leaves made contexts. ``held_back`` tells how many candidates
-    were held back, and the precision and recall of those selected.
+    were held back (how many of them real ones), how many real ones had no label, and
+    the precision and recall of those selected.
     """
     texts: list[str] = []
     if docs is not None:
         ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id").where("_t is not null").collect()
         texts = [r[1] for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))]
+    return fit(texts)
+
+
+def judged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels, and which rows have one: the UNKNOWN are ordinary if trees of the made rows take them for it, else they have none."""
+    made = y != UNKNOWN
+    ordinary = made.copy()
+    if not made.all():
+        ordinary[~made] = margins(boost(x[made], y[made]), x[~made]) < 0
+    return np.where(made, y, 0.0), ordinary
+
+
+def fit(texts: list[str]) -> dict:
+    """The model of ``train`` for texts at hand."""
     x, y, group = map(np.array, examples(texts))
     x, y = x.astype(float), y.astype(float)
+    real = int((y == UNKNOWN).sum())
+    y, known = judged(x, y)
+    unlabelled = int((~known).sum())
+    x, y, group = x[known], y[known], group[known]
     fold = np.array([hashlib.md5(str(i).encode()).digest()[0] % 4 == 0 for i in group.tolist()])
     m = margins(boost(x[~fold], y[~fold]), x[fold])
     order = np.argsort(-m, kind="stable")
@@ -322,7 +344,8 @@ def train(docs: DataFrame | None = None, text_col: str = "text", id_col: str = "
     model["threshold"] = float(max(0.0, m[order][good[-1]])) if len(good) else float("inf")
     chosen = int((m >= model["threshold"]).sum())
     found = float(y[fold][m >= model["threshold"]].sum())
-    model["held_back"] = {"candidates": len(m), "real": int((fold & (np.arange(len(y)) < len(y) - EXAMPLES)).sum()), "precision": found / max(1, chosen), "recall": found / max(1.0, float(y[fold].sum()))}
+    held_real = int(fold[: real - unlabelled].sum())  # real candidates come first
+    model["held_back"] = {"candidates": len(m), "real": held_real, "unlabelled": unlabelled, "precision": found / max(1, chosen), "recall": found / max(1.0, float(y[fold].sum()))}
     return model
 
 
