@@ -4,22 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rules by category and producer, each with its tier.
-_RULES = {
-    ("correctness", "clippy"): "arc_with_non_send_sync P1, await_holding_lock P1, await_holding_refcell_ref P1, mut_mutex_lock P2, non_send_fields_in_send_ty P1, panic_in_result_fn P2, rc_mutex P2, suspicious_command_arg_space P2, todo P2, unimplemented P1, unreachable P2",
-    ("reliability", "clippy"): "exit P2, expect_used P3, indexing_slicing P3, mem_forget P2, panic P3, string_slice P3, unwrap_used P3, zombie_processes P2",
-    ("performance", "clippy"): "format_collect P3, large_types_passed_by_value P3, manual_memcpy P3, ptr_arg P3, rc_buffer P3, redundant_allocation P2, stable_sort_primitive P3, unnecessary_to_owned P3, useless_vec P3, vec_init_then_push P3",
-    ("maintainability", "clippy"): "dbg_macro P3, missing_safety_doc P3, print_stderr P3, print_stdout P3, too_many_arguments P3, type_complexity P3, unused_async P3",
-    ("security", "clippy"): "permissions_set_readonly_false P1",
-    ("dependencies", "cargo"): "duplicate_major_versions P2, missing_lockfile P2, path_dependency_outside_workspace P1, test_only_dependency P2, unused_dependency P2",
-    ("reliability", "cargo"): "permissive_lint_table P2, permissive_rustflags P2, release_debug_symbols P3, unbounded_registry_dependency P3, unchecked_release_overflow P3",
-    ("security", "cargo"): "unpinned_git_dependency P1",
-    ("security", "repo"): "hardcoded_credential P1, tracked_secret_file P1",
-    ("maintainability", "repo"): "unignored_build_output P3",
-    ("security", "source"): "disabled_tls_verification P0, dynamic_shell_command P0",
-    ("maintainability", "structure"): "complex_function P3, duplicate_function_body P3, near_duplicate_function_body P3, orphan_module_file P3, oversized_unit P3, stacked_allow_attribute P3, unreasoned_allow_attribute P3, unreferenced_feature P3",
-    ("reliability", "structure"): "crate_level_allow P2",
-}
+# Rules with their category, producer and tier.
+_RULES = [
+    ("clippy::arc_with_non_send_sync", "correctness", "clippy", "P1"),
+    ("clippy::await_holding_lock", "correctness", "clippy", "P1"),
+    ("clippy::await_holding_refcell_ref", "correctness", "clippy", "P1"),
+    ("clippy::mut_mutex_lock", "correctness", "clippy", "P2"),
+    ("clippy::non_send_fields_in_send_ty", "correctness", "clippy", "P1"),
+    ("clippy::panic_in_result_fn", "correctness", "clippy", "P2"),
+    ("clippy::rc_mutex", "correctness", "clippy", "P2"),
+    ("clippy::suspicious_command_arg_space", "correctness", "clippy", "P2"),
+    ("clippy::todo", "correctness", "clippy", "P2"),
+    ("clippy::unimplemented", "correctness", "clippy", "P1"),
+    ("clippy::unreachable", "correctness", "clippy", "P2"),
+    ("clippy::exit", "reliability", "clippy", "P2"),
+    ("clippy::expect_used", "reliability", "clippy", "P3"),
+    ("clippy::indexing_slicing", "reliability", "clippy", "P3"),
+    ("clippy::mem_forget", "reliability", "clippy", "P2"),
+    ("clippy::panic", "reliability", "clippy", "P3"),
+    ("clippy::string_slice", "reliability", "clippy", "P3"),
+    ("clippy::unwrap_used", "reliability", "clippy", "P3"),
+    ("clippy::zombie_processes", "reliability", "clippy", "P2"),
+    ("clippy::format_collect", "performance", "clippy", "P3"),
+    ("clippy::large_types_passed_by_value", "performance", "clippy", "P3"),
+    ("clippy::manual_memcpy", "performance", "clippy", "P3"),
+    ("clippy::ptr_arg", "performance", "clippy", "P3"),
+    ("clippy::rc_buffer", "performance", "clippy", "P3"),
+    ("clippy::redundant_allocation", "performance", "clippy", "P2"),
+    ("clippy::stable_sort_primitive", "performance", "clippy", "P3"),
+    ("clippy::unnecessary_to_owned", "performance", "clippy", "P3"),
+    ("clippy::useless_vec", "performance", "clippy", "P3"),
+    ("clippy::vec_init_then_push", "performance", "clippy", "P3"),
+    ("clippy::dbg_macro", "maintainability", "clippy", "P3"),
+    ("clippy::missing_safety_doc", "maintainability", "clippy", "P3"),
+    ("clippy::print_stderr", "maintainability", "clippy", "P3"),
+    ("clippy::print_stdout", "maintainability", "clippy", "P3"),
+    ("clippy::too_many_arguments", "maintainability", "clippy", "P3"),
+    ("clippy::type_complexity", "maintainability", "clippy", "P3"),
+    ("clippy::unused_async", "maintainability", "clippy", "P3"),
+    ("clippy::permissions_set_readonly_false", "security", "clippy", "P1"),
+    ("cargo::duplicate_major_versions", "dependencies", "cargo", "P2"),
+    ("cargo::missing_lockfile", "dependencies", "cargo", "P2"),
+    ("cargo::path_dependency_outside_workspace", "dependencies", "cargo", "P1"),
+    ("cargo::test_only_dependency", "dependencies", "cargo", "P2"),
+    ("cargo::unused_dependency", "dependencies", "cargo", "P2"),
+    ("cargo::permissive_lint_table", "reliability", "cargo", "P2"),
+    ("cargo::permissive_rustflags", "reliability", "cargo", "P2"),
+    ("cargo::release_debug_symbols", "reliability", "cargo", "P3"),
+    ("cargo::unbounded_registry_dependency", "reliability", "cargo", "P3"),
+    ("cargo::unchecked_release_overflow", "reliability", "cargo", "P3"),
+    ("cargo::unpinned_git_dependency", "security", "cargo", "P1"),
+    ("repo::hardcoded_credential", "security", "repo", "P1"),
+    ("repo::tracked_secret_file", "security", "repo", "P1"),
+    ("repo::unignored_build_output", "maintainability", "repo", "P3"),
+    ("source::disabled_tls_verification", "security", "source", "P0"),
+    ("source::dynamic_shell_command", "security", "source", "P0"),
+    ("structure::complex_function", "maintainability", "structure", "P3"),
+    ("structure::duplicate_function_body", "maintainability", "structure", "P3"),
+    ("structure::near_duplicate_function_body", "maintainability", "structure", "P3"),
+    ("structure::orphan_module_file", "maintainability", "structure", "P3"),
+    ("structure::oversized_unit", "maintainability", "structure", "P3"),
+    ("structure::stacked_allow_attribute", "maintainability", "structure", "P3"),
+    ("structure::unreasoned_allow_attribute", "maintainability", "structure", "P3"),
+    ("structure::unreferenced_feature", "maintainability", "structure", "P3"),
+    ("structure::crate_level_allow", "reliability", "structure", "P2"),
+]
 # Measured false-positive rates in basis points.
 _NOISE = {
     "clippy::exit": 10000,
@@ -64,11 +113,7 @@ RULE_SCHEMA = "id string, category string, producer string, default_level string
 
 def rules() -> list[tuple]:
     """(id, category, producer, default_level, tier, help), by id; every default level is warn."""
-    out = []
-    for (category, producer), names in _RULES.items():
-        for name, tier in (x.split(" ") for x in names.split(", ")):
-            out.append((f"{producer}::{name}", category, producer, "warn", tier, name.replace("_", " ").capitalize()))
-    return sorted(out)
+    return sorted((rule, category, producer, "warn", tier, rule.split("::")[1].replace("_", " ").capitalize()) for rule, category, producer, tier in _RULES)
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
