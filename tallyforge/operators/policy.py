@@ -54,6 +54,16 @@ def blocks(severity: Column, blocking: str) -> Column:
     return {"none": F.lit(False), "error": severity == "error", "warning": severity.isin("error", "warning")}[blocking]
 
 
+def blocking_level(request: Column, config: Column) -> tuple[Column, Column]:
+    """The level at which findings block, and where it comes from: request before configuration, else errors block."""
+    return F.coalesce(request, config, F.lit("error")), F.when(request.isNotNull(), "request").when(config.isNotNull(), "config").otherwise("default")
+
+
+def blocks_at(severity: Column, level: Column) -> Column:
+    """As ``blocks`` for a level in each row; a null or unknown level blocks nothing."""
+    return F.coalesce((level == "error") & (severity == "error") | (level == "warning") & severity.isin("error", "warning"), F.lit(False))
+
+
 def gate(findings: DataFrame, *key: str, blocking: str = "error") -> DataFrame:
     """Blocking findings that weigh (have no context), and whether the gate passes."""
     n = F.count_if(F.col("context").isNull() & blocks(F.col("severity"), blocking))

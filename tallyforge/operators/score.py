@@ -103,6 +103,19 @@ def contributions(rules: DataFrame, key: str) -> DataFrame:
     return out.withColumn("repair_value", F.expr("contribution * (10000 - coalesce(noise_bp, 0)) div 10000"))
 
 
+def authority(units: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """(key, authoritative): whether a unit's score can be relied on.
+
+    ``units`` have status and inventory (whether all files were seen), ``rules`` are
+    aggregated. A scan has to be complete, its files all known and each of its rules
+    sure; a unit without findings has sure rules, one with a null status or inventory isn't
+    relied on.
+    """
+    sure = rules.groupBy(F.col(key).alias("_key")).agg(F.bool_and("authoritative").alias("_sure"))
+    whole = (F.col("status") == "complete") & F.col("inventory") & F.coalesce("_sure", F.lit(True))
+    return units.join(sure, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce(whole, F.lit(False)).alias("authoritative"))
+
+
 def published(rules: DataFrame, key: str) -> DataFrame:
     """Rules of the keys whose score can be relied on; nothing is ranked for the others."""
     return rules.withColumn("_sure", F.min("authoritative").over(Window.partitionBy(key))).where("_sure").drop("_sure")

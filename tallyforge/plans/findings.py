@@ -119,6 +119,34 @@ def score_authoritative(spark, sf):
     return base.sizes(spark, sf).select("source").join(rules, "source", "left").withColumn("authoritative", F.coalesce("authoritative", F.lit(True)))
 
 
+@query(f"""WITH {FINDINGS}, u AS (SELECT source, CASE WHEN bool_or(n_chars > 17000) THEN 'failed' WHEN bool_or(coalesce(text, '') = '') THEN 'incomplete' ELSE 'complete' END AS status, bool_and(n_chars = length(coalesce(text, ''))) AND count(*) FILTER (WHERE lang = 'de') % 3 > 0 AS inventory FROM documents GROUP BY source),
+  r AS (SELECT source, bool_and(context IS NOT NULL OR category IS NOT NULL AND tier IS NOT NULL) AS sure FROM findings GROUP BY source)
+  SELECT source, status = 'complete' AND inventory AND coalesce(sure, true) AS authoritative FROM u LEFT JOIN r USING (source)""")
+def score_authority(spark, sf):
+    """A source's score stands if its scan is complete, its inventory agrees with the texts, and its rules are sure."""
+    text = F.coalesce("text", F.lit(""))
+    seen = base.table(spark, sf, "documents").groupBy("source").agg(F.bool_or(F.col("n_chars") > 17_000).alias("failed"), (~F.bool_or(text == "")).alias("whole"), F.count("*").alias("n"), (F.bool_and(F.col("n_chars") == F.length(text)) & (F.count_if(F.col("lang") == "de") % 3 > 0)).alias("inventory"))
+    units = seen.select("source", policy.status(F.col("failed"), F.col("whole"), F.col("n")).alias("status"), "inventory")
+    return score.authority(units, score.aggregate_rules(base.findings(spark, sf), "source"), "source")
+
+
+LEVELS = "levels AS (SELECT source, CASE WHEN length(source) % 3 = 0 THEN 'warning' WHEN source LIKE '%4' THEN 'none' END AS request, CASE WHEN source LIKE '%5' OR source LIKE '%4' THEN 'warning' WHEN source LIKE '%7' THEN 'none' END AS config FROM (SELECT DISTINCT source FROM documents))"
+
+
+@query(f"""WITH {FINDINGS}, {LEVELS}, l AS (SELECT source, coalesce(request, config, 'error') AS level, CASE WHEN request IS NOT NULL THEN 'request' WHEN config IS NOT NULL THEN 'config' ELSE 'default' END AS level_source FROM levels)
+  SELECT l.source, level, level_source, count(*) FILTER (WHERE f.rule IS NOT NULL AND context IS NULL AND (level = 'error' AND severity = 'error' OR level = 'warning' AND severity IN ('error', 'warning'))) AS blocking_findings FROM l LEFT JOIN findings f USING (source) GROUP BY l.source, level, level_source""")
+def gate_levels(spark, sf):
+    """Each source at its own blocking level: as requested, as configured, or that of errors."""
+    s = F.col("source")
+    levels = base.table(spark, sf, "documents").select("source").distinct()
+    request, config = F.when(F.length(s) % 3 == 0, "warning").when(s.endswith("4"), "none"), F.when(s.endswith("5") | s.endswith("4"), "warning").when(s.endswith("7"), "none")
+    level, origin = policy.blocking_level(request, config)
+    found = base.findings(spark, sf).where("context is null").groupBy("source", "severity").agg(F.count("*").alias("n"))
+    met = levels.select("source", level.alias("level"), origin.alias("level_source")).join(found, "source", "left")
+    blocking = F.when(policy.blocks_at(F.col("severity"), F.col("level")), F.col("n")).otherwise(0)
+    return met.groupBy("source", "level", "level_source").agg(F.sum(blocking).cast("bigint").alias("blocking_findings"))
+
+
 def _valued(spark, sf):
     return score.contributions(_rules(spark, sf)[0], "source")
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import text as T
-from ..operators import normalize, score
+from ..operators import findings as fd
+from ..operators import normalize, presentation, score
 from ..operators import policy as pol
+from ..sources import catalog
 from . import base
 from .base import AGGREGATES, CONTRIBUTIONS, FINDINGS, SIZES
 from .registry import query
@@ -194,6 +196,28 @@ def presentation_groups(spark, sf):
     return every.select("source", "rule", F.col("worst_severity").alias("severity"), "occurrences", "members", F.row_number().over(order).cast("bigint").alias("place"))
 
 
+@query(f"""WITH {FINDINGS}, {SIZES}, {AGGREGATES}, {CONTRIBUTIONS}, {GROUPS}, placed AS (SELECT source, rule, row_number() OVER (PARTITION BY source ORDER BY worst_severity, coalesce(repair_value, 0) DESC, coalesce(contribution, 0) DESC, occurrences DESC, rule) AS place FROM told),
+  items AS (SELECT p.source, p.place, CASE r.category WHEN 'security' THEN 1 WHEN 'dependencies' THEN 4 WHEN 'maintainability' THEN 5 ELSE 6 END AS rank FROM placed p LEFT JOIN rules r USING (rule)),
+  every AS (SELECT source, rank, place FROM items UNION ALL SELECT DISTINCT source, rank, NULL FROM items)
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY rank, place NULLS FIRST) AS position, list_extract(['Security', 'Bugs', 'Performance', 'Dependencies', 'Maintainability', 'Other'], rank) AS category, place FROM every""")
+def interactive_list(spark, sf):
+    """The groups of each source's report below the heading of their category."""
+    rules = catalog.document_rules(spark).select("rule", "category")
+    groups = presentation_groups(spark, sf).join(F.broadcast(rules), "rule", "left")
+    return presentation.interactive(groups.withColumn("category", fd.bucket(F.col("category"))), "source")
+
+
+@query("""WITH m AS (SELECT DISTINCT lang, n_chars // 500 AS size, doc_id, CASE doc_id % 10 WHEN 0 THEN 'tests' WHEN 1 THEN 'benches' END AS context FROM documents),
+  w AS (SELECT lang, size, count(*) AS occurrences, CASE WHEN count(context) = count(*) AND min(context) = max(context) THEN min(context) END AS family_context FROM m GROUP BY lang, size)
+  SELECT m.lang, m.size, m.doc_id, m.context, row_number() OVER (PARTITION BY m.lang, m.size ORDER BY m.doc_id, m.context) - 1 AS place, occurrences, family_context FROM m JOIN w ON m.lang IS NOT DISTINCT FROM w.lang AND m.size IS NOT DISTINCT FROM w.size""")
+def family_places(spark, sf):
+    """Documents of a language and size as a family: its anchor, what is related to it, and the context that all share."""
+    k = F.col("doc_id") % 10
+    docs = base.table(spark, sf, "documents").select("lang", F.expr("n_chars div 500").alias("size"), "doc_id", F.when(k == 0, "tests").when(k == 1, "benches").alias("context"))
+    # Told twice, as two producers would: members count once.
+    return presentation.family_members(docs.unionByName(docs.where("doc_id % 2 = 0")), ["lang", "size"], ["doc_id"])
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem l ANTI JOIN (SELECT DISTINCT o_orderkey AS l_orderkey FROM orders WHERE o_totalprice > 100000) o USING (l_orderkey) WHERE l_returnflag = 'R'")
 def stale_reviews(spark, sf):
     """Reviewed rows whose order isn't observed any more."""

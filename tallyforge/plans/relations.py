@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features
 from ..operators import relations as rel
 from . import base
 from .registry import query
@@ -98,3 +99,35 @@ def coverage_queue(spark, sf):
     used = lambda w: orders.where(w).select(F.col("o_custkey").alias("c_custkey"))
     every = base.table(spark, sf, "customer").select("c_custkey").distinct()
     return rel.unreferenced(rel.unreferenced(every, used("o_orderstatus = 'F'"), ["c_custkey"]), used("o_totalprice > 250000"), ["c_custkey"])
+
+
+# Suppliers as packages: the lines they sold declare features, some with an entry; the orders of first lines read one.
+FEATURES = """k AS (SELECT l_suppkey AS package, l_orderkey, l_linenumber, l_orderkey + l_partkey AS n FROM lineitem),
+declared AS (SELECT package, CASE WHEN n % 997 = 0 THEN 'default' ELSE 'f' || n % 997 END AS feature, CASE l_linenumber WHEN 5 THEN 'f' || (n + 1) % 997 WHEN 6 THEN 'dep:f' || (n + 2) % 997 WHEN 7 THEN 'd/f' || (n + 3) % 997 END AS entry FROM k),
+read_ AS (SELECT DISTINCT l_orderkey AS place, package, 'f' || l_orderkey * 5 % 997 AS feature FROM k WHERE l_linenumber <= 2)"""
+
+
+def _features(spark, sf):
+    lines = base.table(spark, sf, "lineitem")
+    n = F.col("l_orderkey") + F.col("l_partkey")
+    name = lambda x: F.concat(F.lit("f"), (x % 997).cast("string"))
+    at = F.col("l_linenumber")
+    entry = F.when(at == 5, name(n + 1)).when(at == 6, F.concat(F.lit("dep:"), name(n + 2))).when(at == 7, F.concat(F.lit("d/"), name(n + 3)))
+    declared = lines.select(F.col("l_suppkey").alias("package"), F.when(n % 997 == 0, "default").otherwise(name(n)).alias("feature"), F.array_compact(F.array(entry)).alias("activates"))
+    # An order has two such lines at most.
+    read = lines.where(at <= 2).groupBy(F.col("l_orderkey").alias("place")).agg(F.collect_set("l_suppkey").alias("packages")).withColumn("feature", name(F.col("place") * 5))
+    return declared, read
+
+
+@query(f"WITH {FEATURES} SELECT package, feature FROM declared WHERE feature <> 'default' GROUP BY package, feature HAVING count(entry) = 0 EXCEPT SELECT package, entry FROM declared WHERE entry NOT LIKE '%/%' AND entry NOT LIKE 'dep:%' EXCEPT SELECT package, feature FROM read_ EXCEPT SELECT s_suppkey, 'f' || s_nationkey FROM supplier")
+def unread_features(spark, sf):
+    """Declared without effect, listed by no other feature, read by no place of its package, not of an optional dependency."""
+    optional = base.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("package"), F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("feature"))
+    return features.unread(*_features(spark, sf), optional)
+
+
+@query(f"WITH {FEATURES}, known AS (SELECT DISTINCT package, feature FROM declared) SELECT place, feature FROM read_ r LEFT JOIN (SELECT *, true AS known FROM known) USING (package, feature) GROUP BY place, feature HAVING NOT bool_or(coalesce(known, false))")
+def undeclared_features(spark, sf):
+    """Read where no package that compiles the place declares it."""
+    declared, read = _features(spark, sf)
+    return features.undeclared(read, declared, ["place"])

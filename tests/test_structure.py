@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import manifests as M
 from tallyforge.functions import text as T
-from tallyforge.operators import aliases, canonical, evidence, graph, harness, ignore, nesting, ordered, snapshot, stats, trees
+from tallyforge.operators import aliases, canonical, evidence, features, graph, harness, ignore, nesting, ordered, policy, presentation, score, snapshot, stats, trees
 from tallyforge.operators import similarity as sim
 
 
@@ -366,3 +366,46 @@ def test_order_statistics(spark, monkeypatch, shares):
         want[key] = (statistics.median(own), own[max(math.ceil(0.95 * len(own)), 1) - 1], own[0]) if own else (None, None, None)
     assert got == want
     assert stats.order_statistics(data.limit(0), "k", "v", mid=stats.middle()).count() == 0
+
+
+def test_features(spark):
+    """Each way in which a feature is read or has an effect, against plain loops."""
+    declared = [("p", "idle", []), ("p", "none", None), ("p", "default", []), ("p", "opt", []), ("p", "listed", []), ("p", "read", []), ("p", "acts", ["listed", "dep:far", "x/there"])]
+    declared += [("p", "far", []), ("p", "there", []), ("p", "elsewhere", []), ("q", "read", []), ("p", "twice", []), ("p", "twice", ["dep:z"]), ("p", "idle", [])]
+    read = [(1, "read", ["p"]), (2, "elsewhere", ["q"]), (3, "unknown", ["p", "q"]), (4, "read", ["r", "q"]), (5, "unknown", []), (6, "unknown", None), (7, None, ["p"]), (3, "unknown", ["p", "q"]), (8, "idle", ["r"])]
+    d = spark.createDataFrame(declared, "package string, feature string, activates array<string>")
+    u = spark.createDataFrame(read, "place int, feature string, packages array<string>")
+    optional = spark.createDataFrame([("p", "opt"), ("q", "idle")], "package string, feature string")
+    got = sorted(map(tuple, features.unread(d, u, optional).collect()))
+    # A place that q compiles reads q's feature.
+    assert got == [("p", "elsewhere"), ("p", "far"), ("p", "idle"), ("p", "none"), ("p", "there")]
+    assert sorted(map(tuple, features.undeclared(u, d, ["place"]).collect())) == [(2, "elsewhere"), (3, "unknown"), (8, "idle")]
+    assert features.unread(d.limit(0), u, optional).count() == 0 and features.undeclared(u.limit(0), d, ["place"]).count() == 0
+
+
+@pytest.mark.parametrize("shares", [1, 10_000])
+def test_family_members(spark, monkeypatch, shares):
+    monkeypatch.setattr(ordered, "SHARES", shares)
+    rows = [("a", "x.rs", 3, "tests"), ("a", "x.rs", 3, "tests"), ("a", "w.rs", 9, "tests"), ("b", "z.rs", 1, None), ("b", "y.rs", 1, "tests"), (None, "n.rs", 1, "tests"), (None, "m.rs", 2, "benches")]
+    found = presentation.family_members(spark.createDataFrame(rows, "k string, path string, line int, context string"), ["k"], ["path", "line"])
+    got = {(r.k, r.path): (r.place, r.occurrences, r.family_context) for r in found.collect()}
+    assert got == {("a", "w.rs"): (0, 2, "tests"), ("a", "x.rs"): (1, 2, "tests"), ("b", "y.rs"): (0, 2, None), ("b", "z.rs"): (1, 2, None), (None, "m.rs"): (0, 2, None), (None, "n.rs"): (1, 2, None)}
+
+
+def test_interactive(spark):
+    groups = spark.createDataFrame([("u", "Bugs", 1), ("u", "Security", 2), ("u", "Bugs", 3), ("u", None, 4), ("u", "strange", 5), ("v", "Other", 1)], "unit string, category string, place bigint")
+    got = [tuple(r)[1:] for r in presentation.interactive(groups, "unit").where("unit = 'u'").orderBy("position").collect()]
+    assert got == [(1, "Security", None), (2, "Security", 2), (3, "Bugs", None), (4, "Bugs", 1), (5, "Bugs", 3), (6, "Other", None), (7, "Other", 4), (8, "Other", 5)]
+    assert presentation.interactive(groups.limit(0), "unit").count() == 0
+
+
+def test_authority_and_levels(spark):
+    units = spark.createDataFrame([("good", "complete", True), ("late", "incomplete", True), ("lost", "complete", False), ("odd", "complete", True), ("bare", "complete", True), ("null", None, True), (None, "complete", True)], "k string, status string, inventory boolean")
+    rules = spark.createDataFrame([("good", True), ("late", True), ("lost", True), ("odd", True), ("odd", False), ("null", True), (None, False)], "k string, authoritative boolean")
+    got = {r.k: r.authoritative for r in score.authority(units, rules, "k").collect()}
+    assert got == {"good": True, "late": False, "lost": False, "odd": False, "bare": True, "null": False, None: False}
+    level, origin = policy.blocking_level(F.col("request"), F.col("config"))
+    rows = spark.createDataFrame([("none", "error"), (None, "warning"), (None, None), ("warning", None)], "request string, config string").select(level.alias("level"), origin.alias("origin"))
+    assert [tuple(r) for r in rows.collect()] == [("none", "request"), ("warning", "config"), ("error", "default"), ("warning", "request")]
+    cells = spark.createDataFrame([(s, x) for s in ("error", "warning", "info", None) for x in ("error", "warning", "none", None)], "s string, x string").select("s", "x", policy.blocks_at(F.col("s"), F.col("x")).alias("b"))
+    assert {(r.s, r.x) for r in cells.collect() if r.b} == {("error", "error"), ("error", "warning"), ("warning", "warning")}
