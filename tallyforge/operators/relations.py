@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import context_of_path
+from .ordered import placed, ranked
+
+# Entries that a walk looks at, files that it takes, a folder that it leaves.
+WALK, SOURCE, BUILD_FOLDER = 20_000, ".rs", "target"
+# End of the fixed values.
+
 
 def unreferenced(declared: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
     return declared.join(used.select(*on), on, "left_anti")
@@ -93,3 +100,32 @@ def enrolment(plans: DataFrame, judged: DataFrame, key: str) -> DataFrame:
     both = plans.select(key, "target").join(judged.groupBy(key).agg(F.count("*").alias("judged")), key, "full_outer")
     why = F.when(F.col("target").isNull(), "no plan").when(F.col("judged").isNull(), "not judged").when(F.col("judged") < F.col("target"), "too few").when(F.col("judged") > F.col("target"), "too many")
     return both.select(key, why.alias("defect")).where("defect is not null")
+
+
+def orphans(files: DataFrame, compiled: DataFrame, included: DataFrame, scripted: DataFrame, unit: str, most: int = WALK) -> DataFrame:
+    """(unit, path, context): source files on disk that nothing compiles, includes or names.
+
+    ``files`` have path and generated, all in ``unit``; ``compiled`` and ``included``
+    unit and path, ``scripted`` unit and name (a script names files by their base name).
+    Only the first ``most`` entries of a unit by path are looked at. Hidden entries,
+    what lies below a hidden or a build folder and files of other languages count
+    as looked at, but are no sources; a generated one is nobody's. Null paths are left
+    out, repeated ones count once. Large units are ranked over ranges.
+    """
+    own = files.where("path is not null").groupBy(unit, "path").agg(F.bool_or(F.coalesce("generated", F.lit(False))).alias("generated"))
+    parts = F.split("path", "/")
+    away = F.exists(parts, lambda x: x.startswith(".")) | F.array_contains(F.slice(parts, F.lit(1), F.size(parts) - 1), BUILD_FOLDER)
+    seen = ranked(own, [unit], ["path"], "_entry").where(F.col("_entry") < most).where(F.col("path").endswith(SOURCE) & ~away & ~F.col("generated"))
+    left = seen.join(compiled.select(unit, "path").unionByName(included.select(unit, "path")), [unit, "path"], "left_anti")
+    named = left.withColumn("name", F.element_at(parts, -1)).join(scripted.select(unit, "name"), [unit, "name"], "left_anti")
+    return named.select(unit, "path", context_of_path(F.col("path")).alias("context"))
+
+
+def queue(universe: DataFrame, decided: DataFrame, key: str, level: str) -> DataFrame:
+    """(key, level, place): what isn't decided and isn't denied anyway, warned ones first, then by key.
+
+    A null level isn't denied and comes with the others; equal rows of the universe count once.
+    """
+    left = universe.select(key, level).distinct().join(decided.select(key), key, "left_anti").where(~F.coalesce(F.col(level) == "deny", F.lit(False)))
+    late = (~F.coalesce(F.col(level) == "warn", F.lit(False))).cast("int")
+    return placed(left.withColumn("_late", late), [], ["_late", key, level]).select(key, level, "place")

@@ -96,6 +96,37 @@ def order_statistics(rows: DataFrame, key: str, value: str, **places: Column) ->
     return found.groupBy("_key").agg(*means).withColumnRenamed("_key", key)
 
 
+def populations(scores: DataFrame, population: str) -> DataFrame:
+    """One row a population: bands, bounds, spread and median of its scores, ceilings, and whether they collapse.
+
+    ``scores`` have score (null: none), findings, lines and ceiling (null: none).
+    Density is that of all findings over all lines. A population without a score has
+    zeros and counts as collapsed.
+    """
+    s, held = F.col("score"), F.col("score").isNotNull()
+    told = scores.groupBy(population).agg(
+        F.count_if(s >= 75).alias("great"),
+        F.count_if((s >= 50) & (s < 75)).alias("needs_work"),
+        F.count_if(s < 50).alias("critical"),
+        F.coalesce(F.min(s), F.lit(0)).cast("bigint").alias("least"),
+        F.coalesce(F.max(s), F.lit(0)).cast("bigint").alias("most"),
+        F.count_if(held & F.col("ceiling").isNotNull()).alias("ceilings"),
+        (F.count_distinct(s) <= 1).alias("one_value"),
+        density_milli(F.sum("findings"), F.sum("lines")).cast("bigint").alias("density_milli"),
+    )
+    bands = sum(((F.col(c) > 0).cast("int") for c in ("great", "needs_work", "critical")), F.lit(0))
+    mid = order_statistics(scores, population, "score", mid=middle()).select(F.col(population).alias("_p"), F.coalesce(F.round(F.col("mid") * 100), F.lit(0)).cast("bigint").alias("median_centi"))
+    met = told.join(mid, F.col(population).eqNullSafe(F.col("_p"))).drop("_p")
+    return met.withColumns({"spread": F.col("most") - F.col("least"), "one_band": bands <= 1})
+
+
+def apart(told: DataFrame, population: str, first: str, second: str) -> DataFrame:
+    """(least, most, spread, separation_centi): two populations together, and the first's median less the second's."""
+    of = lambda p: F.coalesce(F.max(F.when(F.col(population) == p, F.col("median_centi"))), F.lit(0))
+    both = told.where(F.col(population).isin(first, second)).agg(F.min("least").alias("least"), F.max("most").alias("most"), (of(first) - of(second)).cast("bigint").alias("separation_centi"))
+    return both.withColumn("spread", F.col("most") - F.col("least"))
+
+
 def middle() -> Column:
     """The places of the median, one or two, for ``order_statistics``."""
     return F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))

@@ -101,6 +101,33 @@ def coverage_queue(spark, sf):
     return rel.unreferenced(rel.unreferenced(every, used("o_orderstatus = 'F'"), ["c_custkey"]), used("o_totalprice > 250000"), ["c_custkey"])
 
 
+@query("""WITH left_ AS (SELECT DISTINCT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'deny' WHEN 'MACHINERY' THEN 'warn' ELSE 'allow' END AS level FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders WHERE o_totalprice > 250000) USING (c_custkey))
+  SELECT c_custkey, level, row_number() OVER (ORDER BY level <> 'warn', c_custkey) - 1 AS place FROM left_ WHERE level <> 'deny'""")
+def coverage_order(spark, sf):
+    """Customers as rules with levels, those with a large order as decided: what is left to decide, in order."""
+    level = F.when(F.col("c_mktsegment") == "BUILDING", "deny").when(F.col("c_mktsegment") == "MACHINERY", "warn").otherwise("allow")
+    decided = base.table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return rel.queue(base.table(spark, sf, "customer").select("c_custkey", level.alias("level")), decided, "c_custkey", "level")
+
+
+# Documents as files of the workspace that is their source.
+TREE = """f AS (SELECT source, doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'tests' WHEN doc_id % 7 = 1 THEN 'target' WHEN doc_id % 7 = 2 THEN '.git' ELSE 'src' END || '/d' || doc_id || '/' AS folder, 'f' || doc_id % 50 || CASE WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.rs' END AS name, n_chars % 11 = 0 AS generated FROM documents)"""
+
+
+@query(f"""WITH {TREE}, e AS (SELECT *, folder || name AS path, row_number() OVER (PARTITION BY source ORDER BY folder || name) AS n FROM f)
+  SELECT source, path, CASE WHEN path LIKE 'tests/%' THEN 'tests' END AS context FROM e WHERE n <= 40 AND name LIKE '%.rs' AND path NOT LIKE 'target/%' AND path NOT LIKE '.git/%' AND NOT coalesce(generated, false)
+  AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0) AND doc_id % 5 > 0 AND (source, name) NOT IN (SELECT (source, name) FROM f WHERE doc_id % 41 = 0)""")
+def orphan_files(spark, sf):
+    """Files that nothing compiles, includes or names, of the first 40 entries of each workspace."""
+    docs, k = base.table(spark, sf, "documents"), F.col("doc_id")
+    text = k.cast("string")
+    folder = F.when(k % 7 == 0, "tests").when(k % 7 == 1, "target").when(k % 7 == 2, ".git").otherwise("src")
+    name = F.concat(F.lit("f"), (k % 50).cast("string"), F.when(k % 9 == 0, ".txt").otherwise(".rs"))
+    files = docs.select("source", k, name.alias("name"), F.concat(folder, F.lit("/d"), text, F.lit("/"), name).alias("path"), (F.col("n_chars") % 11 == 0).alias("generated"))
+    compiled = files.join(base.table(spark, sf, "labels").where("doc_id % 2 = 0").select("doc_id"), "doc_id", "left_semi")
+    return rel.orphans(files.select("source", "path", "generated"), compiled, files.where("doc_id % 5 = 0"), files.where("doc_id % 41 = 0"), "source", 40)
+
+
 # Suppliers as packages: the lines they sold declare features, some with an entry; the orders of first lines read one.
 FEATURES = """k AS (SELECT l_suppkey AS package, l_orderkey, l_linenumber, l_orderkey + l_partkey AS n FROM lineitem),
 declared AS (SELECT package, CASE WHEN n % 997 = 0 THEN 'default' ELSE 'f' || n % 997 END AS feature, CASE l_linenumber WHEN 5 THEN 'f' || (n + 1) % 997 WHEN 6 THEN 'dep:f' || (n + 2) % 997 WHEN 7 THEN 'd/f' || (n + 3) % 997 END AS entry FROM k),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import score, stats
 from . import base
 from .base import AGGREGATES, FINDINGS, SIZES, score_sql
 from .registry import query
@@ -170,6 +170,34 @@ def score_distribution(spark, sf):
     return health_score(spark, sf).agg(F.count_if(s >= 75).alias("great"), F.count_if((s >= 50) & (s < 75)).alias("needs_work"), F.count_if(s < 50).alias("critical"), F.min(s).cast("bigint").alias("least"), F.max(s).cast("bigint").alias("most"), (F.max(s) - F.min(s)).cast("bigint").alias("spread"), stats.median_centi(s).alias("median_centi"), (F.count_distinct(s) <= 1).alias("collapsed"))
 
 
+POPULATIONS = f"""{FINDINGS}, {SIZES}, {AGGREGATES}, {score_sql()}, c AS (SELECT source, count(*) AS n FROM findings WHERE producer = 'structure' GROUP BY source), t AS (SELECT source, min(tier) AS worst FROM dims GROUP BY source),
+  x AS (SELECT CASE WHEN right(source, 1) IN ('0', '2', '4', '6', '8') THEN 'healthy' ELSE 'agent' END AS population, score, coalesce(n, 0) AS n, production_lines, worst FROM scores LEFT JOIN c USING (source) LEFT JOIN t USING (source)),
+  told AS (SELECT population, count(*) FILTER (WHERE score >= 75) AS great, count(*) FILTER (WHERE score >= 50 AND score < 75) AS needs_work, count(*) FILTER (WHERE score < 50) AS critical, CAST(coalesce(min(score), 0) AS BIGINT) AS least, CAST(coalesce(max(score), 0) AS BIGINT) AS most,
+  count(*) FILTER (WHERE score IS NOT NULL AND worst <= 1) AS ceilings, count(DISTINCT score) <= 1 AS one_value, CAST(CASE WHEN sum(production_lines) > 0 THEN sum(n) * 1000000 // sum(production_lines) ELSE 0 END AS BIGINT) AS density_milli,
+  CAST(coalesce(round(median(score) * 100), 0) AS BIGINT) AS median_centi FROM x GROUP BY population)"""
+
+
+@query(f"WITH {POPULATIONS} SELECT *, most - least AS spread, CAST(great > 0 AS INT) + CAST(needs_work > 0 AS INT) + CAST(critical > 0 AS INT) <= 1 AS one_band FROM told")
+def score_populations(spark, sf):
+    """Sources of two populations: the distribution of their scores and the density of their structural findings."""
+    from .findings import _rules
+
+    rules, sizes = _rules(spark, sf)
+    dimensions = score.by_dimension(rules, "source")
+    found = rules.where("producer = 'structure'").groupBy("source").agg(F.sum("rows").alias("findings"))
+    worst = dimensions.groupBy("source").agg(F.min("tier").alias("worst"))
+    every = score.score(sizes, dimensions, "source").join(found, "source", "left").join(worst, "source", "left")
+    population = F.when(F.substring("source", -1, 1).isin("0", "2", "4", "6", "8"), "healthy").otherwise("agent")
+    ceiling = F.when(F.col("worst") == 0, score.OVERALL_CEILING[0]).when(F.col("worst") == 1, score.OVERALL_CEILING[1])
+    return stats.populations(every.select(population.alias("population"), "score", F.coalesce("findings", F.lit(0)).alias("findings"), F.col("production_lines").alias("lines"), ceiling.alias("ceiling")), "population")
+
+
+@query(f"WITH {POPULATIONS} SELECT min(least) AS least, max(most) AS most, max(most) - min(least) AS spread, CAST(coalesce(max(median_centi) FILTER (WHERE population = 'healthy'), 0) - coalesce(max(median_centi) FILTER (WHERE population = 'agent'), 0) AS BIGINT) AS separation_centi FROM told")
+def score_separation(spark, sf):
+    """How far the two populations' medians lie apart, and the bounds of both."""
+    return stats.apart(score_populations(spark, sf), "population", "healthy", "agent")
+
+
 @query("SELECT o_orderpriority, CAST(round(median(o_custkey) * 100) AS BIGINT) AS median_centi FROM orders GROUP BY o_orderpriority")
 def median_centi(spark, sf):
     found = stats.order_statistics(base.table(spark, sf, "orders"), "o_orderpriority", "o_custkey", median=stats.middle())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import manifests as M
 from tallyforge.functions import text as T
-from tallyforge.operators import aliases, canonical, evidence, features, graph, harness, ignore, nesting, ordered, policy, presentation, score, snapshot, stats, trees
+from tallyforge.operators import aliases, canonical, evidence, features, graph, harness, ignore, nesting, ordered, policy, presentation, relations, score, snapshot, stats, trees
 from tallyforge.operators import similarity as sim
 
 
@@ -409,3 +409,39 @@ def test_authority_and_levels(spark):
     assert [tuple(r) for r in rows.collect()] == [("none", "request"), ("warning", "config"), ("error", "default"), ("warning", "request")]
     cells = spark.createDataFrame([(s, x) for s in ("error", "warning", "info", None) for x in ("error", "warning", "none", None)], "s string, x string").select("s", "x", policy.blocks_at(F.col("s"), F.col("x")).alias("b"))
     assert {(r.s, r.x) for r in cells.collect() if r.b} == {("error", "error"), ("error", "warning"), ("warning", "warning")}
+
+
+@pytest.mark.parametrize("shares", [1, 10_000])
+def test_orphans(spark, monkeypatch, shares):
+    monkeypatch.setattr(ordered, "SHARES", shares)
+    paths = ["src/a.rs", "src/b.rs", "src/c.rs", "src/gen.rs", "src/notes.txt", ".git/x.rs", "src/.hid/y.rs", "target/z.rs", "src/target/w.rs", "src/target.rs", "tests/t.rs", "src/s.rs", "src/a.rs"]
+    files = [("u", p, p == "src/gen.rs") for p in paths] + [("u", None, False), ("v", "src/b.rs", None), ("v", "src/s.rs", False), (None, "src/q.rs", False)]
+    f = spark.createDataFrame(files, "k string, path string, generated boolean")
+    compiled = spark.createDataFrame([("u", "src/a.rs"), ("v", "src/x.rs")], "k string, path string")
+    included = spark.createDataFrame([("u", "src/b.rs")], "k string, path string")
+    scripted = spark.createDataFrame([("u", "s.rs")], "k string, name string")
+    got = sorted((r.k or "", r.path, r.context) for r in relations.orphans(f, compiled, included, scripted, "k").collect())
+    assert got == [("", "src/q.rs", None), ("u", "src/c.rs", None), ("u", "src/target.rs", None), ("u", "tests/t.rs", "tests"), ("v", "src/b.rs", None), ("v", "src/s.rs", None)]
+    # Entries by path: .git/x.rs, src/.hid/y.rs, src/a.rs, src/b.rs, src/c.rs; what comes behind them isn't looked at.
+    for most, want in [(4, []), (5, ["src/c.rs"])]:
+        assert [r.path for r in relations.orphans(f.where("k = 'u'"), compiled, included, scripted, "k", most).collect()] == want
+    assert relations.orphans(f.limit(0), compiled, included, scripted, "k").count() == 0
+
+
+def test_queue(spark):
+    universe = spark.createDataFrame([("c", "allow"), ("b", "warn"), ("a", "deny"), ("d", "warn"), ("e", None), ("f", "allow"), ("b", "warn")], "id string, level string").repartition(5)
+    decided = spark.createDataFrame([("f",), ("f",), (None,)], "id string")
+    got = sorted((r.place, r.id) for r in relations.queue(universe, decided, "id", "level").collect())
+    assert got == [(0, "b"), (1, "d"), (2, "c"), (3, "e")]
+    assert relations.queue(universe.limit(0), decided, "id", "level").count() == 0
+
+
+def test_populations(spark):
+    rows = [("h", 80, 1, 1000, None), ("h", 91, 2, 500, 65), ("h", None, 5, 0, 40), ("a", 40, 0, 100, 40), ("a", 60, 1, 100, None), ("a", 60, 0, 0, None), ("n", None, 0, 0, None), (None, 70, 0, 10, 65)]
+    told = stats.populations(spark.createDataFrame(rows, "p string, score int, findings int, lines int, ceiling int"), "p")
+    got = {r.p: (r.great, r.needs_work, r.critical, r.least, r.most, r.spread, r.median_centi, r.ceilings, r.one_band, r.one_value, r.density_milli) for r in told.collect()}
+    assert got["h"] == (2, 0, 0, 80, 91, 11, 8550, 1, True, False, 8 * 1_000_000 // 1500)
+    assert got["a"] == (0, 2, 1, 40, 60, 20, 6000, 1, False, False, 5000)
+    assert got["n"] == (0, 0, 0, 0, 0, 0, 0, 0, True, True, 0)
+    assert got[None] == (0, 1, 0, 70, 70, 0, 7000, 1, True, True, 0)
+    assert tuple(stats.apart(told, "p", "h", "a").select("least", "most", "spread", "separation_centi").first()) == (40, 91, 51, 2550)
