@@ -33,6 +33,36 @@ def validate(overrides: list[tuple[str, str]], known: set[str]) -> None:
         raise ValueError("override-repeated")
 
 
+def parsed(text: Column) -> tuple[Column, Column, Column]:
+    """(key, level, code) of KEY=LEVEL as ``parse_override`` reads it; where a code says what is wrong the others are null. A null text has a wrong syntax."""
+    key, level = F.substring_index(text, "=", 1), F.substr(text, F.instr(text, F.lit("=")) + 1)
+    code = (
+        F.when(~F.coalesce(F.contains(text, F.lit("=")), F.lit(False)), "override-syntax")
+        .when(~level.isin(*LEVELS), "override-level")
+        .when(~key.rlike(r"^[a-z0-9_:]{1,128}\z"), "override-selector")
+    )
+    return F.when(code.isNull(), key), F.when(code.isNull(), level), code
+
+
+def checked(overrides: DataFrame, known: DataFrame, unit: Sequence[str], text: str = "override") -> DataFrame:
+    """The rows with key, level and code: what is wrong with each override, null if nothing is.
+
+    ``known`` has selector, in every unit the same: rules or categories, as many as a catalog
+    holds, so it goes to all tasks. Beyond ``parsed``, a selector has to be known, and be given once
+    within ``unit``: override-unknown, override-repeated, which all its rows have.
+    """
+    key, level, code = parsed(F.col(text))
+    rows = overrides.withColumns({"key": key, "level": level, "code": code})
+    times = rows.where("key is not null").groupBy(*[F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)], F.col("key").alias("_key")).agg(F.count("*").alias("_times"))
+    same = F.col("key") == F.col("_key")
+    for i, u in enumerate(unit):
+        same = same & F.col(u).eqNullSafe(F.col(f"_u{i}"))
+    named = known.select(F.col("selector").alias("_selector")).distinct()
+    met = rows.join(F.broadcast(named), F.col("key") == F.col("_selector"), "left").join(times, same, "left")
+    late = F.when(F.col("key").isNotNull() & F.col("_selector").isNull(), "override-unknown").when(F.col("_times") > 1, "override-repeated")
+    return met.withColumn("code", F.coalesce("code", late)).select(*rows.columns)
+
+
 def compile_plan(rules: DataFrame, overrides: DataFrame, unit: Sequence[str] = ()) -> DataFrame:
     """(rule, level, level_source): request before configuration, rule before category, else the default.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import policy
 from ..sources import catalog, messages
 from . import base
 from .registry import query
@@ -67,6 +68,51 @@ def jsonl_classify(spark, sf):
     return base.table(spark, sf, "events").select("event_id", F.expr(LINE.replace("chr(9)", "char(9)").replace("chr(13)", "char(13)")).alias("line")).select("event_id", messages.classify(F.col("line")).alias("kind"))
 
 
+# Events as messages with two primary spans, one of them without a path at times, and one that isn't.
+SPANS = """SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'note' WHEN 3 THEN 'help' ELSE 'failure' END AS level, CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '{"code":""}' ELSE '{"code":"k' || user_id % 7 || '"}' END AS code,
+  'src/' || user_id % 7 || '.rs' AS p1, CASE WHEN event_id % 3 > 0 THEN 'src/' || event_id % 7 || '.rs' END AS p2, event_id % 97 + 1 AS l1, event_id % 89 + 1 AS l2, event_type FROM events"""
+
+
+def _span(path: str, line: str, primary: str) -> str:
+    return f"""'{{"file_name":' || coalesce('"' || {path} || '"', 'null') || ',"line_start":' || {line} || ',"column_start":1,"line_end":' || {line} || ',"column_end":9,"is_primary":{primary}}}'"""
+
+
+MESSAGES = f"""SELECT event_id, '{{"reason":"compiler-message","package_id":"p' || event_id || '","target":{{"name":"t' || user_id % 3 || '","kind":["lib"]}},"message":{{"message":"' || event_type || '","level":"' || level || '","code":' || code || ',"spans":[' || {_span("'src/0.rs'", "1", "false")} || ',' || {_span("p1", "l1", "true")} || ',' || {_span("p2", "l2", "true")} || ']}}}}' AS line FROM s"""
+
+
+@query(f"""WITH s AS ({SPANS}) SELECT 'p' || event_id AS package, 't' || user_id % 3 AS target, event_type AS message, CASE level WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' WHEN 'failure' THEN 'unknown' ELSE 'info' END AS severity,
+  CASE WHEN event_id % 4 > 1 THEN 'k' || user_id % 7 END AS code, CASE WHEN p2 IS NULL OR p1 < p2 OR p1 = p2 AND l1 <= l2 THEN p1 ELSE p2 END AS path, CASE WHEN p2 IS NULL OR p1 < p2 OR p1 = p2 AND l1 <= l2 THEN l1 ELSE l2 END AS line FROM s""")
+def message_findings(spark, sf):
+    """Messages read as findings: code, severity, and the first of their primary spans."""
+    base.table(spark, sf, "events").createOrReplaceTempView("_events")
+    lines = spark.sql(f"WITH s AS ({SPANS.replace('FROM events', 'FROM _events')}) {MESSAGES}").select(F.col("line").alias("value"))
+    found = messages.findings(lines)
+    return found.select("package", "target", "message", "severity", "code", "path", F.col("span.line_start").cast("bigint").alias("line"))
+
+
+OVERRIDE = "CASE event_id % 9 WHEN 0 THEN event_type WHEN 1 THEN event_type || '=deny' WHEN 2 THEN upper(event_type) || '=warn' WHEN 3 THEN '=off' WHEN 4 THEN event_type || '=off=warn' WHEN 5 THEN 'other=error' WHEN 6 THEN NULL ELSE event_type || '=' || CASE WHEN event_id % 2 = 0 THEN 'warn' ELSE 'error' END END"
+
+
+@query(f"""WITH o AS (SELECT event_id, user_id, event_id // 40 AS batch, {OVERRIDE} AS override FROM events), k AS (SELECT *, split_part(override, '=', 1) AS name, substr(override, strpos(override, '=') + 1) AS lev FROM o),
+  c AS (SELECT *, CASE WHEN override IS NULL OR strpos(override, '=') = 0 THEN 'override-syntax' WHEN lev NOT IN ('off', 'warn', 'error') THEN 'override-level' WHEN NOT regexp_full_match(name, '[a-z0-9_:]{{1,128}}') THEN 'override-selector' END AS wrong FROM k)
+  SELECT event_id, CASE WHEN wrong IS NULL THEN name END AS key, CASE WHEN wrong IS NULL THEN lev END AS level,
+  coalesce(wrong, CASE WHEN name NOT IN ('click', 'error', 'purchase') THEN 'override-unknown' WHEN count(*) FILTER (WHERE wrong IS NULL) OVER (PARTITION BY user_id, batch, CASE WHEN wrong IS NULL THEN name END) > 1 THEN 'override-repeated' END) AS code FROM c""")
+def override_checks(spark, sf):
+    """Overrides that users wrote, by batches: parsed, known and given once, or the code of what is wrong."""
+    e = base.table(spark, sf, "events")
+    rows = e.select("event_id", "user_id", F.expr("event_id div 40").alias("batch"), F.expr(OVERRIDE).alias("override"))
+    known = e.where(F.col("event_type").isin("click", "error", "purchase")).select(F.col("event_type").alias("selector")).distinct()
+    return policy.checked(rows, known, ["user_id", "batch"]).select("event_id", "key", "level", "code")
+
+
+@query(r"""WITH d AS (SELECT doc_id, lang, replace(coalesce(text, ''), ' the ', chr(27) || '[1;31m the' || chr(7) || ' ' || chr(27) || '[0m') AS t FROM documents)
+  SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '\x1B\[[0-?]*[ -/]*[@-~]', '', 'g'), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g')) AS shown, regexp_matches(t, '(^|[^A-Za-z0-9_-])' || lang || '($|[^A-Za-z0-9_-])') AS mentioned FROM d""")
+def terminal_text(spark, sf):
+    """Whole texts without escapes and control characters, and whether they hold their language's code as a name."""
+    marked = F.replace(F.col("text"), F.lit(" the "), F.lit("\x1b[1;31m the\x07 \x1b[0m"))
+    return base.documents(spark, sf).select("doc_id", F.sha2(T.plain(marked), 256).alias("shown"), T.mentions(marked, F.col("lang")).alias("mentioned"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
 def json_props(spark, sf):
     e = base.table(spark, sf, "events")

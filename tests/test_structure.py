@@ -445,3 +445,23 @@ def test_populations(spark):
     assert got["n"] == (0, 0, 0, 0, 0, 0, 0, 0, True, True, 0)
     assert got[None] == (0, 1, 0, 70, 70, 0, 7000, 1, True, True, 0)
     assert tuple(stats.apart(told, "p", "h", "a").select("least", "most", "spread", "separation_centi").first()) == (40, 91, 51, 2550)
+
+
+def test_overrides(spark):
+    rows = [(1, "u", "email=off"), (2, "u", "email=warn"), (3, "v", "email=off"), (4, "u", "other=off"), (5, "u", "emailoff"), (6, "u", "email=deny"), (7, "u", "=off"), (8, "u", "Email=off"), (9, "u", "email=off=warn"), (10, "u", None), (11, "u", ""), (12, None, "size=error"), (13, None, "size=error"), (14, "u", "size=error\n"), (15, "w", "a" * 129 + "=off"), (16, "w", "email\n=off"), (17, "u", "size=off")]
+    known = spark.createDataFrame([("email",), ("size",), ("size",), (None,)], "selector string")
+    made = spark.createDataFrame(rows, "i int, unit string, override string")
+    got = {r.i: r.code for r in policy.checked(made, known, ["unit"]).collect()}
+    assert len(got) == len(rows)
+    for i, unit, text in rows:
+        try:
+            policy.parse_override(text or "")
+            want = None
+        except ValueError as e:
+            want = str(e)
+        if want is None:
+            key = text.partition("=")[0]
+            every = [t for _, u, t in rows if u == unit and t and t.startswith(f"{key}=") and t.partition("=")[2] in policy.LEVELS]
+            want = "override-unknown" if key not in ("email", "size") else "override-repeated" if len(every) > 1 else None
+        assert got[i] == want, (i, text)
+    assert policy.checked(made.limit(0), known, ["unit"]).count() == 0
