@@ -51,3 +51,10 @@ def test_near_clone_pairs_of_a_large_group(spark, copies):
     docs = spark.createDataFrame([(k, f"a b c {k}") for k in range(4)], "doc_id bigint, text string")
     assert "FlatMapGroupsInArrow" in plan(sim.pairs(docs))
     assert "Exchange" not in plan(sim.tokens(docs))
+
+
+def test_nomination_recall_of_a_large_group(spark, copies):
+    assert same(spark, copies, "nomination_recall")
+    docs = spark.createDataFrame([(0, "a b c d e f"), (1, "a b c d e g")], "doc_id bigint, text string")
+    found = sim.candidates(docs)
+    assert "FlatMapGroupsInArrow" in plan(sim.near_rows(found, found.where("doc_id = 0")))
