@@ -58,3 +58,11 @@ def test_nomination_recall_of_a_large_group(spark, copies):
     docs = spark.createDataFrame([(0, "a b c d e f"), (1, "a b c d e g")], "doc_id bigint, text string")
     found = sim.candidates(docs)
     assert "FlatMapGroupsInArrow" in plan(sim.near_rows(found, found.where("doc_id = 0")))
+
+
+def test_near_clone_families_of_a_large_group(spark, copies):
+    """Candidates are those of which two thirds occur elsewhere: texts of words of their own go no further."""
+    got = same(spark, copies, "near_clone_families")
+    assert max(int(row[1]) for row in got) == len(spark.read.parquet(f"{copies[0]}/documents.parquet").where(f"doc_id < {COPIES}").select("text").distinct().collect())
+    docs = spark.createDataFrame([(0, "a b c d e f"), (1, "a b c d e g"), (2, "a b c x y z")], "doc_id bigint, text string")
+    assert {r.doc_id for r in sim.candidates(docs).collect()} == {0, 1}
