@@ -66,3 +66,9 @@ def test_near_clone_families_of_a_large_group(spark, copies):
     assert max(int(row[1]) for row in got) == len(spark.read.parquet(f"{copies[0]}/documents.parquet").where(f"doc_id < {COPIES}").select("text").distinct().collect())
     docs = spark.createDataFrame([(0, "a b c d e f"), (1, "a b c d e g"), (2, "a b c x y z")], "doc_id bigint, text string")
     assert {r.doc_id for r in sim.candidates(docs).collect()} == {0, 1}
+
+
+def test_rare_tokens_are_dealt_once(spark, copies):
+    assert same(spark, copies, "rare_tokens_topk")
+    docs = spark.createDataFrame([(0, "a b c d"), (1, "a b c e")], "doc_id bigint, text string")
+    assert plan(sim.heads(docs)).count("hashpartitioning(token") == 1
