@@ -20,24 +20,24 @@ HOST_NAMES = ("tls_danger_accept_invalid_hostnames", "danger_accept_invalid_host
 UNIT, END = -1, (1 << 62)
 
 
-def scopes(marks: DataFrame) -> DataFrame:
+def scopes(marks: DataFrame, parts: int | None = None) -> DataFrame:
     """(unit, start, stop, module, inside): marks with unit, pos, mark and module (bool, of opening ones) as intervals.
 
     One that never closes ends with its unit. ``module`` tells those that imports
     don't cross, ``inside`` is the start of the innermost of these, itself included.
     """
-    leveled = levels(marks, "unit")
+    leveled = levels(marks, "unit", parts)
     closing = holders(leveled, "unit", []).where("mark < 0 and holder is not null")
     stops = closing.groupBy("unit", F.col("holder.pos").alias("start")).agg(F.min("pos").alias("stop"))
-    opened = within(marks.where("mark > 0"), marks).select("unit", F.col("pos").alias("start"), "module", "inside")
+    opened = within(marks.where("mark > 0"), marks, parts).select("unit", F.col("pos").alias("start"), "module", "inside")
     own = opened.join(stops, ["unit", "start"], "left").select("unit", F.col("start").cast("bigint").alias("start"), F.coalesce(F.col("stop").cast("bigint"), F.lit(END)).alias("stop"), "module", F.when(F.col("module"), F.col("start").cast("bigint")).otherwise(F.col("inside")).alias("inside"))
     whole = marks.select("unit").distinct().select("unit", F.lit(UNIT).cast("bigint").alias("start"), F.lit(END).alias("stop"), F.lit(True).alias("module"), F.lit(UNIT).cast("bigint").alias("inside"))
     return own.unionByName(whole)
 
 
-def within(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def within(rows: DataFrame, marks: DataFrame, parts: int | None = None) -> DataFrame:
     """With ``inside``, the start of the innermost module that holds each row (unit, pos), the unit itself if none."""
-    leveled = levels(marks, "unit")
+    leveled = levels(marks, "unit", parts)
     closed = holders(leveled, "unit", ["module"]).where("mark < 0 and holder.module").select("unit", "pos", F.lit(-1).alias("mark"))
     bounds = marks.where("mark > 0 and module").select("unit", "pos", F.lit(1).alias("mark")).unionByName(closed)
     asked = rows.select("*", F.lit(0).alias("_asks"))
@@ -47,12 +47,12 @@ def within(rows: DataFrame, marks: DataFrame) -> DataFrame:
     every = bounds.select("unit", "pos", "mark", F.lit(None).cast(probe.schema["_row"].dataType).alias("_row")).unionByName(probe)
     # A row on the very mark that opens a module stands outside of it.
     order = F.col("pos") * 2 + F.when(F.col("_row").isNull(), 1).otherwise(0)
-    found = holders(levels(every.withColumn("pos", order), "unit"), "unit", []).where("_row is not null")
+    found = holders(levels(every.withColumn("pos", order), "unit", parts), "unit", []).where("_row is not null")
     restored = [F.col(f"_row.{c}").alias(c) for c in columns] + ([F.col("_row._mark").alias("mark")] if "mark" in rows.columns else [])
     return found.select("unit", F.expr("pos div 2").alias("pos"), *restored, F.coalesce(F.expr("(holder.pos - 1) div 2"), F.lit(UNIT)).cast("bigint").alias("inside"))
 
 
-def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: DataFrame, limit: int = BINDINGS) -> DataFrame:
+def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: DataFrame, limit: int = BINDINGS, parts: int | None = None) -> DataFrame:
     """Uses (unit, pos, name, and more) with ``verdict`` (item, indeterminate, unbound) and ``path``.
 
     ``bindings`` have unit, pos, name (null: all names of some module) and path (null:
@@ -63,7 +63,7 @@ def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: Data
 
     Scopes are intervals: a binding belongs to the innermost one around it, and a use
     sees those around it. Uses meet only bindings of their unit, module and name, of
-    which there are no more than the limit.
+    which there are no more than the limit. ``parts`` says over how many parts rows are dealt.
     """
     many = bindings.groupBy("unit").agg(F.count("*").alias("bound"))
     saturated = many.where(F.col("bound") > limit).select("unit", F.lit(True).alias("saturated"))
@@ -72,18 +72,20 @@ def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: Data
     columns = marks.select("unit", "pos", "mark")
     placed = columns.select("unit", (F.col("pos") * 2 + 1).alias("pos"), "mark", F.lit(None).cast("struct<name:string,path:string>").alias("_b"))
     both = placed.unionByName(few.select("unit", (F.col("pos") * 2).alias("pos"), F.lit(0).alias("mark"), F.struct("name", "path").alias("_b")))
-    here = holders(levels(both, "unit"), "unit", []).where("_b is not null")
+    here = holders(levels(both, "unit", parts), "unit", []).where("_b is not null")
     here = here.select("unit", F.expr("pos div 2").alias("at"), F.coalesce(F.expr("(holder.pos - 1) div 2"), F.lit(UNIT)).cast("bigint").alias("start"), "_b.name", "_b.path")
     bound = here.groupBy("unit", "start", "name").agg(F.max_by(F.struct("path"), "at").alias("b")).select("unit", "start", F.coalesce("name", F.lit("*")).alias("key"), F.col("b.path").alias("path"))
     known = bound.join(scoped.select("unit", "start", "stop", "inside"), ["unit", "start"])
-    asked = within(uses, marks).withColumn("key", F.explode(F.array(F.col("name"), F.lit("*"))))
+    asked = within(uses, marks, parts).withColumn("key", F.explode(F.array(F.col("name"), F.lit("*"))))
     around = (F.col("k.start") < F.col("u.pos")) & (F.col("u.pos") < F.col("k.stop"))
     same = (F.col("u.unit") == F.col("k.unit")) & (F.col("u.inside") == F.col("k.inside")) & (F.col("u.key") == F.col("k.key"))
+    deal = lambda d, *by: d.repartition(parts, *by) if parts else d
+    asked, known = deal(asked, "unit", "inside", "key"), deal(known, "unit", "inside", "key")
     met = asked.alias("u").join(known.alias("k"), same & around, "left")
     own = [c for c in asked.columns if c not in ("key", "inside")]
     # Of the scopes around a use the one that begins last is innermost; there a name goes before all names.
     nearest = F.max(F.when(F.col("k.start").isNotNull(), F.struct(F.col("k.start").alias("start"), (F.col("k.key") != "*").alias("named"), F.col("k.path").alias("path")))).alias("b")
-    found = met.groupBy(*[F.col(f"u.{c}").alias(c) for c in own]).agg(nearest).join(saturated, "unit", "left")
+    found = deal(met, "u.unit", "u.pos").groupBy(*[F.col(f"u.{c}").alias(c) for c in own]).agg(nearest).join(saturated, "unit", "left")
     item = F.col("b.named") & F.col("b.path").isNotNull()
     verdict = F.when(F.col("saturated"), "indeterminate").when(F.col("b").isNull(), "unbound").when(item, "item").otherwise("indeterminate")
     return found.select(*own, verdict.alias("verdict"), F.when(verdict == "item", F.col("b.path")).alias("path"))

@@ -14,10 +14,24 @@ from pyspark.sql import functions as F
 
 #: Levels that a unit may reach; one that goes deeper is damaged.
 DEEPEST = 64
+#: Characters of text whose marks one task orders.
+CHARS = 4_000_000
 
 
-def levels(marks: DataFrame, unit: str) -> DataFrame:
+def parts_of(texts: DataFrame, text: str) -> int:
+    """Parts over which the marks of these texts are dealt, by the texts' length.
+
+    Marks are so alike that they shrink to little when they are sent, so their size
+    there tells nothing of what a task holds.
+    """
+    chars = texts.agg(F.coalesce(F.sum(F.length(text).cast("bigint")), F.lit(0))).first()[0]
+    return max(texts.sparkSession.sparkContext.defaultParallelism, chars // CHARS + 1)
+
+
+def levels(marks: DataFrame, unit: str, parts: int | None = None) -> DataFrame:
     """With ``level``, the marks that are open before this one; a closing one's is that of what it closes."""
+    if parts:
+        marks = marks.repartition(parts, unit)
     before = Window.partitionBy(unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = F.sum("mark").over(before)
     return marks.withColumn("level", (after - F.when(F.col("mark") > 0, 1).otherwise(0)).cast("bigint"))
@@ -32,17 +46,21 @@ def holders(leveled: DataFrame, unit: str, carried: Sequence[str], name: str = "
     columns = leveled.columns
     offer = F.struct("pos", *carried)
     look = F.when(F.col("mark") < 0, F.col("level")).otherwise(F.col("level") - 1)
-    asks = leveled.select("*", look.alias("_key"), F.lit(None).cast(leveled.select(offer.alias("x")).schema["x"].dataType).alias("_offer"))
-    offers = leveled.where("mark > 0").select("*", F.col("level").alias("_key"), offer.alias("_offer"))
+    none = F.lit(None).cast(leveled.select(offer.alias("x")).schema["x"].dataType)
+    at = lambda key, what: F.struct(key.cast("bigint").alias("_key"), what.alias("_offer"))
+    asks = at(look, none)
+    # A mark that opens asks and offers; rows are doubled in place, so that what they come from is worked out once.
+    doubled = leveled.select("*", F.inline(F.when(F.col("mark") > 0, F.array(asks, at(F.col("level"), offer))).otherwise(F.array(asks))))
     latest = Window.partitionBy(unit, "_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = asks.unionByName(offers).withColumn(name, F.last("_offer", ignorenulls=True).over(latest))
+    both = doubled.withColumn(name, F.last("_offer", ignorenulls=True).over(latest))
     return both.where("_offer is null").select(*columns, name)
 
 
 def sound(leveled: DataFrame, unit: str, deepest: int = DEEPEST) -> DataFrame:
-    """(unit): those whose marks all close, none before it opens, and none too deep."""
-    checked = leveled.groupBy(unit).agg(F.sum("mark").alias("left"), F.min("level").alias("low"), F.max("level").alias("high"))
-    return checked.where((F.col("left") == 0) & (F.col("low") >= 0) & (F.col("high") < deepest)).select(unit)
+    """The marks of units whose marks all close, none before it opens, and none too deep."""
+    whole = Window.partitionBy(unit)
+    checked = leveled.select("*", F.sum("mark").over(whole).alias("_left"), F.min("level").over(whole).alias("_low"), F.max("level").over(whole).alias("_high"))
+    return checked.where((F.col("_left") == 0) & (F.col("_low") >= 0) & (F.col("_high") < deepest)).drop("_left", "_low", "_high")
 
 
 def split_arguments(rows: DataFrame, key: str, text: str) -> DataFrame:

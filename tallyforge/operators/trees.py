@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import settle
-from .nesting import DEEPEST, holders, levels, sound
+from .nesting import DEEPEST, holders, levels, parts_of, sound
 
 # Bounds from which a unit is complex, and elements of HTML that have no end or may do without, or stand within a line.
 CYCLOMATIC, COGNITIVE = 20, 25
@@ -34,9 +34,8 @@ def page_nodes(pages: DataFrame, unit: str = "page_id", html: str = "html", deep
     deep is damaged and left out whole, as what stands in it is a guess. An element
     without an end has no children. ``node`` is the place of its tag.
     """
-    marks = levels(tag_marks(pages, unit, html), unit)
-    good = marks.join(sound(marks, unit, deepest), unit, "left_semi")
-    placed = holders(good, unit, []).where("mark >= 0")
+    marks = levels(tag_marks(pages, unit, html), unit, parts_of(pages, html))
+    placed = holders(sound(marks, unit, deepest), unit, []).where("mark >= 0")
     return placed.select(unit, F.col("pos").alias("node"), F.col("holder.pos").alias("parent"), F.col("level").alias("depth"), "tag")
 
 

@@ -8,6 +8,7 @@ from ..operators import aliases as al
 from ..operators import canonical as ca
 from ..operators import nesting, trees
 from ..operators import similarity as sim
+from ..operators.graph import settle
 from . import base
 from .registry import query
 
@@ -82,8 +83,6 @@ def subtree_bags(spark, sf):
   SELECT q, o, score FROM scored WHERE score >= 8000""")
 def template_neighbours(spark, sf):
     """For the pages whose id 100 divides, all pages of which four fifths of the subtrees are the same."""
-    from ..operators.graph import settle
-
     bags = settle(_bags(spark, sf))
     return sim.near_of(bags, bags.where("doc_id % 100 = 0"))
 
@@ -102,8 +101,9 @@ _KIND = "CASE tag " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in KINDS.items(
   SELECT page_id, cyclomatic, cognitive, cyclomatic >= 20 OR cognitive >= 25 AS complex_function FROM s""")
 def page_complexity(spark, sf):
     """Both measures of every page that can be read."""
-    marks = nesting.levels(trees.tag_marks(_pages(spark, sf), "page_id", "html"), "page_id")
-    good = marks.join(nesting.sound(marks, "page_id"), "page_id", "left_semi").drop("level")
+    pages = _pages(spark, sf)
+    marks = nesting.levels(trees.tag_marks(pages, "page_id", "html"), "page_id", nesting.parts_of(pages, "html"))
+    good = nesting.sound(marks, "page_id").drop("level")
     found = trees.complexity(good, "page_id", KINDS)
     return found.select("page_id", F.col("cyclomatic").cast("bigint").alias("cyclomatic"), F.col("cognitive").cast("bigint").alias("cognitive"), "complex_function")
 
@@ -133,23 +133,27 @@ resolved AS (SELECT u.*, CASE WHEN u.unit IN (SELECT unit FROM full_units) THEN
 
 
 def _source(spark, sf):
-    """(marks, bindings, uses) of the documents' sentences and lines."""
+    """(marks, bindings, uses) of the documents' sentences and lines, and over how many parts to deal them; uses have n, from which what is called follows."""
     w = F.filter(F.split("line", " "), lambda x: x != "")
-    lines = base.documents(spark, sf).select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "[.\n]")).alias("pos", "line"))
+    docs = base.documents(spark, sf)
+    lines = docs.select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "[.\n]")).alias("pos", "line"))
     src = lines.select("unit", "pos", F.length("line").alias("n"), w.alias("w")).where(F.size("w") > 0)
-    src = src.select("unit", "pos", "n", F.lower(F.substring(F.get("w", F.lit(0)), 1, 1)).alias("name"), (F.size("w") % 8).alias("role"))
+    # Texts are split once; what is left of them are narrow rows.
+    src = settle(src.select("unit", "pos", "n", F.lower(F.substring(F.get("w", F.lit(0)), 1, 1)).alias("name"), (F.size("w") % 8).alias("role")))
     role, n = F.col("role"), F.col("n")
-    pick = lambda items, k: F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
     marks = src.select("unit", "pos", F.when(role == 2, -1).when(role.isin(0, 1), 1).otherwise(0).alias("mark"), (role == 1).alias("module"))
     every = (role == 5) & (n % 5 == 0)
-    bindings = src.where(role.isin(3, 4, 5)).select("unit", "pos", F.when(~every, F.col("name")).alias("name"), F.when((role == 3) | ((role == 5) & ~every), pick(BOUND, n % 7)).alias("path"))
-    uses = src.where(role >= 6).select("unit", "pos", "name", pick(REST, n % 4).alias("rest"), pick(METHODS, F.floor(n / 4) % 4).alias("method"), pick(GIVEN, n % 6).alias("argument"), pick(SHELL, F.floor(n / 2) % 4).alias("shell"), F.when(n % 7 > 0, "-c").otherwise("-l").alias("flag"), (F.col("unit") % 10 == 0).alias("test"))
-    return marks, bindings, uses
+    bindings = src.where(role.isin(3, 4, 5)).select("unit", "pos", F.when(~every, F.col("name")).alias("name"), F.when((role == 3) | ((role == 5) & ~every), _pick(BOUND, n % 7)).alias("path"))
+    return marks, bindings, src.where(role >= 6).select("unit", "pos", "name", "n"), nesting.parts_of(docs, "text")
+
+
+def _pick(items, k):
+    return F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
 
 
 def _resolved(spark, sf):
-    marks, bindings, uses = _source(spark, sf)
-    return al.resolve(al.scopes(marks), bindings, uses, marks)
+    marks, bindings, uses, parts = _source(spark, sf)
+    return al.resolve(al.scopes(marks, parts), bindings, uses, marks, parts=parts)
 
 
 @query(f"WITH {LINES} SELECT unit, CAST(pos AS BIGINT) AS pos, name, verdict, CASE WHEN verdict = 'item' THEN bound_path END AS path FROM resolved")
@@ -170,5 +174,7 @@ def source_detections(spark, sf):
     """Clients that don't verify, and shells that are given values, under whatever name they were imported."""
     docs = base.table(spark, sf, "documents").select(F.col("doc_id").alias("unit"))
     crates = docs.select("unit", F.when(F.col("unit") % 2 == 0, "reqwest").otherwise("rq").alias("alias"), F.lit("reqwest").alias("crate"))
-    found = al.detect(al.called(_resolved(spark, sf), crates))
+    n = F.col("n")
+    written = {"rest": _pick(REST, n % 4), "method": _pick(METHODS, F.floor(n / 4) % 4), "argument": _pick(GIVEN, n % 6), "shell": _pick(SHELL, F.floor(n / 2) % 4), "flag": F.when(n % 7 > 0, "-c").otherwise("-l"), "test": F.col("unit") % 10 == 0}
+    found = al.detect(al.called(_resolved(spark, sf).withColumns(written), crates))
     return found.select("unit", F.col("pos").cast("bigint").alias("pos"), "rule", "message")

@@ -6,8 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as T
+from tallyforge.operators import aliases, canonical, nesting, trees
 from tallyforge.operators import similarity as sim
-from tallyforge.plans import registry
+from tallyforge.plans import registry, structure
 
 COPIES = 300
 
@@ -72,3 +74,12 @@ def test_rare_tokens_are_dealt_once(spark, copies):
     assert same(spark, copies, "rare_tokens_topk")
     docs = spark.createDataFrame([(0, "a b c d"), (1, "a b c e")], "doc_id bigint, text string")
     assert plan(sim.heads(docs)).count("hashpartitioning(token") == 1
+
+
+def test_nodes_of_pages_are_dealt_by_length(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, "<div><ul><li></ul></div>" * 10) for k in range(20)], "page_id bigint, html string")
+    monkeypatch.setattr(nesting, "CHARS", 100)
+    nodes = trees.page_nodes(pages)
+    assert "hashpartitioning(page_id" in plan(nodes) and ", 49)" in plan(nodes)
+    assert plan(nodes).count("Generate posexplode") == 1  # tags are taken from a page once
+    assert nodes.count() == 20 * 30
