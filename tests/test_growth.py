@@ -83,3 +83,12 @@ def test_nodes_of_pages_are_dealt_by_length(spark, monkeypatch):
     assert "hashpartitioning(page_id" in plan(nodes) and ", 49)" in plan(nodes)
     assert plan(nodes).count("Generate posexplode") == 1  # tags are taken from a page once
     assert nodes.count() == 20 * 30
+
+
+def test_complexity_reads_pages_once(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "<div><a></a></div>"), (2, "<div>")], "page_id bigint, html string")
+    monkeypatch.setattr(nesting, "CHARS", 1)
+    marks = nesting.sound(nesting.levels(trees.tag_marks(pages, "page_id", "html"), "page_id", nesting.parts_of(pages, "html")), "page_id").drop("level")
+    found = trees.complexity(marks, "page_id", {"div": "closure", "a": "branch"})
+    assert plan(found).count("Generate posexplode") == 1 and ", 24)" in plan(found)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 2, False)]
