@@ -92,3 +92,10 @@ def test_complexity_reads_pages_once(spark, monkeypatch):
     found = trees.complexity(marks, "page_id", {"div": "closure", "a": "branch"})
     assert plan(found).count("Generate posexplode") == 1 and ", 24)" in plan(found)
     assert [tuple(r) for r in found.collect()] == [(1, 2, 2, False)]
+
+
+def test_scopes_are_dealt_by_length(spark):
+    marks = spark.createDataFrame([(u, p, m, True) for u in range(3) for p, m in enumerate((1, 1, -1, -1))], "unit bigint, pos int, mark int, module boolean")
+    found = aliases.scopes(marks, 37)
+    assert ", 37)" in plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, aliases.scopes(marks).collect()))
