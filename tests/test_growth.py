@@ -99,3 +99,8 @@ def test_scopes_are_dealt_by_length(spark):
     found = aliases.scopes(marks, 37)
     assert ", 37)" in plan(found)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, aliases.scopes(marks).collect()))
+
+
+def test_uses_stay_narrow(spark):
+    _, _, uses, parts = structure._source(spark, "/root/testdata/sf0.001")
+    assert uses.columns == ["unit", "pos", "name", "n"] and parts >= 1
