@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,12 +32,22 @@ def lines_of(text: Column) -> Column:
 
 def credential(line: Column) -> Column:
     """Name of the first credential shape in a line, the key block first; null if none."""
-    found = F.when(F.try_element_at(F.split(line, KEY_BEGIN, 2), F.lit(2)).rlike(PRIVATE_KEY), "private_key")
+    found = F.when(line.contains(KEY_BEGIN) & F.try_element_at(F.split(line, KEY_BEGIN, 2), F.lit(2)).rlike(PRIVATE_KEY), "private_key")
     for name, pattern in CREDENTIALS:
-        found = found.when(line.rlike(f"(^|[^A-Za-z0-9_]){pattern}"), name)
+        # The prefix is looked for first, as patterns are tried at every character.
+        found = found.when(line.contains(_prefix(pattern)) & line.rlike(f"(^|[^A-Za-z0-9_]){pattern}"), name)
     return found
 
 
+def _prefix(pattern: str) -> str:
+    return pattern.split("[")[0]
+
+
+def may_hold_credential(text: Column) -> Column:
+    """Whether a text holds the literal begin of any shape; a line without one has no credential."""
+    return reduce(or_, [text.contains(p) for p in (KEY_BEGIN, *(_prefix(pattern) for _, pattern in CREDENTIALS))])
+
+
 def major(version: Column) -> Column:
     """The major number of a version; null where it has none."""
     return F.nullif(F.regexp_extract(version, r"^([0-9]+)([.+-].*)?$", 1), F.lit(""))

@@ -24,7 +24,7 @@ CREDENTIAL = "CASE WHEN strpos(line, '-----BEGIN ') > 0 AND regexp_matches(subst
 
 @query(f"WITH {_values(LINES, 'id', 'line')}, d AS (SELECT doc_id + 1000 AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT id, {CREDENTIAL} AS credential FROM (SELECT CAST(id AS BIGINT) AS id, line FROM v UNION ALL SELECT id, line FROM d) WHERE {CREDENTIAL} IS NOT NULL")
 def credential_scan(spark, sf):
-    docs = base.documents(spark, sf).select((F.col("doc_id") + 1000).alias("id"), F.explode(F.split("text", "\n")).alias("line"))
+    docs = base.documents(spark, sf).where(T.may_hold_credential(F.col("text"))).select((F.col("doc_id") + 1000).alias("id"), F.explode(F.split("text", "\n")).alias("line"))
     given = spark.createDataFrame(LINES, "id bigint, line string")
     return given.unionByName(docs).select("id", T.credential(F.col("line")).alias("credential")).where("credential is not null")
 

@@ -104,3 +104,9 @@ def test_scopes_are_dealt_by_length(spark):
 def test_uses_stay_narrow(spark):
     _, _, uses, parts = structure._source(spark, "/root/testdata/sf0.001")
     assert uses.columns == ["unit", "pos", "name", "n"] and parts >= 1
+
+
+def test_patterns_of_credentials_wait_for_their_prefix(spark):
+    rows = spark.createDataFrame([("key AKIA" + "Q7" * 8,), ("plain sentence",), ("-----BEGIN x",), (None,)], "line string")
+    assert [r[0] for r in rows.select(T.may_hold_credential(F.col("line"))).collect()] == [True, False, True, None]
+    assert [r[0] for r in rows.select(T.credential(F.col("line"))).collect()] == ["aws_access_key", None, None, None]
