@@ -110,3 +110,10 @@ def test_patterns_of_credentials_wait_for_their_prefix(spark):
     rows = spark.createDataFrame([("key AKIA" + "Q7" * 8,), ("plain sentence",), ("-----BEGIN x",), (None,)], "line string")
     assert [r[0] for r in rows.select(T.may_hold_credential(F.col("line"))).collect()] == [True, False, True, None]
     assert [r[0] for r in rows.select(T.credential(F.col("line"))).collect()] == ["aws_access_key", None, None, None]
+
+
+def test_canonical_form_relabels_without_sorting(spark):
+    docs = spark.createDataFrame([(1, 'b = "x\ny" + a ; 1.5 2 true b'), (2, '"'), (3, None), (4, " "), (5, "é² ² ß_1 _")], "doc_id bigint, text string")
+    forms = canonical.canonical(docs)
+    assert "array_sort" not in plan(forms)
+    assert [(r.form, r.nodes, r.statements) for r in forms.orderBy("doc_id").collect()] == [("$0 = #str + $1 ; #float #int #bool $0", 10, 2), (None, None, None), (None, None, None), ("", 0, 0), ("$0 ² $1 $2", 4, 1)]
