@@ -117,3 +117,9 @@ def test_canonical_form_relabels_without_sorting(spark):
     forms = canonical.canonical(docs)
     assert "array_sort" not in plan(forms)
     assert [(r.form, r.nodes, r.statements) for r in forms.orderBy("doc_id").collect()] == [("$0 = #str + $1 ; #float #int #bool $0", 10, 2), (None, None, None), (None, None, None), ("", 0, 0), ("$0 ² $1 $2", 4, 1)]
+
+
+def test_canonical_families_over_relabelled_forms(spark):
+    docs = spark.createDataFrame([(k, f"n{k} is here . " * 10 + f"{k} ;") for k in range(3)], "doc_id bigint, text string")
+    big = canonical.admitted(canonical.canonical(docs))
+    assert "MapInArrow" in plan(big) and big.select("form").distinct().count() == 1 and big.count() == 3
