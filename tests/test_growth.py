@@ -1,6 +1,7 @@
 """Steps that have to grow with the input: what they send, how often they read, over how many parts they deal."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -123,3 +124,30 @@ def test_canonical_families_over_relabelled_forms(spark):
     docs = spark.createDataFrame([(k, f"n{k} is here . " * 10 + f"{k} ;") for k in range(3)], "doc_id bigint, text string")
     big = canonical.admitted(canonical.canonical(docs))
     assert "MapInArrow" in plan(big) and big.select("form").distinct().count() == 1 and big.count() == 3
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_tokens_are_sent_packed(spark, monkeypatch, shared):
+    """Many small batches and parts give the multisets that plain rows give, and heads by (df, text) over them."""
+    r = random.Random(5)
+    rows = [(k * 7 - 40, " ".join(r.choice("abcdé") for _ in range(r.choice((0, 2, 3, 9, 40))))) for k in range(40)] + [(999, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(sim, "TEXTS", 60)
+    monkeypatch.setattr(sim, "COUNTED", 90)
+    found = sim.marked(docs, shared)
+    assert "FlatMapCoGroupsInArrow" in plan(found) and "Window" not in plan(found)
+    bags = {d: Counter(zip(w, w[1:], w[2:])) for d, t in rows if len(w := (t or "").split()) > 2}
+    df, held = sum(bags.values(), Counter()), Counter(t for b in bags.values() for t in b)
+    want = {}
+    for d, bag in bags.items():
+        order, heads, before = sorted((df[t], " ".join(t)) for t in bag if held[t] > 1 or not shared), [], 0
+        for _, text in order:
+            if before < sim.HEAD:
+                heads.append(text)
+            before += bag[tuple(text.split())]
+        if order:
+            want[d] = sum(bag.values()), sorted((df[t], bag[t]) for t in bag if held[t] > 1 or not shared), heads
+    got = {x.doc_id: (x.n, sorted((b.df, b.cnt) for b in x.bag), [h.text for h in x.heads]) for x in found.collect()}
+    assert got == want
+    token = {h.token: h.text for x in found.collect() for h in x.heads}
+    assert len(set(token.values())) == len(token)
