@@ -20,6 +20,11 @@ HOST_NAMES = ("tls_danger_accept_invalid_hostnames", "danger_accept_invalid_host
 UNIT, END = -1, (1 << 62)
 
 
+def _deal(rows: DataFrame, parts: int | None, *by: str) -> DataFrame:
+    """Rows over so many parts, as by their size alone too many would be put together: they shrink when they are sent."""
+    return rows.repartition(parts, *by) if parts else rows
+
+
 def scopes(marks: DataFrame, parts: int | None = None) -> DataFrame:
     """(unit, start, stop, module, inside): marks with unit, pos, mark and module (bool, of opening ones) as intervals.
 
@@ -30,8 +35,8 @@ def scopes(marks: DataFrame, parts: int | None = None) -> DataFrame:
     closing = holders(leveled, "unit", []).where("mark < 0 and holder is not null")
     stops = closing.groupBy("unit", F.col("holder.pos").alias("start")).agg(F.min("pos").alias("stop"))
     opened = within(marks.where("mark > 0"), marks, parts).select("unit", F.col("pos").alias("start"), "module", "inside")
-    own = opened.join(stops, ["unit", "start"], "left").select("unit", F.col("start").cast("bigint").alias("start"), F.coalesce(F.col("stop").cast("bigint"), F.lit(END)).alias("stop"), "module", F.when(F.col("module"), F.col("start").cast("bigint")).otherwise(F.col("inside")).alias("inside"))
-    whole = marks.select("unit").distinct().select("unit", F.lit(UNIT).cast("bigint").alias("start"), F.lit(END).alias("stop"), F.lit(True).alias("module"), F.lit(UNIT).cast("bigint").alias("inside"))
+    own = _deal(opened, parts, "unit", "start").join(_deal(stops, parts, "unit", "start"), ["unit", "start"], "left").select("unit", F.col("start").cast("bigint").alias("start"), F.coalesce(F.col("stop").cast("bigint"), F.lit(END)).alias("stop"), "module", F.when(F.col("module"), F.col("start").cast("bigint")).otherwise(F.col("inside")).alias("inside"))
+    whole = _deal(marks.select("unit").distinct(), parts, "unit").select("unit", F.lit(UNIT).cast("bigint").alias("start"), F.lit(END).alias("stop"), F.lit(True).alias("module"), F.lit(UNIT).cast("bigint").alias("inside"))
     return own.unionByName(whole)
 
 
@@ -65,6 +70,7 @@ def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: Data
     sees those around it. Uses meet only bindings of their unit, module and name, of
     which there are no more than the limit. ``parts`` says over how many parts rows are dealt.
     """
+    bindings = _deal(bindings, parts, "unit")
     many = bindings.groupBy("unit").agg(F.count("*").alias("bound"))
     saturated = many.where(F.col("bound") > limit).select("unit", F.lit(True).alias("saturated"))
     few = bindings.join(many.where(F.col("bound") <= limit).select("unit"), "unit", "left_semi")
@@ -75,23 +81,23 @@ def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: Data
     here = holders(levels(both, "unit", parts), "unit", []).where("_b is not null")
     here = here.select("unit", F.expr("pos div 2").alias("at"), F.coalesce(F.expr("(holder.pos - 1) div 2"), F.lit(UNIT)).cast("bigint").alias("start"), "_b.name", "_b.path")
     bound = here.groupBy("unit", "start", "name").agg(F.max_by(F.struct("path"), "at").alias("b")).select("unit", "start", F.coalesce("name", F.lit("*")).alias("key"), F.col("b.path").alias("path"))
-    known = bound.join(scoped.select("unit", "start", "stop", "inside"), ["unit", "start"])
+    known = _deal(bound, parts, "unit", "start").join(_deal(scoped.select("unit", "start", "stop", "inside"), parts, "unit", "start"), ["unit", "start"])
     asked = within(uses, marks, parts).withColumn("key", F.explode(F.array(F.col("name"), F.lit("*"))))
     around = (F.col("k.start") < F.col("u.pos")) & (F.col("u.pos") < F.col("k.stop"))
     same = (F.col("u.unit") == F.col("k.unit")) & (F.col("u.inside") == F.col("k.inside")) & (F.col("u.key") == F.col("k.key"))
-    deal = lambda d, *by: d.repartition(parts, *by) if parts else d
-    asked, known = deal(asked, "unit", "inside", "key"), deal(known, "unit", "inside", "key")
+    asked, known = _deal(asked, parts, "unit", "inside", "key"), _deal(known, parts, "unit", "inside", "key")
     met = asked.alias("u").join(known.alias("k"), same & around, "left")
     own = [c for c in asked.columns if c not in ("key", "inside")]
     # Of the scopes around a use the one that begins last is innermost; there a name goes before all names.
     nearest = F.max(F.when(F.col("k.start").isNotNull(), F.struct(F.col("k.start").alias("start"), (F.col("k.key") != "*").alias("named"), F.col("k.path").alias("path")))).alias("b")
-    found = deal(met, "u.unit", "u.pos").groupBy(*[F.col(f"u.{c}").alias(c) for c in own]).agg(nearest).join(saturated, "unit", "left")
+    found = _deal(met, parts, "u.unit", "u.pos").groupBy(*[F.col(f"u.{c}").alias(c) for c in own]).agg(nearest)
+    found = _deal(found, parts, "unit").join(saturated, "unit", "left")
     item = F.col("b.named") & F.col("b.path").isNotNull()
     verdict = F.when(F.col("saturated"), "indeterminate").when(F.col("b").isNull(), "unbound").when(item, "item").otherwise("indeterminate")
     return found.select(*own, verdict.alias("verdict"), F.when(verdict == "item", F.col("b.path")).alias("path"))
 
 
-def called(resolved: DataFrame, crates: DataFrame) -> DataFrame:
+def called(resolved: DataFrame, crates: DataFrame, parts: int | None = None) -> DataFrame:
     """With ``crate`` and ``item``: what a written call names once its first name is resolved; null where it can't be told.
 
     ``rest`` is what is written behind the name, with its member last; ``crates``
@@ -101,7 +107,8 @@ def called(resolved: DataFrame, crates: DataFrame) -> DataFrame:
     full = F.concat_ws("::", first, F.nullif("rest", F.lit("")))
     root = F.when(first.isNotNull(), F.substring_index(full, "::", 1))
     rows = resolved.withColumns({"_root": root, "_item": F.when(first.isNotNull(), F.substr(full, F.length(root) + 3))})
-    held = rows.join(crates.select("unit", F.col("alias").alias("_root"), "crate"), ["unit", "_root"], "left")
+    named = crates.select("unit", F.col("alias").alias("_root"), "crate")
+    held = _deal(rows, parts, "unit", "_root").join(_deal(named, parts, "unit", "_root"), ["unit", "_root"], "left")
     return held.withColumn("crate", F.when(F.col("_root").isin(*SYSROOT), F.col("_root")).otherwise(F.col("crate"))).withColumnRenamed("_item", "item").drop("_root")
 
 

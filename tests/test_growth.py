@@ -1,6 +1,7 @@
 """Steps that have to grow with the input: what they send, how often they read, over how many parts they deal."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -151,3 +152,21 @@ def test_tokens_are_sent_packed(spark, monkeypatch, shared):
     assert got == want
     token = {h.token: h.text for x in found.collect() for h in x.heads}
     assert len(set(token.values())) == len(token)
+
+
+def test_joins_of_names_are_dealt_by_length(spark):
+    """No join of scopes, bindings, uses and crates is left to the number of shuffle partitions."""
+    marks = spark.createDataFrame([(u, p, m, True) for u in range(3) for p, m in enumerate((1, 0, 0, -1))], "unit bigint, pos int, mark int, module boolean")
+    bindings = spark.createDataFrame([(u, 1, "a", "std::process") for u in range(2)], "unit bigint, pos int, name string, path string")
+    uses = spark.createDataFrame([(u, 2, "a") for u in range(3)], "unit bigint, pos int, name string")
+    crates = spark.createDataFrame([(0, "x", "y")], "unit bigint, alias string, crate string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = aliases.called(aliases.resolve(aliases.scopes(marks, 37), bindings, uses, marks, parts=37).withColumn("rest", F.lit("z")), crates, 37)
+        asked = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan(found))
+        # Only the distinct units are gathered first, before they are dealt.
+        assert asked.count("37") >= len(asked) - 2 and set(asked) <= {"37", spark.conf.get("spark.sql.shuffle.partitions")}
+        assert sorted((r.unit, r.verdict, r.crate) for r in found.collect()) == [(0, "item", "std"), (1, "item", "std"), (2, "unbound", None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
