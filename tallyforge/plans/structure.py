@@ -152,14 +152,15 @@ def _pick(items, k):
 
 
 def _resolved(spark, sf):
+    """Resolved uses, and over how many parts they are dealt."""
     marks, bindings, uses, parts = _source(spark, sf)
-    return al.resolve(al.scopes(marks, parts), bindings, uses, marks, parts=parts)
+    return al.resolve(al.scopes(marks, parts), bindings, uses, marks, parts=parts), parts
 
 
 @query(f"WITH {LINES} SELECT unit, CAST(pos AS BIGINT) AS pos, name, verdict, CASE WHEN verdict = 'item' THEN bound_path END AS path FROM resolved")
 def alias_resolution(spark, sf):
     """What each called name stands for, by the imports of the scopes around it."""
-    return _resolved(spark, sf).select("unit", F.col("pos").cast("bigint").alias("pos"), "name", "verdict", "path")
+    return _resolved(spark, sf)[0].select("unit", F.col("pos").cast("bigint").alias("pos"), "name", "verdict", "path")
 
 
 @query(rf"""WITH {LINES}, c AS (SELECT *, CASE verdict WHEN 'item' THEN bound_path || '::' || rest WHEN 'unbound' THEN name || '::' || rest END AS written FROM resolved),
@@ -176,5 +177,6 @@ def source_detections(spark, sf):
     crates = docs.select("unit", F.when(F.col("unit") % 2 == 0, "reqwest").otherwise("rq").alias("alias"), F.lit("reqwest").alias("crate"))
     n = F.col("n")
     written = {"rest": _pick(REST, n % 4), "method": _pick(METHODS, F.floor(n / 4) % 4), "argument": _pick(GIVEN, n % 6), "shell": _pick(SHELL, F.floor(n / 2) % 4), "flag": F.when(n % 7 > 0, "-c").otherwise("-l"), "test": F.col("unit") % 10 == 0}
-    found = al.detect(al.called(_resolved(spark, sf).withColumns(written), crates))
+    resolved, parts = _resolved(spark, sf)
+    found = al.detect(al.called(resolved.withColumns(written), crates, parts))
     return found.select("unit", F.col("pos").cast("bigint").alias("pos"), "rule", "message")
