@@ -170,3 +170,32 @@ def test_joins_of_names_are_dealt_by_length(spark):
         assert sorted((r.unit, r.verdict, r.crate) for r in found.collect()) == [(0, "item", "std"), (1, "item", "std"), (2, "unbound", None)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_families_need_no_list_of_all_pairs(spark, copies):
+    """Blocks give spanning trees with their least pair: as many pairs as documents, the same families."""
+    docs = spark.read.parquet(f"{copies[0]}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    kept = sim.distinct_texts(docs)
+    every, few = (sim.settle(sim.pairs(docs, kept=kept, forest=forest)) for forest in (False, True))
+    n = kept.count()
+    assert few.count() < n * (n // sim.CHUNK + 2) < every.count() / 4
+    assert sorted(map(tuple, sim.near_families(few).collect())) == sorted(map(tuple, sim.near_families(every).collect()))
+    assert few.exceptAll(every).isEmpty()
+
+
+def test_bags_are_not_ordered(spark, tmp_path):
+    """Only keys are ordered and dealt; bags are sent to their chunk, and packed from there."""
+    bag = "array<struct<df:bigint,cnt:int,token:bigint>>"
+    found = spark.createDataFrame([(k, 2, [(2, 1, 5), (2, 1, 6)], [5, 6]) for k in range(300)], f"doc_id bigint, n bigint, bag {bag}, keys array<bigint>")
+    pairs = sim.compared(found, found.select("doc_id", "keys"))
+    assert "rangepartitioning" not in plan(pairs) and "FlatMapCoGroupsInArrow" in plan(pairs)
+    assert pairs.count() == 300 * 299 // 2
+    assert sim.dealt(found.select("doc_id", "keys")).columns == ["doc_id", "keys", "chunk"]
+
+
+def test_copies_of_texts_are_told_by_ids(spark):
+    """Only ids are chosen among copies; texts are dealt once, all of them, and those of other ids count nothing."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "a b c e"), (4, "x y z"), (5, "x y z"), (6, None)], "doc_id bigint, text string")
+    kept = sim.distinct_texts(docs)
+    assert "text" not in kept.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id != 6) == [1, 3, 4]
+    assert sorted((r.doc_id, r.token) for r in sim.heads(docs, kept=kept).collect()) == [(1, "a b c"), (3, "a b c")]
