@@ -199,3 +199,10 @@ def test_copies_of_texts_are_told_by_ids(spark):
     kept = sim.distinct_texts(docs)
     assert "text" not in kept.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id != 6) == [1, 3, 4]
     assert sorted((r.doc_id, r.token) for r in sim.heads(docs, kept=kept).collect()) == [(1, "a b c"), (3, "a b c")]
+
+
+def test_nomination_recall_compares_asked_documents_alone(spark):
+    docs = spark.createDataFrame([(k, "a b c d e f g h") for k in range(4)], "doc_id bigint, text string")
+    found = sim.settle(sim.candidates(docs))
+    asked = found.where("doc_id = 0").select("doc_id")
+    assert sorted(map(tuple, sim.nominated_of(found, asked).collect())) == [(0, k, 10000) for k in (1, 2, 3)]
