@@ -12,12 +12,13 @@ has to repeat on more pages than elsewhere, and a page that would lose most of i
 article that way is a copy with boilerplate nowhere, so it keeps all.
 
 Pages with equal main text count once, and so do those with hardly a word of their
-own that share a long block, so that copies and near copies don't remove each other. A host's pages are read
-in the order of a hash of their main text and cut into sections of at least SECTION
-characters (all pages of smaller hosts); each has its own array, and the shares of
-pages are shares of a section's. So a host with a third of all pages is
-spread over all tasks, no task holds more than a section, and every section is a
-fair sample of its host.
+own that share a long block, so that copies and near copies don't remove each other. Pages are
+counted over their whole host, however large. A host of more than 2 * SECTION characters
+is dealt over parts by a hash of the pages' main text; each part has its own array, and
+parts tell each other by hashes which runs of DEPTH tokens and which blocks they hold:
+first on how many pages, then, for what more than one page holds, on how many that are no
+near copies. So a host with a third of all pages is spread over all tasks, no task holds
+more than a part, and what is decided doesn't depend on how a host is dealt.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +39,13 @@ from .common import bounded_batches, table, written
 
 #: Least tokens of a repeated run, marks between blocks included.
 DEPTH = 6
-#: Least number and share of a section's distinct pages that hold a repeated run, outside of marked articles and inside.
+#: Least number and share of a host's distinct pages that hold a repeated run, outside of marked articles and inside.
 PAGES, SHARE = 3, 0.2
 INSIDE_PAGES, INSIDE_SHARE = 5, 0.5
 #: Pages with a lesser share of words of their own are near copies, if the longest block they share has so many words.
 NEAR, BODY = 0.2, 20
-#: Least characters of a section of a host that has more; a section has at most twice as many, or one page.
+#: Half of the characters from which a host is dealt over parts, of about so many characters each or one page.
 SECTION = 2_000_000
-#: Hosts are spread over several tasks if they hold more than such a part of all characters (so there are fewer such hosts).
-SPREAD = 10_000
 
 # What a tag holds is matched without a way back, as it can be read in one way only.
 _TOKENS = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+)>|<[!?][^>]*>|[^<]+|<", re.S)
@@ -322,17 +322,70 @@ class Runs:
         self.interval = np.cumsum(common_prefixes(self.order, levels) < depth) - 1
         self.real = np.delete(np.arange(len(ids)), ends + np.arange(len(streams)))
 
+    def pairs(self, owners: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (interval, owner) of the asked intervals."""
+        owner, width = np.repeat(owners, self.sizes + 1), int(owners.max(initial=0)) + 1
+        at = asked[self.interval]
+        key = np.sort(self.interval[at] * width + owner[self.order[at]])
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+        return key // width, key % width
+
+    def cover(self, chosen: np.ndarray) -> np.ndarray:
+        """Which tokens lie in a run of a chosen interval."""
+        n = len(self.order)
+        begin = self.order[chosen[self.interval]]
+        gone = np.bincount(begin, minlength=n + self.depth) - np.bincount(begin + self.depth, minlength=n + self.depth)
+        return (np.cumsum(gone)[:n] > 0)[self.real]
+
     def covered(self, owners: np.ndarray, least: int) -> np.ndarray:
         """Which tokens lie in a run that occurs in streams of at least ``least`` owners."""
-        n = len(self.order)
-        if not n:
+        if not len(self.order):
             return np.zeros(0, bool)
-        owner, width = np.repeat(owners, self.sizes + 1), int(owners.max()) + 1
-        shared = (np.bincount(self.interval) > 1)[self.interval]
-        interval, order = self.interval[shared], self.order[shared]
-        key = np.sort(interval * width + owner[order])
-        count = np.bincount(key[np.append(True, key[1:] != key[:-1])[: len(key)]] // width, minlength=int(self.interval[-1]) + 1)
-        begin = order[(count >= least)[interval]]
+        shared = np.bincount(self.interval) > 1
+        return self.cover(shared & (np.bincount(self.pairs(owners, shared)[0], minlength=len(shared)) >= least))
+
+    def hashes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals whose run ends within its stream, and a hash of each one's run, made of hashes of the streams' tokens."""
+        first = self.order[np.flatnonzero(np.append(True, self.interval[1:] != self.interval[:-1])[: len(self.order)])]
+        whole, mixed = _windows(self.sizes, self.real, tokens, self.depth)
+        inside = np.flatnonzero(whole[first])
+        return inside, mixed[first[inside]]
+
+
+def _windows(sizes: np.ndarray, real: np.ndarray, tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the streams, an end after each one, whether ``depth`` tokens of its stream begin there, and a hash of these."""
+    n = len(tokens) + len(sizes)
+    end, x = np.ones(n, np.int64), np.zeros(n + depth, np.uint64)
+    end[real], x[real] = 0, tokens
+    ends = np.append(0, np.cumsum(end))
+    until = np.arange(n) + depth
+    whole = (until <= n) & (ends[np.minimum(until, n)] == ends[:n])
+    mixed = x[:n]
+    for k in range(1, depth):
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + x[k : n + k]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return whole, mixed ^ (mixed >> np.uint64(31))
+
+
+class Counted(Runs):
+    """The same intervals in another order, by hashes alone: what parts of a host tell each other needs no array."""
+
+    def __init__(self, streams: list[np.ndarray], tokens: np.ndarray, depth: int = DEPTH):
+        self.sizes, self.depth = np.array([len(s) for s in streams], np.int64), depth
+        ends = np.cumsum(self.sizes) + np.arange(len(streams))
+        self.real = np.delete(np.arange(len(tokens) + len(streams)), ends)
+        whole, mixed = _windows(self.sizes, self.real, tokens, depth)
+        at = np.flatnonzero(whole)
+        self.order = at[np.argsort(mixed[at], kind="stable")]
+        self.mixed = mixed[self.order]
+        self.interval = np.cumsum(np.append(True, self.mixed[1:] != self.mixed[:-1])[: len(self.order)]) - 1
+
+    def hashes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = np.flatnonzero(np.append(True, self.interval[1:] != self.interval[:-1])[: len(self.order)])
+        return np.arange(len(begins)), self.mixed[begins]
+
+    def cover(self, chosen: np.ndarray) -> np.ndarray:
+        begin, n = self.order[chosen[self.interval]], len(self.real) + len(self.sizes)
         gone = np.bincount(begin, minlength=n + self.depth) - np.bincount(begin + self.depth, minlength=n + self.depth)
         return (np.cumsum(gone)[:n] > 0)[self.real]
 
@@ -343,51 +396,231 @@ def _sums(flags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[end] - total[end - sizes]
 
 
+def _hash(text: str, seed: int) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+
+
+class Section:
+    """Pages of a host, all or a part, as ``split_page`` gives them: their array, and what is decided by it."""
+
+    def __init__(self, pages: list[tuple[bool, list[str], list[bool]]], array: bool = True):
+        self.pages, self.index = pages, {}
+        self.streams, own = [], []
+        for _, texts, main in pages:
+            tokens, mine = [0], [False]
+            for t, m in zip(texts, main, strict=True):
+                tokens += [self.index.setdefault(w, len(self.index) + 1) for w in t.split(" ")]
+                tokens.append(0)
+                mine += [m] * (len(tokens) - len(mine) - 1) + [False]
+            self.streams.append(np.array(tokens, np.int64))
+            own.append(np.array(mine, bool))
+        self.words = np.concatenate(own) if own else np.zeros(0, bool)
+        self.runs = Runs(self.streams) if array else Counted(self.streams, self.spelled)
+        self.owners = np.arange(len(pages))
+        self.main = [{t for t, m in zip(texts, main, strict=True) if m} for _, texts, main in pages]
+        self.seen = Counter(t for blocks in self.main for t in blocks)
+
+    def keys(self, shared: np.ndarray, repeated: set[str]) -> dict[int, str]:
+        """The pages that are near copies, with the block that tells of what: those with little outside of the shared tokens, if the longest repeated block is long."""
+        alone = _sums(self.words & ~shared, self.runs.sizes)
+        few = alone < NEAR * _sums(self.words, self.runs.sizes)
+        found = {i: max(self.main[i] & repeated, key=lambda t: (len(t), t), default="") for i in np.flatnonzero(few).tolist()}
+        return {i: key for i, key in found.items() if key.count(" ") + 1 >= BODY}
+
+    def kept(self, outside: np.ndarray, inside: np.ndarray) -> list[list[str] | None]:
+        """For each page its main blocks without those that the covered tokens fill, or None if none goes."""
+        out: list[list[str] | None] = []
+        begin = 0
+        for (marked, texts, main), s in zip(self.pages, self.streams, strict=True):
+            covered = (inside if marked else outside)[begin : begin + len(s)]
+            begin += len(s)
+            marks = np.flatnonzero(s == 0)
+            stay = np.append(0, np.cumsum(~covered))
+            gone = stay[marks[1:] + 1] == stay[marks[:-1]]
+            every = [t for t, m in zip(texts, main, strict=True) if m]
+            kept = [t for t, m, g in zip(texts, main, gone.tolist(), strict=True) if m and not g]
+            total, left = (sum(t.count(" ") + 1 for t in x) for x in (every, kept))
+            whole = left == total or not left or marked and 2 * left < total
+            out.append(None if whole else kept)
+        return out
+
+    @cached_property
+    def spelled(self) -> np.ndarray:
+        """A hash of each token, marks have one too."""
+        return np.array([_hash("", 0), *(_hash(w, 1) for w in self.index)], np.uint64)[np.concatenate(self.streams)]
+
+    def items(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, pages, place): the distinct runs and main blocks by hash, with their pages here, 2 at most; the places of those of ``inside`` and of ``blocks``."""
+        self.inside, runs = self.runs.hashes(self.spelled)
+        every = np.zeros(int(self.runs.interval.max(initial=-1)) + 1, bool)
+        every[self.inside] = True
+        pages = np.bincount(self.runs.pairs(self.owners, every)[0], minlength=len(every))[self.inside]
+        self.blocks = list(self.seen)
+        hashes, place = np.unique(np.append(runs, np.array([_hash(t, 2) for t in self.blocks], np.uint64)), return_inverse=True)
+        counts = np.zeros(len(hashes), np.int64)
+        np.add.at(counts, place, np.append(pages, [self.seen[t] for t in self.blocks]))
+        return hashes, np.minimum(counts, 2), place
+
+    def told(self, shared: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, alone, row, copied): of the runs that several pages of the host hold, and of 0 for all pages, the number of pages that are no near copies, and rows of it with what the near copies are copies of."""
+        chosen = np.zeros(int(self.runs.interval.max(initial=-1)) + 1, bool)
+        chosen[self.inside] = shared[place[: len(self.inside)]]
+        repeated = {t for t, k in zip(self.blocks, place[len(self.inside) :].tolist(), strict=True) if shared[k]}
+        keys = self.keys(self.runs.cover(chosen), repeated)
+        n, kinds = len(self.pages), sorted(set(keys.values()))
+        codes = {key: n + k for k, key in enumerate(kinds)}
+        owners = np.array([codes[keys[i]] if i in keys else i for i in range(n)], np.int64)
+        interval, owner = self.runs.pairs(owners, chosen)
+        ids = np.full(len(chosen), -1)
+        ids[self.inside] = place[: len(self.inside)]
+        self.wanted = np.unique(ids[chosen])
+        row = np.append(np.searchsorted(self.wanted, ids[interval]) + 1, np.zeros(len(np.unique(owners)), np.int64))
+        owner = np.append(owner, np.unique(owners))
+        alone = np.bincount(row[owner < n], minlength=len(self.wanted) + 1)
+        copied = np.array([_hash(key, 3) for key in kinds], np.uint64)[owner[owner >= n] - n] if kinds else np.zeros(0, np.uint64)
+        return self.wanted, alone, row[owner >= n], copied
+
+
+def _least(n: int) -> tuple[int, int]:
+    return max(PAGES, math.ceil(SHARE * n)), max(INSIDE_PAGES, math.ceil(INSIDE_SHARE * n))
+
+
 def decide(pages: list[tuple[bool, list[str], list[bool]]]) -> list[list[str] | None]:
-    """For each of a section's pages, as ``split_page`` gives them, its main blocks, or None where the array removes none."""
-    index: dict[str, int] = {}
-    streams, own, seen = [], [], Counter()
-    for _, texts, main in pages:
-        tokens, mine = [0], [False]
-        for t, m in zip(texts, main, strict=True):
-            tokens += [index.setdefault(w, len(index) + 1) for w in t.split(" ")]
-            tokens.append(0)
-            mine += [m] * (len(tokens) - len(mine) - 1) + [False]
-        streams.append(np.array(tokens, np.int64))
-        own.append(np.array(mine, bool))
-        seen.update({t for t, m in zip(texts, main, strict=True) if m})
+    """For each of a host's pages, as ``split_page`` gives them, its main blocks, or None where the array removes none."""
     if not pages:
         return []
-    runs, owners = Runs(streams), np.arange(len(pages))
+    section = Section(pages)
+    runs, owners = section.runs, section.owners
     # Pages with little of their own are near copies of each other if they have the longest shared block in common.
-    words = np.concatenate(own)
-    alone = _sums(words & ~runs.covered(owners, 2), runs.sizes)
-    few = alone < NEAR * _sums(words, runs.sizes)
     first: dict[str, int] = {}
-    for i in np.flatnonzero(few).tolist():
-        _, texts, main = pages[i]
-        key = max((t for t, m in zip(texts, main, strict=True) if m and seen[t] > 1), key=lambda t: (len(t), t), default="")
-        if key.count(" ") + 1 >= BODY:
-            owners[i] = first.setdefault(key, i)
-    n = len(np.unique(owners))
-    outside = runs.covered(owners, max(PAGES, math.ceil(SHARE * n)))
-    inside = runs.covered(owners, max(INSIDE_PAGES, math.ceil(INSIDE_SHARE * n)))
-    out: list[list[str] | None] = []
-    begin = 0
-    for (marked, texts, main), s in zip(pages, streams, strict=True):
-        covered = (inside if marked else outside)[begin : begin + len(s)]
-        begin += len(s)
-        marks = np.flatnonzero(s == 0)
-        stay = np.append(0, np.cumsum(~covered))
-        gone = stay[marks[1:] + 1] == stay[marks[:-1]]
-        every = [t for t, m in zip(texts, main, strict=True) if m]
-        kept = [t for t, m, g in zip(texts, main, gone.tolist(), strict=True) if m and not g]
-        total, left = (sum(t.count(" ") + 1 for t in x) for x in (every, kept))
-        whole = left == total or not left or marked and 2 * left < total
-        out.append(None if whole else kept)
+    for i, key in section.keys(runs.covered(owners, 2), {t for t, k in section.seen.items() if k > 1}).items():
+        owners[i] = first.setdefault(key, i)
+    outside, inside = _least(len(np.unique(owners)))
+    return section.kept(runs.covered(owners, outside), runs.covered(owners, inside))
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns byte by byte, compressed; the first one is sorted, its distances are kept."""
+    import zstandard
+
+    kept = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in kept))
+
+
+def _restored(body: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    raw, out, end = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), [], 0
+    for k, kind in enumerate(kinds):
+        width = np.dtype(kind).itemsize
+        column = np.ascontiguousarray(raw[end : end + width * n].reshape(width, n).T).view(kind).ravel()
+        out.append(np.cumsum(column, dtype=kind) if k == 0 else column)
+        end += width * n
+    return out
+
+
+def _pages_of(table: pa.Table, array: bool = False) -> tuple[list[dict], Section]:
+    """Of pages with equal main text the one with the least text around it, in the order of their digests."""
+    rows, before = [], None
+    for row in table.sort_by([("digest", "ascending"), ("size", "ascending"), ("tie", "ascending")]).to_pylist():
+        if row["digest"] != before:
+            rows.append(row)
+        before = row["digest"]
+    return rows, Section([(r["marked"], unpack(r["packed"], r["places"]), [c == "m" for c in r["places"]]) for r in rows], array)
+
+
+_MESSAGE = "host string, task int, part int, n int, body binary, m int, copies binary"
+_MESSAGE_KINDS = {"host": pa.string(), "task": pa.int32(), "part": pa.int32(), "n": pa.int32(), "body": pa.binary(), "m": pa.int32(), "copies": pa.binary()}
+
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(_MESSAGE_KINDS.items())})
+
+
+def _cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+
+
+def _answers(hashes: np.ndarray, parts: int, told: pa.Table) -> np.ndarray:
+    """What the parts of the hashes' range answered, in the order of the hashes."""
+    cuts, out = _cuts(hashes, parts), np.zeros(len(hashes), np.int64)
+    for part, n, body in zip(*(told.column(c).to_pylist() for c in ("part", "n", "body")), strict=True):
+        out[cuts[part] : cuts[part + 1]] = _restored(body, n, "u4")[0].view("i4")
     return out
 
 
+def _say_items(pages: pa.Table) -> pa.Table:
+    """One part of a host: its runs and blocks, for the parts of the hashes' range."""
+    host, task, parts = (pages.column(c)[0].as_py() for c in ("host", "task", "tasks"))
+    hashes, counts, _ = _pages_of(pages)[1].items()
+    cuts = _cuts(hashes, parts)
+    return _messages([(host, task, k, int(cuts[k + 1] - cuts[k]), _squeezed(hashes[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]].astype("u4")), 0, b"") for k in np.flatnonzero(np.diff(cuts)).tolist()])
+
+
+def _say_copies(pages: pa.Table, told: pa.Table) -> pa.Table:
+    """One part of a host, and on how many pages what it holds is: its shared runs with the pages that are no near copies, and those that are."""
+    host, task, parts = (pages.column(c)[0].as_py() for c in ("host", "task", "tasks"))
+    _, section = _pages_of(pages)
+    hashes, _, place = section.items()
+    wanted, alone, row, copied = section.told(_answers(hashes, parts, told) > 1, place)
+    hashes, out = np.append(np.uint64(0), hashes[wanted]), []
+    order = np.argsort(row, kind="stable")
+    row, copied, cuts = row[order].astype(np.int64), copied[order], _cuts(hashes, parts)
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = cuts[k], cuts[k + 1]
+        mine = slice(*np.searchsorted(row, [lo, hi]))
+        out.append((host, task, k, int(hi - lo), _squeezed(hashes[lo:hi], alone[lo:hi].astype("u4")), len(row[mine]), _squeezed((row[mine] - lo).astype("u4"), copied[mine])))
+    return _messages(out)
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """One part of the range of a host's hashes: the sum of each one's pages, near copies of one another counted once."""
+    rows = table.to_pylist()
+    found = [_restored(r["body"], r["n"], "u8", "u4") for r in rows]
+    sizes = np.array([r["n"] for r in rows])
+    place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)[1]
+    counts = np.bincount(place, np.concatenate([f[1] for f in found])).astype(np.int64)
+    ends, copies = np.cumsum(sizes).tolist(), []
+    for r, end in zip(rows, ends, strict=True):
+        if r["m"]:
+            row, copied = _restored(r["copies"], r["m"], "u4", "u8")
+            copies.append(np.stack([place[end - r["n"] + row.astype(np.int64)].astype(np.uint64), copied]))
+    if copies:
+        counts += np.bincount(np.unique(np.concatenate(copies, axis=1), axis=1)[0].astype(np.int64), minlength=len(counts))
+    return _messages([(r["host"], r["task"], r["part"], r["n"], _squeezed(counts[place[end - r["n"] : end]].astype("u4")), 0, b"") for r, end in zip(rows, ends, strict=True)])
+
+
+def _say_kept(pages: pa.Table, told: pa.Table) -> pa.Table:
+    """One part of a host, and both answers: rows (host, digest, kept)."""
+    parts = pages.column("tasks")[0].as_py()
+    rows, section = _pages_of(pages, True)
+    hashes, _, place = section.items()
+    second = np.array([bool(x) for x in told.column("second").to_pylist()], bool)
+    wanted = section.told(_answers(hashes, parts, told.filter(pa.array(~second))) > 1, place)[0]
+    counts = _answers(np.append(np.uint64(0), hashes[wanted]), parts, told.filter(pa.array(second)))
+    every = np.zeros(len(hashes), np.int64)
+    every[wanted] = counts[1:]
+    held = np.zeros(int(section.runs.interval.max(initial=-1)) + 1, np.int64)
+    held[section.inside] = every[place[: len(section.inside)]]
+    kept = section.kept(*(section.runs.cover(held >= least) for least in _least(int(counts[0]))))
+    out = [(r["host"], r["digest"], "\n".join(k)) for r, k in zip(rows, kept, strict=True) if k is not None]
+    return pa.table({name: pa.array([x[i] for x in out], pa.string()) for i, name in enumerate(("host", "digest", "kept"))})
+
+
+def _of_large_hosts(pages: DataFrame, tasks: int) -> DataFrame:
+    """(host, digest, kept) where the array removes blocks, of hosts that are dealt over ``tasks`` parts in all; pages are sent once, what they hold packed."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    dealt = pages.repartition(max(cores, tasks), "host", "task")
+    at = lambda d: d.groupBy("host", "task")
+    answered = lambda d: d.groupBy("host", "part").applyInArrow(_add, _MESSAGE)
+    first = answered(at(dealt).applyInArrow(_say_items, _MESSAGE))
+    second = answered(at(dealt).cogroup(at(first)).applyInArrow(_say_copies, _MESSAGE))
+    both = first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
+    return at(dealt).cogroup(at(both)).applyInArrow(_say_kept, "host string, digest string, kept string")
+
+
 #: Main texts whose digests a task remembers, so that it sends copies but once; what it sends again is left out later.
 REMEMBERED = 1_000_000
 #: The host of an address; empty if it has none.
@@ -468,7 +701,7 @@ def _sections(rows, least: int = SECTION):
 
 
 def _decided(batches):
-    """Rows (host, digest, size, marked, places, packed, task) in order of host, task and digest to (host, digest, kept) where the array removes blocks."""
+    """Rows (host, digest, size, marked, places, packed, task) of whole hosts in order of host and digest to (host, digest, kept) where the array removes blocks."""
 
     def rows():
         before = None
@@ -478,7 +711,7 @@ def _decided(batches):
                     yield row
                 before = row[:2]
 
-    for section in _sections(rows()):
+    for section in _sections(rows(), math.inf):
         pages = [(marked, unpack(packed, places), [c == "m" for c in places]) for _, _, _, marked, places, packed, _ in section]
         kept = decide(pages)
         out = [(r[0], r[1], "\n".join(k)) for r, k in zip(section, kept, strict=True) if k is not None]
@@ -502,16 +735,17 @@ def decisions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     url = F.col(url_col).cast("string")
     source = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)).alias("host"), F.col(html_col).cast("string").alias("_html"))
     sizes = source.groupBy("host").agg(F.sum(F.length("_html").cast("bigint")).alias("chars"))
-    total = sizes.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
-    unit = max(2 * SECTION, total // SPREAD + 1)
-    # At most SPREAD hosts have that many characters, so they fit into a broadcast.
-    hot = sizes.where(F.col("chars") >= unit).select("host", F.ceil(F.col("chars") / unit).cast("int").alias("tasks"))
-    sent = source.select("host", "_html").mapInArrow(_pages, "host string, digest string, size bigint, marked boolean, places string, packed binary")
-    mixed = F.xxhash64("digest")
-    dealt = sent.join(F.broadcast(hot), "host", "left").select(*_PAGE, F.pmod(mixed, F.coalesce("tasks", F.lit(1))).cast("int").alias("task"), mixed.alias("mixed"))
+    # Not many hosts have that many characters, so they fit into a broadcast.
+    hot = sizes.where(F.col("chars") >= 2 * SECTION).select("host", F.ceil(F.col("chars") / (2 * SECTION)).cast("int").alias("tasks"))
+    tasks = hot.agg(F.coalesce(F.sum("tasks"), F.lit(0))).first()[0]
+    sent = lambda d: d.select("host", "_html").mapInArrow(_pages, "host string, digest string, size bigint, marked boolean, places string, packed binary")
+    usual = sent(source.join(F.broadcast(hot), "host", "left_anti") if tasks else source)
     # Of pages with equal main text one counts, the one with the least text around it.
-    order = ["host", "task", "mixed", "digest", "size", F.xxhash64("packed")]
-    kept = dealt.repartition("host", "task").sortWithinPartitions(*order).select(*_PAGE, "task").mapInArrow(_decided, "host string, digest string, kept string")
+    order = ["host", "digest", "size", F.xxhash64("packed")]
+    kept = usual.repartition("host").sortWithinPartitions(*order).select(*_PAGE, F.lit(0).alias("task")).mapInArrow(_decided, "host string, digest string, kept string")
+    if tasks:
+        large = sent(source.join(F.broadcast(hot), "host", "left_semi")).join(F.broadcast(hot), "host")
+        kept = kept.unionByName(_of_large_hosts(large.select(*_PAGE, F.xxhash64("packed").alias("tie"), "tasks", F.pmod(F.xxhash64("digest"), "tasks").cast("int").alias("task")), tasks))
     kind = pages.schema[id_col].dataType.simpleString()
     every = source.select("_id", "_url", "host", "_html").mapInArrow(_main, f"_id {kind}, _url string, host string, digest string, marked boolean, main string")
     # Written first, so that its size is known when the join is planned.
