@@ -16,8 +16,8 @@ own that share a long block, so that copies and near copies don't remove each ot
 counted over their whole host, however large. A host of more than 2 * SECTION characters
 is dealt over parts by a hash of the pages' main text; each part has its own array, and
 parts tell each other by hashes which runs of DEPTH tokens and which blocks they hold:
-first on how many pages, then, for what more than one page holds, on how many that are no
-near copies. So a host with a third of all pages is spread over all tasks, no task holds
+first by a few bits of each hash, then by whole hashes of what another part may hold too,
+then, for what more than one page holds, on how many pages that are no near copies. So a host with a third of all pages is spread over all tasks, no task holds
 more than a part, and what is decided doesn't depend on how a host is dealt.
 """
 
@@ -32,6 +32,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -262,7 +263,7 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     those that still share a rank are sorted, by the ranks of what follows.
     """
     n = len(ids)
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     first = np.append(True, ids[order][1:] != ids[order][:-1]) if n else np.zeros(0, bool)
     rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else 0
@@ -271,7 +272,7 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     while len(shared):
         ahead = np.where(shared + step < n, rank[np.minimum(shared + step, n - 1)] + 1, 0)
         key = rank[shared].astype(np.int64) * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, shared = key[order], shared[order]
         own, place = rank[shared], np.arange(len(key))
         new = np.append(True, key[1:] != key[:-1])
@@ -352,6 +353,16 @@ class Runs:
         return inside, mixed[first[inside]]
 
 
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Which values aren't the one before them."""
+    return np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """The tokens' places, an end after each stream."""
+    return np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)
+
+
 def _windows(sizes: np.ndarray, real: np.ndarray, tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place of the streams, an end after each one, whether ``depth`` tokens of its stream begin there, and a hash of these."""
     n = len(tokens) + len(sizes)
@@ -370,13 +381,12 @@ def _windows(sizes: np.ndarray, real: np.ndarray, tokens: np.ndarray, depth: int
 class Counted(Runs):
     """The same intervals in another order, by hashes alone: what parts of a host tell each other needs no array."""
 
-    def __init__(self, streams: list[np.ndarray], tokens: np.ndarray, depth: int = DEPTH):
-        self.sizes, self.depth = np.array([len(s) for s in streams], np.int64), depth
-        ends = np.cumsum(self.sizes) + np.arange(len(streams))
-        self.real = np.delete(np.arange(len(tokens) + len(streams)), ends)
+    def __init__(self, sizes: np.ndarray, tokens: np.ndarray, depth: int = DEPTH):
+        self.sizes, self.depth = sizes, depth
+        self.real = _places(sizes)
         whole, mixed = _windows(self.sizes, self.real, tokens, depth)
         at = np.flatnonzero(whole)
-        self.order = at[np.argsort(mixed[at], kind="stable")]
+        self.order = at[np.argsort(mixed[at])]
         self.mixed = mixed[self.order]
         self.interval = np.cumsum(np.append(True, self.mixed[1:] != self.mixed[:-1])[: len(self.order)]) - 1
 
@@ -402,26 +412,55 @@ def _hash(text: str, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
 
 
+#: For hashes of words: a number for each byte, and a base of powers with its inverse.
+_BYTES = np.random.default_rng(9).integers(1, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _word_hashes(words: pa.Array, limit: int = 1 << 20) -> np.ndarray:
+    """A hash of each word's bytes, a polynomial, by differences of running sums over about ``limit`` bytes at once."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
+    data, out, lo = np.frombuffer(data, np.uint8), np.empty(len(words), np.uint64), 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, "right")) - 1)
+        begin = ends[lo : hi + 1] - ends[lo]
+        n = int(begin[-1])
+        sums = np.append(np.uint64(0), np.cumsum(_BYTES[data[ends[lo] : ends[hi]]] * _powers(_BASE, n)[:n], dtype=np.uint64))
+        out[lo:hi] = (sums[begin[1:]] - sums[begin[:-1]]) * _powers(_INVERSE, n)[begin[:-1]]
+        lo = hi
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n of a base."""
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+
+
 class Section:
     """Pages of a host, all or a part, as ``split_page`` gives them: their array, and what is decided by it."""
 
     def __init__(self, pages: list[tuple[bool, list[str], list[bool]]], array: bool = True):
-        self.pages, self.index = pages, {}
-        self.streams, own = [], []
-        for _, texts, main in pages:
-            tokens, mine = [0], [False]
-            for t, m in zip(texts, main, strict=True):
-                tokens += [self.index.setdefault(w, len(self.index) + 1) for w in t.split(" ")]
-                tokens.append(0)
-                mine += [m] * (len(tokens) - len(mine) - 1) + [False]
-            self.streams.append(np.array(tokens, np.int64))
-            own.append(np.array(mine, bool))
-        self.words = np.concatenate(own) if own else np.zeros(0, bool)
-        self.runs = Runs(self.streams) if array else Counted(self.streams, self.spelled)
+        self.pages, self.array = pages, array
+        # A mark is a token before each block and behind the last one; the first token of all is one.
+        listed = pc.split_pattern(pa.array(["\n".join(["", *(f" {t} " for t in texts), ""] if texts else ["\n"]).encode("utf-8", "surrogatepass") for _, texts, _ in pages], pa.large_binary()), " ")
+        self.sizes = np.diff(listed.offsets.to_numpy())
+        tokens = listed.flatten().dictionary_encode()
+        self.index, flat = tokens.dictionary, tokens.indices.to_numpy().astype(np.int64)
+        self.streams = np.split(flat, np.cumsum(self.sizes)[:-1]) if pages else []
+        marks = flat == 0
+        block = np.cumsum(marks) - 1 - np.repeat(np.arange(len(pages)), self.sizes)
+        self.words = ~marks & np.append(np.array([m for *_, main in pages for m in main], bool), False)[block]
         self.owners = np.arange(len(pages))
         self.main = [{t for t, m in zip(texts, main, strict=True) if m} for _, texts, main in pages]
         self.seen = Counter(t for blocks in self.main for t in blocks)
 
+    @cached_property
+    def runs(self) -> Runs:
+        return Runs(self.streams) if self.array else Counted(self.sizes, self.spelled)
+
     def keys(self, shared: np.ndarray, repeated: set[str]) -> dict[int, str]:
         """The pages that are near copies, with the block that tells of what: those with little outside of the shared tokens, if the longest repeated block is long."""
         alone = _sums(self.words & ~shared, self.runs.sizes)
@@ -436,6 +475,9 @@ class Section:
         for (marked, texts, main), s in zip(self.pages, self.streams, strict=True):
             covered = (inside if marked else outside)[begin : begin + len(s)]
             begin += len(s)
+            if not covered.any():
+                out.append(None)
+                continue
             marks = np.flatnonzero(s == 0)
             stay = np.append(0, np.cumsum(~covered))
             gone = stay[marks[1:] + 1] == stay[marks[:-1]]
@@ -449,7 +491,13 @@ class Section:
     @cached_property
     def spelled(self) -> np.ndarray:
         """A hash of each token, marks have one too."""
-        return np.array([_hash("", 0), *(_hash(w, 1) for w in self.index)], np.uint64)[np.concatenate(self.streams)]
+        return _word_hashes(self.index)[np.concatenate(self.streams)]
+
+    def held(self) -> np.ndarray:
+        """The distinct runs and main blocks by hash, as ``items`` has them, without an order of the runs."""
+        whole, mixed = _windows(self.sizes, _places(self.sizes), self.spelled, DEPTH)
+        found = np.sort(np.append(mixed[whole], np.array([_hash(t, 2) for t in self.seen], np.uint64)))
+        return found[_new(found)]
 
     def items(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, pages, place): the distinct runs and main blocks by hash, with their pages here, 2 at most; the places of those of ``inside`` and of ``blocks``."""
@@ -551,20 +599,83 @@ def _answers(hashes: np.ndarray, parts: int, told: pa.Table) -> np.ndarray:
     return out
 
 
+#: Bits of a hash beyond those that number a host's parts, about 32 times as many values as a part has runs. More of them are right too, with more to send.
+SHORT = 24
+
+
+def _listed(values: np.ndarray) -> bytes:
+    """Values in order with two bits each beyond those of their mean distance: low bits as they are, the rest by distances in ones and zeros."""
+    rest = values - values[0]
+    low = max(0, (int(rest[-1]) // len(rest)).bit_length() - 1)
+    high = (rest >> np.uint64(low)).astype(np.int64) + np.arange(len(rest))
+    ones = np.zeros(int(high[-1]) + 1, np.uint8)
+    ones[high] = 1
+    bits = (rest[:, None] >> np.arange(low, dtype=np.uint64)).astype(np.uint8) & 1
+    return values[:1].tobytes() + bytes([low]) + np.packbits(bits).tobytes() + np.packbits(ones).tobytes()
+
+
+def _unlisted(body: bytes, n: int) -> np.ndarray:
+    low, end = body[8], 9 + (body[8] * n + 7) // 8
+    bits = np.unpackbits(np.frombuffer(body[9:end], np.uint8), count=low * n).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(body[end:], np.uint8)))[:n] - np.arange(n)
+    out = np.frombuffer(body[:8], np.uint64) + (high.astype(np.uint64) << np.uint64(low))
+    for k in range(low):
+        out += bits[:, k].astype(np.uint64) << np.uint64(k)
+    return out
+
+
+def _elsewhere(hashes: np.ndarray, parts: int, told: pa.Table) -> np.ndarray:
+    """Which of the hashes another part holds, as the parts of their range answered in the first round or, if it came to that, in the second one."""
+    import zstandard
+
+    out = np.ones(len(hashes), bool)
+    for step in (1, 2):
+        asked, answers = np.flatnonzero(out), told.filter(pc.equal(told.column("step"), step))
+        if step == 1 or len(answers):
+            cuts = _cuts(hashes[asked], parts)
+            for part, n, body in zip(*(answers.column(c).to_pylist() for c in ("part", "n", "body")), strict=True):
+                out[asked[cuts[part] : cuts[part + 1]]] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), count=n)
+    return out
+
+
 def _say_items(pages: pa.Table) -> pa.Table:
-    """One part of a host: its runs and blocks, for the parts of the hashes' range."""
+    """One part of a host: the first bits of what it holds, runs and blocks, for the parts of the hashes' range."""
     host, task, parts = (pages.column(c)[0].as_py() for c in ("host", "task", "tasks"))
-    hashes, counts, _ = _pages_of(pages)[1].items()
+    hashes = _pages_of(pages)[1].held()
+    cuts, short = _cuts(hashes, parts), hashes >> np.uint64(64 - SHORT - (parts - 1).bit_length())
+    return _messages([(host, task, k, int(cuts[k + 1] - cuts[k]), _listed(short[cuts[k] : cuts[k + 1]]), 0, b"") for k in np.flatnonzero(np.diff(cuts)).tolist()])
+
+
+def _say_whole(pages: pa.Table, told: pa.Table) -> pa.Table:
+    """One part of a host, and of what other parts may hold too: the whole hashes of that."""
+    host, task, parts = (pages.column(c)[0].as_py() for c in ("host", "task", "tasks"))
+    hashes = _pages_of(pages)[1].held()
+    hashes = hashes[_elsewhere(hashes, parts, told)]
     cuts = _cuts(hashes, parts)
-    return _messages([(host, task, k, int(cuts[k + 1] - cuts[k]), _squeezed(hashes[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]].astype("u4")), 0, b"") for k in np.flatnonzero(np.diff(cuts)).tolist()])
+    return _messages([(host, task, k, int(cuts[k + 1] - cuts[k]), _squeezed(hashes[cuts[k] : cuts[k + 1]]), 1, b"") for k in np.flatnonzero(np.diff(cuts)).tolist()])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """One part of the range of a host's hashes: a bit for each one, whether several parts have said it."""
+    import zstandard
+
+    rows = table.to_pylist()
+    found = [_restored(r["body"], r["n"], "u8")[0] if r["m"] else _unlisted(r["body"], r["n"]) for r in rows]
+    every = np.sort(np.concatenate([f[_new(f)] for f in found]))
+    several = np.append(every[1:][every[1:] == every[:-1]], np.uint64(0))
+    out = []
+    for r, f in zip(rows, found, strict=True):
+        bits = several[np.searchsorted(several[:-1], f)] == f if len(several) > 1 else np.zeros(len(f), bool)
+        out.append((r["host"], r["task"], r["part"], r["n"], zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes()), 0, b""))
+    return _messages(out)
 
 
 def _say_copies(pages: pa.Table, told: pa.Table) -> pa.Table:
-    """One part of a host, and on how many pages what it holds is: its shared runs with the pages that are no near copies, and those that are."""
+    """One part of a host, and what of it other parts hold: its shared runs with the pages that are no near copies, and those that are."""
     host, task, parts = (pages.column(c)[0].as_py() for c in ("host", "task", "tasks"))
     _, section = _pages_of(pages)
-    hashes, _, place = section.items()
-    wanted, alone, row, copied = section.told(_answers(hashes, parts, told) > 1, place)
+    hashes, counts, place = section.items()
+    wanted, alone, row, copied = section.told((counts > 1) | _elsewhere(hashes, parts, told), place)
     hashes, out = np.append(np.uint64(0), hashes[wanted]), []
     order = np.argsort(row, kind="stable")
     row, copied, cuts = row[order].astype(np.int64), copied[order], _cuts(hashes, parts)
@@ -593,13 +704,12 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _say_kept(pages: pa.Table, told: pa.Table) -> pa.Table:
-    """One part of a host, and both answers: rows (host, digest, kept)."""
+    """One part of a host, and all answers: rows (host, digest, kept)."""
     parts = pages.column("tasks")[0].as_py()
     rows, section = _pages_of(pages, True)
-    hashes, _, place = section.items()
-    second = np.array([bool(x) for x in told.column("second").to_pylist()], bool)
-    wanted = section.told(_answers(hashes, parts, told.filter(pa.array(~second))) > 1, place)[0]
-    counts = _answers(np.append(np.uint64(0), hashes[wanted]), parts, told.filter(pa.array(second)))
+    hashes, local, place = section.items()
+    wanted = section.told((local > 1) | _elsewhere(hashes, parts, told), place)[0]
+    counts = _answers(np.append(np.uint64(0), hashes[wanted]), parts, told.filter(pc.equal(told.column("step"), 3)))
     every = np.zeros(len(hashes), np.int64)
     every[wanted] = counts[1:]
     held = np.zeros(int(section.runs.interval.max(initial=-1)) + 1, np.int64)
@@ -614,11 +724,11 @@ def _of_large_hosts(pages: DataFrame, tasks: int) -> DataFrame:
     cores = pages.sparkSession.sparkContext.defaultParallelism
     dealt = pages.repartition(max(cores, tasks), "host", "task")
     at = lambda d: d.groupBy("host", "task")
-    answered = lambda d: d.groupBy("host", "part").applyInArrow(_add, _MESSAGE)
-    first = answered(at(dealt).applyInArrow(_say_items, _MESSAGE))
-    second = answered(at(dealt).cogroup(at(first)).applyInArrow(_say_copies, _MESSAGE))
-    both = first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
-    return at(dealt).cogroup(at(both)).applyInArrow(_say_kept, "host string, digest string, kept string")
+    answered = lambda d, add, step: d.groupBy("host", "part").applyInArrow(add, _MESSAGE).withColumn("step", F.lit(step))
+    first = answered(at(dealt).applyInArrow(_say_items, _MESSAGE), _meet, 1)
+    whole = first.unionByName(answered(at(dealt).cogroup(at(first)).applyInArrow(_say_whole, _MESSAGE), _meet, 2))
+    every = whole.unionByName(answered(at(dealt).cogroup(at(whole)).applyInArrow(_say_copies, _MESSAGE), _add, 3))
+    return at(dealt).cogroup(at(every)).applyInArrow(_say_kept, "host string, digest string, kept string")
 
 
 #: Main texts whose digests a task remembers, so that it sends copies but once; what it sends again is left out later.
@@ -735,9 +845,9 @@ def decisions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     url = F.col(url_col).cast("string")
     source = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)).alias("host"), F.col(html_col).cast("string").alias("_html"))
     sizes = source.groupBy("host").agg(F.sum(F.length("_html").cast("bigint")).alias("chars"))
-    # Not many hosts have that many characters, so they fit into a broadcast.
-    hot = sizes.where(F.col("chars") >= 2 * SECTION).select("host", F.ceil(F.col("chars") / (2 * SECTION)).cast("int").alias("tasks"))
-    tasks = hot.agg(F.coalesce(F.sum("tasks"), F.lit(0))).first()[0]
+    # Not many hosts have that many characters, so they fit into a broadcast; asked for once, as this reads all pages.
+    found = sizes.where(F.col("chars") >= 2 * SECTION).select("host", F.ceil(F.col("chars") / (2 * SECTION)).cast("int").alias("tasks")).collect()
+    hot, tasks = pages.sparkSession.createDataFrame(found, "host string, tasks int"), sum(r.tasks for r in found)
     sent = lambda d: d.select("host", "_html").mapInArrow(_pages, "host string, digest string, size bigint, marked boolean, places string, packed binary")
     usual = sent(source.join(F.broadcast(hot), "host", "left_anti") if tasks else source)
     # Of pages with equal main text one counts, the one with the least text around it.

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from tallyforge.llm import htmltext
@@ -34,3 +37,51 @@ def test_parts_decide_as_the_whole_host(spark, monkeypatch, seed):
     for size in (8_000, 1_500, 200):
         monkeypatch.setattr(htmltext, "SECTION", size)
         assert read() == whole
+
+
+def test_parts_tell_runs_by_a_few_bits():
+    """What a part says first takes less than 20 bits a run; whole hashes follow of what another part may hold, and only what several hold is met."""
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(400)) for _ in range(n))
+    same, parts = say(60), []
+    for task in range(3):
+        texts = [[say(200), *[same] * (i == 0)] for i in range(60)]
+        rows = [{"host": "h", "digest": f"{task} {i}", "size": 1, "marked": True, "places": "m" * len(t), "packed": htmltext.pack(t), "tie": 0, "tasks": 3, "task": task} for i, t in enumerate(texts)]
+        parts.append(pa.Table.from_pylist(rows))
+    said = [htmltext._say_items(table) for table in parts]
+    runs = sum(sum(m.column("n").to_pylist()) for m in said)
+    assert runs > 30_000 and 8 * sum(len(b) for m in said for b in m.column("body").to_pylist()) < 20 * runs
+    told = answers(said, htmltext._meet, 1)
+    whole = [htmltext._say_whole(table, mine(told, k)) for k, table in enumerate(parts)]
+    assert all(60 <= sum(m.column("n").to_pylist()) < 1_500 for m in whole)
+    told = pa.concat_tables([told, answers(whole, htmltext._meet, 2)])
+    held = [htmltext._pages_of(table)[1].held() for table in parts]
+    for k, hashes in enumerate(held):
+        others = np.concatenate([h for i, h in enumerate(held) if i != k])
+        assert (htmltext._elsewhere(hashes, 3, mine(told, k)) == np.isin(hashes, others)).all()
+
+
+def mine(table, task):
+    return table.filter(pa.compute.equal(table.column("task"), task))
+
+
+def answers(said, add, step):
+    every = pa.concat_tables(said)
+    out = pa.concat_tables([add(every.filter(pa.compute.equal(every.column("part"), k))) for k in sorted(set(every.column("part").to_pylist()))])
+    return out.append_column("step", pa.array([step] * len(out), pa.int32()))
+
+
+def test_few_bits_are_read_back():
+    r = random.Random(1)
+    for n in (1, 2, 5, 1000):
+        for most in (1, 3, 1000, 2**40, 2**64):
+            values = np.sort(np.array([r.randrange(most) for _ in range(n)], np.uint64))
+            assert (htmltext._unlisted(htmltext._listed(values), n) == values).all()
+
+
+def test_hashes_of_words():
+    r = random.Random(1)
+    words = sorted({bytes(r.choice(b"abcdef\x00\xff") for _ in range(r.randint(0, 9))) for _ in range(5000)})
+    column = pa.array(words, pa.large_binary())
+    want = htmltext._word_hashes(column)
+    assert len(set(want.tolist())) == len(words) and (htmltext._word_hashes(column, 7) == want).all() and (htmltext._word_hashes(column[99:]) == want[99:]).all()
