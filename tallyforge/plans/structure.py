@@ -22,19 +22,19 @@ forms AS (SELECT l.doc_id, l.source, CASE WHEN l.l IS NOT NULL THEN coalesce(w.f
 
 
 def _forms(spark, sf):
-    return ca.canonical(base.documents(spark, sf).select("doc_id", "source", "text"))
+    return ca.canonical(base.documents(spark, sf).select("doc_id", "source", "text"), digest=True)
 
 
 @query(f"WITH {FORMS} SELECT doc_id, sha256(form) AS digest, CAST(nodes AS BIGINT) AS nodes, CAST(statements AS BIGINT) AS statements FROM forms")
 def canonical_form(spark, sf):
     """Each text's form by its digest; null where a quote stays open."""
-    return _forms(spark, sf).select("doc_id", F.sha2("form", 256).alias("digest"), F.col("nodes").cast("bigint").alias("nodes"), F.col("statements").cast("bigint").alias("statements"))
+    return _forms(spark, sf).select("doc_id", "digest", F.col("nodes").cast("bigint").alias("nodes"), F.col("statements").cast("bigint").alias("statements"))
 
 
 @query(f"WITH {FORMS}, big AS (SELECT * FROM forms WHERE nodes >= 30 AND statements >= 3) SELECT sha256(form) AS digest, count(*) AS members, count(DISTINCT source) AS sources, min(doc_id) AS anchor FROM big GROUP BY form HAVING count(*) > 1")
 def canonical_families(spark, sf):
     """Texts above the floor that are equal but for their names and values."""
-    big = ca.admitted(_forms(spark, sf)).select("doc_id", "source", F.sha2("form", 256).alias("digest"))
+    big = ca.admitted(_forms(spark, sf)).select("doc_id", "source", "digest")
     per = big.groupBy("digest", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))  # a hot form is summed in parts
     return per.groupBy("digest").agg(F.sum("n").alias("members"), F.count("*").alias("sources"), F.min("first").alias("anchor")).where("members > 1")
 

@@ -127,6 +127,33 @@ def test_canonical_families_over_relabelled_forms(spark):
     assert "MapInArrow" in plan(big) and big.select("form").distinct().count() == 1 and big.count() == 3
 
 
+@pytest.mark.parametrize("remembered", [200_000, 3])
+def test_forms_without_a_step_for_each_name(monkeypatch, remembered):
+    """Names known from earlier texts take no call of their own, and what is remembered changes no form."""
+    monkeypatch.setattr(canonical, "REMEMBERED", remembered)
+    monkeypatch.setattr(canonical, "ORDINALS", canonical.ORDINALS[:40])
+    r, asked = random.Random(2), []
+
+    class Names(canonical._Names):
+        def __missing__(self, t):
+            asked.append(t)
+            return super().__missing__(t)
+
+    names, kinds = Names(), {"true": "#bool", "false": "#bool", '""': "#str", "1": "#int", "1.5": "#float", ".": ".", "²": "²"}
+    for _ in range(60):
+        listed = [r.choice([f"n{r.randrange(90)}", "_", "x" * 70, *kinds]) for _ in range(r.choice((0, 1, 30, 300)))]
+        own = list(dict.fromkeys(t for t in listed if t not in kinds))
+        assert canonical._form(listed, names) == " ".join(kinds.get(t) or f"${own.index(t)}" for t in listed)
+    assert remembered == 3 or len(asked) < 200
+
+
+def test_digests_stay_where_forms_are_made(spark):
+    docs = spark.createDataFrame([(1, 'b = "x" + é ; 1.5'), (2, '"'), (3, "")], "doc_id bigint, text string")
+    both = canonical.canonical(docs).select("doc_id", F.sha2("form", 256).alias("digest"), "nodes", "statements")
+    assert canonical.canonical(docs, digest=True).collect() == both.collect()
+    assert "sha2" not in plan(structure.canonical_families(spark, "/root/testdata/sf0.001"))
+
+
 @pytest.mark.parametrize("shared", [True, False])
 def test_tokens_are_sent_packed(spark, monkeypatch, shared):
     """Many small batches and parts give the multisets that plain rows give, and heads by (df, text) over them."""
