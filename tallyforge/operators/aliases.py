@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .nesting import holders, levels
 
-# Bindings that a unit may have, crates that need no declaration, and what the two rules look for.
-BINDINGS = 1024
+# Crates that need no declaration, and what the two rules look for.
 SYSROOT = ("alloc", "core", "std")
 TLS_CLIENTS = ("Client", "blocking::Client")
 COMMAND = "process::Command"
@@ -57,44 +56,51 @@ def within(rows: DataFrame, marks: DataFrame, parts: int | None = None) -> DataF
     return found.select("unit", F.expr("pos div 2").alias("pos"), *restored, F.coalesce(F.expr("(holder.pos - 1) div 2"), F.lit(UNIT)).cast("bigint").alias("inside"))
 
 
-def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: DataFrame, limit: int = BINDINGS, parts: int | None = None) -> DataFrame:
+def resolve(scoped: DataFrame, bindings: DataFrame, uses: DataFrame, marks: DataFrame, limit: int | None = None, parts: int | None = None) -> DataFrame:
     """Uses (unit, pos, name, and more) with ``verdict`` (item, indeterminate, unbound) and ``path``.
 
     ``bindings`` have unit, pos, name (null: all names of some module) and path (null:
     something of that name is declared here). The innermost scope within the use's
     module that binds the name or takes in all names decides; in one scope the name
-    goes before all names, the last binding before the others. More than ``limit``
-    bindings in a unit leave all its names undecided.
+    goes before all names, the last binding before the others. All bindings count,
+    however many a unit has; only with a ``limit`` more of them leave all its names undecided.
 
     Scopes are intervals: a binding belongs to the innermost one around it, and a use
-    sees those around it. Uses meet only bindings of their unit, module and name, of
-    which there are no more than the limit. ``parts`` says over how many parts rows are dealt.
+    sees those around it. Both are found by ordering marks, so that time grows with a
+    unit's rows and not with pairs of them. ``parts`` says over how many parts rows are dealt.
     """
-    bindings = _deal(bindings, parts, "unit")
-    many = bindings.groupBy("unit").agg(F.count("*").alias("bound"))
-    saturated = many.where(F.col("bound") > limit).select("unit", F.lit(True).alias("saturated"))
-    few = bindings.join(many.where(F.col("bound") <= limit).select("unit"), "unit", "left_semi")
+    if limit is not None:
+        bindings = _deal(bindings, parts, "unit")
+        many = bindings.groupBy("unit").agg(F.count("*").alias("bound"))
+        saturated = many.where(F.col("bound") > limit).select("unit", F.lit(True).alias("saturated"))
+        bindings = bindings.join(many.where(F.col("bound") <= limit).select("unit"), "unit", "left_semi")
     # The innermost scope around each binding: that mark of the sequence which is still open.
     columns = marks.select("unit", "pos", "mark")
     placed = columns.select("unit", (F.col("pos") * 2 + 1).alias("pos"), "mark", F.lit(None).cast("struct<name:string,path:string>").alias("_b"))
-    both = placed.unionByName(few.select("unit", (F.col("pos") * 2).alias("pos"), F.lit(0).alias("mark"), F.struct("name", "path").alias("_b")))
+    both = placed.unionByName(bindings.select("unit", (F.col("pos") * 2).alias("pos"), F.lit(0).alias("mark"), F.struct("name", "path").alias("_b")))
     here = holders(levels(both, "unit", parts), "unit", []).where("_b is not null")
     here = here.select("unit", F.expr("pos div 2").alias("at"), F.coalesce(F.expr("(holder.pos - 1) div 2"), F.lit(UNIT)).cast("bigint").alias("start"), "_b.name", "_b.path")
     bound = here.groupBy("unit", "start", "name").agg(F.max_by(F.struct("path"), "at").alias("b")).select("unit", "start", F.coalesce("name", F.lit("*")).alias("key"), F.col("b.path").alias("path"))
     known = _deal(bound, parts, "unit", "start").join(_deal(scoped.select("unit", "start", "stop", "inside"), parts, "unit", "start"), ["unit", "start"])
     asked = within(uses, marks, parts).withColumn("key", F.explode(F.array(F.col("name"), F.lit("*"))))
-    around = (F.col("k.start") < F.col("u.pos")) & (F.col("u.pos") < F.col("k.stop"))
-    same = (F.col("u.unit") == F.col("k.unit")) & (F.col("u.inside") == F.col("k.inside")) & (F.col("u.key") == F.col("k.key"))
-    asked, known = _deal(asked, parts, "unit", "inside", "key"), _deal(known, parts, "unit", "inside", "key")
-    met = asked.alias("u").join(known.alias("k"), same & around, "left")
-    own = [c for c in asked.columns if c not in ("key", "inside")]
-    # Of the scopes around a use the one that begins last is innermost; there a name goes before all names.
-    nearest = F.max(F.when(F.col("k.start").isNotNull(), F.struct(F.col("k.start").alias("start"), (F.col("k.key") != "*").alias("named"), F.col("k.path").alias("path")))).alias("b")
-    found = _deal(met, parts, "u.unit", "u.pos").groupBy(*[F.col(f"u.{c}").alias(c) for c in own]).agg(nearest)
-    found = _deal(found, parts, "unit").join(saturated, "unit", "left")
+    own = [c for c in asked.columns if c not in ("unit", "key", "inside")]
+    # The scopes of one module that bind one key lie in or beside one another: that which is still open at a use is the innermost around it.
+    same = ["unit", "inside", "key"]
+    at = lambda place, after: (F.col(place).cast("bigint") * 3 + after).alias("pos")
+    probe = asked.select(*same, at("pos", 1), F.lit(0).alias("mark"), F.lit(None).cast("string").alias("path"), F.struct(*own).alias("_use"))
+    none = F.lit(None).cast(probe.schema["_use"].dataType).alias("_use")
+    bounds = known.withColumn("bound", F.explode(F.array(F.struct(at("start", 2), F.lit(1).alias("mark")), F.when(F.col("stop") < END, F.struct(at("stop", 0), F.lit(-1).alias("mark")))))).where("bound is not null")
+    every = probe.unionByName(bounds.select(*same, "bound.pos", "bound.mark", "path", none))
+    met = holders(levels(every, same, parts), same, ["path"]).where("_use is not null")
+    # Of a name and all names that decides whose scope begins last; in one scope a name goes before all names.
+    nearest = F.max(F.when(F.col("holder").isNotNull(), F.struct(F.col("holder.pos").alias("start"), (F.col("key") != "*").alias("named"), F.col("holder.path").alias("path")))).alias("b")
+    found = met.select("unit", "_use.*", "key", "holder").groupBy("unit", *own).agg(nearest)
     item = F.col("b.named") & F.col("b.path").isNotNull()
-    verdict = F.when(F.col("saturated"), "indeterminate").when(F.col("b").isNull(), "unbound").when(item, "item").otherwise("indeterminate")
-    return found.select(*own, verdict.alias("verdict"), F.when(verdict == "item", F.col("b.path")).alias("path"))
+    verdict = F.when(F.col("b").isNull(), "unbound").when(item, "item").otherwise("indeterminate")
+    if limit is not None:
+        found = _deal(found, parts, "unit").join(saturated, "unit", "left")
+        verdict = F.when(F.col("saturated"), "indeterminate").otherwise(verdict)
+    return found.select("unit", *own, verdict.alias("verdict"), F.when(verdict == "item", F.col("b.path")).alias("path"))
 
 
 def called(resolved: DataFrame, crates: DataFrame, parts: int | None = None) -> DataFrame:

@@ -28,16 +28,24 @@ def parts_of(texts: DataFrame, text: str) -> int:
     return max(texts.sparkSession.sparkContext.defaultParallelism, chars // CHARS + 1)
 
 
-def levels(marks: DataFrame, unit: str, parts: int | None = None) -> DataFrame:
-    """With ``level``, the marks that are open before this one; a closing one's is that of what it closes."""
+def _columns(unit: str | Sequence[str]) -> list[str]:
+    return [unit] if isinstance(unit, str) else list(unit)
+
+
+def levels(marks: DataFrame, unit: str | Sequence[str], parts: int | None = None) -> DataFrame:
+    """With ``level``, the marks that are open before this one; a closing one's is that of what it closes.
+
+    Several columns can name a unit; then rows are dealt by the first of them alone.
+    """
+    units = _columns(unit)
     if parts:
-        marks = marks.repartition(parts, unit)
-    before = Window.partitionBy(unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        marks = marks.repartition(parts, units[0])
+    before = Window.partitionBy(*units).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = F.sum("mark").over(before)
     return marks.withColumn("level", (after - F.when(F.col("mark") > 0, 1).otherwise(0)).cast("bigint"))
 
 
-def holders(leveled: DataFrame, unit: str, carried: Sequence[str], name: str = "holder") -> DataFrame:
+def holders(leveled: DataFrame, unit: str | Sequence[str], carried: Sequence[str], name: str = "holder") -> DataFrame:
     """With a struct of pos and the carried columns of the innermost mark open here, of a closing mark those of what it closes.
 
     Of the marks that open at the level above, the last one before is still open: one
@@ -51,7 +59,7 @@ def holders(leveled: DataFrame, unit: str, carried: Sequence[str], name: str = "
     asks = at(look, none)
     # A mark that opens asks and offers; rows are doubled in place, so that what they come from is worked out once.
     doubled = leveled.select("*", F.inline(F.when(F.col("mark") > 0, F.array(asks, at(F.col("level"), offer))).otherwise(F.array(asks))))
-    latest = Window.partitionBy(unit, "_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = Window.partitionBy(*_columns(unit), "_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = doubled.withColumn(name, F.last("_offer", ignorenulls=True).over(latest))
     return both.where("_offer is null").select(*columns, name)
 

@@ -126,10 +126,9 @@ bindings AS (SELECT unit, pos, CASE WHEN role = 5 AND n % 5 = 0 THEN '*' ELSE na
 uses AS (SELECT unit, pos, name, {_list(REST)}[n % 4 + 1] AS rest, {_list(METHODS)}[n // 4 % 4 + 1] AS method, {_list(GIVEN)}[n % 6 + 1] AS argument, {_list(SHELL)}[n // 2 % 4 + 1] AS shell, CASE WHEN n % 7 > 0 THEN '-c' ELSE '-l' END AS flag, unit % 10 = 0 AS test FROM src WHERE role >= 6),
 inner_of AS (SELECT r.unit, r.pos, max(s.start) AS start, max(s.start) FILTER (WHERE s.module) AS inside FROM (SELECT unit, pos FROM bindings UNION ALL SELECT unit, pos FROM uses) r JOIN scopes s ON s.unit = r.unit AND s.start < r.pos AND (s.stop IS NULL OR r.pos < s.stop) GROUP BY r.unit, r.pos),
 bound AS (SELECT b.unit, i.start, i.inside, b.key, arg_max(struct_pack(p := b.path), b.pos).p AS path FROM bindings b JOIN inner_of i USING (unit, pos) GROUP BY b.unit, i.start, i.inside, b.key),
-full_units AS (SELECT unit FROM bindings GROUP BY unit HAVING count(*) > 1024),
 met AS (SELECT u.unit, u.pos, arg_max(struct_pack(k := b.key, p := b.path), b.start * 2 + CASE WHEN b.key = '*' THEN 0 ELSE 1 END) AS b FROM uses u JOIN inner_of i USING (unit, pos) JOIN bound b ON b.unit = u.unit AND b.inside = i.inside AND b.key IN (u.name, '*')
   JOIN scopes s ON s.unit = b.unit AND s.start = b.start AND s.start < u.pos AND (s.stop IS NULL OR u.pos < s.stop) GROUP BY u.unit, u.pos),
-resolved AS (SELECT u.*, CASE WHEN u.unit IN (SELECT unit FROM full_units) THEN 'indeterminate' WHEN m.b IS NULL THEN 'unbound' WHEN m.b.k <> '*' AND m.b.p IS NOT NULL THEN 'item' ELSE 'indeterminate' END AS verdict, m.b.p AS bound_path FROM uses u LEFT JOIN met m USING (unit, pos))"""
+resolved AS (SELECT u.*, CASE WHEN m.b IS NULL THEN 'unbound' WHEN m.b.k <> '*' AND m.b.p IS NOT NULL THEN 'item' ELSE 'indeterminate' END AS verdict, m.b.p AS bound_path FROM uses u LEFT JOIN met m USING (unit, pos))"""
 
 
 def _source(spark, sf):

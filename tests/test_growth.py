@@ -233,3 +233,66 @@ def test_nomination_recall_compares_asked_documents_alone(spark):
     found = sim.settle(sim.candidates(docs))
     asked = found.where("doc_id = 0").select("doc_id")
     assert sorted(map(tuple, sim.nominated_of(found, asked).collect())) == [(0, k, 10000) for k in (1, 2, 3)]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Texts with more bindings than the 1,024 that the surveyed engine keeps, and (unit, pos, name, n, verdict, path) of their uses by a walk."""
+    r = random.Random(5)
+    rows, found = [], []
+    for unit in range(1, 6):
+        lines, stack, known = [], [(-1, True)], {}
+        for pos in range(2600):
+            words = r.choice([1, 8, 2, 2, 3, 3, 3, 4, 5, 5, 6, 7])
+            name = r.choice("abcdefgh")
+            line = " ".join([name, *(r.choice(["v", "vw", "vwx"]) for _ in range(words - 1))])
+            n = len(line)
+            lines.append(line)
+            if words in (1, 8):
+                stack.append((pos, words == 1))
+            elif words == 2 and len(stack) > 1:
+                stack.pop()
+            elif words in (3, 4, 5):
+                every = words == 5 and n % 5 == 0
+                known[stack[-1][0], None if every else name] = None if every or words == 4 else structure.BOUND[n % 7]
+            elif words in (6, 7):
+                found.append([unit, pos, name, n, list(stack)])
+        # What is bound behind a use counts too: names are looked up when all are known.
+        for use in found:
+            if use[0] == unit:
+                verdict = ("unbound", None)
+                for start, module in reversed(use.pop()):
+                    if (start, use[2]) in known:
+                        verdict = ("item", known[start, use[2]]) if known[start, use[2]] else ("indeterminate", None)
+                        break
+                    if (start, None) in known:
+                        verdict = ("indeterminate", None)
+                        break
+                    if module:
+                        break
+                use += verdict
+        assert sum(len(x.split()) in (3, 4, 5) for x in lines) > 1024
+        rows.append((unit, "\n".join(lines)))
+    folder = str(tmp_path_factory.mktemp("crowded"))
+    spark.createDataFrame(rows, "doc_id bigint, text string").select("*", F.lit("s").alias("source"), F.lit("en").alias("lang")).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    return (folder, con), found
+
+
+def test_all_bindings_of_a_unit_count(spark, crowded):
+    tables, found = crowded
+    got = same(spark, tables, "alias_resolution")
+    assert got == sorted(tuple(map(str, (unit, pos, name, verdict, path))) for unit, pos, name, _, verdict, path in found)
+    assert {row[3] for row in got} == {"item", "indeterminate", "unbound"}
+
+
+def test_names_meet_their_scopes_in_order(spark):
+    """Uses and bindings of a name are ordered together; no pairs of them are made, and rows are dealt by unit once."""
+    marks = spark.createDataFrame([(1, 2 * p, 1 if p % 2 else -1, False) for p in range(1, 4001)], "unit bigint, pos int, mark int, module boolean")
+    bindings = marks.where("mark = 1").select("unit", "pos", F.lit("a").alias("name"), F.concat(F.lit("p"), "pos").alias("path")).withColumn("pos", F.expr("pos + 1"))
+    uses = bindings.select("unit", "pos", "name")
+    found = aliases.resolve(aliases.scopes(marks, 3), bindings, uses, marks, parts=3)
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[([^\]]*)\]", plan(found))
+    assert joins and not any("key" in keys for keys in joins)
+    assert found.where("verdict = 'item' and path = concat('p', pos - 1)").count() == 2000
