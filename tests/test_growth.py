@@ -244,8 +244,8 @@ def crowded(spark, tmp_path_factory):
         lines, stack, known = [], [(-1, True)], {}
         for pos in range(2600):
             words = r.choice([1, 8, 2, 2, 3, 3, 3, 4, 5, 5, 6, 7])
-            name = r.choice("abcdefgh")
-            line = " ".join([name, *(r.choice(["v", "vw", "vwx"]) for _ in range(words - 1))])
+            name, longest = r.choice("abcdefgh"), r.choice([2, 9, 13])
+            line = " ".join([name, *("v" * r.randint(1, longest) for _ in range(words - 1))])
             n = len(line)
             lines.append(line)
             if words in (1, 8):
@@ -296,3 +296,19 @@ def test_names_meet_their_scopes_in_order(spark):
     joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[([^\]]*)\]", plan(found))
     assert joins and not any("key" in keys for keys in joins)
     assert found.where("verdict = 'item' and path = concat('p', pos - 1)").count() == 2000
+
+
+def test_detections_in_units_of_many_bindings(spark, crowded):
+    tables, found = crowded
+    want = []
+    for unit, pos, _, n, verdict, path in found:
+        # Names are single letters and no crates, so that only items lead to one.
+        root, _, item = f"{path}::{structure.REST[n % 4]}".partition("::") if verdict == "item" else ("", "", "")
+        method, given, shell = structure.METHODS[n // 4 % 4], structure.GIVEN[n % 6], structure.SHELL[n // 2 % 4]
+        crate = {"std": "std", ("reqwest", "rq")[unit % 2]: "reqwest"}.get(root)
+        if crate == "reqwest" and item in ("Client::builder", "blocking::Client::builder") and given == "true" and unit % 10 and method != "arg":
+            want.append((unit, pos, "disabled_tls_verification", "certificates" if method.endswith("certs") else "host names"))
+        if crate == "std" and item == "process::Command::new" and method == "arg" and n % 7 and shell != "fish" and given in structure.GIVEN[2:4]:
+            want.append((unit, pos, "dynamic_shell", "interpolated command"))
+    assert {row[3] for row in want} == {"certificates", "host names", "interpolated command"}
+    assert same(spark, tables, "source_detections") == sorted(tuple(map(str, row)) for row in want)
